@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     path = write_table(e, "edges")
     while True:
         e = reread(spark, path, "hi long, lo long")
-        if e.join(e.select(F.col("hi").alias("lo")).distinct(), "lo", "left_semi").isEmpty():
+        if _stars(e):
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
                 e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
             )
@@ -29,10 +29,16 @@ def components(edges: DataFrame) -> DataFrame:
         path = after
 
 
+def _stars(e: DataFrame) -> bool:
+    """Each node has one smaller neighbour, which has none."""
+    twice = e.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1")
+    return twice.isEmpty() and e.join(e.select(F.col("hi").alias("lo")), "lo", "left_semi").isEmpty()
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     """Each node ties its larger neighbours to its smallest one."""
     least = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("lo").alias("v")))
-    least = least.groupBy("u").agg(F.min("v").alias("m"))
+    least = least.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
     return e.join(least, e.lo == least.u).select("hi", F.col("m").alias("lo")).distinct()
 
 
