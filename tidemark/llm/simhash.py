@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import texts, written
 from .graph import components
+from .sketches import shingle_hashes, word_hashes
 
 BITS = 64
 #: Distinct fingerprints of a block whose pairs are compared directly; fuller blocks go through shared neighbours instead.
@@ -102,3 +103,88 @@ def near_groups(
     of = labelled.where("component is not null").groupBy("component").agg(F.min("least").alias("id"))
     final = labelled.join(of, "component", "left").select("fp", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("id")).alias("component_id"))
     return fps.join(final, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Members of a bucket whose pairs are all compared; each member of a fuller one is compared with its smallest id.
+ALL_PAIRS = 16
+
+
+def near_duplicates(
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 2, bands: int = 16, lanes: int = 5, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(node, component) of documents with a near duplicate: shingle sets of Jaccard similarity of at least ``similarity``.
+
+    Candidates come from the pigeonhole blocks of SimHash fingerprints (equal, or within ``distance`` bits) and, since 64 bits
+    put most pairs of similarity 0.8 further apart than blocks can reach, from ``bands`` keys of ``lanes`` minima each
+    (a pair of similarity 0.8 shares one with probability 0.998). Every candidate is verified on the exact shingle
+    sets, then links are closed transitively; ``component`` is the smallest doc_id reachable.
+
+    Only documents with a candidate are read again. In a bucket of more than 16 documents each is compared with
+    the smallest id, so pairs grow with the documents, never with their square. Documents that repeat an id are one node;
+    null ids and texts without words are never linked. No links give no rows.
+    """
+    rows = texts(docs, id_col, text_col).where("doc_id is not null")
+    signed = written(_signatures(rows, shingle, bands, lanes), "signatures")
+    pairs = written(_candidates(signed, distance), "candidates")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = rows.join(ids, "doc_id").mapInArrow(lambda batches: _shingle_sets(batches, shingle), "doc_id long, items binary")
+    sets = written(sets.dropDuplicates(["doc_id"]), "sets")
+    left, right = (sets.select(F.col("doc_id").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "a_items", "b_items")
+    return components(met.mapInArrow(lambda batches: _similar(batches, similarity), "a long, b long"))
+
+
+def _signatures(rows: DataFrame, shingle: int, bands: int, lanes: int) -> DataFrame:
+    draw = np.random.default_rng(20)
+    mult = draw.integers(1, 1 << 63, bands * lanes, dtype=np.uint64) | np.uint64(1)
+    add = draw.integers(0, 1 << 63, bands * lanes, dtype=np.uint64)
+    mix = draw.integers(1, 1 << 63, lanes, dtype=np.uint64) | np.uint64(1)
+
+    def keys(text: str) -> list[int]:
+        h = shingle_hashes(word_hashes(text), shingle).astype(np.uint64)
+        if not len(h):
+            return []
+        least = np.full(bands * lanes, ~np.uint64(0))
+        for at in range(0, len(h), 2048):
+            least = np.minimum(least, (h[at : at + 2048, None] * mult + add).min(axis=0))
+        return (least.reshape(bands, lanes) * mix).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
+
+    def run(batches):
+        for b in batches:
+            got = b.column(1).to_pylist()
+            k = [keys(t) for t in got]
+            fp = [simhash(t, shingle, 42) if x else None for t, x in zip(got, k)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), pa.array(k, pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
+
+    return rows.mapInArrow(run, "doc_id long, fp long, keys array<long>")
+
+
+def _candidates(signed: DataFrame, distance: int) -> DataFrame:
+    """Pairs a < b worth verifying."""
+    keyed = signed.select("doc_id", F.posexplode("keys").alias("t", "key"))
+    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("c"), F.min("doc_id").alias("least")).where("c > 1")
+    met = keyed.join(sizes, ["t", "key"])
+    star = met.where(F.col("c") > ALL_PAIRS).select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    members = met.where(F.col("c") <= ALL_PAIRS).groupBy("t", "key").agg(F.array_sort(F.collect_set("doc_id")).alias("g"))
+    each = members.select(F.posexplode("g").alias("i", "a"), "g").select("a", F.explode(F.expr("slice(g, i + 2, size(g))")).alias("b"))
+    nodes = written(signed.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")), "nodes")
+    same = signed.join(nodes.where("c > 1"), "fp").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    of = lambda c: nodes.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_id"))
+    near = links(nodes.select("fp"), distance).join(of("a"), "a").join(of("b"), "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+    return star.unionByName(each).unionByName(same).unionByName(near).where("a < b").distinct()
+
+
+def _shingle_sets(batches, shingle: int):
+    for b in batches:
+        items = [np.unique(shingle_hashes(word_hashes(t), shingle)).tobytes() for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(items, pa.binary())], ["doc_id", "items"])
+
+
+def _similar(batches, similarity: float):
+    for b in batches:
+        keep = []
+        for x, y in zip(b.column(2), b.column(3)):
+            p, q = (np.frombuffer(s.as_buffer(), np.uint32) for s in (x, y))
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            keep.append(both >= similarity * (len(p) + len(q) - both))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
