@@ -1,0 +1,624 @@
+"""Registered queries over the driver's tables, each with its SQL equivalent where SQL can express it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tidemark.functions import text as X
+from tidemark.functions.udfs import page_paths, page_rows, text_change
+from tidemark.operators import log, outcomes, score, snapshot, worlds
+from tidemark.plans.model import PRIORITY_WEIGHTS, Rule
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- two snapshots of orders ------------------------------------------------------------------------
+
+_CTE = """WITH base AS (SELECT o_orderkey AS k, o_orderstatus AS status, o_orderpriority AS prio,
+  CAST(o_totalprice AS DECIMAL(18,2)) AS price, CAST(o_orderdate AS DATE) AS eta FROM orders),
+old AS (SELECT * FROM base WHERE k % 17 <> 3),
+new AS (SELECT k, CASE WHEN k % 11 = 0 THEN 'X' ELSE status END AS status, prio,
+  CAST(CASE WHEN k % 7 = 0 THEN price + 1 ELSE price END AS DECIMAL(18,2)) AS price,
+  CASE WHEN k % 13 = 0 THEN eta + 5 ELSE eta END AS eta FROM base WHERE k % 19 <> 5),
+met AS (SELECT coalesce(o.k, n.k) AS key, o.k IS NOT NULL AS in_old, n.k IS NOT NULL AS in_new,
+  o.status AS s0, n.status AS s1, o.prio AS p0, n.prio AS p1, o.price AS c0, n.price AS c1, o.eta AS e0, n.eta AS e1
+  FROM old o FULL OUTER JOIN new n ON o.k = n.k),
+diff AS (SELECT *, CASE WHEN NOT in_old THEN 'added' WHEN NOT in_new THEN 'removed' ELSE 'modified' END AS kind FROM met
+  WHERE NOT in_old OR NOT in_new OR s0 <> s1 OR e0 <> e1)
+"""
+
+
+def snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    base = t(spark, d, "orders").select(
+        F.col("o_orderkey").alias("k"),
+        F.col("o_orderstatus").alias("status"),
+        F.col("o_orderpriority").alias("prio"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("price"),
+        F.col("o_orderdate").cast("date").alias("eta"),
+    )
+    new = base.where("k % 19 <> 5").select(
+        "k",
+        F.when(F.expr("k % 11 = 0"), "X").otherwise(F.col("status")).alias("status"),
+        "prio",
+        F.when(F.expr("k % 7 = 0"), F.col("price") + 1).otherwise(F.col("price")).cast("decimal(18,2)").alias("price"),
+        F.when(F.expr("k % 13 = 0"), F.date_add("eta", 5)).otherwise(F.col("eta")).alias("eta"),
+    )
+    return base.where("k % 17 <> 3"), new
+
+
+def _diff(spark, d, track=("status", "eta"), **options) -> DataFrame:
+    old, new = snapshots(spark, d)
+    return snapshot.diff(old, new, "k", track, long_text=False, **options)
+
+
+@query(_CTE + "SELECT key, kind FROM diff")
+def diff_kinds(spark, d):
+    return _diff(spark, d).select("key", "kind")
+
+
+@query(_CTE + "SELECT kind, count(*) AS n FROM diff GROUP BY kind")
+def diff_counts(spark, d):
+    return _diff(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(
+    _CTE
+    + """SELECT key, 'status' AS field, s0 AS old, s1 AS new FROM diff WHERE kind = 'modified' AND s0 <> s1
+UNION ALL SELECT key, 'eta', CAST(e0 AS VARCHAR), CAST(e1 AS VARCHAR) FROM diff WHERE kind = 'modified' AND e0 <> e1"""
+)
+def diff_changes_exploded(spark, d):
+    return _diff(spark, d).select("key", F.explode("changes").alias("c")).select("key", "c.field", "c.old", "c.new")
+
+
+@query(_CTE + "SELECT key, CAST(c0 AS VARCHAR) AS old, CAST(c1 AS VARCHAR) AS new FROM met WHERE c0 <> c1")
+def diff_tracked_only(spark, d):
+    c = _diff(spark, d, ("price",)).where("kind = 'modified'").select("key", F.explode("changes").alias("c"))
+    return c.select("key", "c.old", "c.new")
+
+
+@query(_CTE + "SELECT key FROM met WHERE in_old AND in_new AND s0 = s1 AND e0 = e1 AND c0 <> c1")
+def silent_updates(spark, d):
+    old, new = snapshots(spark, d)
+    h = snapshot.content_hash({c: k for c, k in new.dtypes if c != "k"})
+    moved = snapshot.delta(old.withColumn("h", h), new.withColumn("h", h), "k", "h")
+    told = snapshot.diff(old, new, "k", ["status", "eta"], long_text=False)
+    return moved.select(F.col("k").alias("key")).join(told.select("key"), "key", "left_anti")
+
+
+@query(_CTE + "SELECT key, kind FROM diff WHERE NOT (in_old AND key % 23 = 0)")
+def diff_unavailable_carried(spark, d):
+    old, new = snapshots(spark, d)
+    lost = t(spark, d, "orders").where("o_orderkey % 23 = 0").select(F.col("o_orderkey").alias("k"))
+    read = new.join(snapshot.carried(old, lost, "k").select("k"), "k", "left_anti")
+    return snapshot.diff(snapshot.visible(old, lost, "k"), read, "k", ["status", "eta"], long_text=False).select("key", "kind")
+
+
+@query(
+    _CTE
+    + """, starts AS (SELECT * FROM (VALUES ('1-URGENT', DATE '1999-01-01'), ('5-LOW', DATE '1996-01-01')) s(scope, start))
+SELECT m.key, CAST(m.e0 AS VARCHAR) AS eta FROM met m LEFT JOIN starts s ON m.p0 = s.scope
+WHERE in_old AND NOT in_new AND e0 < coalesce(s.start, DATE '1998-01-01')"""
+)
+def diff_aged_out_scoped(spark, d):
+    old, new = snapshots(spark, d)
+    starts = spark.createDataFrame([("1-URGENT", "1999-01-01"), ("5-LOW", "1996-01-01")], "scope string, start string").withColumn("start", F.to_date("start"))
+    gone = snapshot.aged_out(old, new, "k", F.col("eta"), F.to_date(F.lit("1998-01-01")), starts, "prio")
+    return gone.select(F.col("k").alias("key"), F.col("eta").cast("string").alias("eta"))
+
+
+@query(_CTE + "SELECT key, s1 || ' (' || p1 || ')' AS title, 'status=' || s1 || ';eta=' || CAST(e1 AS VARCHAR) AS shown FROM diff WHERE kind = 'added'")
+def added_with_title(spark, d):
+    a = _diff(spark, d, decorate_added=True).where("kind = 'added'")
+    title = F.concat(F.substring("new.status", 1, 200), F.lit(" ("), F.substring("new.prio", 1, 200), F.lit(")"))
+    return a.select("key", title.alias("title"), F.array_join(F.transform("changes", lambda c: F.concat(c["field"], F.lit("="), c["new"])), ";").alias("shown"))
+
+
+_WEIGHT = "CASE kind WHEN 'added' THEN 3 ELSE 4 END"
+
+
+@query(_CTE + f"SELECT key, 2 * {_WEIGHT} AS importance FROM diff")
+def importance(spark, d):
+    return _diff(spark, d).select("key", score.importance(F.lit("normal"), F.col("kind"), F.col("changes")).alias("importance"))
+
+
+def _scored(spark, d, *rules: Rule) -> DataFrame:
+    x = _diff(spark, d)
+    value = lambda f: F.coalesce(F.col(f"new.{f}"), F.col(f"old.{f}")) if f in ("status", "prio") else F.lit(None).cast("string")
+    return x.select("key", score.importance(F.lit("high"), F.col("kind"), F.col("changes"), rules, value).alias("importance"))
+
+
+@query(_CTE + f"SELECT key, 3 * {_WEIGHT} + CASE WHEN coalesce(s1, s0) = 'F' THEN 7 ELSE 0 END AS importance FROM diff")
+def importance_highlight_equals(spark, d):
+    return _scored(spark, d, Rule("status", "equals", "F", 7))
+
+
+@query(_CTE + f"SELECT key, 3 * {_WEIGHT} + CASE WHEN contains(lower(coalesce(p1, p0)), 'urgent') THEN 20 ELSE 0 END AS importance FROM diff")
+def importance_highlight_contains(spark, d):
+    return _scored(spark, d, Rule("prio", "contains", "Urgent"), Rule("prio", "contains", "URGENT"))
+
+
+@query(_CTE + f"SELECT key, 3 * {_WEIGHT} + CASE WHEN kind = 'modified' AND s1 = 'X' AND s0 <> 'X' THEN -5 ELSE 0 END AS importance FROM diff")
+def importance_highlight_changed_to(spark, d):
+    return _scored(spark, d, Rule("status", "changed_to", "X", -5))
+
+
+@query(_CTE + "SELECT key, kind, 1000 + row_number() OVER (ORDER BY CAST(key AS VARCHAR)) AS seq FROM diff")
+def event_seq(spark, d):
+    x = _diff(spark, d).select(F.col("key").cast("string").alias("text_key"), "key", "kind")
+    return log.with_seq(x, ["text_key"], 1000).select("key", "kind", "seq")
+
+
+@query(_CTE + f""", s AS (SELECT key, kind, 2 * {_WEIGHT} + CASE WHEN kind = 'modified' AND s1 = 'X' AND s0 <> 'X' THEN 10 ELSE 0 END AS importance FROM diff)
+SELECT key, kind, importance, row_number() OVER (ORDER BY importance DESC, key) AS rank FROM s ORDER BY importance DESC, key LIMIT 200""")
+def ranked_changes(spark, d):
+    """Snapshots to a ranked digest: diff, importance, top 200 before any numbering window."""
+    x = _diff(spark, d)
+    rules = [Rule("status", "changed_to", "X")]
+    x = x.select("key", "kind", score.importance(F.lit("normal"), F.col("kind"), F.col("changes"), rules, lambda f: F.col(f"new.{f}")).alias("importance"))
+    top = x.orderBy(F.desc("importance"), "key").limit(200)
+    return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("importance"), "key")))
+
+
+# --- the events table as a change log -------------------------------------------------------------------
+
+_LOG = """WITH log AS (SELECT event_id + 1 AS seq, 'u' || CAST(user_id AS VARCHAR) AS source_id,
+  CASE event_type WHEN 'click' THEN 'modified' WHEN 'view' THEN 'added' WHEN 'purchase' THEN 'removed'
+    WHEN 'signup' THEN 'source_recovered' ELSE 'source_error' END AS kind,
+  CASE user_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'normal' ELSE 'low' END AS priority, ts FROM events),
+scored AS (SELECT *, CASE priority WHEN 'high' THEN 3 WHEN 'normal' THEN 2 ELSE 1 END AS pw,
+  CASE kind WHEN 'modified' THEN 4 WHEN 'added' THEN 3 WHEN 'removed' THEN 4 WHEN 'source_recovered' THEN 1 ELSE 5 END AS kw FROM log),
+effective AS (SELECT *, CASE WHEN kind = 'source_error' AND max(CASE WHEN kind = 'source_recovered' THEN seq END) OVER (PARTITION BY source_id) > seq
+  THEN pw ELSE pw * kw END AS effective FROM scored),
+ranked AS (SELECT *, row_number() OVER (ORDER BY effective DESC, seq) AS rank,
+  row_number() OVER (PARTITION BY source_id ORDER BY effective DESC, seq) AS ordinal FROM effective)
+"""
+
+
+def change_log(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("event_type")
+    kind = F.when(kind == "click", "modified").when(kind == "view", "added").when(kind == "purchase", "removed").when(kind == "signup", "source_recovered").otherwise("source_error")
+    user = F.col("user_id") % 3
+    return t(spark, d, "events").select(
+        (F.col("event_id") + 1).alias("seq"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source_id"),
+        kind.alias("kind"),
+        F.when(user == 0, "high").when(user == 1, "normal").otherwise("low").alias("priority"),
+        "ts",
+    )
+
+
+def effective_log(spark, d, cursor: int = 0) -> DataFrame:
+    x = change_log(spark, d).where(F.col("seq") > cursor)
+    x = x.withColumn("importance", score.importance(F.col("priority"), F.col("kind"), F.array()))
+    x = x.withColumn("detail", F.struct(F.lit(None).cast("array<string>").alias("selectors")))
+    return log.effective_importance(x, F.col("priority"), score.priority_weight(F.col("priority")), score.kind_weight(F.col("kind")))
+
+
+@query(_LOG + "SELECT seq, effective FROM effective")
+def effective_importance(spark, d):
+    return effective_log(spark, d).select("seq", "effective")
+
+
+@query(_LOG + "SELECT seq, rank FROM ranked")
+def rank_global(spark, d):
+    return log.rank(effective_log(spark, d)).select("seq", "rank")
+
+
+@query(_LOG + "SELECT source_id, seq, ordinal FROM ranked")
+def rank_in_source(spark, d):
+    return log.rank(effective_log(spark, d)).select("source_id", "seq", "ordinal")
+
+
+@query(_LOG + "SELECT seq, effective FROM effective ORDER BY effective DESC, seq LIMIT 100")
+def topk(spark, d):
+    return effective_log(spark, d).select("seq", "effective").orderBy(F.desc("effective"), "seq").limit(100)
+
+
+_LINE = "'  ' || kind || ' ' || source_id || '  tide://evt/' || CAST(seq AS VARCHAR)"
+
+
+@query(
+    _LOG
+    + f"""SELECT seq, CAST(size_so_far AS BIGINT) AS size_so_far FROM (SELECT seq, sum(length({_LINE}) + 1) OVER (ORDER BY effective DESC, seq
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS size_so_far FROM ranked) x WHERE size_so_far <= 28000"""
+)
+def budget_prefix(spark, d):
+    """The lines that alone fit a budget of 8,000 tokens: at most 1,400 lines can (the shortest is 20), so the rest never reaches the window."""
+    line = F.concat(F.lit("  "), "kind", F.lit(" "), "source_id", F.lit("  "), X.event_handle(F.col("seq")))
+    top = effective_log(spark, d).withColumn("line", line).orderBy(F.desc("effective"), "seq").limit(28000 // 20)
+    return log.running_size(top, F.length("line"), [F.desc("effective"), F.asc("seq")]).where("size_so_far <= 28000").select("seq", "size_so_far")
+
+
+@query(
+    _LOG
+    + """SELECT source_id, count(*) AS total, count(*) FILTER (rank <= 500) AS shown, count(*) FILTER (rank > 500) AS omitted,
+  max(effective) FILTER (rank <= 500) AS max_shown, max(effective) FILTER (rank > 500) AS max_omitted FROM ranked GROUP BY source_id"""
+)
+def group_headers(spark, d):
+    return log.groups(log.rank(effective_log(spark, d)), 500)
+
+
+@query(
+    _LOG
+    + """SELECT source_id, omitted, row_number() OVER (ORDER BY m DESC, source_id) AS place FROM
+  (SELECT source_id, count(*) AS omitted, max(effective) AS m FROM ranked WHERE rank > 500 GROUP BY source_id) x"""
+)
+def omitted_by_source(spark, d):
+    g = log.groups(log.rank(effective_log(spark, d)), 500).where("omitted > 0")
+    return g.select("source_id", "omitted", F.row_number().over(W.orderBy(F.desc("max_omitted"), "source_id")).alias("place"))
+
+
+@query(_LOG + "SELECT seq, source_id FROM log WHERE seq > 700 AND source_id = 'u7'")
+def events_after(spark, d):
+    return log.after(change_log(spark, d), 700, "u7").select("seq", "source_id")
+
+
+@query(_LOG + "SELECT seq, kind FROM log WHERE seq BETWEEN 100 AND 900 AND seq > 250")
+def events_range(spark, d):
+    return log.in_range(change_log(spark, d), 100, 900, past=250).select("seq", "kind")
+
+
+@query(_LOG + "SELECT seq, source_id FROM log WHERE seq < 800 ORDER BY seq DESC LIMIT 51")
+def page_newest(spark, d):
+    return log.newest(change_log(spark, d), 51, 800).select("seq", "source_id")
+
+
+@query(_LOG + "SELECT seq, kind, (SELECT count(*) FROM log WHERE seq BETWEEN 1 AND 900 AND source_id = 'u5') AS total FROM log WHERE seq BETWEEN 1 AND 900 AND source_id = 'u5' ORDER BY seq LIMIT 20")
+def batch_page(spark, d):
+    x = log.in_range(change_log(spark, d), 1, 900, "u5")
+    total = x.agg(F.count("*").alias("total"))
+    return x.select("seq", "kind").orderBy("seq").limit(20).join(F.broadcast(total), how="cross")  # one row of totals
+
+
+@query(_LOG + "SELECT min(seq) AS first, max(seq) AS last, count(*) AS n FROM log WHERE seq > 300")
+def selection_bounds(spark, d):
+    return log.after(change_log(spark, d), 300).agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count("*").alias("n"))
+
+
+@query(_LOG + "SELECT source_id, max(seq) AS seq FROM log WHERE kind = 'source_recovered' GROUP BY source_id")
+def latest_recovery(spark, d):
+    return change_log(spark, d).where("kind = 'source_recovered'").groupBy("source_id").agg(F.max("seq").alias("seq"))
+
+
+# --- keys -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(spark, d):
+    return snapshot.duplicate_keys(t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+_ORDER = "l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_ORDER}) AS r FROM lineitem) x WHERE r = 1")
+def first_wins_dedupe(spark, d):
+    x = snapshot.first_wins(t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], [F.col(c) for c in _ORDER.split(", ")])
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) AS key, count(*) AS n FROM lineitem GROUP BY 1")
+def composite_key(spark, d):
+    key = snapshot.composite_key(F.col("l_orderkey"), F.col("l_linenumber"))
+    return t(spark, d, "lineitem").groupBy(key.alias("key")).agg(F.count("*").alias("n"))
+
+
+# --- runs of a source ---------------------------------------------------------------------------------------------
+
+_RUNS = """WITH runs AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS source_id, event_id AS run, event_type = 'error' AS failed, ts FROM events),
+w AS (SELECT *, coalesce(lag(failed) OVER (PARTITION BY source_id ORDER BY run), false) AS before,
+  coalesce(max(CASE WHEN NOT failed THEN 1 END) OVER (PARTITION BY source_id ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM runs)
+"""
+
+
+def runs(spark, d) -> DataFrame:
+    return t(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source_id"), F.col("event_id").alias("run"), (F.col("event_type") == "error").alias("failed"), "ts")
+
+
+@query(_RUNS + "SELECT source_id, run FROM w WHERE failed AND NOT before")
+def announced_errors(spark, d):
+    return outcomes.streaks(runs(spark, d)).where("kind = 'source_error'").select("source_id", "run")
+
+
+@query(_RUNS + "SELECT source_id, run FROM w WHERE NOT failed AND before")
+def recoveries(spark, d):
+    return outcomes.streaks(runs(spark, d)).where("kind = 'source_recovered'").select("source_id", "run")
+
+
+@query(_RUNS + "SELECT source_id, min(run) AS run FROM runs WHERE NOT failed GROUP BY source_id")
+def baselines(spark, d):
+    return outcomes.streaks(runs(spark, d)).where("kind = 'baseline'").select("source_id", "run")
+
+
+@query(
+    _RUNS
+    + """, s AS (SELECT *, sum(CASE WHEN failed AND NOT before THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS streak FROM w)
+SELECT source_id, min(run) AS first_run, max(run) AS last_run, count(*) AS failures FROM s WHERE failed GROUP BY source_id, streak"""
+)
+def error_streaks(spark, d):
+    w = W.partitionBy("source_id").orderBy("run")
+    starts = F.col("failed") & ~F.coalesce(F.lag("failed").over(w), F.lit(False))
+    x = runs(spark, d).withColumn("starts", starts.cast("int")).withColumn("streak", F.sum("starts").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return x.where("failed").groupBy("source_id", "streak").agg(F.min("run").alias("first_run"), F.max("run").alias("last_run"), F.count("*").alias("failures")).drop("streak")
+
+
+_AT = "CASE WHEN run % 10 = 0 THEN ts - INTERVAL 6 HOUR ELSE ts END"
+
+
+@query(
+    _RUNS
+    + f""", a AS (SELECT source_id, run, date_trunc('second', {_AT}) AS tried FROM runs),
+b AS (SELECT *, max(tried) OVER (PARTITION BY source_id ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM a)
+SELECT source_id, run FROM b WHERE latest > tried"""
+)
+def stale_results(spark, d):
+    at = F.when(F.col("run") % 10 == 0, F.col("ts") - F.expr("INTERVAL 6 HOUR")).otherwise(F.col("ts"))
+    return outcomes.late(runs(spark, d).withColumn("at", at)).select("source_id", "run")
+
+
+@query(
+    """WITH days AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1),
+cum AS (SELECT day, sum(n) OVER (ORDER BY day DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM days)
+SELECT CAST(min(day) AS VARCHAR) AS start, CAST(max(total) AS BIGINT) AS mails FROM cum WHERE total <= 500"""
+)
+def window_days_bisect(spark, d):
+    """The longest run of latest days with at most 500 mails: cumulative counts in one pass instead of a search per day count."""
+    days = t(spark, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n"))
+    cum = days.withColumn("total", F.sum("n").over(W.orderBy(F.desc("day")).rowsBetween(W.unboundedPreceding, 0)))  # a row per day
+    return cum.where("total <= 500").agg(F.min("day").cast("string").alias("start"), F.max("total").alias("mails"))
+
+
+# --- retention and consumers -----------------------------------------------------------------------------------------
+
+_CUT = "TIMESTAMP '2024-01-15 00:00:00'"
+
+
+def _cutoff():
+    return F.to_timestamp_ntz(F.lit("2024-01-15 00:00:00"))
+
+
+def _dated(spark, d) -> DataFrame:
+    return change_log(spark, d).select("seq", "source_id", "kind", F.col("ts").cast("timestamp_ntz").alias("created_at"), (F.col("seq") % 500).cast("string").alias("record_key"))
+
+
+@query(_LOG + f"SELECT seq FROM log WHERE ts >= {_CUT}")
+def prune_events(spark, d):
+    return log.prune(_dated(spark, d), _cutoff()).select("seq")
+
+
+@query(
+    _LOG
+    + f""", records AS (SELECT 'u' || CAST(o_custkey % 150 AS VARCHAR) AS source_id, CAST(o_orderkey % 500 AS VARCHAR) AS key, bool_or(o_orderkey % 17 = 3) AS present FROM orders GROUP BY 1, 2)
+SELECT source_id, key, present FROM records r WHERE present OR EXISTS
+  (SELECT 1 FROM log l WHERE l.ts >= {_CUT} AND l.source_id = r.source_id AND CAST(l.seq % 500 AS VARCHAR) = r.key)"""
+)
+def prune_records(spark, d):
+    o = t(spark, d, "orders")
+    records = o.groupBy(F.concat(F.lit("u"), (F.col("o_custkey") % 150).cast("string")).alias("source_id"), (F.col("o_orderkey") % 500).cast("string").alias("key")).agg(
+        F.bool_or(F.col("o_orderkey") % 17 == 3).alias("present")
+    )
+    return log.prune_records(records, log.prune(_dated(spark, d), _cutoff())).select("source_id", "key", "present")
+
+
+@query(_LOG + f"SELECT greatest(40, coalesce(max(seq), 0)) AS pruned_through FROM log WHERE ts < {_CUT}")
+def pruned_floor(spark, d):
+    return log.pruned_through(_dated(spark, d), _cutoff(), F.lit(40).cast("long"))
+
+
+@query(
+    """WITH cursors AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS agent_id, max(event_id) AS seq FROM events WHERE event_type = 'view' AND user_id % 2 = 0 GROUP BY 1),
+served AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS agent_id, event_id FROM events WHERE event_type = 'purchase' AND user_id % 3 = 0)
+SELECT a.agent_id, c.seq, coalesce(s.n, 0) AS served_count, s.last_served FROM (SELECT agent_id FROM cursors UNION SELECT agent_id FROM served) a
+LEFT JOIN cursors c USING (agent_id) LEFT JOIN (SELECT agent_id, count(*) AS n, max(event_id) AS last_served FROM served GROUP BY 1) s USING (agent_id)"""
+)
+def agent_summary(spark, d):
+    e = t(spark, d, "events").withColumn("agent_id", F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    cursors = e.where("event_type = 'view' and user_id % 2 = 0").groupBy("agent_id").agg(F.max("event_id").alias("seq"))
+    served = e.where("event_type = 'purchase' and user_id % 3 = 0").select("agent_id", F.col("event_id").alias("at"))
+    return log.consumers(cursors, served)
+
+
+@query(
+    """SELECT 'u' || CAST(user_id AS VARCHAR) AS agent_id, (SELECT max(event_id) FROM events) - max(event_id) AS lag,
+max(event_id) < 9000 AS gap FROM events WHERE event_type = 'signup' GROUP BY user_id"""
+)
+def cursor_lag(spark, d):
+    """How far each consumer is behind the log's end, and whether it missed events pruned through 9,000."""
+    e = t(spark, d, "events")
+    end = F.broadcast(e.agg(F.max("event_id").alias("end")))  # one row
+    at = e.where("event_type = 'signup'").groupBy("user_id").agg(F.max("event_id").alias("seq"))
+    return at.join(end, how="cross").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("agent_id"), (F.col("end") - F.col("seq")).alias("lag"), (F.col("seq") < 9000).alias("gap"))
+
+
+_NOW = "TIMESTAMP '2024-01-31 00:00:00'"
+
+
+@query(
+    f"""WITH s AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS source_id, max(ts) AS last, 900 + 86400 * (user_id % 5) AS schedule FROM events GROUP BY user_id)
+SELECT source_id, strftime(last + to_seconds(schedule), '%Y-%m-%dT%H:%M:%SZ') AS due_at FROM s WHERE last + to_seconds(schedule) <= {_NOW}"""
+)
+def due_sources(spark, d):
+    s = t(spark, d, "events").groupBy("user_id").agg(F.max("ts").cast("timestamp_ntz").alias("last_success_at"))
+    s = s.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source_id"), "last_success_at", F.lit(None).cast("timestamp_ntz").alias("last_error_at"), (F.lit(900) + F.lit(86400) * (F.col("user_id") % 5)).cast("int").alias("schedule"))
+    return outcomes.due(s, F.to_timestamp_ntz(F.lit("2024-01-31 00:00:00"))).select("source_id", X.iso(F.col("due_at")).alias("due_at"))
+
+
+@query(f"SELECT user_id, epoch(date_trunc('second', {_NOW})) - epoch(date_trunc('second', max(ts))) > 2 * (3600 + 3600 * (user_id % 4)) AS stale FROM events GROUP BY user_id")
+def heartbeat_stale(spark, d):
+    """Staleness is strictly more than twice the schedule."""
+    age = F.unix_timestamp(F.to_timestamp(F.lit("2024-01-31 00:00:00"))) - F.unix_timestamp(F.max("ts").cast("timestamp"))
+    return t(spark, d, "events").groupBy("user_id").agg((age > 2 * (3600 + 3600 * (F.col("user_id") % 4))).alias("stale"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN s < 60 THEN CAST(s AS VARCHAR) || 's' WHEN s < 3600 THEN CAST(s // 60 AS VARCHAR) || 'm'
+WHEN s < 172800 THEN CAST(s // 3600 AS VARCHAR) || 'h' ELSE CAST(s // 86400 AS VARCHAR) || 'd' END AS age
+FROM (SELECT event_id, greatest(0, event_id * event_id % 400000 - 10) AS s FROM events) x"""
+)
+def age_text(spark, d):
+    return t(spark, d, "events").select("event_id", X.age(F.col("event_id") * F.col("event_id") % 400000 - 10).alias("age"))
+
+
+@query(
+    """SELECT source_id, row_number() OVER (ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'normal' THEN 1 ELSE 2 END, source_id) AS place FROM
+(SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) AS source_id, CASE user_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'normal' ELSE 'low' END AS priority FROM events) x"""
+)
+def status_order(spark, d):
+    s = change_log(spark, d).select("source_id", "priority").distinct()
+    by = F.array_position(F.array(*map(F.lit, PRIORITY_WEIGHTS)), F.col("priority"))
+    return s.select("source_id", F.row_number().over(W.orderBy(by, "source_id")).alias("place"))
+
+
+# --- scalar functions ---------------------------------------------------------------------------------------------------
+
+_FLAT = r"trim(regexp_replace(regexp_replace(substr(text, 1, 2000), '[\p{Cc}\p{Cf}\p{Zl}\p{Zp}\p{Co}]', ' ', 'g'), '[\s\p{Z}]+', ' ', 'g'))"
+
+
+@query(rf"""SELECT doc_id, '"' || replace(replace(CASE WHEN length(f) > 120 THEN substr(f, 1, 119) || '…' ELSE f END, '\', '\\'), '"', '\"') || '"' AS quoted FROM (SELECT doc_id, {_FLAT} AS f FROM documents) x""")
+def quoted_text(spark, d):
+    return t(spark, d, "documents").select("doc_id", X.quoted(F.substring("text", 1, 2000), 120).alias("quoted"))
+
+
+@query("SELECT doc_id, (length(text) * 2 + 6) // 7 AS tokens FROM documents")
+def token_estimate(spark, d):
+    return t(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("tokens"))
+
+
+@query("SELECT p_partkey, 'tide://rec/parts/' || replace(replace(url_encode(p_name || '|' || p_brand), '%2F', '/'), '%7C', '|') AS handle FROM part")
+def record_handles(spark, d):
+    return t(spark, d, "part").select("p_partkey", X.record_handle(F.lit("parts"), F.concat("p_name", F.lit("|"), "p_brand")).alias("handle"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(ts, '%Y-%m-%dT%H:%MZ') AS minute FROM events")
+def iso_minute(spark, d):
+    return t(spark, d, "events").select("event_id", X.iso(F.col("ts")).alias("iso"), X.minute(F.col("ts")).alias("minute"))
+
+
+@query("SELECT doc_id, sha256(text) AS hash FROM documents")
+def content_hash_text(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+
+
+@query("SELECT user_id, 'tide://batch/' || CAST(min(event_id) AS VARCHAR) || '-' || CAST(max(event_id) AS VARCHAR) || '?source=u' || CAST(user_id AS VARCHAR) AS handle FROM events GROUP BY user_id")
+def batch_handles(spark, d):
+    x = t(spark, d, "events").groupBy("user_id").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+    return x.select("user_id", X.batch_handle(F.col("lo"), F.col("hi"), F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("handle"))
+
+
+@query("SELECT conv_id, turn, role, CASE WHEN contains(lower(text), 'the') THEN true ELSE false END AS hit FROM conversations")
+def contains_folded(spark, d):
+    hit = score.matches(Rule("text", "contains", "The"), F.lit("added"), F.array(), F.col("text"))
+    return t(spark, d, "conversations").select("conv_id", "turn", "role", hit.alias("hit"))
+
+
+# --- benchmark analytics ----------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH c AS (SELECT user_id, event_type AS field, value, ts, event_id FROM events WHERE ts <= TIMESTAMP '2024-01-20 00:00:00')
+SELECT u.user_id, arg_max(c.value, event_id) FILTER (field = 'click') AS click, arg_max(c.value, event_id) FILTER (field = 'purchase') AS purchase
+FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN c USING (user_id) GROUP BY 1"""
+)
+def state_as_of(spark, d):
+    e = t(spark, d, "events")
+    changes = e.where("event_type in ('click', 'purchase')").select("user_id", F.col("event_type").alias("field"), "value", F.col("ts").cast("timestamp_ntz").alias("t"), F.col("event_id").alias("ord"))
+    initial = e.select("user_id").distinct().select("user_id", F.lit(None).cast("double").alias("click"), F.lit(None).cast("double").alias("purchase"))
+    return worlds.state_as_of(initial, changes, F.to_timestamp_ntz(F.lit("2024-01-20 00:00:00")), ["user_id"])
+
+
+@query(_CTE + "SELECT key AS k, s1 = 'X' AND s0 <> 'X' AS cancelled, e1 - e0 AS slip_days FROM met WHERE in_old AND in_new AND ((s1 = 'X' AND s0 <> 'X') OR e1 - e0 > 3)")
+def po_rule(spark, d):
+    return worlds.slipped_or_cancelled(*snapshots(spark, d), "k", "status", "eta", "X")
+
+
+@query(_CTE + "SELECT key AS k, s1 AS status FROM met WHERE in_old AND in_new AND s1 IN ('X', 'P') AND s1 <> s0")
+def portal_rule(spark, d):
+    return worlds.became(*snapshots(spark, d), "k", "status", ["X", "P"])
+
+
+@query("SELECT event_id FROM events WHERE event_type IN ('purchase', 'signup') AND value > 20 AND ts > TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00'")
+def mail_rule(spark, d):
+    at = lambda s: F.to_timestamp_ntz(F.lit(s))
+    x = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return worlds.needs_answer(x, at("2024-01-10 00:00:00"), at("2024-01-20 00:00:00"), F.col("event_type").isin("purchase", "signup"), F.col("value") > 20, "ts").select("event_id")
+
+
+@query(
+    """WITH k AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1), r AS (SELECT DISTINCT doc_id FROM documents WHERE n_chars < 2000),
+n AS (SELECT count(*) FILTER (k.doc_id IS NOT NULL AND r.doc_id IS NOT NULL) AS tp, count(*) FILTER (k.doc_id IS NULL) AS fp, count(*) FILTER (r.doc_id IS NULL) AS fn FROM k FULL OUTER JOIN r ON k.doc_id = r.doc_id)
+SELECT tp, fp, fn, CASE WHEN tp + fn = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS recall, CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS precision FROM n"""
+)
+def grade_sets(spark, d):
+    return worlds.grade(t(spark, d, "labels").where("toxic = 1"), t(spark, d, "documents").where("n_chars < 2000"), ["doc_id"])
+
+
+@query("SELECT event_type, avg(user_id) AS mean, median(user_id) AS median, min(user_id) AS least, max(user_id) AS most FROM events GROUP BY 1")
+def run_stats(spark, d):
+    return worlds.run_stats(t(spark, d, "events"), ["event_type"], "user_id")
+
+
+@query("SELECT event_type, CAST(sum(m) AS BIGINT) AS user_id FROM (SELECT event_type, ts::DATE AS day, max(user_id) AS m FROM events GROUP BY 1, 2) x GROUP BY 1")
+def usage_totals(spark, d):
+    return worlds.max_then_sum(t(spark, d, "events").withColumn("day", F.col("ts").cast("date")), "day", ["event_type"], "user_id")
+
+
+@query("SELECT event_type, n, row_number() OVER (ORDER BY n DESC, event_type) AS place FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1) x")
+def common_misses(spark, d):
+    x = t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return x.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "event_type")))
+
+
+@query(r"SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS ref FROM part WHERE CAST(p_partkey AS VARCHAR) IN (SELECT unnest(regexp_extract_all(props, '\d+')) FROM events)")
+def observability(spark, d):
+    refs = t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("ref"))
+    return worlds.observed(refs, t(spark, d, "events").select(F.col("props").alias("text")))
+
+
+# --- beyond SQL: opcode diffs and HTML; held against brute force in tests ----------------------------------------------------------
+
+
+@query()
+def text_change_stats(spark, d):
+    """Characters added and removed between each document and the next of its language and source."""
+    w = W.partitionBy("lang", "source").orderBy("doc_id")
+    x = t(spark, d, "documents").withColumn("next", F.lead("text").over(w)).where("next is not null and length(text) < 1500 and length(next) < 1500")
+    n = text_change(F.col("text"), F.col("next"))
+    return x.select("doc_id", n.alias("n")).select("doc_id", "n.added", "n.removed")
+
+
+@query()
+def page_fingerprint(spark, d):
+    paths = page_paths(6, "nav ul li")(F.col("html"))
+    return t(spark, d, "pages").select("page_id", F.sha2(F.array_join(F.array_sort(paths), "\n"), 256).alias("fingerprint"))
+
+
+@query()
+def page_links(spark, d):
+    rows = page_rows("nav ul li", {"text": "a", "href": "a@href"})(F.col("html"))
+    return t(spark, d, "pages").select("page_id", F.posexplode(rows).alias("row", "fields")).select("page_id", "row", F.col("fields")["text"].alias("text"), F.col("fields")["href"].alias("href"))
+
+
+@query()
+def structure_changed(spark, d):
+    """Pages whose structure differs from the page before them on the same host."""
+    w = W.partitionBy("host").orderBy("page_id")
+    x = t(spark, d, "pages").withColumn("host", F.parse_url("url", F.lit("HOST"))).withColumn("paths", page_paths(6, "nav ul li")(F.col("html")))
+    x = x.withColumn("fingerprint", F.sha2(F.array_join("paths", "\n"), 256)).select("page_id", "host", "fingerprint")
+    return x.withColumn("before", F.lag("fingerprint").over(w)).where("before <> fingerprint").select("page_id", "host")
