@@ -8,27 +8,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.plans.scratch import settled
 
-def with_seq(drafts: DataFrame, order: Sequence[str], base: int = 0, name: str = "seq") -> DataFrame:
+
+#: Rows that one task numbers; more are range-sorted and numbered by partition.
+ONE_TASK = 100_000
+
+
+def with_seq(drafts: DataFrame, order: Sequence, base: int = 0, name: str = "seq") -> DataFrame:
     """Consecutive numbers base + 1, ... in a total order, without a window over all rows.
 
-    Up to 100,000 rows are numbered in one task. Beyond that the leading column is cut at approximate
-    quantiles; ranges are counted first (a row per range to the driver), then each is numbered on its own.
+    Beyond ONE_TASK rows, a range sort deals the rows out and is settled as a table with each row's partition and place;
+    partition sizes, a row each, are summed up on the driver and added to the places.
     """
-    n = drafts.count()
-    cuts = max(0, min(4096, -(-n // 100_000)) - 1)
-    if not cuts:
-        return drafts.withColumn(name, F.lit(base).cast("long") + F.row_number().over(W.orderBy(*order)))
-    lead = order[0]
-    bounds = drafts.agg(F.percentile_approx(F.col(lead), [(i + 1) / (cuts + 1) for i in range(cuts)], 10_000)).first()[0]
-    bucket = sum((F.when(F.col(lead) > b, 1).otherwise(0) for b in sorted(set(bounds))), F.lit(0))
-    placed = drafts.withColumn("__bucket", bucket)
-    sizes = sorted((r["__bucket"], r["n"]) for r in placed.groupBy("__bucket").agg(F.count("*").alias("n")).collect())
-    before, total = {}, 0
-    for b, size in sizes:
-        before[b], total = total, total + size
-    offset = F.element_at(F.create_map(*(x for b, k in before.items() for x in (F.lit(b), F.lit(k)))), F.col("__bucket"))
-    return placed.withColumn(name, F.lit(base).cast("long") + offset + F.row_number().over(W.partitionBy("__bucket").orderBy(*order))).drop("__bucket")
+    first = F.lit(base).cast("long")
+    if drafts.count() <= ONE_TASK:
+        return drafts.withColumn(name, first + F.row_number().over(W.orderBy(*order)))
+    placed = drafts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = settled(placed, "seq")
+    part = F.shiftright("__at", 33).cast("int")
+    sizes = sorted((r.p, r.n) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    rows, total = [], base
+    for p, n in sizes:
+        rows.append((p, total))
+        total += n
+    starts = F.broadcast(placed.sparkSession.createDataFrame(rows, "__part int, __start long"))  # a row for each partition
+    return placed.join(starts, part == F.col("__part")).withColumn(name, F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__at", "__part", "__start")
 
 
 def after(events: DataFrame, cursor: int, source: str | None = None) -> DataFrame:
@@ -64,7 +69,7 @@ def effective_importance(events: DataFrame, priority: Column, weight: Column, ki
 def rank(events: DataFrame, importance: str = "effective") -> DataFrame:
     """Adds ``rank`` over all rows and ``ordinal`` within each source: importance descending, then seq."""
     order = [F.desc(importance), F.asc("seq")]
-    return events.withColumn("rank", F.row_number().over(W.orderBy(*order))).withColumn("ordinal", F.row_number().over(W.partitionBy("source_id").orderBy(*order)))
+    return with_seq(events, order, name="rank").withColumn("ordinal", F.row_number().over(W.partitionBy("source_id").orderBy(*order)))
 
 
 def running_size(lines: DataFrame, length: Column, order: Sequence[Column]) -> DataFrame:

@@ -1,0 +1,58 @@
+"""A query's rows as records."""
+
+from __future__ import annotations
+
+import re
+from datetime import datetime
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators.snapshot import CollectError, composite_key
+from tidemark.sources.base import Collected, Collector, as_records
+
+
+def scrubbed(message: str, secrets: list[str]) -> str:
+    """The first line, without secrets."""
+    line = message.splitlines()[0] if message else ""
+    for s in sorted(filter(None, secrets), key=len, reverse=True):
+        line = line.replace(s, "***")
+    return re.sub(r"(?<=://)[^/@\s]+@", "***@", line)
+
+
+class Query(Collector):
+    """``query`` over registered views, or over a JDBC ``url`` pushed down whole; ``key`` names one or more columns."""
+
+    options = {"query": str, "key": (str, list), "url": str, "user": str, "password": str}
+    required = ("query", "key")
+
+    def collect(self, spark: SparkSession, now: datetime) -> Collected:
+        o = self.given
+        keys = [o["key"]] if isinstance(o["key"], str) else o["key"]
+        try:
+            if "url" in o:
+                rows = spark.read.format("jdbc").options(url=o["url"], query=o["query"], **{k: o[k] for k in ("user", "password") if k in o}).load()
+            else:
+                if not re.match(r"\s*(select|with)\b", o["query"], re.I):
+                    raise CollectError("only SELECT and WITH queries are run")
+                rows = spark.sql(o["query"])
+        except CollectError:
+            raise
+        except Exception as e:
+            raise CollectError(scrubbed(str(e), [o.get("password", ""), o.get("url", "")])) from None
+        names = [c.lower() for c in rows.columns]
+        twice = sorted({c for c in names if names.count(c) > 1})
+        if twice:
+            raise CollectError(f"column {twice[0]} occurs more than once")
+        missing = [k for k in keys if k.lower() not in names]
+        if missing:
+            raise CollectError(f"key column {missing[0]} is not in the result")
+        return Collected(as_records(rows, composite_key(*(F.col(k) for k in keys))))
+
+
+def read_only(spark: SparkSession, sql: str, limit: int = 500):
+    """Rows of a SELECT or WITH statement, and whether there are more than ``limit``."""
+    if not re.match(r"\s*(select|with)\b", sql, re.I):
+        raise CollectError("only SELECT and WITH queries are run")
+    rows = spark.sql(sql).limit(limit + 1).collect()
+    return rows[:limit], len(rows) > limit
