@@ -1,0 +1,429 @@
+"""The training-data operators: brute force on small tables, and rows of every awkward kind."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+from tokenizers import Tokenizer  # noqa: E402
+
+from tidemark.llm import bpe, exact_dedup, graph, licenses, mixing, packing, pii, quality, simhash, sketches, token_counts, toxicity  # noqa: E402
+
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars long, n_tokens int, kept string, keep_id int, name string, block int, key string, "
+    "fingerprint string, score string, spans string, tokens string, epoch int, place int, weight int, row string, bucket int, role int, tie int, fp int, sha string, m int, n int, part int, first int"
+)
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+CLASH = (None,) * (len(SCHEMA.split(", ")) - 5)
+TEXTS = [
+    "",
+    None,
+    " \n\t ",
+    "one",
+    "two words",
+    "The GNU General Public License and CC BY, all rights reserved; ALL\nRIGHTS -- reserved.",
+    "x<|endoftext|>  y <|endoftext|>",
+    "日本語 テキスト １２ ½ ² à́  z\x1c\x1d q r",
+    "mail a.b@c.de, +1 (415) 555-0134, 10.0.0.1, 4111 1111 1111 1111 or (415) 555-0134.",
+    "word " * 3000,
+    "z" * 50_000,
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the",
+]
+
+
+def awkward():
+    random.seed(3)
+    vocabulary = ["".join(random.choice("abcdeé") for _ in range(random.randint(2, 7))) for _ in range(300)]
+    long = [" ".join(random.choice(vocabulary) for _ in range(random.choice([30, 80, 700]))) for _ in range(40)]
+    near = [t.replace(t.split()[5], "changed", 1) for t in long[:10]]
+    texts = TEXTS + long + near + long[:8] + long[:3] * 4
+    rows = [(i * 3, t, None if i % 7 == 0 else "en", None if i % 11 == 0 else f"s{i % 4}", None) for i, t in enumerate(texts)]
+    rows += [rows[20], rows[20], (None, "no id", None, None, 1), (None, None, None, None, None), (60, "another text of an id in use", "en", "s1", 2)]
+    return [r + CLASH for r in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(awkward(), SCHEMA).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    rows = [(i * 3, i % 2, int(i % 5 == 0)) for i in range(60)] + [(None, 1, 1), (3, None, None), (6, 1, 1), (6, 0, 0)]
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def plain():
+    return [(r[0], r[1] or "") for r in awkward()]
+
+
+def test_tokens_equal_the_library():
+    tok, own = Tokenizer.from_file(PATH), bpe.load(PATH)
+    random.seed(1)
+    alphabet = ["a", "B", " ", "  ", "\n", "'", "'s", "é", "ß", "1", "٣", "!", "_", " ", "\x1c", "x́", "日", "😀", "<|endoftext|>", "ǅ", "\x85"]
+    texts = [t or "" for t in TEXTS] + ["".join(random.choice(alphabet) for _ in range(random.randint(1, 30))) for _ in range(3000)]
+    for t in texts:
+        want = tok.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(t), "<u2").tolist() == want and own.count(t) == len(want), t
+
+
+def test_whole_tokens_are_proven():
+    tok, own = Tokenizer.from_file(PATH), bpe.load(PATH)
+    sample = random.Random(2).sample(sorted(own.whole), 2000)
+    assert len(own.whole) > 45_000
+    assert all([t.id for t in tok.model.tokenize("".join(own.to_shown[b] for b in s.encode()))] == [own.whole[s]] for s in sample)
+
+
+@pytest.mark.parametrize("name", ["piece_bpe_32k.model", "word_bpe_49k.json"])
+def test_other_vocabularies_go_to_their_library(name):
+    own = bpe.load(public_tokenizers.path(name))
+    assert not own.shortcut and own.count("Hello there, world") == len(np.frombuffer(own.encode("Hello there, world"), f"<u{own.width}")) > 2
+
+
+def test_token_counts(docs, empty):
+    tok = Tokenizer.from_file(PATH)
+    got = Counter(map(tuple, token_counts.count_tokens(docs, PATH).collect()))
+    n = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    assert got == Counter((i, len(t.encode()), n(t), n(t) > 512) for i, t in plain())
+    assert token_counts.count_tokens(empty, PATH).count() == 0
+
+
+@pytest.mark.parametrize("size", [4096, 16])
+def test_exact_groups(docs, size):
+    rows = Counter(plain())
+    groups = defaultdict(list)
+    for (i, t), n in rows.items():
+        groups[t] += [i] * n
+    want = Counter()
+    for i, t in rows:
+        keep = max((x for x in groups[t] if x is not None), default=None)
+        want[i, keep, len(groups[t]), i == keep, hashlib.sha256(t.encode()).hexdigest()] += 1
+    assert Counter(map(tuple, exact_dedup.exact_groups(docs, size).collect())) == want
+
+
+def test_exact_groups_of_nothing_and_of_hot_copies(spark, empty):
+    assert exact_dedup.exact_groups(empty).count() == 0
+    hot = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.repeat(F.lit("abc"), 5000)).otherwise(F.col("id").cast("string")).alias("text"))
+    assert [tuple(r) for r in exact_dedup.exact_groups(hot).where("group_size > 1 and kept").select("keep_id", "group_size").collect()] == [(1998, 667)]
+
+
+def test_packing_is_a_round_trip(docs, empty):
+    tok = Tokenizer.from_file(PATH)
+    pieces = packing.pack(docs, PATH, 64).collect()
+    filled = defaultdict(list)
+    for p in pieces:
+        filled[p.sequence_id].append((p.offset, p.length))
+    for s, parts in filled.items():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at == 64 or s == max(filled)
+    known = Counter((i, tuple(tok.encode(t, add_special_tokens=False).ids) + (0,)) for i, t in plain())
+    by = Counter((p.doc_id, p.start, p.length, p.doc_tokens, p.ids_crc32) for p in pieces)
+    cuts = defaultdict(set)
+    for p in pieces:
+        cuts[p.doc_id].add((p.start, p.length))
+    assert sum(p.length for p in pieces) == sum(len(ids) * n for (_, ids), n in known.items())
+    for (i, ids), n in known.items():
+        for start, length in cuts[i]:
+            if start + length <= len(ids):
+                key = (i, start, length, len(ids), zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes()))
+                by[key] = 0
+    assert not +by
+    assert packing.pack(empty, PATH).count() == 0
+
+
+def test_quality_keeps_the_target(spark, docs, labels, empty):
+    random.seed(5)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(5))
+    good = [(i, " ".join(word() for _ in range(60))) for i in range(300)]
+    bad = [(1000 + i, " ".join([word()] * 20 + [f"{word()}%%%" for _ in range(20)])) for i in range(100)]
+    table = spark.createDataFrame(good + bad, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i < 1000)) for i, _ in good + bad if i % 2], "doc_id long, quality int")
+    got = quality.resample(table, marks).collect()
+    assert sum(r.kept for r in got if r.doc_id < 1000) >= 297 and sum(r.kept for r in got if r.doc_id >= 1000) <= 1
+    assert {r.doc_id for r in quality.filter_quality(table, marks).collect()} == {r.doc_id for r in got if r.kept}
+    assert sum(r.kept for r in quality.resample(table, marks, keep=17).collect()) == 17
+    assert quality.resample(docs, labels).count() == docs.count() and quality.resample(empty, labels).count() == 0
+    assert quality.resample(docs, labels.limit(0)).where("kept").count() == docs.count()
+    assert quality.filter_quality(docs, labels).columns == docs.columns
+
+
+def test_kth_largest(spark):
+    random.seed(6)
+    x = [random.choice([random.gauss(0, 1e6), 3.0, 3.0, -1e-9]) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    for k in (1, 2, 77, 250, 499):
+        assert quality.kth_largest(df, "x", k) == sorted(x, reverse=True)[k - 1]
+
+
+def test_licenses(docs, empty):
+    want = Counter()
+    for i, t in plain():
+        w = [m.group().encode() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t))]
+        places = []
+        for phrase, label in licenses.PHRASES.items():
+            p = [x.encode() for x in phrase.split()]
+            places += [(k, label) for k in range(len(w)) if w[k : k + len(p)] == p]
+        at = [k for k, _ in places]
+        want[i, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))] += 1
+    got = licenses.scan_licenses(docs).collect()
+    assert Counter(tuple(r)[:6] for r in got) == want
+    assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
+    assert "mit" in {r.labels for r in got}
+    assert licenses.scan_licenses(empty).count() == 0
+
+
+def union(links):
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        p, q = find(a), find(b)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+    return find
+
+
+def test_components(spark):
+    for seed, n, m in ((1, 300, 250), (2, 40, 200)):
+        r = random.Random(seed)
+        edges = [(r.randrange(n) - n // 2, r.randrange(n) - n // 2) for _ in range(m)] + [(900, 5000), (901, 5000), (902, 5000)]
+        find = union(edges)
+        got = {x.node: x.component for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert all(got.get(x, x) == find(x) for e in edges for x in e)
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def simhash_of(t):
+    w = [x.encode() for x in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t))]
+    shingles = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_groups(docs, empty):
+    got = simhash.near_groups(docs).collect()
+    rows = Counter((i, f"{simhash_of(t):016x}") for i, t in plain())
+    assert Counter((r.doc_id, r.fingerprint) for r in got) == rows
+    fps = {int(f, 16) for _, f in rows}
+    find = union([(a, b) for a in fps for b in fps if a <= b and (a ^ b).bit_count() <= 2])
+    least = {}
+    for i, f in rows:
+        root = find(int(f, 16))
+        least[root] = min((x for x in (least.get(root), i) if x is not None), default=None)
+    assert all(r.component_id == least[find(int(r.fingerprint, 16))] for r in got)
+    assert simhash.near_groups(empty).count() == 0
+
+
+@pytest.mark.parametrize("distance", [0, 1, 2])
+def test_links_lose_nothing_in_full_blocks(spark, distance, monkeypatch):
+    monkeypatch.setattr(simhash, "DIRECT", 6)
+    r = random.Random(distance)
+    fps = {r.getrandbits(64) for _ in range(30)}
+    for center in list(fps)[:3]:
+        fps |= {center ^ sum(1 << r.randrange(64) for _ in range(r.randint(1, 4))) & (1 << 64) - 1 for _ in range(40)}
+    signed = {f - (1 << 64) if f >> 63 else f for f in fps}
+    find = union([(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= distance])
+    links = [tuple(x) for x in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), distance).collect()]
+    assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 2 for a, b in links)
+    own = union(links)
+    assert all(find(f) == own(f) for f in signed)
+
+
+def shingle_set(t, k=5):
+    w = t.encode().lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def test_near_duplicates(spark, docs, empty):
+    got = {r.node: r.component for r in simhash.near_duplicates(docs).collect()}
+    sets = [(i, shingle_set(t)) for i, t in plain() if i is not None]
+    pairs = [(a, b) for a, p in sets for b, q in sets if a < b and p and q and len(p & q) >= 0.8 * len(p | q)]
+    find = union(pairs)
+    assert all(got.get(i, i) == find(i) for i, _ in sets)
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_fingerprints(docs, empty):
+    rows = sorted(plain(), key=lambda r: (r[0] is not None, r[0] or 0))
+    got = sketches.fingerprint_with_edits(docs, rows_per_bucket=9).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((i, len(t)) for i, t in rows)
+    ids = Counter(i for i, _ in rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r.doc_id].append(r)
+    errors = []
+    for k, (i, t) in enumerate(rows):
+        j = (k + 1) % len(rows)
+        if ids[i] > 1 or ids[rows[j][0]] > 1 or k == len(rows) - 1:
+            continue
+        r, follow = by[i][0], rows[j][1]
+        edited = t[: len(t) - len(t) // 4] + follow[: len(t) // 4]
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        a, b = shingle_set(t), shingle_set(edited)
+        errors.append(abs((len(a & b) / len(a | b) if a | b else 1.0) - r.near_edited))
+        assert 0 <= r.near_next <= 1 and r.near_edited == sketches.Sketch.parse(r.fingerprint).likeness(sketches.Sketch.parse(r.edited_fingerprint))
+    assert np.mean(errors) < 0.03 and max(errors) < 0.2
+    whole = sketches.fingerprint_with_edits(docs).select("doc_id", "edited_sha256", "fingerprint").collect()
+    assert Counter(map(tuple, whole)) == Counter((r.doc_id, r.edited_sha256, r.fingerprint) for r in got)
+    assert sketches.fingerprint_with_edits(empty).count() == 0
+    only = sketches.fingerprint_with_edits(docs.where("doc_id = 12")).first()
+    assert only.near_next == 1.0
+
+
+def test_sketches_merge_and_contain():
+    r = random.Random(8)
+    words = [f"w{r.randrange(10**6)}" for _ in range(30_000)]
+    part, whole = sketches.sketch(" ".join(words[:900])), sketches.sketch(" ".join(words))
+    assert abs(part.containment(whole) - 1) < 0.02 and abs(whole.containment(part) - 0.03) < 0.02
+    other = sketches.sketch(" ".join(words[15_000:]))
+    merged = sketches.sketch(" ".join(words[:15_004])).merge(other)
+    assert merged.likeness(whole) > 0.99
+
+
+def test_mixing(spark, docs, empty):
+    r = random.Random(9)
+    rows = [(i, "w " * r.randint(1, 40), "hot" if i % 3 else f"s{i % 5}") for i in range(3000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.schedule(table, repeats=2.0, block_tokens=4000).collect()
+    tokens, has = Counter(), Counter()
+    for x in plan:
+        tokens[x.source] += x.tokens
+    for _, t, s in rows:
+        has[s] += len(t.split())
+    total = sum(tokens.values())
+    weight = {x.source: x.weight for x in plan}
+    assert abs(sum(weight.values()) - 1) < 1e-9 and {x.doc_id for x in plan} == set(range(3000))
+    for s in has:
+        assert tokens[s] / has[s] < 2.05 and abs(tokens[s] / total - weight[s]) < 0.01
+    blocks = defaultdict(Counter)
+    for x in plan:
+        blocks[x.block][x.source] += x.tokens
+    assert len(blocks) > 5 and all(abs(b[s] / sum(b.values()) - weight[s]) < 0.05 for b in blocks.values() for s in has)
+    a = mixing.schedule(table, entropy=1.2, repeats=None).select("source", "weight").distinct().collect()
+    assert -sum(x.weight * np.log(x.weight) for x in a) == pytest.approx(1.2, abs=1e-3)
+    assert {i for i, _ in plain()} == {x.doc_id for x in mixing.schedule(docs).collect()}
+    assert mixing.schedule(empty).count() == 0 and mixing.mix(empty).count() == 0
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and {(x.doc_id, x.text or "") for x in mixed.select("doc_id", "text").collect()} == set(plain())
+    assert mixing.schedule(docs.where("text is null or text = ''")).count() > 0
+
+
+def maximal(scores):
+    """Every maximal scoring segment by definition: recursively the best one, then the rests."""
+    if not len(scores) or max(scores) <= 0:
+        return []
+    best = max(((sum(scores[i:j]), i - j, -i, i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)))
+    _, _, _, i, j = best
+    return maximal(scores[:i]) + [(i, j)] + [(a + j, b + j) for a, b in maximal(scores[j:])]
+
+
+def test_segments_are_the_maximal_ones():
+    r = np.random.default_rng(10)
+    for n in (1, 5, 12, 20):
+        for _ in range(60):
+            x = np.round(r.normal(-0.3, 2, n), 3)
+            got = toxicity.segments(x)
+            assert sorted(x[a:b].sum() for a, b, _ in got) == pytest.approx(sorted(x[a:b].sum() for a, b in maximal(list(x))))
+            assert all(s == pytest.approx(x[a:b].sum()) for a, b, s in got)
+
+
+def test_toxicity_is_learned_without_the_held_out_fold(spark, docs, labels, empty):
+    r = random.Random(11)
+    clean = [chr(97 + i // 20) + "w" + chr(97 + i % 20) for i in range(400)]
+    rows = []
+    for i in range(900):
+        w = [r.choice(clean) for _ in range(r.randint(20, 120))]
+        toxic = i % 6 == 0
+        if toxic:
+            w[5:5] = [r.choice(["vileone", "viletwo", "vilefour"]) for _ in range(3)]
+        rows.append((i, " ".join(w), int(toxic)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {x.doc_id: x for x in toxicity.score_toxicity(table.select("doc_id", "text"), table.select("doc_id", "toxic")).collect()}
+    held = [(t, got[i]) for i, _, t in rows if got[i].held_out]
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _, _ in rows) and len(held) > 100
+    assert np.mean([x.predicted == t for t, x in held]) > 0.97
+    assert np.mean([bool(x.passages) for t, x in held if t]) > 0.8 and not any(x.passages for t, x in held if not t)
+    swapped = table.select("doc_id", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")).alias("toxic"))
+    again = {x.doc_id: x.score for x in toxicity.score_toxicity(table.select("doc_id", "text"), swapped).collect()}
+    assert all(again[i] == got[i].score for i in again)
+    for marks in (labels, labels.limit(0)):
+        out = toxicity.score_toxicity(docs, marks).collect()
+        assert len(out) == docs.count() and all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.5) for x in out)
+    assert toxicity.score_toxicity(empty, labels).count() == 0
+
+
+PATTERNS = (
+    re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+)
+
+
+def base_of(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    test = (
+        lambda s: True,
+        lambda s: all(int(p) <= 255 for p in s.split(".")),
+        lambda s: 14 <= len(digits(s)) <= 19 and pii.luhn(digits(s)),
+        lambda s: 10 <= len(digits(s)) <= 15,
+    )
+    return sorted((m.start(), k, m.end()) for k, p in enumerate(PATTERNS) for m in p.finditer(t) if test[k](m.group()))
+
+
+def test_base_patterns():
+    r = random.Random(12)
+    for alphabet in ("a@.1 ", "1. ", "1 -", "+1 ().-", "a@.-1+ \n%٣"):
+        for n in (5, 12, 40, 80):
+            for _ in range(800):
+                t = "".join(r.choice(alphabet) for _ in range(n))
+                assert pii.base_spans(t) == base_of(t), t
+    pii.base_spans("1" * 200_000 + "a" * 200_000 + "." * 200_000 + "@" * 1000)  # linear time
+
+
+def test_pii(docs, empty):
+    want = Counter()
+    for i, t in plain():
+        b = base_of(t)
+        text = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in b)
+        want[(i, *(sum(k == x for _, k, _ in b) for x in range(4)), hashlib.sha256(text.encode()).hexdigest(), text)] += 1
+    got = pii.find_pii(docs).collect()
+    assert Counter(tuple(r)[:6] for r in got) == Counter({k[:6]: 0 for k in want}) + Counter(k[:6] for k in want.elements())
+    for r, (_, *_, text) in [(r, k) for r in got for k in want if k[:6] == tuple(r)[:6]]:
+        assert set(filter(None, text.split(","))) <= set(r.spans.split(","))
+    assert any("phone" in r.spans and r.spans.count("phone") > r.n_phone for r in got)  # (415) 555-0134
+    assert pii.find_pii(empty).count() == 0
+
+
+def test_field_learns_its_table_and_generalises():
+    crf = pii.trained()
+    right = sum(
+        crf.decode([crf._observe(tokens, a, b)])[0] == tags[a:b]
+        for tokens, tags in map(pii._parse, pii.LABELLED)
+        for a, b in pii._runs([pii.features(t)[-1] == "plain" for t in tokens])
+    )
+    assert right >= 58
+    found = lambda t: [(pii.KINDS[k], t[a:b]) for a, k, b in pii._added(t, pii.base_spans(t), pii.field_spans([t])[0])]
+    assert found("ring (303) 555-0177 today") == [("phone", "(303) 555-0177")]
+    assert found("write to kim@office soon") == [("email", "kim@office")]
+    assert found("in 2019 and 2020 we had 15 or 16, version 3.1.4, hash 9f86d081884c7d65") == []

@@ -120,7 +120,8 @@ def near_duplicates(
     sets, then links are closed transitively; ``component`` is the smallest doc_id reachable.
 
     Only documents with a candidate are read again. In a bucket of more than 16 documents each is compared with
-    the smallest id, so pairs grow with the documents, never with their square. Documents that repeat an id are one node;
+    the smallest id, so pairs grow with the documents, never with their square. Documents that repeat an id are one node, linked by any of
+    their texts;
     null ids and texts without words are never linked. No links give no rows.
     """
     rows = texts(docs, id_col, text_col).where("doc_id is not null")
@@ -128,7 +129,7 @@ def near_duplicates(
     pairs = written(_candidates(signed, distance), "candidates")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = rows.join(ids, "doc_id").mapInArrow(lambda batches: _shingle_sets(batches, shingle), "doc_id long, items binary")
-    sets = written(sets.dropDuplicates(["doc_id"]), "sets")
+    sets = written(sets.distinct(), "sets")
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "a_items", "b_items")
     return components(met.mapInArrow(lambda batches: _similar(batches, similarity), "a long, b long"))

@@ -188,15 +188,16 @@ def _calibrate(model: Model, known: DataFrame, clean: np.ndarray, x: np.ndarray)
                 [b.column(0), pa.array([len(d) for d in docs], pa.int64()), pa.array([max((s for _, _, s in f), default=0.0) for f in found])], ["toxic", "n", "best"]
             )
 
-    rows = known.mapInArrow(best, "toxic int, n long, best double").where("toxic = 0").agg(F.count("*"), F.sum(F.greatest(F.lit(1), "n") * F.exp(-model.rate * F.col("best")))).first()
-    log_k = math.log(max(1, rows[0]) / max(rows[1], 1e-9))
+    rows = known.mapInArrow(best, "toxic int, n long, best double").where("toxic = 0").toPandas()  # at most SAMPLE rows
+    expected = np.sort(np.maximum(1, rows["n"].to_numpy()) * np.exp(-model.rate * rows["best"].to_numpy()))  # sorted: sums that any run repeats
+    log_k = math.log(max(1, len(expected)) / max(expected.sum(), 1e-9))
     model = Model(model.words, model.prefixes, model.rate, log_k, 1.0, 0.0)
 
     def statistic(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.evidence(words(t))[0] for t in b.column(1).to_pylist()], pa.float64())], ["toxic", "x"])
 
-    got = known.mapInArrow(statistic, "toxic int, x double").toPandas()  # at most SAMPLE pairs
+    got = known.mapInArrow(statistic, "toxic int, x double").toPandas().sort_values(["x", "toxic"])  # at most SAMPLE pairs
     slope, offset = _logistic(np.arcsinh(got["x"].to_numpy()), (got["toxic"] > 0).to_numpy(float))
     return Model(model.words, model.prefixes, model.rate, log_k, slope, offset)
 
