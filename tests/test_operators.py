@@ -196,3 +196,16 @@ def test_pages(spark):
     assert paths == sorted(["html", "html>body", "html>body>nav.a.b", "html>body>nav.a.b>ul", "html>body>nav.a.b>ul>li", "html>body>p", "html>body>p>br"])
     with pytest.raises(ValueError):
         parse_selector("a > b[x=1]")
+
+
+def test_answers_and_ticks(spark, tmp_path):
+    texts = [("a", 'x ```json\n{"items": [{"kind": "PO", "ref": "1"}]}\n``` y ```\n{"items": [{"kind": "Mail", "ref": "2"}]}\n```'), ("b", 'so {"items": [{"kind": "po", "ref": "3"}, {"kind": "system", "ref": "x"}]}'), ("c", "none"), ("d", None)]
+    got = worlds.answers(spark.createDataFrame(texts, "id string, t string"), "id", "t").collect()
+    assert sorted(map(tuple, got)) == [("a", "mail", "2"), ("b", "po", "3"), ("b", "system", "x")]
+    start = datetime(2026, 1, 1)
+    got = [r.t for r in worlds.ticks(spark, start, start + timedelta(hours=5), 2, [start + timedelta(hours=3), start]).collect()]
+    assert got == [start + timedelta(hours=h) for h in (0, 2, 3, 4)]
+    refs = spark.createDataFrame([("PO", "no. 45 "), ("po", "1 2"), ("system", "login expired")], "k string, r string")
+    assert [r[0] for r in refs.select(X.reference(F.col("k"), F.col("r"))).collect()] == ["45", "1 2", "LOGIN-EXPIRED"]
+    worlds.notes_csv(spark.createDataFrame([(2, "b"), (1, "a")], "k int, v string"), str(tmp_path / "n"), ["k"])
+    assert spark.read.option("header", "true").csv(str(tmp_path / "n")).count() == 2

@@ -145,3 +145,24 @@ def test_malformed_handles(text):
 def test_handles_round_trip():
     for text in ("tide://evt/7", "tide://rec/po/a%20b/c|d", "tide://batch/1-9", "tide://batch/1-9?source=po&after=3"):
         assert str(parse_handle(text)) == text
+
+
+def test_audit_pages(spark, store):
+    from tidemark.plans import audit
+
+    runner.run(store, CONFIG, Fake(BASE), at(0))
+    runner.run(store, CONFIG, Fake([]), at(15))
+    service = Service(store, lambda: at(16))
+    service.status()
+    service.digest("x")
+    rows, more = audit.events_page(store, size=2)
+    assert [r.seq for r in rows.collect()] == [4, 3] and more == 3
+    rows, more = audit.events_page(store, before=more, size=2)
+    assert [r.seq for r in rows.collect()] == [2, 1] and more is None
+    rows, more = audit.served_page(store)
+    assert [r.tool for r in rows.collect()] == ["digest"] and more is None
+    page = audit.home(store, service)
+    assert page["max_seq"] == 4 and [s for s, _ in page["sources"]] == ["po"] and page["consumers"].count() == 1
+    raw = audit.stored(store, 2).unionByName(audit.stored(store, 1).withColumn("detail", F.lit("{broken")))
+    got = {r.seq: r for r in audit.decoded(raw).collect()}
+    assert got[2].readable and not got[1].readable and got[1].detail == "{broken"
