@@ -43,12 +43,14 @@ def exact_groups(docs: DataFrame, block_bytes: int = 4096, id_col: str = "doc_id
     for x in done[1:]:
         every = every.unionByName(x)
     every = written(every.groupBy("doc_id", "sha", "m", "name").agg(F.sum("n").alias("n")), "identities")
-    groups = every.groupBy("m", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    return every.join(groups, ["m", "name"]).select(
+    groups = every.groupBy("m", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")).where("group_size > 1")
+    groups = written(groups, "groups")  # a shuffle of its own on each side, so that AQE can split a hot group's rows
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return every.join(groups, ["m", "name"], "left").select(
         "doc_id",
-        "keep_id",
-        "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        keep.alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.col("doc_id").eqNullSafe(keep).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
