@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +13,9 @@ from tidemark.functions import text as X
 from tidemark.functions.udfs import page_paths, page_rows, text_change
 from tidemark.operators import log, outcomes, score, snapshot, worlds
 from tidemark.plans.model import PRIORITY_WEIGHTS, Rule
+from tidemark.plans.scratch import scratch_root
+from tidemark.sources.base import as_records
+from tidemark.streaming.outcomes import replay
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -283,8 +289,7 @@ def page_newest(spark, d):
 @query(_LOG + "SELECT seq, kind, (SELECT count(*) FROM log WHERE seq BETWEEN 1 AND 900 AND source_id = 'u5') AS total FROM log WHERE seq BETWEEN 1 AND 900 AND source_id = 'u5' ORDER BY seq LIMIT 20")
 def batch_page(spark, d):
     x = log.in_range(change_log(spark, d), 1, 900, "u5")
-    total = x.agg(F.count("*").alias("total"))
-    return x.select("seq", "kind").orderBy("seq").limit(20).join(F.broadcast(total), how="cross")  # one row of totals
+    return x.select("seq", "kind").orderBy("seq").limit(20).withColumn("total", F.lit(x.count()).cast("long"))
 
 
 @query(_LOG + "SELECT min(seq) AS first, max(seq) AS last, count(*) AS n FROM log WHERE seq > 300")
@@ -442,9 +447,9 @@ max(event_id) < 9000 AS gap FROM events WHERE event_type = 'signup' GROUP BY use
 def cursor_lag(spark, d):
     """How far each consumer is behind the log's end, and whether it missed events pruned through 9,000."""
     e = t(spark, d, "events")
-    end = F.broadcast(e.agg(F.max("event_id").alias("end")))  # one row
+    end = F.lit(e.agg(F.max("event_id")).first()[0]).cast("long")
     at = e.where("event_type = 'signup'").groupBy("user_id").agg(F.max("event_id").alias("seq"))
-    return at.join(end, how="cross").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("agent_id"), (F.col("end") - F.col("seq")).alias("lag"), (F.col("seq") < 9000).alias("gap"))
+    return at.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("agent_id"), (end - F.col("seq")).alias("lag"), (F.col("seq") < 9000).alias("gap"))
 
 
 _NOW = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -591,6 +596,62 @@ def observability(spark, d):
     return worlds.observed(refs, t(spark, d, "events").select(F.col("props").alias("text")))
 
 
+@query(
+    _CTE
+    + """SELECT 'po' AS kind, CAST(key AS VARCHAR) AS ref FROM met WHERE in_old AND in_new AND ((s1 = 'X' AND s0 <> 'X') OR e1 - e0 > 3)
+UNION ALL SELECT 'portal', CAST(key AS VARCHAR) FROM met WHERE in_old AND in_new AND s1 IN ('X', 'P') AND s1 <> s0
+UNION ALL SELECT 'mail', CAST(event_id AS VARCHAR) FROM events WHERE event_type IN ('purchase', 'signup') AND value > 20 AND ts > TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00'"""
+)
+def answer_key(spark, d):
+    part = lambda kind, df, c: df.select(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("ref"))
+    return part("po", po_rule(spark, d), "k").unionByName(part("portal", portal_rule(spark, d), "k")).unionByName(part("mail", mail_rule(spark, d), "event_id"))
+
+
+@query(
+    """SELECT strftime(tick, '%Y-%m-%dT%H:%M:%SZ') AS tick FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-03 10:00:00', INTERVAL 2 HOUR)) AS tick
+UNION SELECT unnest([TIMESTAMP '2024-01-02 09:00:00', TIMESTAMP '2024-01-02 22:00:00'])) x"""
+)
+def ticks(spark, d):
+    day = lambda n, h: datetime(2024, 1, n, h)
+    return worlds.ticks(spark, day(1, 0), day(3, 10), 2, [day(2, 9), day(2, 22)]).select(X.iso(F.col("t")).alias("tick"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN n > 0 AND s * n >= 10 THEN CAST(s * n AS BIGINT) END AS seconds FROM (SELECT event_id, event_id % 40 AS n,
+CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 60 WHEN 2 THEN 3600 ELSE 86400 END AS s FROM events) x"""
+)
+def schedule_seconds(spark, d):
+    unit = F.element_at(F.array(*map(F.lit, "smhd")), (F.col("event_id") % 4 + 1).cast("int"))
+    text = F.concat(F.lit("every "), (F.col("event_id") % 40).cast("string"), unit)
+    return t(spark, d, "events").select("event_id", X.schedule_seconds(text).alias("seconds"))
+
+
+@query(_CTE + "SELECT CAST(key AS VARCHAR) AS key, kind, CAST(CASE WHEN kind = 'modified' THEN CASE WHEN s0 <> s1 THEN 1 ELSE 0 END + CASE WHEN e0 <> e1 THEN 1 ELSE 0 END END AS BIGINT) AS changes FROM diff")
+def diff_kinds_maps(spark, d):
+    """The dynamic path: fields as maps of tagged scalars, equal hashes skipped."""
+    old, new = (as_records(x, F.col("k"), [c for c in x.columns if c != "k"]).withColumn("content_hash", F.sha2(F.to_json("fields"), 256)) for x in snapshots(spark, d))
+    x = snapshot.diff_maps(old, new, ["status", "eta"])
+    return x.select("key", "kind", F.when(F.col("kind") == "modified", F.size("changes").cast("long")).alias("changes"))
+
+
+@query(
+    _RUNS
+    + """SELECT source_id, run, 'source_error' AS kind FROM w WHERE failed AND NOT before UNION ALL SELECT source_id, run, 'source_recovered' FROM w WHERE NOT failed AND before
+UNION ALL SELECT source_id, min(run), 'baseline' FROM runs WHERE NOT failed GROUP BY source_id"""
+)
+def stream_state_machine(spark, d):
+    """The streamed machine over the runs as four tick files, one batch each; state is kept by source."""
+    x = runs(spark, d)
+    x = x.select("source_id", "run", F.when(F.col("failed"), "fail").otherwise("ok").alias("kind"), F.col("ts").cast("timestamp").alias("at"), F.lit("m").alias("message"))
+    root = f"{scratch_root(spark)}/tidemark/ticks-{uuid.uuid4().hex}"
+    last = x.agg(F.max("run")).first()[0] or 0
+    for k in range(4):  # files are taken in order of their time; within a tick a source is in one file
+        tick = x.where(F.floor(F.col("run") * 4 / F.lit(last + 1)) == k)
+        tick.repartition(2, "source_id").write.mode("append").parquet(f"{root}/ticks")
+    replay(spark, f"{root}/ticks", f"{root}/state", f"{root}/out")
+    return spark.read.parquet(f"{root}/out").select("source_id", "run", "kind")
+
+
 # --- beyond SQL: opcode diffs and HTML; held against brute force in tests ----------------------------------------------------------
 
 
