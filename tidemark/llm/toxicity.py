@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import texts, written
 
 _CUT = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
@@ -133,7 +133,8 @@ def fit(docs: DataFrame, train: DataFrame) -> Model:
 
     ``train`` is bounded, so it is broadcast; texts stay on the executors. Without rows of both labels, every score is the base rate.
     """
-    known = docs.join(F.broadcast(train), "doc_id").select("toxic", "text").repartition(8)  # a bounded sample
+    known = docs.join(F.broadcast(train), "doc_id").select("toxic", "text").repartition(8)
+    known = written(known, "training")  # a bounded sample, so that the corpus is read for it only once
 
     def count(batches):
         n: dict[tuple[bool, bytes], list[int]] = {}
