@@ -18,12 +18,6 @@ def one_line(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(x, SCRUBBED, " "), SPACES, " "))
 
 
-def capped(x: Column, cap: int) -> Column:
-    if cap < 1:
-        raise ValueError("cap must be positive")
-    return F.when(F.length(x) > cap, F.concat(F.rtrim(F.substring(x, 1, cap - 1)), F.lit("…"))).otherwise(x)
-
-
 def quoted(x: Column, cap: int) -> Column:
     """A value on one line in double quotes: scrubbed, capped, then escaped; null as the word null."""
     flat = one_line(x)

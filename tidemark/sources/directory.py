@@ -42,7 +42,7 @@ def _glob_part(m: re.Match) -> str:
     if part[0] == "[" and len(part) > 2:
         inner = part[1:-1]
         negated, inner = inner[0] == "!", inner.removeprefix("!")
-        return "[" + ("^/" if negated else "") + re.sub(r"[\\\[\]&~|^]", lambda c: "\\" + c.group(), inner) + "]"
+        return "[" + ("^/" if negated else "") + re.sub(r"[^\w-]", lambda c: "\\" + c.group(), inner) + "]"
     return re.escape(part)
 
 
