@@ -20,7 +20,7 @@ SAMPLE = 30_000
 VOCABULARY = 100_000
 PREFIX = 5
 #: Weight of the prior in tokens, cost of each token, significance of a log-odds in deviations, its range.
-PRIOR, DRIFT, DEVIATIONS, RANGE = 2000.0, 0.5, 2.5, (-2.0, 8.0)
+PRIOR, DRIFT, DEVIATIONS, RANGE = 2000.0, 0.5, 3.0, (-2.0, 8.0)
 #: A segment is significant if fewer than this many are expected by chance in a clean text of that length.
 EXPECT = 0.05
 
