@@ -99,9 +99,11 @@ def near_groups(
     fps = written(fingerprints(texts(docs, id_col, text_col), shingle, seed), "simhash")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     labels = written(components(links(nodes.select("fp"), distance)), "labels")
-    labelled = nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", "component")
-    of = labelled.where("component is not null").groupBy("component").agg(F.min("least").alias("id"))
-    final = labelled.join(of, "component", "left").select("fp", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    labelled = written(nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", "component"), "labelled")
+    alone = labelled.where("component is null").select("fp", F.col("least").alias("component_id"))  # never shuffled by the null
+    tied = labelled.where("component is not null")
+    of = written(tied.groupBy("component").agg(F.min("least").alias("component_id")), "components")
+    final = alone.unionByName(tied.join(of, "component").select("fp", "component_id"))
     return fps.join(final, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
