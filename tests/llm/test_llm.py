@@ -263,6 +263,44 @@ def test_near_duplicates(spark, docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def _edited(hubs, copies, words, edits):
+    """Rows of a text for each hub and its independently edited copies; hubs have the largest ids."""
+    rng, rows = random.Random(4), []
+    for h in range(hubs):
+        text = [f"w{rng.randrange(50_000)}" for _ in range(words)]
+        for c in range(copies):
+            copy = list(text)
+            for at in rng.sample(range(0, words, 6), edits):
+                copy[at] = f"e{rng.randrange(10**9)}"
+            rows.append((c * hubs + h, " ".join(copy)))
+        rows.append((10_000 + h, " ".join(text)))
+    return rows
+
+
+def test_near_duplicates_of_a_hub_that_is_not_the_smallest_id(spark):
+    rows = _edited(1, 150, 400, 6)
+    sets = [shingle_set(t) for _, t in rows]
+    alike = lambda p, q: len(p & q) >= 0.8 * len(p | q)
+    assert not alike(sets[0], sets[1]) and all(alike(s, sets[-1]) for s in sets)
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.node: r.component for r in got} == {i: 0 for i, _ in rows}
+
+
+def test_near_duplicates_of_many_hubs_in_full_buckets(spark, monkeypatch):
+    """Every document in one bucket: no pivot is the hub of all, so tiles have to find the rest."""
+    monkeypatch.setattr(simhash, "TILE", 32)
+    rows = _edited(6, 30, 100, 1)
+    rows += [(20_000 + i, " ".join(f"u{i}x{k}" for k in range(50))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    buckets = docs.select(F.lit(0).alias("t"), F.lit(0).cast("long").alias("key"), "doc_id", F.lit(len(rows)).cast("long").alias("c"))
+    monkeypatch.setattr(simhash, "_buckets", lambda signed, distance: buckets)
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    find = union([(a, b) for a, p in sets for b, q in sets if a < b and len(p & q) >= 0.8 * len(p | q)])
+    want = {i: find(i) for i, _ in rows if i < 20_000}
+    assert len(set(want.values())) == 6
+    assert {r.node: r.component for r in simhash.near_duplicates(docs).collect()} == want
+
+
 def test_fingerprints(docs, empty):
     rows = sorted(plain(), key=lambda r: (r[0] is not None, r[0] or 0))
     got = sketches.fingerprint_with_edits(docs, rows_per_bucket=9).collect()
@@ -328,6 +366,13 @@ def test_mixing(spark, docs, empty):
     assert mixing.schedule(docs.where("text is null or text = ''")).count() > 0
 
 
+def test_mixing_keeps_documents_without_words(spark):
+    rows = [(0, "a few words", "s")] + [(i, " " * (i % 3), "s") for i in range(1, 60)] + [(100, "w", "t"), (101, "", "t")]
+    plan = mixing.schedule(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {x.doc_id for x in plan} == {i for i, _, _ in rows}
+    assert Counter(x.doc_id for x in plan if x.source == "s") == Counter(range(60))
+
+
 def maximal(scores):
     """Every maximal scoring segment by definition: recursively the best one, then the rests."""
     if not len(scores) or max(scores) <= 0:

@@ -107,8 +107,12 @@ def near_groups(
     return fps.join(final, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Members of a bucket whose pairs are all compared; each member of a fuller one is compared with its smallest id.
+#: Members of a bucket whose pairs are all candidates; fuller ones are settled by pivots first and by tiles then.
 ALL_PAIRS = 16
+#: Members and bytes of shingle sets of a tile, as a mean.
+TILE, TILE_BYTES = 256, 16 << 20
+#: Shingles whose columns are multiplied at once.
+COLUMNS = 1 << 13
 
 
 def near_duplicates(
@@ -116,25 +120,32 @@ def near_duplicates(
 ) -> DataFrame:
     """(node, component) of documents with a near duplicate: shingle sets of Jaccard similarity of at least ``similarity``.
 
-    Candidates come from the pigeonhole blocks of SimHash fingerprints (equal, or within ``distance`` bits) and, since 64 bits
-    put most pairs of similarity 0.8 further apart than blocks can reach, from ``bands`` keys of ``lanes`` minima each
+    Candidates share a bucket: a pair of pigeonhole blocks of their SimHash fingerprints (all within ``distance`` bits do) or,
+    since 64 bits put most pairs of similarity 0.8 further apart than blocks can reach, one of ``bands`` keys of ``lanes`` minima each
     (a pair of similarity 0.8 shares one with probability 0.998). Every candidate is verified on the exact shingle
     sets, then links are closed transitively; ``component`` is the smallest doc_id reachable.
 
-    Only documents with a candidate are read again. In a bucket of more than 16 documents each is compared with
-    the smallest id, so pairs grow with the documents, never with their square. Documents that repeat an id are one node, linked by any of
-    their texts;
-    null ids and texts without words are never linked. No links give no rows.
+    Only documents with a candidate are read again. Buckets of up to 16 documents are compared pair by pair. In a fuller one
+    all are compared with two pivots first, the smallest id and the member whose buckets are the fullest; what is
+    then not of one component is compared in tiles, every pair of different components, so no pair of any bucket is left out and only members
+    that no link ties to the bucket's largest component cost the square of their number. Documents that repeat an id are one node, linked by any of
+    their texts; null ids and texts without words are never linked. No links give no rows.
     """
     rows = texts(docs, id_col, text_col).where("doc_id is not null")
     signed = written(_signatures(rows, shingle, bands, lanes), "signatures")
-    pairs = written(_candidates(signed, distance), "candidates")
+    met = written(_buckets(signed, distance), "buckets")
+    pairs = written(_candidates(met), "candidates")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = rows.join(ids, "doc_id").mapInArrow(lambda batches: _shingle_sets(batches, shingle), "doc_id long, items binary")
-    sets = written(sets.distinct(), "sets")
+    sets = written(sets.where("length(items) > 0").distinct(), "sets")
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "a_items", "b_items")
-    return components(met.mapInArrow(lambda batches: _similar(batches, similarity), "a long, b long"))
+    verified = pairs.join(left, "a").join(right, "b").select("a", "b", "a_items", "b_items")
+    labels = components(verified.mapInArrow(lambda batches: _similar(batches, similarity), "a long, b long"))
+    open_ = written(_open(met.where(F.col("c") > ALL_PAIRS), labels), "open")
+    if open_.isEmpty():
+        return labels
+    more = written(_tiled(open_, sets, similarity), "tiled")
+    return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
 def _signatures(rows: DataFrame, shingle: int, bands: int, lanes: int) -> DataFrame:
@@ -162,19 +173,75 @@ def _signatures(rows: DataFrame, shingle: int, bands: int, lanes: int) -> DataFr
     return rows.mapInArrow(run, "doc_id long, fp long, keys array<long>")
 
 
-def _candidates(signed: DataFrame, distance: int) -> DataFrame:
-    """Pairs a < b worth verifying."""
-    keyed = signed.select("doc_id", F.posexplode("keys").alias("t", "key"))
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("c"), F.min("doc_id").alias("least")).where("c > 1")
-    met = keyed.join(sizes, ["t", "key"])
-    star = met.where(F.col("c") > ALL_PAIRS).select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+def _buckets(signed: DataFrame, distance: int) -> DataFrame:
+    """(t, key, doc_id, c): the buckets of more than one document, and their numbers of documents."""
+    parts = np.array_split(np.arange(BITS), distance + 2)
+    masks = [_signed(sum(1 << int(i) for p in pair for i in p)) for pair in combinations(parts, 2)]
+    blocks = F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))
+    keyed = signed.where("fp is not null").select("doc_id", F.posexplode(F.concat(blocks, "keys")).alias("t", "key"))
+    if not signed.groupBy("doc_id").count().where("count > 1").isEmpty():
+        keyed = keyed.distinct()  # texts of one id in one bucket
+    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("c")).where("c > 1")
+    return keyed.join(sizes, ["t", "key"])
+
+
+def _candidates(met: DataFrame) -> DataFrame:
+    """Pairs a < b to verify first: all of a small bucket, two pivots with the members of a full one."""
+    full = met.where(F.col("c") > ALL_PAIRS)
+    fullness = full.groupBy("doc_id").agg(F.sum("c").alias("w"))
+    pivots = full.join(fullness, "doc_id").groupBy("t", "key").agg(F.array(F.min("doc_id"), F.max_by("doc_id", F.struct("w", -F.col("doc_id")))).alias("pivots"))
+    star = full.join(pivots, ["t", "key"]).select(F.explode(F.array_distinct("pivots")).alias("p"), "doc_id").select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b"))
     members = met.where(F.col("c") <= ALL_PAIRS).groupBy("t", "key").agg(F.array_sort(F.collect_set("doc_id")).alias("g"))
     each = members.select(F.posexplode("g").alias("i", "a"), "g").select("a", F.explode(F.expr("slice(g, i + 2, size(g))")).alias("b"))
-    nodes = written(signed.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")), "nodes")
-    same = signed.join(nodes.where("c > 1"), "fp").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-    of = lambda c: nodes.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_id"))
-    near = links(nodes.select("fp"), distance).join(of("a"), "a").join(of("b"), "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
-    return star.unionByName(each).unionByName(same).unionByName(near).where("a < b").distinct()
+    return star.unionByName(each).where("a < b").distinct()
+
+
+def _open(full: DataFrame, labels: DataFrame) -> DataFrame:
+    """(t, key, doc_id, part, main) of full buckets with more than one component; ``main`` is whether ``part`` is the largest."""
+    of = full.join(labels, F.col("doc_id") == F.col("node"), "left").select("t", "key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    parts = of.groupBy("t", "key", "part").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("t", "key").agg(F.count("*").alias("kinds"), F.max_by("part", F.struct("n", "part")).alias("most")).where("kinds > 1")
+    return of.join(largest, ["t", "key"]).select("t", "key", "doc_id", "part", (F.col("part") == F.col("most")).alias("main"))
+
+
+def _tiled(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between components that have similar members in one bucket.
+
+    The members outside the largest component are dealt to tiles, those inside to others, and every two tiles meet of which
+    one at least is outside.
+    """
+    sized = open_.join(sets.select("doc_id", F.length("items").alias("bytes")), "doc_id")
+    tiles = lambda side: F.ceil(F.greatest(F.count(F.when(side, 1)) / TILE, F.sum(F.when(side, F.col("bytes"))) / TILE_BYTES)).cast("int")
+    plan = sized.groupBy("t", "key").agg(tiles(~F.col("main")).alias("outer"), tiles(F.col("main")).alias("inner"))
+    dealt = open_.join(plan, ["t", "key"])
+    hashed = F.xxhash64("doc_id")
+    dealt = dealt.withColumn("i", F.when(F.col("main"), F.col("outer") + F.pmod(hashed, "inner")).otherwise(F.pmod(hashed, "outer")).cast("int"))
+    last = F.when(F.col("main"), F.col("outer") - 1).otherwise(F.col("outer") + F.col("inner") - 1)
+    dealt = dealt.select("t", "key", "doc_id", "part", "i", F.explode(F.sequence(F.lit(0), last)).alias("j"))
+    dealt = dealt.select("t", "key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "doc_id", "part").join(sets, "doc_id")
+    return dealt.groupBy("t", "key", "i", "j").applyInArrow(lambda tile: _tile_links(tile, similarity), "a long, b long").distinct()
+
+
+def _tile_links(tile: pa.Table, similarity: float) -> pa.Table:
+    part = tile["part"].to_numpy()
+    items = [np.frombuffer(x.as_buffer(), np.uint32) for x in tile["items"]]
+    sizes = np.array([len(x) for x in items], np.int64)
+    _, column, count = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(items)), sizes)
+    shared = count[column] > 1
+    column, row = (np.cumsum(count > 1) - 1)[column[shared]], row[shared]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    both = np.zeros((len(items), len(items)), np.int64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        has = np.zeros((len(items), COLUMNS), np.float32)
+        has[row[lo:hi], column[lo:hi] - at] = 1
+        both += (has @ has.T).astype(np.int64)
+    alike = both >= similarity * (sizes[:, None] + sizes[None, :] - both)
+    x, y = np.nonzero(alike & (part[:, None] < part[None, :]))
+    found = np.unique(np.stack([part[x], part[y]], axis=1), axis=0)
+    return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
 
 
 def _shingle_sets(batches, shingle: int):
