@@ -117,7 +117,7 @@ def schedule(
     inside = W.partitionBy("source", "epoch", "range").orderBy("place", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
     at = F.col("epoch") * F.col("has") + F.col("before") + F.col("within")
-    rows = rows.join(sums, ["source", "epoch", "range"]).withColumn("at", at).where("has = 0 or at < budget")
+    rows = rows.join(sums, ["source", "epoch", "range"]).withColumn("at", at).where("has = 0 or at < budget" + (" or (epoch = 0 and tokens = 0)" if budget is None else ""))
     block = F.when(F.col("has") > 0, F.least(F.floor(F.col("at") / F.col("budget") * F.lit(blocks)), F.lit(blocks - 1))).otherwise(F.lit(0)).cast("long")
     return rows.select(block.alias("block"), "place", "doc_id", "source", "epoch", "tokens", "weight", "text_key")
 
