@@ -1,11 +1,13 @@
 """Operators against brute force and the boundary cases of their rules."""
 
+import difflib
 import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import catalog
 from tidemark.functions import text as X
 from tidemark.functions.udfs import change_stats, page_paths, page_rows, parse_selector
 from tidemark.operators import log, outcomes, score, snapshot, worlds
@@ -198,6 +200,28 @@ def test_pages(spark):
         parse_selector("a > b[x=1]")
 
 
+def brute_stats(old, new):
+    gained = lost = 0
+    a, b = old.splitlines(keepends=True), new.splitlines(keepends=True)
+    for op, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        was, now = "".join(a[i:j]), "".join(b[k:m])
+        if op == "replace" and len(was) + len(now) <= 5000:
+            for o, *at in difflib.SequenceMatcher(None, was, now, autojunk=False).get_opcodes():
+                gained, lost = gained + (o != "equal") * (at[3] - at[2]), lost + (o != "equal") * (at[1] - at[0])
+        elif op != "equal":
+            gained, lost = gained + len(now), lost + len(was)
+    return gained, lost
+
+
+def test_text_change_stats_of_long_texts(spark, tmp_path):
+    line = lambda i, n: " ".join(f"w{(i * k) % 97}" for k in range(n))
+    texts = ["short", line(3, 500), line(5, 500) + "\n" + line(3, 500), line(7, 2000), "short\nend", "x" * 1499, "x" * 1500]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)] + [(90, line(2, 600), "de", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.added, r.removed) for r in catalog.text_change_stats(spark, str(tmp_path)).collect()}
+    assert got == {i: brute_stats(a, b) for i, (a, b) in enumerate(zip(texts, texts[1:]))}
+
+
 def test_answers_and_ticks(spark, tmp_path):
     texts = [("a", 'x ```json\n{"items": [{"kind": "PO", "ref": "1"}]}\n``` y ```\n{"items": [{"kind": "Mail", "ref": "2"}]}\n```'), ("b", 'so {"items": [{"kind": "po", "ref": "3"}, {"kind": "system", "ref": "x"}]}'), ("c", "none"), ("d", None)]
     got = worlds.answers(spark.createDataFrame(texts, "id string, t string"), "id", "t").collect()

@@ -659,7 +659,7 @@ def stream_state_machine(spark, d):
 def text_change_stats(spark, d):
     """Characters added and removed between each document and the next of its language and source."""
     w = W.partitionBy("lang", "source").orderBy("doc_id")
-    x = t(spark, d, "documents").withColumn("next", F.lead("text").over(w)).where("next is not null and length(text) < 1500 and length(next) < 1500")
+    x = t(spark, d, "documents").withColumn("next", F.lead("text").over(w)).where("next is not null")
     n = text_change(F.col("text"), F.col("next"))
     return x.select("doc_id", n.alias("n")).select("doc_id", "n.added", "n.removed")
 
