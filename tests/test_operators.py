@@ -1,6 +1,7 @@
 """Operators against brute force and the boundary cases of their rules."""
 
 import difflib
+import hashlib
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -200,6 +201,18 @@ def test_pages(spark):
         parse_selector("a > b[x=1]")
 
 
+def test_fingerprints_reach_eight_levels_below_body(spark, tmp_path):
+    page = lambda n, extra="": "<html><head><title>t</title></head><body>" + "".join(f"<div class='l{k}'>" for k in range(1, n + 1)) + extra + "</div>" * n + "</body></html>"
+    paths = spark.createDataFrame([(page(10),), ("<title>t</title><p><b>x</b></p>",)], "html string").select(page_paths(8, None, below_body=True)(F.col("html")))
+    deep, bare = (r[0] for r in paths.collect())
+    assert deep == [">".join(f"div.l{k}" for k in range(1, n + 1)) for n in range(1, 9)] and bare == ["p", "p>b"]
+    pages = [page(7), page(7, "<i></i>"), page(8), page(8, "<i></i>")]
+    spark.createDataFrame([(i, "http://h/x", h) for i, h in enumerate(pages)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert {r.page_id for r in catalog.structure_changed(spark, str(tmp_path)).collect()} == {1, 2}
+    got = {r.page_id: r.fingerprint for r in catalog.page_fingerprint(spark, str(tmp_path)).collect()}
+    assert got[0] != got[1] and got[2] == got[3] == hashlib.sha256("\n".join(deep).encode()).hexdigest()
+
+
 def brute_stats(old, new):
     gained = lost = 0
     a, b = old.splitlines(keepends=True), new.splitlines(keepends=True)

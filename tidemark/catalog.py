@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
-from tidemark.functions.udfs import page_paths, page_rows, text_change
+from tidemark.functions.udfs import FINGERPRINT_DEPTH, page_paths, page_rows, text_change
 from tidemark.operators import log, outcomes, score, snapshot, worlds
 from tidemark.plans.model import PRIORITY_WEIGHTS, Rule
 from tidemark.plans.scratch import scratch_root
@@ -666,7 +666,7 @@ def text_change_stats(spark, d):
 
 @query()
 def page_fingerprint(spark, d):
-    paths = page_paths(6, "nav ul li")(F.col("html"))
+    paths = page_paths(FINGERPRINT_DEPTH, "nav ul li", below_body=True)(F.col("html"))
     return t(spark, d, "pages").select("page_id", F.sha2(F.array_join(F.array_sort(paths), "\n"), 256).alias("fingerprint"))
 
 
@@ -680,6 +680,6 @@ def page_links(spark, d):
 def structure_changed(spark, d):
     """Pages whose structure differs from the page before them on the same host."""
     w = W.partitionBy("host").orderBy("page_id")
-    x = t(spark, d, "pages").withColumn("host", F.parse_url("url", F.lit("HOST"))).withColumn("paths", page_paths(6, "nav ul li")(F.col("html")))
+    x = t(spark, d, "pages").withColumn("host", F.parse_url("url", F.lit("HOST"))).withColumn("paths", page_paths(FINGERPRINT_DEPTH, "nav ul li", below_body=True)(F.col("html")))
     x = x.withColumn("fingerprint", F.sha2(F.array_join("paths", "\n"), 256)).select("page_id", "host", "fingerprint")
     return x.withColumn("before", F.lag("fingerprint").over(w)).where("before <> fingerprint").select("page_id", "host")

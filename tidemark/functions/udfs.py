@@ -46,14 +46,15 @@ def folded_contains(text: pd.Series, part: pd.Series) -> pd.Series:
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SKIPPED = frozenset("script style noscript template".split())
+_HEAD = frozenset("head title meta link base".split())
 
 
 class _Walk(HTMLParser):
     """Structural paths and (selector, row) extraction in one pass, for selectors of tags and classes only."""
 
-    def __init__(self, depth: int = 6, row: list[tuple[str, frozenset]] | None = None, fields=()):
+    def __init__(self, depth: int = 6, row: list[tuple[str, frozenset]] | None = None, fields=(), below_body: bool = False):
         super().__init__(convert_charrefs=True)
-        self.depth, self.row, self.fields = depth, row, fields
+        self.depth, self.row, self.fields, self.below_body = depth, row, fields, below_body
         self.stack: list[tuple[str, frozenset, str]] = []
         self.paths: set[str] = set()
         self.rows: list[dict[str, str | None]] = []
@@ -74,14 +75,23 @@ class _Walk(HTMLParser):
             at -= 1
         return True
 
+    def _below_body(self) -> list[tuple[str, frozenset, str]]:
+        """The open elements below body; where no body tag is open, it is implied around all but html and what belongs in head."""
+        tags = [t for t, _, _ in self.stack]
+        if "body" in tags:
+            return self.stack[tags.index("body") + 1 :]
+        rest = self.stack[tags[0] == "html" :]
+        return [] if rest and rest[0][0] in _HEAD else rest
+
     def handle_starttag(self, tag, attrs):
         got = dict(attrs)
         classes = frozenset((got.get("class") or "").split())
         step = ".".join([tag, *sorted(classes)])
         self.stack.append((tag, classes, step))
         skipped = any(t in _SKIPPED for t, _, _ in self.stack)
-        if not skipped and not self.open_rows and len(self.stack) <= self.depth:
-            self.paths.add(">".join(s for _, _, s in self.stack))
+        steps = self._below_body() if self.below_body else self.stack
+        if not skipped and not self.open_rows and 0 < len(steps) <= self.depth:
+            self.paths.add(">".join(s for _, _, s in steps))
         if self.row and not skipped and not self.open_rows and self._matches(self.row):
             self.open_rows.append(len(self.stack))
             self.rows.append({})
@@ -126,8 +136,12 @@ def parse_selector(text: str) -> tuple[list[tuple[str, frozenset]], str | None]:
     return steps, attribute or None
 
 
-def page_paths(depth: int = 6, row: str | None = None):
-    """UDF html -> distinct structural paths down to ``depth``, row subtrees left out."""
+#: Levels below body that a page's fingerprint covers.
+FINGERPRINT_DEPTH = 8
+
+
+def page_paths(depth: int = 6, row: str | None = None, below_body: bool = False):
+    """UDF html -> distinct structural paths down to ``depth``, row subtrees left out; ``below_body`` starts them below body."""
     steps = parse_selector(row)[0] if row else None
 
     @F.pandas_udf(ArrayType(StringType()))
@@ -135,7 +149,7 @@ def page_paths(depth: int = 6, row: str | None = None):
         def one(h):
             if h is None:
                 return []
-            w = _Walk(depth, steps)
+            w = _Walk(depth, steps, below_body=below_body)
             w.feed(h)
             return sorted(w.paths)
 

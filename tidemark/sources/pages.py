@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.udfs import page_paths, page_rows, parse_selector
+from tidemark.functions.udfs import FINGERPRINT_DEPTH, page_paths, page_rows, parse_selector
 from tidemark.operators.snapshot import CollectError, LoginRequired
 from tidemark.sources.base import Collected, Collector, tagged
 
@@ -33,7 +33,7 @@ class Page(Collector):
     def collect(self, spark: SparkSession, now: datetime) -> Collected:
         o = self.given
         page = spark.table(o["view"]).where(F.col("url") == o["url"])
-        got = page.select(page_paths(o.get("depth", 6), o["rows"])(F.col("html")).alias("paths"), page_rows(o["rows"], o["fields"])(F.col("html")).alias("rows"), *([F.col("final_url")] if "final_url" in page.columns else [])).limit(1).collect()
+        got = page.select(page_paths(o.get("depth", FINGERPRINT_DEPTH), o["rows"], below_body=True)(F.col("html")).alias("paths"), page_rows(o["rows"], o["fields"])(F.col("html")).alias("rows"), *([F.col("final_url")] if "final_url" in page.columns else [])).limit(1).collect()
         if not got:
             raise CollectError("the page could not be read")
         if "login_url" in o and "final_url" in got[0] and o["login_url"] in (got[0]["final_url"] or ""):
