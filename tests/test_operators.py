@@ -235,6 +235,13 @@ def test_text_change_stats_of_long_texts(spark, tmp_path):
     assert got == {i: brute_stats(a, b) for i, (a, b) in enumerate(zip(texts, texts[1:]))}
 
 
+def test_quoted_text_scrubs_the_whole_text(spark, tmp_path):
+    texts = ["a" + " " * 3000 + "b", "\n\t" * 1500 + "end", "x " * 3000, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.quoted for r in catalog.quoted_text(spark, str(tmp_path)).collect()}
+    assert got == {0: '"a b"', 1: '"end"', 2: '"' + ("x " * 60)[:119] + '…"', 3: "null"}
+
+
 def test_answers_and_ticks(spark, tmp_path):
     texts = [("a", 'x ```json\n{"items": [{"kind": "PO", "ref": "1"}]}\n``` y ```\n{"items": [{"kind": "Mail", "ref": "2"}]}\n```'), ("b", 'so {"items": [{"kind": "po", "ref": "3"}, {"kind": "system", "ref": "x"}]}'), ("c", "none"), ("d", None)]
     got = worlds.answers(spark.createDataFrame(texts, "id string, t string"), "id", "t").collect()

@@ -498,7 +498,7 @@ _FLAT = r"trim(regexp_replace(regexp_replace(substr(text, 1, 2000), '[\p{Cc}\p{C
 
 @query(rf"""SELECT doc_id, '"' || replace(replace(CASE WHEN length(f) > 120 THEN substr(f, 1, 119) || '…' ELSE f END, '\', '\\'), '"', '\"') || '"' AS quoted FROM (SELECT doc_id, {_FLAT} AS f FROM documents) x""")
 def quoted_text(spark, d):
-    return t(spark, d, "documents").select("doc_id", X.quoted(F.substring("text", 1, 2000), 120).alias("quoted"))
+    return t(spark, d, "documents").select("doc_id", X.quoted(F.col("text"), 120).alias("quoted"))
 
 
 @query("SELECT doc_id, (length(text) * 2 + 6) // 7 AS tokens FROM documents")
