@@ -2,25 +2,84 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_scopes: list[list[str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
+    """The shared folder. Where the setting is unset, a fresh local folder serves a driver that is its own only executor; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="tidemark-"))
     return _own[0]
 
 
-def settled(df: DataFrame, label: str) -> DataFrame:
-    """Evaluates df once, as a table: later reads agree on it and a lost executor costs nothing upstream."""
+def write_table(df: DataFrame, label: str) -> str:
+    """Writes df as Parquet and returns where. The folder goes when its scope ends, when it is dropped, or when the driver's JVM ends."""
     path = f"{scratch_root(df.sparkSession)}/tidemark/{label}-{uuid.uuid4().hex}"
+    fs, at = _file(df.sparkSession, path)
+    fs.deleteOnExit(at)
+    for made in _scopes[-1:]:
+        made.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def outlasting(df: DataFrame, label: str) -> DataFrame:
+    """settled, but the table outlives the scope that it is made in."""
+    out = settled(df, label)
+    for made in _scopes[-1:]:
+        made.remove(out.settled_at)
+    return out
+
+
+def reread(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """Evaluates df once, as a table: later reads agree on it and a lost executor costs nothing upstream."""
+    path = write_table(df, label)
+    out = reread(df.sparkSession, path, df.schema)
+    out.settled_at = path
+    return out
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Deletes a table made by write_table, through Hadoop's file system so that any store works."""
+    fs, at = _file(spark, path)
+    fs.delete(at, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables made by settled, once nothing that is still to run reads them."""
+    for t in tables:
+        drop_table(t.sparkSession, t.settled_at)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at its end, whether or not it ended well; nothing that reads them may outlive it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            drop_table(spark, path)
+
+
+def _file(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
