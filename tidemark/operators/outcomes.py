@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 class State:
     baselined: bool = False
     in_error: bool = False
-    error_since: datetime | None = None
+    error_from: datetime | None = None
     announced: str | None = None
     broken: tuple[str, ...] = ()
     fingerprint: str | None = None
@@ -47,7 +47,7 @@ def step(state: State, run: Outcome) -> tuple[State, list[tuple[str, dict]], boo
     if run.kind == "ok":
         return _success(state, run, at)
     first, message = not state.in_error, run.message or ""
-    told = replace(state, in_error=True, error_since=at if first else state.error_since, last_error=message, last_error_at=at)
+    told = replace(state, in_error=True, error_from=at if first else state.error_from, last_error=message, last_error_at=at)
     if run.kind == "broken" and state.baselined:
         names = tuple(sorted(set(run.selectors)))
         if names == state.broken and message == state.announced:
@@ -61,13 +61,13 @@ def step(state: State, run: Outcome) -> tuple[State, list[tuple[str, dict]], boo
 def _success(state: State, run: Outcome, at: datetime) -> tuple[State, list[tuple[str, dict]], bool]:
     events: list[tuple[str, dict]] = []
     if state.in_error:
-        events.append(("source_recovered", {"error_since": state.error_since, "last_error": state.last_error}))
+        events.append(("source_recovered", {"error_from": state.error_from, "last_error": state.last_error}))
     if not state.baselined:
         events.append(("baseline", {"record_count": run.record_count}))
     elif run.fingerprint and state.fingerprint and run.fingerprint != state.fingerprint:
         events.append(("schema_changed", {"selectors": []}))
     after = replace(
-        state, baselined=True, in_error=False, error_since=None, announced=None, broken=(), fingerprint=run.fingerprint or state.fingerprint, last_success_at=at
+        state, baselined=True, in_error=False, error_from=None, announced=None, broken=(), fingerprint=run.fingerprint or state.fingerprint, last_success_at=at
     )
     return after, events, True
 

@@ -52,7 +52,7 @@ DETAIL = T.StructType(
         T.StructField("record_count", T.LongType()),
         T.StructField("error", T.StringType()),
         T.StructField("hint", T.StringType()),
-        T.StructField("error_since", T.TimestampType()),
+        T.StructField("error_from", T.TimestampType()),
         T.StructField("last_error", T.StringType()),
         T.StructField("selectors", T.ArrayType(T.StringType())),
         T.StructField("title", TITLE),
@@ -90,7 +90,7 @@ SOURCES = T.StructType(
         T.StructField("configured", T.BooleanType()),
         T.StructField("baselined", T.BooleanType()),
         T.StructField("in_error", T.BooleanType()),
-        T.StructField("error_since", T.TimestampType()),
+        T.StructField("error_from", T.TimestampType()),
         T.StructField("announced", T.StringType()),
         T.StructField("last_error", T.StringType()),
         T.StructField("last_error_at", T.TimestampType()),

@@ -44,7 +44,7 @@ def _state(row: dict) -> outcomes.State:
     return outcomes.State(
         row.get("baselined", False),
         row.get("in_error", False),
-        unstamp(row.get("error_since")),
+        unstamp(row.get("error_from")),
         row.get("announced"),
         tuple(row.get("broken", ())),
         row.get("fingerprint"),

@@ -178,7 +178,7 @@ class Service:
             "source_id", "kind", "record_key", "importance", minute(F.col("created_at")).alias("at"), "detail",
             F.transform("field_changes", each).alias("changes"),
             L.record_label(F.lit(""), L.VIEW_CAP, L.VIEW_CAP).alias("label"), quoted(F.col("detail.error"), L.VIEW_CAP).alias("error"), quoted(F.col("detail.last_error"), L.VIEW_CAP).alias("last_error"),
-            quoted(F.col("detail.hint"), L.VIEW_CAP).alias("hint"), minute(F.col("detail.error_since")).alias("since"), F.transform("detail.selectors", lambda s: quoted(s, L.VIEW_CAP)).alias("selectors"),
+            quoted(F.col("detail.hint"), L.VIEW_CAP).alias("hint"), minute(F.col("detail.error_from")).alias("began"), F.transform("detail.selectors", lambda s: quoted(s, L.VIEW_CAP)).alias("selectors"),
         ).limit(1).collect()
         if not cols:
             return f"error: event {h.seq} not found (expired or never existed)"
@@ -195,7 +195,7 @@ class Service:
         elif r.kind == "source_error":
             body = [f"error: {r.error}" + (L.NEEDS_A_HUMAN + r.hint[1:-1] if r.detail.hint else "")]
         elif r.kind == "source_recovered":
-            body = [f"recovered; error since {r.since or 'unknown'}: {r.last_error}"]
+            body = [f"recovered; error from {r.began or 'unknown'}: {r.last_error}"]
         else:
             body = ["selectors matching 0 elements:", *r.selectors] if r.selectors else [L.LAYOUT_CHANGED]
         return _prefix(head, body, budget, "change")
@@ -270,7 +270,7 @@ class Service:
             parts.append("never collected")
         else:
             parts += [f"records {r.get('record_count', 0)}", f"last success {at('last_success_at')}" if r.get("last_success_at") else "never succeeded"]
-            parts.append(f"error since {at('error_since')}; latest {at('last_error_at')}: {_q(r.get('last_error'))}" if r.get("in_error") else "ok")
+            parts.append(f"error from {at('error_from')}; latest {at('last_error_at')}: {_q(r.get('last_error'))}" if r.get("in_error") else "ok")
         return " · ".join(parts if r.get("configured", True) else [*parts, "not in config"])
 
     def _logged(self, agent: str, tool: str, args: dict, make: Callable[[], str]) -> str:

@@ -35,19 +35,19 @@ class Mailbox(Collector):
     def collect(self, spark: SparkSession, now: datetime) -> Collected:
         folders, days, cap = self.given["folders"], self.given.get("days", 14), self.given.get("cap", 2000)
         midnight = now.astimezone(timezone.utc).replace(hour=0, minute=0, second=0, microsecond=0)
-        since = midnight - timedelta(days=days)
+        begin = midnight - timedelta(days=days)
         at = F.array_position(F.array(*map(F.lit, folders)), F.col("folder"))
-        mails = spark.table(self.given["view"]).where(F.col("folder").isin(folders) & (F.to_date("received") >= F.lit(since.date())))
+        mails = spark.table(self.given["view"]).where(F.col("folder").isin(folders) & (F.to_date("received") >= F.lit(begin.date())))
         first = F.broadcast(days_within(mails, cap))  # a row for each configured folder
         met = mails.join(first, "folder", "left")
         newest = F.row_number().over(W.partitionBy("folder").orderBy(F.desc("uid")))
         met = met.withColumn("__newest", newest).where(F.coalesce(F.to_date("received") >= F.col("first_day"), F.col("__newest") <= cap))
         starts = {}
         for r in met.groupBy("folder").agg(F.min("received").alias("t"), F.min("first_day").alias("d")).collect():  # a row for each folder
-            capped = r["d"] is None or r["d"] > since.date()
-            starts[r["folder"]] = (r["t"].replace(tzinfo=timezone.utc) if capped else since) + timedelta(days=1)
+            capped = r["d"] is None or r["d"] > begin.date()
+            starts[r["folder"]] = (r["t"].replace(tzinfo=timezone.utc) if capped else begin) + timedelta(days=1)
         key = F.coalesce(F.nullif(F.trim("message_id"), F.lit("")), F.concat(F.lit("uid:"), "folder", F.lit("/"), F.col("uid").cast("string")))
         rest = [c for c in FIELDS if c in met.columns]
         one = met.groupBy(key.alias("__key")).agg(F.min_by(F.struct(*rest), F.struct(at, "uid")).alias("r")).select("__key", "r.*")
         records = as_records(one, F.col("__key"), rest)
-        return Collected(records, window=Window("received", since + timedelta(days=1), "folder", starts))
+        return Collected(records, window=Window("received", begin + timedelta(days=1), "folder", starts))

@@ -13,7 +13,7 @@ from tidemark.operators.outcomes import Outcome, State, step
 
 RUNS = "source_id string, run long, kind string, at timestamp, message string"
 ANNOUNCED = "source_id string, run long, step int, kind string, text string"
-_STATE = "baselined boolean, in_error boolean, error_since long, announced string, broken string, last_error string, last_error_at long, last_success_at long"
+_STATE = "baselined boolean, in_error boolean, error_from long, announced string, broken string, last_error string, last_error_at long, last_success_at long"
 
 
 def _time(x: int | None) -> datetime | None:
@@ -28,8 +28,8 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     """Runs of one source in order of arrival; state is a row for each source."""
     s = State()
     if state.exists:
-        b, e, since, told, broken, last, bad, good = state.get
-        s = State(b, e, _time(since), told or None, tuple(filter(None, broken.split("\n"))), None, last or None, _time(bad), _time(good))
+        b, e, began, told, broken, last, bad, good = state.get
+        s = State(b, e, _time(began), told or None, tuple(filter(None, broken.split("\n"))), None, last or None, _time(bad), _time(good))
     rows = pd.concat(batches).sort_values("run") if batches else pd.DataFrame()
     out = []
     for r in rows.itertuples(index=False):
@@ -37,7 +37,7 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         names = tuple(message.split(",")) if r.kind == "broken" else ()
         s, events, _ = step(s, Outcome(r.kind, r.at.to_pydatetime().replace(tzinfo=timezone.utc), message, selectors=names))
         out += [(key[0], r.run, i, kind, str(detail.get("error") or detail.get("last_error") or "")) for i, (kind, detail) in enumerate(events)]
-    state.update((s.baselined, s.in_error, _number(s.error_since), s.announced or "", "\n".join(s.broken), s.last_error or "", _number(s.last_error_at), _number(s.last_success_at)))
+    state.update((s.baselined, s.in_error, _number(s.error_from), s.announced or "", "\n".join(s.broken), s.last_error or "", _number(s.last_error_at), _number(s.last_success_at)))
     yield pd.DataFrame(out, columns=["source_id", "run", "step", "kind", "text"])
 
 
