@@ -3,7 +3,7 @@
 A byte-level tokenizer cuts a text into pre-tokens and merges each one on its own. Offline, every
 vocabulary string is put through the library's own merge step; those that come out as exactly their
 own single id are *whole*. A pre-token found in that table needs no merging. The rest are merged by
-the library, once per distinct pre-token and worker (a bounded cache).
+the library and remembered by the worker, in a table bounded in bytes and emptied after each task.
 
 Pre-tokens of texts made only of ASCII and Latin letters are cut by a compiled ``re`` pattern whose
 character classes are spelled out; any other text is cut by the library's own pre-tokenizer. A
@@ -18,6 +18,8 @@ import json
 import os
 import re
 
+from .common import Memo
+
 # ASCII white space and Latin letters (U+00C0..U+024F without the two signs).
 _SPACE = " \t\n\r\x0b\x0c"
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -27,8 +29,8 @@ _FAST = re.compile(
 )
 _ODD = re.compile(f"[^\t\n\r\x0b\x0c\x20-\x7e{_LATIN[6:]}]")
 
-#: Distinct merged pre-tokens kept by a worker, and the longest one kept.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
+#: Bytes of merged pre-tokens that a task remembers: rare ones are most of a text's kinds, and a merge costs more than the rest of the count.
+MERGED_BYTES = 64 << 20
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -38,23 +40,6 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class _Cache(dict):
-    """A dict that computes missing values and forgets everything when full."""
-
-    def __init__(self, fixed: dict, compute):
-        super().__init__(fixed)
-        self.fixed, self.compute = fixed, compute
-
-    def __missing__(self, key):
-        value = self.compute(key)
-        if len(key) <= CACHE_CHARS:
-            if len(self) > len(self.fixed) + CACHE_ENTRIES:
-                self.clear()
-                self.update(self.fixed)
-            self[key] = value
-        return value
-
-
 class Bpe:
     """One vocabulary file; ``shortcut`` tells whether the whole-token proof applies to it."""
 
@@ -91,9 +76,21 @@ class Bpe:
         self.special_rx = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if added else None
         self.to_shown = byte_alphabet()
         self.whole = self._prove(model["vocab"])
+
+    @functools.cached_property
+    def ids(self) -> Memo:
         pack = lambda ids: b"".join(i.to_bytes(self.width, "little") for i in ids)
-        self.ids = _Cache({k: pack([v]) for k, v in self.whole.items()}, lambda piece: pack(self._merge(piece)))
-        self.counts = _Cache(dict.fromkeys(self.whole, 1), lambda piece: len(self._merge(piece)))
+        return Memo(lambda piece: pack(self._merge(piece)), {k: pack([v]) for k, v in self.whole.items()}, MERGED_BYTES)
+
+    @functools.cached_property
+    def counts(self) -> Memo:
+        return Memo(lambda piece: len(self._merge(piece)), dict.fromkeys(self.whole, 1), MERGED_BYTES)
+
+    def forget(self) -> None:
+        """Drops merged pre-tokens; the proven ones stay."""
+        for name in ("ids", "counts"):
+            if name in self.__dict__:
+                getattr(self, name).forget()
 
     def _prove(self, vocab: dict[str, int]) -> dict[str, int]:
         """Text of each vocabulary entry that the merge step leaves as its own single id."""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import slices, texts
 
 # Phrases with their labels, each a template that is its own mandatory key phrase.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -114,7 +114,7 @@ def document_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> tuple[dict[
     def run(batches):
         df: Counter = Counter()
         n = 0
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(1).to_pylist():
                 df.update(vocabulary.intersection(words(t)))
                 n += 1
@@ -140,7 +140,7 @@ def scan_licenses(docs: DataFrame, known: list[Template] | None = None, id_col:
     index = Index(known, *document_frequencies(rows, {w for t in known for w in t.words}))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t in b.column(1).to_pylist():
                 doc = words(t)

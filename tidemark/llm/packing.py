@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import reread, texts, write_table
+from .common import forgetting, reread, slices, texts, write_table
 
 TOKENS = "part int, first long, doc_id long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, boundary boolean"
@@ -53,7 +53,7 @@ def _tokenize(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     def run(batches):
         tok = bpe.load(vocabulary)
         end, width, part, first = end_id.to_bytes(tok.width, "little"), tok.width, TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in slices(batches):
             doc_id, held, rows = b.column(0), 0, []
             for k, t in enumerate(b.column(1).to_pylist()):
                 x = tok.encode(t) + end
@@ -65,7 +65,7 @@ def _tokenize(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
             if rows:
                 yield _rows(rows, part, doc_id)
 
-    return docs.mapInArrow(run, TOKENS)
+    return docs.mapInArrow(forgetting(run, lambda: bpe.load(vocabulary)), TOKENS)
 
 
 def _rows(rows, part, doc_id) -> pa.RecordBatch:
@@ -77,7 +77,7 @@ def _rows(rows, part, doc_id) -> pa.RecordBatch:
 
 
 def _cut(batches, begins: dict[int, int], width: int, size: int):
-    for b in batches:
+    for b in slices(batches, 4):
         col = [b.column(i).to_pylist() for i in range(4)]
         out, which = [], []
         for k, (part, first, n, ids) in enumerate(zip(col[0], col[1], col[3], b.column(4))):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import Memo, forgetting, labelled_texts, slices, texts
 
 _CUT = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
@@ -84,7 +84,11 @@ class Model:
         return np.fromiter(map(self._table.__getitem__, doc), np.float64, len(doc))
 
     def __post_init__(self):
-        self._table = _Scores(self.words, self.prefixes)
+        """Scores of words; an unknown word has its prefix's, an unknown prefix none; each token costs DRIFT."""
+        self._table = Memo(lambda w: self.prefixes.get(w[:PREFIX], 0.0) - DRIFT, {w: x - DRIFT for w, x in self.words.items()})
+
+    def __reduce__(self):
+        return Model, (self.words, self.prefixes, self.rate, self.log_k, self.slope, self.offset)
 
     def evidence(self, doc: list[bytes]) -> tuple[float, list[tuple[int, int, float, float]]]:
         """The calibrated statistic, and significant segments (start, end, score, expected number by chance).
@@ -103,20 +107,6 @@ class Model:
         return 1 / (1 + math.exp(-min(50.0, max(-50.0, self.slope * math.asinh(statistic) + self.offset))))
 
 
-class _Scores(dict):
-    """Scores of words; an unknown word has its prefix's, an unknown prefix none; each token costs DRIFT."""
-
-    def __init__(self, known: dict[bytes, float], prefixes: dict[bytes, float]):
-        super().__init__({w: x - DRIFT for w, x in known.items()})
-        self.prefixes, self.most = prefixes, len(known) + 300_000
-
-    def __missing__(self, w: bytes) -> float:
-        x = self.prefixes.get(w[:PREFIX], 0.0) - DRIFT
-        if len(self) < self.most:
-            self[w] = x
-        return x
-
-
 def training_rows(labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
     """(doc_id, toxic) of labelled rows outside the held-out fold crc32(doc_id) mod 5 = 0; at most ``sample``."""
     rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
@@ -133,12 +123,11 @@ def fit(docs: DataFrame, train: DataFrame) -> Model:
 
     ``train`` is bounded, so it is broadcast; texts stay on the executors. Without rows of both labels, every score is the base rate.
     """
-    known = docs.join(F.broadcast(train), "doc_id").select("toxic", "text").repartition(8)
-    known = written(known, "training")  # a bounded sample, so that the corpus is read for it only once
+    known = labelled_texts(docs, train.withColumnRenamed("toxic", "label")).select(F.col("label").alias("toxic"), "text")
 
     def count(batches):
         n: dict[tuple[bool, bytes], list[int]] = {}
-        for b in batches:
+        for b in slices(batches):
             for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found = set(words(text))
                 for key in [(False, w) for w in found] + [(True, w) for w in {w[:PREFIX] for w in found}]:
@@ -182,7 +171,7 @@ def _calibrate(model: Model, known: DataFrame, clean: np.ndarray, x: np.ndarray)
     model = Model(model.words, model.prefixes, min(lo, 2.0), 0.0, 1.0, 0.0)
 
     def best(batches):
-        for b in batches:
+        for b in slices(batches):
             docs = [words(t) for t in b.column(1).to_pylist()]
             found = [segments(model.score_words(d)) for d in docs]
             yield pa.RecordBatch.from_arrays(
@@ -195,7 +184,7 @@ def _calibrate(model: Model, known: DataFrame, clean: np.ndarray, x: np.ndarray)
     model = Model(model.words, model.prefixes, model.rate, log_k, 1.0, 0.0)
 
     def statistic(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.evidence(words(t))[0] for t in b.column(1).to_pylist()], pa.float64())], ["toxic", "x"])
 
     got = known.mapInArrow(statistic, "toxic int, x double").toPandas().sort_values(["x", "toxic"])  # at most SAMPLE pairs
@@ -241,7 +230,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_
     model = fit(rows, training_rows(labels, sample, id_col))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             got = [model.evidence(words(t)) for t in b.column(1).to_pylist()]
             score = [model.probability(x) for x, _ in got]
             spans = [[dict(first_word=s, end_word=e, score=x, expected=v) for s, e, x, v in sure] for _, sure in got]
@@ -250,4 +239,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_
                 ["doc_id", "held_out", "score", "predicted", "passages"],
             )
 
-    return rows.select("doc_id", "text", F.coalesce(held_out(), F.lit(False)).alias("held_out")).mapInArrow(run, SCHEMA)
+    return rows.select("doc_id", "text", F.coalesce(held_out(), F.lit(False)).alias("held_out")).mapInArrow(forgetting(run), SCHEMA)
