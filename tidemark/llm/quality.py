@@ -5,33 +5,33 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import Memo, drop, forgetting, labelled_texts, sha, slices, texts, written
 
 #: Labelled rows that the models are fitted on at most (those of the smallest hashes of doc_id).
 SAMPLE = 20_000
 BUCKETS = 1 << 16
-#: Pseudo-counts of each model, spread over all buckets.
-PRIOR = 2000.0
+#: Pseudo-counts of the share of good text in each bucket.
+PRIOR = 20.0
 
 _STEP, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SAME = np.uint64(0x51ED270B27B4F3CF)
-_WORDS: dict[bytes, tuple[int, int]] = {}
-_WORDS_MOST = 400_000
 
 
-def _word(w: bytes) -> tuple[int, int]:
-    got = _WORDS.get(w)
-    if got is None:
-        if len(_WORDS) >= _WORDS_MOST:
-            _WORDS.clear()
-        got = _WORDS[w] = (xxhash.xxh64_intdigest(w, 1), xxhash.xxh64_intdigest(w[-3:], 2))
-    return got
+def _hash_word(w: bytes) -> tuple[int, int]:
+    return xxhash.xxh64_intdigest(w, 1), xxhash.xxh64_intdigest(w[-3:], 2)
+
+
+_words = Memo(_hash_word)
+
+
+def remembered() -> Memo:
+    """The worker's hashes of words and of their endings."""
+    return _words
 
 
 def features(text: str) -> np.ndarray:
@@ -39,7 +39,7 @@ def features(text: str) -> np.ndarray:
     words = text.encode("utf-8").split()
     if not words:
         return np.empty(0, np.int64)
-    h = np.array([x for w in words for x in _word(w)], np.uint64).reshape(-1, 2)
+    h = np.array([x for w in words for x in _words[w]], np.uint64).reshape(-1, 2)
     first, second = h[:-1, 0], h[1:, 0]
     pairs = np.where(first == second, _SAME, (first * _STEP + second) ^ _SALT)
     every = np.concatenate([h[:, 0], h[:, 1], pairs])
@@ -49,7 +49,7 @@ def features(text: str) -> np.ndarray:
 
 @dataclass
 class Weights:
-    """Log ratio of the target's bucket probabilities to raw text's, and the target's share of raw text."""
+    """Log ratio of the target's bucket probabilities to raw text's, and the target's share of labelled rows."""
 
     ratio: np.ndarray
     share: float
@@ -58,30 +58,46 @@ class Weights:
         return float(self.ratio[features(text)].sum())
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", label_col: str = "quality") -> Weights:
-    """Generative bucket models of target text (label 1) and of raw text (all labelled rows), from a bounded sample."""
-    rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("good")).where("doc_id is not null and good is not null")
-    rows = rows.groupBy("doc_id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    known = docs.join(F.broadcast(rows), "doc_id").select("good", "text").repartition(8)  # a bounded sample
+def ratio(raw: np.ndarray, good: np.ndarray, labelled: np.ndarray) -> np.ndarray:
+    """Log ratio of the target model to the raw model in each bucket.
+
+    The raw model are the counts of all text. The target model are the same counts, each bucket's tilted by the share of its n-grams that lies in good rows
+    among the labelled ones (with PRIOR pseudo-counts of the overall share), and normalised over raw text. So an n-gram that the
+    labelled rows lack, as most rare ones of a large corpus, says next to nothing.
+    """
+    tilt = (good + PRIOR * good.sum() / labelled.sum()) / (labelled + PRIOR)
+    return np.log(tilt / ((raw * tilt).sum() / raw.sum()))
+
+
+def bucket_counts(rows: DataFrame) -> np.ndarray:
+    """How often each bucket's n-grams occur in the texts of (doc_id, text): at most BUCKETS rows from a task and to the driver."""
 
     def count(batches):
-        n = np.zeros((2, BUCKETS + 1), np.int64)
-        for b in batches:
-            for good, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n[int(good > 0), :BUCKETS] += np.bincount(features(text), minlength=BUCKETS)
-                n[int(good > 0), BUCKETS] += 1
-        at = np.nonzero(n.any(axis=0))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0, at]), pa.array(n[1, at])], ["bucket", "low", "good"])
-
-    got = known.mapInArrow(count, "bucket long, low long, good long").groupBy("bucket").agg(F.sum("low").alias("low"), F.sum("good").alias("good")).toPandas()  # at most BUCKETS + 1 rows
-    n = np.zeros((2, BUCKETS + 1))
-    n[0, got["bucket"]], n[1, got["bucket"]] = got["low"], got["good"]
-    docs_low, docs_good = n[:, BUCKETS]
-    if not docs_good or not docs_low:
-        return Weights(np.zeros(BUCKETS, np.float32), 1.0)
-    target, raw = n[1, :BUCKETS], n[:, :BUCKETS].sum(axis=0)
-    p, q = (target + PRIOR / BUCKETS) / (target.sum() + PRIOR), (raw + PRIOR / BUCKETS) / (raw.sum() + PRIOR)
-    return Weights(np.log(p / q).astype(np.float32), docs_good / (docs_good + docs_low))
+        n = np.zeros(BUCKETS, np.int64)
+        for b in slices(batches):
+            n += np.bincount(np.concatenate([features(t) for t in b.column(1).to_pylist()]), minlength=BUCKETS)
+        at = np.nonzero(n)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bucket", "n"])
+
+    got = rows.mapInArrow(forgetting(count, remembered), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    n = np.zeros(BUCKETS, np.int64)
+    n[got["bucket"]] = got["n"]
+    return n
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", label_col: str = "quality") -> Weights:
+    """Generative bucket models of target text (tilted by a bounded sample of labelled rows) and of raw text (all rows of ``docs``)."""
+    rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null")
+    rows = rows.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = written(rows, "labelled")  # so that it is drawn once
+    known = labelled_texts(docs, rows)
+    of = lambda marked: bucket_counts(known.where(marked).select("doc_id", "text"))
+    total, n = known.agg(F.count("*"), F.count(F.when(F.col("label") > 0, 1))).first()
+    target, rest = (of("label > 0"), of("label <= 0")) if 0 < n < total else (np.zeros(1), np.zeros(1))
+    drop(rows, known)
+    if not target.any() or not rest.any():
+        return Weights(np.zeros(BUCKETS), 1.0)
+    return Weights(ratio(bucket_counts(docs), target, target + rest), n / total)
 
 
 def gumbel(seed: int, key: Column) -> Column:
@@ -109,22 +125,25 @@ def kth_largest(df: DataFrame, col: str, k: int) -> float:
     return lo
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 11, keep: int | None = None) -> tuple[DataFrame, Weights, float]:
-    """(doc_id, n_words, log_weight, noise, key) as a written table, the weights, and the key's threshold."""
-    rows = texts(docs)
-    weights = fit(rows, labels, sample)
+def _scored(docs: DataFrame, weights: Weights, seed: int) -> DataFrame:
+    """(doc_id, sha, n_words, log_weight, key) of (doc_id, text)."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             got = b.column(1).to_pylist()
             log_weight = pa.array([weights.log_weight(t) for t in got], pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.split()) for t in got], pa.int64()), log_weight], ["doc_id", "n_words", "log_weight"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(t.encode().split()) for t in got], pa.int64()), log_weight], ["doc_id", "sha", "n_words", "log_weight"])
 
-    scored = rows.mapInArrow(run, "doc_id long, n_words long, log_weight double").withColumn("noise", gumbel(seed, F.col("doc_id")))
-    scored = written(scored.withColumn("key", F.col("log_weight") + F.col("noise")), "quality")
+    scored = docs.select("doc_id", "text", sha(F.col("text")).alias("sha"))
+    scored = scored.mapInArrow(forgetting(run, remembered), "doc_id long, sha binary, n_words long, log_weight double")
+    return written(scored.withColumn("key", F.col("log_weight") + gumbel(seed, F.col("doc_id"))), "quality")
+
+
+def threshold(scored: DataFrame, weights: Weights, keep: int | None) -> float:
+    """The ``keep``-th largest key; by default as many as the expected number of target documents."""
     if keep is None:
         keep = round(scored.agg(F.sum(_posterior(weights))).first()[0] or 0)
-    return scored, weights, kth_largest(scored, "key", keep)
+    return kth_largest(scored, "key", keep)
 
 
 def _posterior(weights: Weights) -> Column:
@@ -134,25 +153,29 @@ def _posterior(weights: Weights) -> Column:
 def resample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 11, keep: int | None = None) -> DataFrame:
     """Importance resampling of all documents: doc_id, n_words, log_weight, key, probability, kept.
 
-    A document's log-weight is the log ratio of its hashed n-grams' likelihood under the target model (rows
-    labelled good) to that under the raw model (all labelled rows). Gumbel noise is added and the ``keep`` largest keys
-    stay: a draw without replacement in proportion to the weights. By default ``keep`` is the expected number
-    of target documents: the sum of share x weight, at most 1 each. The k-th key is found by counting.
+    A document's log-weight is the log ratio of its hashed n-grams' likelihood under the target model to that under the raw model: counts
+    over all rows of ``docs``, which the target model tilts by what at most ``sample`` labelled rows show. Gumbel noise is added and the
+    ``keep`` largest keys stay: a draw without replacement in proportion to the weights. By default ``keep`` is the expected number
+    of target documents: the sum of share x weight, at most 1 each. The k-th key is found by counting. n-grams are of words between ASCII white space.
 
     Null and empty texts have weight 1; rows repeating an id have equal noise; equal keys at the threshold all stay. Without labels of
     both kinds all weights are 1 and all documents stay. An empty table gives no rows.
     """
-    scored, weights, least = score_quality(docs, labels, sample, seed, keep)
+    rows = texts(docs)
+    weights = fit(rows, labels, sample)
+    scored = _scored(rows, weights, seed)
+    least = threshold(scored, weights, keep)
     return scored.select("doc_id", "n_words", "log_weight", "key", _posterior(weights).alias("probability"), (F.col("key") >= F.lit(least)).alias("kept"))
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 11, keep: int | None = None) -> DataFrame:
-    """The rows of ``docs`` that ``resample`` keeps, with all their columns; texts are scored again instead of shuffled."""
-    _, weights, least = score_quality(docs, labels, sample, seed, keep)
-
-    @F.pandas_udf("double")
-    def log_weight(text: pd.Series) -> pd.Series:
-        return pd.Series([weights.log_weight(t) for t in text], dtype="float64")
+    """The rows of ``docs`` that ``resample`` keeps, with all their columns.
 
-    key = log_weight(F.coalesce(F.col("text").cast("string"), F.lit(""))) + gumbel(seed, F.col("doc_id").cast("long"))
-    return docs.where(key >= F.lit(least))
+    Texts are scored once. The threshold is known only after all have a key, so rows meet the ids and hashes of what goes afterwards.
+    """
+    rows = texts(docs)
+    weights = fit(rows, labels, sample)
+    scored = _scored(rows, weights, seed)
+    least = threshold(scored, weights, keep)
+    gone = scored.where(F.col("key") < F.lit(least)).select(F.col("doc_id").alias("gone_id"), F.col("sha").alias("gone_sha"))
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (sha(docs["text"]) == F.col("gone_sha")), "left_anti")
