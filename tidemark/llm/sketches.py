@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import Memo, forgetting, slices, texts
 
 SHINGLE = 5
 #: Every shingle hash below 2^32 / SCALE is retained.
@@ -21,25 +21,26 @@ SCALE = 4
 FLOOR = 64
 TOP = 1 << 32
 
-_WORDS: dict[bytes, int] = {}
-_WORDS_MOST = 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 def _hash_word(w: bytes) -> int:
-    h = _WORDS.get(w)
-    if h is None:
-        if len(_WORDS) >= _WORDS_MOST:
-            _WORDS.clear()
-        h = _WORDS[w] = xxhash.xxh64_intdigest(w, 7)
-    return h
+    return xxhash.xxh64_intdigest(w, 7)
+
+
+_words = Memo(_hash_word)
+
+
+def remembered() -> Memo:
+    """The worker's hashes of words."""
+    return _words
 
 
 def word_hashes(text: str) -> np.ndarray:
     """64-bit hashes of the words between ASCII white space, A-Z lower-cased."""
     words = text.encode("utf-8").lower().split()
-    return np.fromiter(map(_hash_word, words), np.uint64, len(words))
+    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
 def shingle_hashes(words: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
@@ -112,55 +113,82 @@ SCHEMA = (
 )
 
 
+#: Sampled rows for each range bound: ranges then vary by about a quarter of their size.
+OVERSAMPLING = 16
+_LEAST = -(1 << 63)
+
+
 def fingerprint_with_edits(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 2000, most_buckets: int = 8192
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 2000, most_ranges: int = 1 << 18
 ) -> DataFrame:
     """Sketches of every whole text and of its edited text (see SCHEMA).
 
     The edited text replaces the last floor(n_chars / 4) code points by as many, or all, of the first of the
     next document in ascending doc_id; the last document is followed by the first. A sketch retains
     every 5-word shingle hash below a fixed fraction of the hash range, so sketches of unequal documents
-    compare and merge without their texts; a short text's holds its 64 smallest hashes.
+    compare and merge without their texts; a short text's holds its FLOOR smallest hashes.
 
-    doc_id is cut at approximate quantiles into ranges of about ``rows_per_bucket`` rows (at most ``most_buckets`` ranges).
-    Each range is sorted on its own and also gets the first row of the range after it: one shuffle of the
-    texts, rows streamed one by one, no single-partition window; the driver sees one id per range.
-    Null texts count as empty; null ids sort first; rows of equal id are ordered by text hash; an
+    Rows are ordered by (doc_id, text hash) and cut into ranges of about ``rows_per_range`` rows, of which there are at most ``most_ranges``;
+    the bounds come from a hash sample and decide nothing but balance. A hot or null id is cut by the hash of its texts; only rows that repeat id
+    and text stay together. Each range is sorted on its own and also gets the first row of the range after it: one shuffle of the
+    texts, rows streamed one by one, no single-partition window; the driver sees one row per range and OVERSAMPLING sampled ones (16 bytes each).
+
+    Null texts count as empty; a null id counts as the least long and stays null; of rows of equal id that of the lower text hash comes first; an
     empty table gives no rows; a single row is followed by itself.
     """
     spark = docs.sparkSession
-    rows = texts(docs, id_col, text_col)
+    rows = texts(docs, id_col, text_col).select("doc_id", F.coalesce("doc_id", F.lit(_LEAST)).alias("code"), F.xxhash64("text").alias("tie"), "text")
     n = rows.count()
     if not n:
         return spark.createDataFrame([], SCHEMA)
-    cuts = min(most_buckets, -(-n // rows_per_bucket)) - 1
-    found = rows.agg(F.max("doc_id"), *([F.percentile_approx("doc_id", [(i + 1) / (cuts + 1) for i in range(cuts)], max(10_000, 4 * cuts))] if cuts else [])).first()
-    bounds = [b for b in sorted(set(found[1] or [] if cuts else [])) if b < found[0]]
-    placed = rows.select(_search(bounds, 0, len(bounds)).alias("bucket"), F.xxhash64("text").alias("tie"), "doc_id", "text")
-    order = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "tie")
-    firsts = [r.f for r in placed.groupBy("bucket").agg(F.min(order).alias("f")).collect()]  # one id per range
-    first = F.col("doc_id").isin([f.doc_id for f in firsts if f.some])
-    for f in firsts:
-        if not f.some:
-            first = first | (F.col("doc_id").isNull() & (F.col("tie") == f.tie))
-    before = F.expr(f"pmod(bucket - 1, {len(bounds) + 1})")
-    here, there = F.struct(F.col("bucket").alias("b"), F.lit(0).alias("role")), F.struct(before.alias("b"), F.lit(1).alias("role"))
+    bounds = _bounds(rows, n, min(most_ranges, -(-n // rows_per_range)))
+    placed = rows.withColumn("range", _range_of(bounds)(F.col("code"), F.col("tie")))
+    firsts = np.zeros((len(bounds) + 1, 2), np.int64)  # no range is empty: each holds its upper bound, and the last one rows beyond all bounds
+    for r in placed.groupBy("range").agg(F.min(F.struct("code", "tie")).alias("f")).collect():  # a row for each range
+        firsts[r["range"]] = r.f
+    placed = rows.withColumn("at", _range_of(bounds, firsts)(F.col("code"), F.col("tie")))
+    at, first = F.shiftright("at", 1), F.col("at").bitwiseAND(F.lit(1)) == 1
+    here, there = F.struct(at.alias("b"), F.lit(0).alias("role")), F.struct(F.pmod(at - 1, F.lit(len(firsts))).cast("int").alias("b"), F.lit(1).alias("role"))
     return (
-        placed.select(F.explode(F.when(first, F.array(here, there)).otherwise(F.array(here))).alias("to"), "doc_id", "tie", "text")
-        .select("to.b", "to.role", "doc_id", "tie", "text")
+        placed.select(F.explode(F.when(first, F.array(here, there)).otherwise(F.array(here))).alias("to"), "doc_id", "code", "tie", "text")
+        .select("to.b", "to.role", "doc_id", "code", "tie", "text")
         .repartition("b")
-        .sortWithinPartitions("b", "role", F.asc_nulls_first("doc_id"), "tie")
+        .sortWithinPartitions("b", "role", "code", "tie")
         .select("b", "role", "doc_id", "text")
-        .mapInArrow(_walk, SCHEMA)
+        .mapInArrow(forgetting(_walk, remembered), SCHEMA)
     )
 
 
-def _search(bounds: list[int], lo: int, hi: int):
-    """How many bounds lie below doc_id, as a tree of comparisons; 0 for null."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(F.col("doc_id") > bounds[mid], _search(bounds, mid + 1, hi)).otherwise(_search(bounds, lo, mid))
+def _bounds(rows: DataFrame, n: int, ranges: int) -> np.ndarray:
+    """(code, tie) of the last row of each range but the last, from rows whose hash is low."""
+    share = min(1.0, OVERSAMPLING * ranges / n)
+    picked = rows.where(F.pmod(F.xxhash64("code", "tie"), F.lit(1 << 20)) < F.lit(max(1, round(share * (1 << 20)))))
+    picked = picked.groupBy("code", "tie").agg(F.count("*").alias("n")).toPandas() if ranges > 1 else ()
+    if len(picked) < 2:
+        return np.empty((0, 2), np.int64)
+    picked = picked.sort_values(["code", "tie"])
+    ends = picked["n"].cumsum().to_numpy()
+    at = np.unique(np.searchsorted(ends, ends[-1] * np.arange(1, ranges) / ranges))
+    return picked[["code", "tie"]].to_numpy(np.int64)[at[at < len(ends) - 1]]
+
+
+def _range_of(bounds: np.ndarray, firsts: np.ndarray | None = None):
+    """UDF (code, tie) -> the number of bounds below a row; with ``firsts``, the first row of each range, twice that plus whether the row is one."""
+    codes, ties = bounds[:, 0].copy(), bounds[:, 1].copy()
+
+    @F.arrow_udf("int")
+    def at(code: pa.Array, tie: pa.Array) -> pa.Array:
+        c, t = code.to_numpy(zero_copy_only=False), tie.to_numpy(zero_copy_only=False)
+        lo, hi = np.searchsorted(codes, c, "left"), np.searchsorted(codes, c, "right")
+        out = lo.copy()
+        for k in np.unique(lo[hi > lo]):  # ids that are bounds themselves
+            same = (lo == k) & (hi > lo)
+            out[same] += np.searchsorted(ties[k : hi[same][0]], t[same], "left")
+        if firsts is not None:
+            out = 2 * out + ((firsts[out, 0] == c) & (firsts[out, 1] == t))
+        return pa.array(out, pa.int32())
+
+    return at
 
 
 class _Row:
@@ -187,7 +215,7 @@ def _walk(batches):
     held: _Row | None = None
     kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 4]
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    for b in batches:
+    for b in slices(batches, 3):
         out = []
         for bucket, role, doc_id, text in zip(*(b.column(i).to_pylist() for i in range(4))):
             if role and (held is None or held.bucket != bucket):
