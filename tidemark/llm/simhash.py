@@ -10,9 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import drop, forgetting, sha, slices, texts, written
 from .graph import components
-from .sketches import shingle_hashes, word_hashes
+from .sketches import remembered, shingle_hashes, word_hashes
 
 BITS = 64
 #: Distinct fingerprints of a block whose pairs are compared directly; fuller blocks go through shared neighbours instead.
@@ -41,7 +41,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     """(doc_id, fp) of a (doc_id, text) table; no words give 0, fewer than a shingle the whole sequence."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fp = pa.array([simhash(t, shingle, seed) for t in b.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), fp], ["doc_id", "fp"])
 
@@ -104,11 +104,14 @@ def near_groups(
     tied = labelled.where("component is not null")
     of = written(tied.groupBy("component").agg(F.min("least").alias("component_id")), "components")
     final = alone.unionByName(tied.join(of, "component").select("fp", "component_id"))
+    drop(nodes, labels)
     return fps.join(final, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Members of a bucket whose pairs are all candidates; fuller ones are settled by pivots first and by tiles then.
 ALL_PAIRS = 16
+#: Partners of a text that one task compares it with, as a mean.
+PARTNERS = 1024
 #: Members and bytes of shingle sets of a tile, as a mean.
 TILE, TILE_BYTES = 256, 16 << 20
 #: Shingles whose columns are multiplied at once.
@@ -118,34 +121,48 @@ COLUMNS = 1 << 13
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 2, bands: int = 16, lanes: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(node, component) of documents with a near duplicate: shingle sets of Jaccard similarity of at least ``similarity``.
+    """doc_id, text_sha256 (binary), component_id, kept of documents with a near duplicate: shingle sets of Jaccard similarity of at least ``similarity``.
 
-    Candidates share a bucket: a pair of pigeonhole blocks of their SimHash fingerprints (all within ``distance`` bits do) or,
-    since 64 bits put most pairs of similarity 0.8 further apart than blocks can reach, one of ``bands`` keys of ``lanes`` minima each
-    (a pair of similarity 0.8 shares one with probability 0.998). Every candidate is verified on the exact shingle
-    sets, then links are closed transitively; ``component`` is the smallest doc_id reachable.
+    Nodes are distinct texts, so copies are never compared and never expanded into pairs. Candidates share a bucket: a pair of pigeonhole
+    blocks of their SimHash fingerprints (all within ``distance`` bits do) or, as 64 bits put most pairs of similarity 0.8 further apart
+    than blocks can reach, one of ``bands`` keys of ``lanes`` minima each (a pair of similarity 0.8 shares one with probability 0.998).
+    Every candidate is verified on the exact shingle sets, then links are closed transitively.
 
-    Only documents with a candidate are read again. Buckets of up to 16 documents are compared pair by pair. In a fuller one
-    all are compared with two pivots first, the smallest id and the member whose buckets are the fullest; what is
+    Only texts with a candidate are read again. Buckets of up to ALL_PAIRS texts are compared pair by pair. In a fuller one
+    all are compared with two pivots first, the smallest node and the member whose buckets are the fullest; what is
     then not of one component is compared in tiles, every pair of different components, so no pair of any bucket is left out and only members
-    that no link ties to the bucket's largest component cost the square of their number. Documents that repeat an id are one node, linked by any of
-    their texts; null ids and texts without words are never linked. No links give no rows.
+    that no link ties to the bucket's largest component cost the square of their number.
+
+    ``component_id`` is the smallest doc_id of a component's rows; that row stays (of several texts of that id, the one of the smallest hash). Rows
+    that share an id but not a text are documents of their own. Rows repeating both are one document, returned once. A null doc_id comes after all others and
+    is a component's id only if it has no other. Texts without words are never linked, not even to each other. No links give no rows.
     """
-    rows = texts(docs, id_col, text_col).where("doc_id is not null")
+    rows = texts(docs, id_col, text_col).withColumn("sha", sha(F.col("text")))
     signed = written(_signatures(rows, shingle, bands, lanes), "signatures")
-    met = written(_buckets(signed, distance), "buckets")
+    lo, hi, none = F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(F.col("doc_id").isNull()).alias("none")
+    nodes = signed.groupBy("sha").agg(lo, hi, none, F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    least, copied = F.struct(F.col("lo").isNull().alias("none"), F.col("lo").alias("doc_id")), F.coalesce((F.col("hi") > F.col("lo")) | F.col("none"), F.lit(False)) & F.col("lo").isNotNull()
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "sha", least.alias("least"), copied.alias("copied"), "fp", "keys"), "nodes")
+    met = written(_buckets(nodes, distance), "buckets")
     pairs = written(_candidates(met), "candidates")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = rows.join(ids, "doc_id").mapInArrow(lambda batches: _shingle_sets(batches, shingle), "doc_id long, items binary")
-    sets = written(sets.where("length(items) > 0").distinct(), "sets")
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
-    verified = pairs.join(left, "a").join(right, "b").select("a", "b", "a_items", "b_items")
-    labels = components(verified.mapInArrow(lambda batches: _similar(batches, similarity), "a long, b long"))
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = nodes.join(ends, "node").select("node", F.col("sha").alias("its_sha"), F.col("least.doc_id").alias("its_id"))
+    found = rows.join(wanted, (F.col("sha") == F.col("its_sha")) & F.col("doc_id").eqNullSafe(F.col("its_id"))).select("node", "text")
+    items = forgetting(lambda batches: _shingle_sets(batches, shingle), remembered)
+    sets = written(found.mapInArrow(items, "node long, items binary").dropDuplicates(["node"]), "sets")
+    labels = components(_verified(pairs, sets, similarity))
     open_ = written(_open(met.where(F.col("c") > ALL_PAIRS), labels), "open")
-    if open_.isEmpty():
-        return labels
-    more = written(_tiled(open_, sets, similarity), "tiled")
-    return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    if not open_.isEmpty():
+        more = written(_tiled(open_, sets, similarity), "tiled")
+        labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        drop(more)
+    of = written(nodes.join(labels, "node", "left").where(F.col("component").isNotNull() | (F.col("copied") & F.col("fp").isNotNull())).select(F.coalesce("component", "node").alias("component"), "least", "sha"), "members")
+    drop(met, pairs, sets, open_, nodes)
+    stays = of.groupBy("component").agg(F.min(F.struct("least", "sha")).alias("first"))
+    tied = written(of.join(stays, "component").select("sha", F.col("first.least.doc_id").alias("component_id"), F.col("first.sha").alias("first_sha")), "tied")
+    drop(of)
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("sha") == F.col("first_sha"))
+    return signed.select("doc_id", "sha").distinct().join(tied, "sha").select("doc_id", F.col("sha").alias("text_sha256"), "component_id", kept.alias("kept"))
 
 
 def _signatures(rows: DataFrame, shingle: int, bands: int, lanes: int) -> DataFrame:
@@ -164,44 +181,83 @@ def _signatures(rows: DataFrame, shingle: int, bands: int, lanes: int) -> DataFr
         return (least.reshape(bands, lanes) * mix).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             got = b.column(1).to_pylist()
             k = [keys(t) for t in got]
             fp = [simhash(t, shingle, 42) if x else None for t, x in zip(got, k)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), pa.array(k, pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp, pa.int64()), pa.array(k, pa.list_(pa.int64()))], ["doc_id", "sha", "fp", "keys"])
 
-    return rows.mapInArrow(run, "doc_id long, fp long, keys array<long>")
+    return rows.mapInArrow(forgetting(run, remembered), "doc_id long, sha binary, fp long, keys array<long>")
 
 
-def _buckets(signed: DataFrame, distance: int) -> DataFrame:
-    """(t, key, doc_id, c): the buckets of more than one document, and their numbers of documents."""
+def _buckets(nodes: DataFrame, distance: int) -> DataFrame:
+    """(t, key, node, c): the buckets of more than one node, and their numbers of nodes."""
     parts = np.array_split(np.arange(BITS), distance + 2)
     masks = [_signed(sum(1 << int(i) for p in pair for i in p)) for pair in combinations(parts, 2)]
     blocks = F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))
-    keyed = signed.where("fp is not null").select("doc_id", F.posexplode(F.concat(blocks, "keys")).alias("t", "key"))
-    if not signed.groupBy("doc_id").count().where("count > 1").isEmpty():
-        keyed = keyed.distinct()  # texts of one id in one bucket
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("c")).where("c > 1")
+    keyed = nodes.where("fp is not null").select("node", F.posexplode(F.concat(blocks, "keys")).alias("t", "key"))
+    sizes = written(keyed.groupBy("t", "key").agg(F.count("*").alias("c")).where("c > 1"), "sizes")  # beside an exchange of its own AQE splits a hot bucket
     return keyed.join(sizes, ["t", "key"])
 
 
 def _candidates(met: DataFrame) -> DataFrame:
     """Pairs a < b to verify first: all of a small bucket, two pivots with the members of a full one."""
     full = met.where(F.col("c") > ALL_PAIRS)
-    fullness = full.groupBy("doc_id").agg(F.sum("c").alias("w"))
-    pivots = full.join(fullness, "doc_id").groupBy("t", "key").agg(F.array(F.min("doc_id"), F.max_by("doc_id", F.struct("w", -F.col("doc_id")))).alias("pivots"))
-    star = full.join(pivots, ["t", "key"]).select(F.explode(F.array_distinct("pivots")).alias("p"), "doc_id").select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b"))
-    members = met.where(F.col("c") <= ALL_PAIRS).groupBy("t", "key").agg(F.array_sort(F.collect_set("doc_id")).alias("g"))
+    fullness = full.groupBy("node").agg(F.sum("c").alias("w"))
+    pivots = full.join(fullness, "node").groupBy("t", "key").agg(F.array(F.min("node"), F.max_by("node", F.struct("w", -F.col("node")))).alias("pivots"))
+    pivots = written(pivots, "pivots")
+    star = full.join(pivots, ["t", "key"]).select(F.explode(F.array_distinct("pivots")).alias("p"), "node").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b"))
+    members = met.where(F.col("c") <= ALL_PAIRS).groupBy("t", "key").agg(F.array_sort(F.collect_set("node")).alias("g"))
     each = members.select(F.posexplode("g").alias("i", "a"), "g").select("a", F.explode(F.expr("slice(g, i + 2, size(g))")).alias("b"))
     return star.unionByName(each).where("a < b").distinct()
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are similar.
+
+    Each pair is dealt to the end with more pairs, its hub; a hub's partners are dealt to groups of about PARTNERS, and its own set travels once
+    for each group, so neither a hub with a third of all partners nor its long set is a burden of one task.
+    """
+    both = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    degree = written(both.groupBy("node").agg(F.count("*").alias("n")), "degrees")
+    a, b = (degree.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
+    hub_is_a = F.struct(F.col("n_a"), -F.col("a")) >= F.struct(F.col("n_b"), -F.col("b"))
+    dealt = pairs.join(a, "a").join(b, "b").select(F.when(hub_is_a, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(hub_is_a, F.col("b")).otherwise(F.col("a")).alias("node"), F.greatest("n_a", "n_b").alias("n"))
+    dealt = dealt.select("hub", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PARTNERS)).cast("int").alias("part"), "node")
+    dealt = written(dealt, "dealt")
+    partners = dealt.join(sets, "node").select("hub", "part", "node", "items")
+    hubs = dealt.select("hub", "part").distinct().join(sets, F.col("hub") == F.col("node")).select("hub", "part", "node", "items")
+    near = hubs.unionByName(partners).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("node") != F.col("hub"))
+    links = written(near.select("hub", "part", "node", "items").mapInArrow(lambda batches: _similar(batches, similarity), "a long, b long"), "links")
+    drop(degree, dealt)
+    return links
+
+
+def _similar(batches, similarity: float):
+    """Pairs of a hub and its similar partners, from rows sorted so that a group's hub comes first."""
+    group, own = None, None
+    for b in slices(batches, 3):
+        found = []
+        for hub, part, node, items in zip(*(b.column(i).to_pylist() for i in range(4))):
+            has = np.frombuffer(items, np.uint32)
+            if node == hub:
+                group, own = (hub, part), has
+            elif group == (hub, part):
+                both = len(np.intersect1d(own, has, assume_unique=True))
+                if both and both >= similarity * (len(own) + len(has) - both):
+                    found.append((hub, node))
+        if found:
+            x, y = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+
 def _open(full: DataFrame, labels: DataFrame) -> DataFrame:
-    """(t, key, doc_id, part, main) of full buckets with more than one component; ``main`` is whether ``part`` is the largest."""
-    of = full.join(labels, F.col("doc_id") == F.col("node"), "left").select("t", "key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    """(t, key, node, part, main) of full buckets with more than one component; ``main`` is whether ``part`` is the largest."""
+    of = written(full.join(labels, "node", "left").select("t", "key", "node", F.coalesce("component", "node").alias("part")), "parts")
     parts = of.groupBy("t", "key", "part").agg(F.count("*").alias("n"))
     largest = parts.groupBy("t", "key").agg(F.count("*").alias("kinds"), F.max_by("part", F.struct("n", "part")).alias("most")).where("kinds > 1")
-    return of.join(largest, ["t", "key"]).select("t", "key", "doc_id", "part", (F.col("part") == F.col("most")).alias("main"))
+    largest = written(largest, "largest")
+    return of.join(largest, ["t", "key"]).select("t", "key", "node", "part", (F.col("part") == F.col("most")).alias("main"))
 
 
 def _tiled(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -210,15 +266,15 @@ def _tiled(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     The members outside the largest component are dealt to tiles, those inside to others, and every two tiles meet of which
     one at least is outside.
     """
-    sized = open_.join(sets.select("doc_id", F.length("items").alias("bytes")), "doc_id")
+    sized = open_.join(sets.select("node", F.length("items").alias("bytes")), "node")
     tiles = lambda side: F.ceil(F.greatest(F.count(F.when(side, 1)) / TILE, F.sum(F.when(side, F.col("bytes"))) / TILE_BYTES)).cast("int")
     plan = sized.groupBy("t", "key").agg(tiles(~F.col("main")).alias("outer"), tiles(F.col("main")).alias("inner"))
-    dealt = open_.join(plan, ["t", "key"])
-    hashed = F.xxhash64("doc_id")
+    dealt = open_.join(written(plan, "plan"), ["t", "key"])
+    hashed = F.xxhash64("node")
     dealt = dealt.withColumn("i", F.when(F.col("main"), F.col("outer") + F.pmod(hashed, "inner")).otherwise(F.pmod(hashed, "outer")).cast("int"))
     last = F.when(F.col("main"), F.col("outer") - 1).otherwise(F.col("outer") + F.col("inner") - 1)
-    dealt = dealt.select("t", "key", "doc_id", "part", "i", F.explode(F.sequence(F.lit(0), last)).alias("j"))
-    dealt = dealt.select("t", "key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "doc_id", "part").join(sets, "doc_id")
+    dealt = dealt.select("t", "key", "node", "part", "i", F.explode(F.sequence(F.lit(0), last)).alias("j"))
+    dealt = dealt.select("t", "key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "part").join(sets, "node")
     return dealt.groupBy("t", "key", "i", "j").applyInArrow(lambda tile: _tile_links(tile, similarity), "a long, b long").distinct()
 
 
@@ -245,16 +301,6 @@ def _tile_links(tile: pa.Table, similarity: float) -> pa.Table:
 
 
 def _shingle_sets(batches, shingle: int):
-    for b in batches:
+    for b in slices(batches):
         items = [np.unique(shingle_hashes(word_hashes(t), shingle)).tobytes() for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(items, pa.binary())], ["doc_id", "items"])
-
-
-def _similar(batches, similarity: float):
-    for b in batches:
-        keep = []
-        for x, y in zip(b.column(2), b.column(3)):
-            p, q = (np.frombuffer(s.as_buffer(), np.uint32) for s in (x, y))
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(both >= similarity * (len(p) + len(q) - both))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(items, pa.binary())], ["node", "items"])
