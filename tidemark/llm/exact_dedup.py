@@ -7,7 +7,11 @@ from itertools import count as numbers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import drop, texts, written
+
+
+#: Rows that repeat id and text, made again at once.
+REPEATS = 4096
 
 
 def exact_groups(docs: DataFrame, block_bytes: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -24,18 +28,19 @@ def exact_groups(docs: DataFrame, block_bytes: int = 4096, id_col: str = "doc_id
     Only names travel after the first shuffle: a hot text costs one row per copy, and its rows meet
     their name in a join whose skewed side AQE splits.
 
-    The largest doc_id of a group stays. A null text counts as empty. Rows repeating both doc_id and
-    text are one document, returned once; group_size counts all their rows. A null doc_id stays
-    unless its text has a row with an id. An empty table gives no rows.
+    A row comes back for each row of ``docs``. The largest doc_id of a group stays: exactly one row of a group is kept, also where
+    several rows repeat both id and text. A null text counts as empty. A null doc_id comes after all others, so it stays only if its text has no
+    row with an id. An empty table gives no rows.
     """
     blocks = _blocks(texts(docs, id_col, text_col), block_bytes)
     level = written(_with_names(blocks), "names0")
-    done = [level.where("m = 1").select("doc_id", "sha", "m", "name", "n")]
+    levels, done = [level], [level.where("m = 1").select("doc_id", "sha", "m", "name", "n")]
     most = level.agg(F.max("m")).first()[0] or 1
     rows, k = level.where("m > 1"), 0
     while (1 << k) < most:
         k += 1
         rows = written(_pair(rows), f"names{k}")
+        levels.append(rows)
         one = F.col("m") <= (1 << k)
         done.append(rows.where(one).select("doc_id", "sha", "m", "name", "n"))
         rows = rows.where(~one)
@@ -43,14 +48,19 @@ def exact_groups(docs: DataFrame, block_bytes: int = 4096, id_col: str = "doc_id
     for x in done[1:]:
         every = every.unionByName(x)
     every = written(every.groupBy("doc_id", "sha", "m", "name").agg(F.sum("n").alias("n")), "identities")
+    drop(*levels)
     groups = every.groupBy("m", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")).where("group_size > 1")
     groups = written(groups, "groups")  # a shuffle of its own on each side, so that AQE can split a hot group's rows
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return every.join(groups, ["m", "name"], "left").select(
+    met = every.join(groups, ["m", "name"], "left").withColumn("keep", keep)
+    # rows that repeat id and text were one so far; a row each again, in two steps so that no array grows with their number
+    met = met.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {REPEATS}"))))
+    met = met.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(REPEATS), F.col("n") - F.col("part") * REPEATS) - 1)))
+    return met.select(
         "doc_id",
-        keep.alias("keep_id"),
+        F.col("keep").alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("keep")) & (F.col("part") == 0) & (F.col("copy") == 0)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 

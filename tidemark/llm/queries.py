@@ -69,8 +69,8 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
-        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
-        FROM (SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-                     sha256(coalesce(text, '')) AS text_sha256
-              FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))) g""",
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+               sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
 }
