@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import written
+from .common import one_of_each, written
 
+#: Documents of a hash range as a mean, and bits by which ranges are grouped for their running totals: a task sums over 2^GROUP_BITS rows at a time.
+RANGE, GROUP_BITS = 512, 9
 #: Exponents tried at once in a pass over the source totals, and passes: each narrows the bracket PROBES-fold.
 PROBES, PASSES = 32, 4
 
@@ -73,16 +75,16 @@ def schedule(
 ) -> DataFrame:
     """A row for each time a document is to be read: block, place, doc_id, source, epoch, tokens, weight, text_key.
 
-    Source shares p of tokens (words between white space by default) become weights p^a, normalised; the
+    Source shares p of tokens (``tokens`` is their column; words between white space by default) become weights p^a, normalised; the
     exponent is the flattest that repeats no source more than ``repeats`` times, or as ``entropy`` asks. The token
     budget of a source is its weight's part of ``budget``: by default the least at which every source is read once in
     full, so that no document is left out and rarer sources repeat. Each epoch of a source is a hash permutation of its documents; a
     document belongs to the block in which its running total of tokens, relative to its source's budget, falls:
     every block holds the weights, and the last epoch ends where the budget does.
 
-    Running totals are two-level (totals of hash ranges, then within a range), so a hot source is dealt over many
-    tasks. A null source counts as the empty one; a null text has no tokens; a source without tokens is read once, in
-    block 0. Rows repeating id and text are scheduled as one. An empty table gives no rows.
+    Running totals are summed within hash ranges of about RANGE documents, over groups of 2^GROUP_BITS ranges, over groups of those and so on, so that no
+    window grows with a source. A null source counts as the empty one; a null text has no tokens; a source without tokens is read once, in
+    block 0. Rows repeating id, source and text are scheduled as one. An empty table gives no rows.
     """
     key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     base = docs.select(
@@ -107,14 +109,12 @@ def schedule(
     plan = totals.select("source", F.col("tokens").alias("has"), F.when(F.col("tokens") > 0, share / F.lit(total)).otherwise(F.lit(0.0)).alias("weight"))
     plan = plan.withColumn("budget", F.col("weight") * F.lit(whole))
     plan = plan.withColumn("epochs", F.when(F.col("has") > 0, F.ceil(F.round(F.col("budget") / F.col("has"), 9))).otherwise(F.lit(1)).cast("int"))
-    bits = max(0, math.ceil(math.log2(max(1, most / 2048))))
+    bits = max(0, math.ceil(math.log2(max(1, most / RANGE))))
     rows = base.join(plan, "source").where("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
     rows = rows.withColumn("place", F.xxhash64("doc_id", "text_key", "epoch", F.lit(seed)))
     rows = rows.withColumn("range", F.shiftrightunsigned("place", 64 - bits) if bits else F.lit(0).cast("long"))
-    sums = rows.groupBy("source", "epoch", "range").agg(F.sum("tokens").alias("in_range"))
-    ahead = W.partitionBy("source", "epoch").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("source", "epoch", "range", F.coalesce(F.sum("in_range").over(ahead), F.lit(0)).alias("before"))
-    inside = W.partitionBy("source", "epoch", "range").orderBy("place", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    sums = _running(rows.groupBy("source", "epoch", "range").agg(F.sum("tokens").alias("here")), bits)
+    inside = W.partitionBy("source", "epoch", "range").orderBy(F.col("place") < 0, "place", "doc_id").rowsBetween(W.unboundedPreceding, -1)  # as unsigned, like the ranges
     rows = rows.withColumn("within", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
     at = F.col("epoch") * F.col("has") + F.col("before") + F.col("within")
     rows = rows.join(sums, ["source", "epoch", "range"]).withColumn("at", at).where("has = 0 or at < budget" + (" or (epoch = 0 and tokens = 0)" if budget is None else ""))
@@ -122,17 +122,30 @@ def schedule(
     return rows.select(block.alias("block"), "place", "doc_id", "source", "epoch", "tokens", "weight", "text_key")
 
 
+def _running(sums: DataFrame, bits: int) -> DataFrame:
+    """(source, epoch, range, before): the tokens of lower ranges, from (source, epoch, range, here) with ranges of ``bits`` bits."""
+    group = F.shiftright("range", GROUP_BITS)
+    before = W.partitionBy("source", "epoch", group).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    out = sums.select("source", "epoch", "range", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("before"))
+    if bits <= GROUP_BITS:
+        return out
+    above = sums.groupBy("source", "epoch", group.alias("range")).agg(F.sum("here").alias("here"))
+    above = _running(above, bits - GROUP_BITS).select("source", "epoch", F.col("range").alias("group"), F.col("before").alias("more"))
+    return out.withColumn("group", group).join(above, ["source", "epoch", "group"]).select("source", "epoch", "range", (F.col("before") + F.col("more")).alias("before"))
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with all its columns, repeated and ordered as ``schedule`` says: blocks are ranges of the output's partitions."""
-    plan = schedule(docs, **options).select(F.col("doc_id").alias("plan_id"), F.col("text_key").alias("plan_key"), "block", "place")
+    """``docs`` with all its columns, repeated and ordered as ``schedule`` says: blocks are ranges of the output's partitions.
+
+    Rows repeating id, source and text are one (of rows that differ elsewhere the one whose JSON text hashes lowest); rows that share an id only
+    are mixed each on its own. Nulls, empty texts and empty tables as in ``schedule``; extra columns, whatever their names, are carried along.
+    """
+    keys = ["id", "source", "text_key"]
+    plan = schedule(docs, **options).select(F.col("doc_id").alias("plan_id"), F.col("source").alias("plan_source"), F.col("text_key").alias("plan_key"), "block", "place")
     held = docs.select(F.struct("*").alias("row"))
-    held = held.select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("text_key"))
-    both = held.dropDuplicates(["id", "text_key"]) if _repeats(held) else held
-    met = both.join(plan, both["id"].eqNullSafe(plan["plan_id"]) & (both["text_key"] == plan["plan_key"]))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    held = held.select(F.col("row.doc_id").cast("long").alias("id"), F.coalesce(F.col("row.source").cast("string"), F.lit("")).alias("source"), F.xxhash64(text).alias("text_key"), "row")
+    held = one_of_each(held, keys)
+    met = held.join(plan, held["id"].eqNullSafe(plan["plan_id"]) & (held["source"] == plan["plan_source"]) & (held["text_key"] == plan["plan_key"]))
     met = met.repartitionByRange("block", "place").sortWithinPartitions("block", "place")
     return met.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
-
-
-def _repeats(held: DataFrame) -> bool:
-    """Whether any row repeats another's id and text."""
-    return not held.groupBy("id", "text_key").count().where("count > 1").isEmpty()

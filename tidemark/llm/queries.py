@@ -40,7 +40,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.schedule(table(spark, sf_dir, "documents"))
+    return mixing.schedule(table(spark, sf_dir, "documents"), token_counts.token_count(public_tokenizers.path(VOCABULARY)))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
