@@ -1,8 +1,11 @@
 """The training-data operators: brute force on small tables, and rows of every awkward kind."""
 
 import hashlib
+import math
+import os
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,9 +15,11 @@ import xxhash
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+import brute  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-from tidemark.llm import bpe, exact_dedup, graph, licenses, mixing, packing, pii, quality, simhash, sketches, token_counts, toxicity  # noqa: E402
+from tidemark.llm import bpe, common, exact_dedup, graph, licenses, mixing, packing, pii, quality, simhash, sketches, token_counts, toxicity  # noqa: E402
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, n_tokens int, kept string, keep_id int, name string, block int, key string, "
@@ -92,6 +97,24 @@ def test_other_vocabularies_go_to_their_library(name):
     assert not own.shortcut and own.count("Hello there, world") == len(np.frombuffer(own.encode("Hello there, world"), f"<u{own.width}")) > 2
 
 
+def test_memo_forgets_what_it_computed_but_not_what_is_fixed():
+    memo = common.Memo(lambda k: k * 2, {"fixed": "x"}, 10_000)
+    sizes = set()
+    for i in range(5000):
+        assert memo[f"k{i}"] == f"k{i}k{i}"
+        sizes.add(len(memo))
+    assert memo["fixed"] == "x" and max(sizes) < 100 and memo["y" * 1000] and "y" * 1000 not in memo
+    list(common.forgetting(iter, lambda: memo)([1]))
+    assert dict(memo) == {"fixed": "x"} and not memo.held
+
+
+def test_slices_bound_rows_and_bytes():
+    texts = ["a"] * 1500 + ["b" * (3 << 20)] * 3 + ["c" * (9 << 20), None, ""]
+    parts = list(common.slices([common.pa.RecordBatch.from_arrays([common.pa.array(range(len(texts))), common.pa.array(texts)], ["i", "t"])]))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows == 1 or p.num_rows <= common.SLICE_ROWS and sum(len(t or "") for t in p.column(1).to_pylist()) <= common.SLICE_BYTES for p in parts)
+
+
 def test_token_counts(docs, empty):
     tok = Tokenizer.from_file(PATH)
     got = Counter(map(tuple, token_counts.count_tokens(docs, PATH).collect()))
@@ -102,15 +125,24 @@ def test_token_counts(docs, empty):
 
 @pytest.mark.parametrize("size", [4096, 16])
 def test_exact_groups(docs, size):
-    rows = Counter(plain())
     groups = defaultdict(list)
-    for (i, t), n in rows.items():
-        groups[t] += [i] * n
+    for i, t in plain():
+        groups[t].append(i)
     want = Counter()
-    for i, t in rows:
-        keep = max((x for x in groups[t] if x is not None), default=None)
-        want[i, keep, len(groups[t]), i == keep, hashlib.sha256(t.encode()).hexdigest()] += 1
-    assert Counter(map(tuple, exact_dedup.exact_groups(docs, size).collect())) == want
+    for t, ids in groups.items():
+        keep = max((x for x in ids if x is not None), default=None)
+        for i, n in Counter(ids).items():
+            sha = hashlib.sha256(t.encode()).hexdigest()
+            want[i, keep, len(ids), False, sha] += n - (i == keep)
+            want[i, keep, len(ids), True, sha] += i == keep
+    assert Counter(map(tuple, exact_dedup.exact_groups(docs, size).collect())) == +want
+
+
+def test_exact_groups_of_rows_that_repeat_id_and_text(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "REPEATS", 7)
+    rows = spark.range(100).select(F.lit(5).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    got = exact_dedup.exact_groups(rows.unionByName(rows.limit(3).withColumn("doc_id", F.lit(None).cast("long")))).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == Counter({(5, 5, 103, False): 99, (5, 5, 103, True): 1, (None, 5, 103, False): 3})
 
 
 def test_exact_groups_of_nothing_and_of_hot_copies(spark, empty):
@@ -162,6 +194,29 @@ def test_quality_keeps_the_target(spark, docs, labels, empty):
     assert quality.filter_quality(docs, labels).columns == docs.columns
 
 
+def test_quality_by_brute_force(spark, docs, labels):
+    marks = {i * 3: i % 2 for i in range(60)} | {6: 0}  # of two labels of an id the lower one counts
+    want = brute.quality(plain(), marks)
+    got = quality.resample(docs, labels).collect()
+    key = lambda i, x: (i is None, i or 0, round(x, 6))
+    assert 5 < sum(x[5] for x in want) < len(want)
+    for r, (i, t, w, k, p, kept) in zip(sorted(got, key=lambda r: key(r.doc_id, r.key)), sorted(want, key=lambda x: key(x[0], x[3])), strict=True):
+        assert (r.doc_id, r.n_words, r.kept) == (i, len(t.encode().split()), kept)
+        assert (r.log_weight, r.key, r.probability) == pytest.approx((w, k, p), abs=1e-6)
+
+
+def test_quality_ties_at_the_threshold_all_stay(spark):
+    rows = [(i, f"text {i}") for i in range(20)]
+    rows += [rows[7]] * 4
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    keys = sorted((x[3] for x in brute.quality(rows, {})), reverse=True)
+    first = next(k for k, x in enumerate(keys) if keys.count(x) == 5)
+    for keep in range(first + 1, first + 6):
+        assert quality.resample(table, none, keep=keep).where("kept").count() == first + 5
+    assert quality.filter_quality(table, none, keep=0).count() == 0 and quality.resample(table, none, keep=99).where("kept").count() == 24
+
+
 def test_kth_largest(spark):
     random.seed(6)
     x = [random.choice([random.gauss(0, 1e6), 3.0, 3.0, -1e-9]) for _ in range(500)]
@@ -254,13 +309,48 @@ def shingle_set(t, k=5):
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
+def near_components(rows, shingles=shingle_set):
+    """(id, text) -> (component id, kept) of rows with a near duplicate, by comparing every pair of distinct texts; None is the last id."""
+    by = defaultdict(set)
+    for i, t in rows:
+        by[t].add(i)
+    sets = [(t, shingles(t)) for t in by]
+    order = {t: k for k, t in enumerate(by)}
+    find = union([(order[t], order[u]) for k, (t, p) in enumerate(sets) for u, q in sets[:k] if p and q and len(p & q) >= 0.8 * len(p | q)])
+    members = defaultdict(list)
+    for t, p in sets:
+        members[find(order[t])] += [((i is None, i), hashlib.sha256(t.encode()).digest(), t) for i in by[t] if p]
+    out = {}
+    for group in members.values():
+        if len(group) > 1:
+            first = min(group, key=lambda g: ((g[0][0], g[0][1] or 0), g[1]))
+            out |= {(i, t): (first[0][1], (i, t) == (first[0][1], first[2])) for (_, i), _, t in group}
+    return out
+
+
+def near(docs, **options):
+    return {(r.doc_id, r.text_sha256.hex()): (r.component_id, r.kept) for r in simhash.near_duplicates(docs, **options).collect()}
+
+
+def hashed(components):
+    return {(i, hashlib.sha256(t.encode()).hexdigest()): x for (i, t), x in components.items()}
+
+
 def test_near_duplicates(spark, docs, empty):
-    got = {r.node: r.component for r in simhash.near_duplicates(docs).collect()}
-    sets = [(i, shingle_set(t)) for i, t in plain() if i is not None]
-    pairs = [(a, b) for a, p in sets for b, q in sets if a < b and p and q and len(p & q) >= 0.8 * len(p | q)]
-    find = union(pairs)
-    assert all(got.get(i, i) == find(i) for i, _ in sets)
-    assert simhash.near_duplicates(empty).count() == 0
+    want = near_components(plain())
+    assert len(want) > 30 and any(i is None for i, _ in want) is False
+    assert near(docs) == hashed(want)
+    assert near(empty) == {}
+
+
+def test_near_duplicates_go_by_row_and_not_by_id(spark):
+    """Two rows share id 2: one is a near copy of id 1, the other of nothing; ids may be null; a third has copies only."""
+    words = [f"w{k}" for k in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join(["x", *words[1:]])), (2, "quite another text of the id two that nothing else is like"), (None, " ".join([*words[:-1], "y"]))]
+    rows += [(9, "one and the same text in two rows"), (7, "one and the same text in two rows"), (None, "alone with no id at all in here"), (4, ""), (5, "")]
+    want = near_components(rows)
+    assert {k[0] for k, (c, _) in want.items() if c == 1} == {1, 2, None} and len(want) == 5
+    assert near(spark.createDataFrame(rows, "doc_id long, text string")) == hashed(want)
 
 
 def _edited(hubs, copies, words, edits):
@@ -282,8 +372,8 @@ def test_near_duplicates_of_a_hub_that_is_not_the_smallest_id(spark):
     sets = [shingle_set(t) for _, t in rows]
     alike = lambda p, q: len(p & q) >= 0.8 * len(p | q)
     assert not alike(sets[0], sets[1]) and all(alike(s, sets[-1]) for s in sets)
-    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.node: r.component for r in got} == {i: 0 for i, _ in rows}
+    got = near(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(i for i, _ in got) == sorted(i for i, _ in rows) and all(x == (0, i == 0) for (i, _), x in got.items())
 
 
 def test_near_duplicates_of_many_hubs_in_full_buckets(spark, monkeypatch):
@@ -292,34 +382,34 @@ def test_near_duplicates_of_many_hubs_in_full_buckets(spark, monkeypatch):
     rows = _edited(6, 30, 100, 1)
     rows += [(20_000 + i, " ".join(f"u{i}x{k}" for k in range(50))) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    buckets = docs.select(F.lit(0).alias("t"), F.lit(0).cast("long").alias("key"), "doc_id", F.lit(len(rows)).cast("long").alias("c"))
-    monkeypatch.setattr(simhash, "_buckets", lambda signed, distance: buckets)
-    sets = [(i, shingle_set(t)) for i, t in rows]
-    find = union([(a, b) for a, p in sets for b, q in sets if a < b and len(p & q) >= 0.8 * len(p | q)])
-    want = {i: find(i) for i, _ in rows if i < 20_000}
-    assert len(set(want.values())) == 6
-    assert {r.node: r.component for r in simhash.near_duplicates(docs).collect()} == want
+    monkeypatch.setattr(simhash, "_buckets", lambda nodes, distance: nodes.select(F.lit(0).alias("t"), F.lit(0).cast("long").alias("key"), "node", F.lit(len(rows)).cast("long").alias("c")))
+    want = near_components(rows)
+    assert len({c for c, _ in want.values()}) == 6
+    assert near(docs) == hashed(want)
+
+
+def test_near_duplicates_of_a_hub_with_many_groups_of_partners(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PARTNERS", 5)
+    rows = _edited(2, 60, 300, 3)
+    assert near(spark.createDataFrame(rows, "doc_id long, text string")) == hashed(near_components(rows))
 
 
 def test_fingerprints(docs, empty):
     rows = sorted(plain(), key=lambda r: (r[0] is not None, r[0] or 0))
-    got = sketches.fingerprint_with_edits(docs, rows_per_bucket=9).collect()
+    got = sketches.fingerprint_with_edits(docs, rows_per_range=9).collect()
     assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((i, len(t)) for i, t in rows)
-    ids = Counter(i for i, _ in rows)
-    by = defaultdict(list)
-    for r in got:
-        by[r.doc_id].append(r)
+    least = lambda i: -(1 << 63) if i is None else i
+    rows = sorted(plain(), key=lambda r: (least(r[0]), brute.spark_hash(r[1])))
+    want = Counter()
     errors = []
-    for k, (i, t) in enumerate(rows):
-        j = (k + 1) % len(rows)
-        if ids[i] > 1 or ids[rows[j][0]] > 1 or k == len(rows) - 1:
-            continue
-        r, follow = by[i][0], rows[j][1]
+    for (i, t), (_, follow) in zip(rows, rows[1:] + rows[:1]):
         edited = t[: len(t) - len(t) // 4] + follow[: len(t) // 4]
-        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        a, b = shingle_set(t), shingle_set(edited)
-        errors.append(abs((len(a & b) / len(a | b) if a | b else 1.0) - r.near_edited))
-        assert 0 <= r.near_next <= 1 and r.near_edited == sketches.Sketch.parse(r.fingerprint).likeness(sketches.Sketch.parse(r.edited_fingerprint))
+        a, b, c = (sketches.sketch(x) for x in (t, edited, follow))
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), a.text(), b.text(), a.likeness(b), a.likeness(c), a.containment(b), a.containment(c)] += 1
+        for x, estimate in ((edited, a.likeness(b)), (follow, a.likeness(c))):
+            p, q = shingle_set(t), shingle_set(x)
+            errors.append(abs((len(p & q) / len(p | q) if p | q else 1.0) - estimate))
+    assert Counter(map(tuple, got)) == want
     assert np.mean(errors) < 0.03 and max(errors) < 0.2
     whole = sketches.fingerprint_with_edits(docs).select("doc_id", "edited_sha256", "fingerprint").collect()
     assert Counter(map(tuple, whole)) == Counter((r.doc_id, r.edited_sha256, r.fingerprint) for r in got)
@@ -328,6 +418,18 @@ def test_fingerprints(docs, empty):
     assert only.near_next == 1.0
 
 
+def test_fingerprint_ranges_cut_a_hot_id_and_do_not_change_the_result(spark, monkeypatch):
+    monkeypatch.setattr(sketches, "OVERSAMPLING", 4)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text number {i * 7919 % 1000} of many") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    r = sketches.texts(docs).select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("code"), F.xxhash64("text").alias("tie"), "text")
+    bounds = sketches._bounds(r, 600, 30)
+    sizes = [x["count"] for x in r.groupBy(sketches._range_of(bounds)(F.col("code"), F.col("tie")).alias("k")).count().collect()]
+    assert len(sizes) == len(bounds) + 1 > 20 and max(sizes) < 80 and sum(sizes) == 600
+    few, many = (Counter(map(tuple, sketches.fingerprint_with_edits(docs, rows_per_range=n).collect())) for n in (1000, 20))
+    assert few == many and few.total() == 600
+
+
 def test_sketches_merge_and_contain():
     r = random.Random(8)
     words = [f"w{r.randrange(10**6)}" for _ in range(30_000)]
@@ -366,11 +468,40 @@ def test_mixing(spark, docs, empty):
     assert mixing.schedule(docs.where("text is null or text = ''")).count() > 0
 
 
-def test_mixing_keeps_documents_without_words(spark):
-    rows = [(0, "a few words", "s")] + [(i, " " * (i % 3), "s") for i in range(1, 60)] + [(100, "w", "t"), (101, "", "t")]
-    plan = mixing.schedule(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
-    assert {x.doc_id for x in plan} == {i for i, _, _ in rows}
-    assert Counter(x.doc_id for x in plan if x.source == "s") == Counter(range(60))
+@pytest.mark.parametrize("per_range, group_bits", [(512, 9), (4, 2)])
+def test_mixing_by_brute_force(spark, docs, monkeypatch, per_range, group_bits):
+    """Blocks, epochs and what is read of every row, with ranges grouped once and thrice."""
+    monkeypatch.setattr(mixing, "RANGE", per_range)
+    monkeypatch.setattr(mixing, "GROUP_BITS", group_bits)
+    r = random.Random(19)
+    rows = [(i // 2 if i % 9 else None, f"s{r.choice('aaaaabbc')}", " ".join(f"w{r.randrange(99)}" for _ in range(r.randint(0, 30)))) for i in range(700)]
+    table = spark.createDataFrame(rows + rows[:5], "doc_id long, source string, text string")
+    for t, counted in ((table, [(i, s, x, len(x.split())) for i, s, x in rows]), (docs, [(x[0], x[3] or "", x[1] or "", len(re.findall(r"\S+", x[1] or "", re.A))) for x in awkward()])):
+        plan = mixing.schedule(t, block_tokens=300).collect()
+        has = Counter()
+        for _, s, _, n in set(counted):
+            has[s] += n
+        ratio = max(has.values()) / min(n for n in has.values() if n)
+        a = max(0.0, 1 - math.log(2) / math.log(ratio)) if ratio > 2 else 0.0  # the least exponent that repeats no source over twice
+        share = {s: (n / max(has.values())) ** a for s, n in has.items() if n}
+        assert {x.source: x.weight for x in plan if x.weight} == pytest.approx({s: x / sum(share.values()) for s, x in share.items()}, rel=1e-4)
+        found = mixing.exponent(spark.createDataFrame(list(has.items()), "source string, tokens long").where("tokens > 0"), None, 2.0)
+        assert found == pytest.approx(a, abs=1e-5)
+        assert Counter((x.block, x.doc_id, x.source, x.epoch, x.tokens) for x in plan) == brute.schedule(counted, found, block_tokens=300)
+
+
+def test_mix_keeps_the_source_of_each_row(spark):
+    rows = [(1, "a b c", "A", 1), (1, "a b c", "B", 2), (2, "x y z", "A", 3), (2, "x y z", "A", 4), (None, None, None, 5), (3, "u v w q", "A", 6)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, plan_id int")).collect()
+    plan = brute.schedule([(i, s or "", t or "", len((t or "").split())) for i, t, s, _ in rows], 1 - math.log(2) / math.log(10 / 3) + 1e-6)
+    assert Counter((r.doc_id, r.source or "") for r in got) == Counter((i, s) for _, i, s, _, _ in plan.elements())
+    assert {(r.doc_id, r.source) for r in got} == {(1, "A"), (1, "B"), (2, "A"), (None, None), (3, "A")} and len({r.plan_id for r in got if r.doc_id == 2}) == 1
+
+
+def test_token_count_column(spark, docs):
+    tok = Tokenizer.from_file(PATH)
+    got = docs.select("text", token_counts.token_count(PATH).alias("n")).collect()
+    assert all(r.n == len(tok.encode(r.text or "", add_special_tokens=False).ids) for r in got)
 
 
 def test_mixing_keeps_documents_without_words(spark):
@@ -380,22 +511,13 @@ def test_mixing_keeps_documents_without_words(spark):
     assert Counter(x.doc_id for x in plan if x.source == "s") == Counter(range(60))
 
 
-def maximal(scores):
-    """Every maximal scoring segment by definition: recursively the best one, then the rests."""
-    if not len(scores) or max(scores) <= 0:
-        return []
-    best = max(((sum(scores[i:j]), i - j, -i, i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)))
-    _, _, _, i, j = best
-    return maximal(scores[:i]) + [(i, j)] + [(a + j, b + j) for a, b in maximal(scores[j:])]
-
-
 def test_segments_are_the_maximal_ones():
     r = np.random.default_rng(10)
     for n in (1, 5, 12, 20):
         for _ in range(60):
             x = np.round(r.normal(-0.3, 2, n), 3)
             got = toxicity.segments(x)
-            assert sorted(x[a:b].sum() for a, b, _ in got) == pytest.approx(sorted(x[a:b].sum() for a, b in maximal(list(x))))
+            assert sorted(x[a:b].sum() for a, b, _ in got) == pytest.approx(sorted(x[a:b].sum() for a, b in brute.maximal(list(x))))
             assert all(s == pytest.approx(x[a:b].sum()) for a, b, s in got)
 
 
@@ -424,6 +546,33 @@ def test_toxicity_is_learned_without_the_held_out_fold(spark, docs, labels, empt
     assert toxicity.score_toxicity(empty, labels).count() == 0
 
 
+def test_toxicity_by_brute_force(spark):
+    """Counts, log-odds, law, calibration and score, computed again without arrays or Spark."""
+    r = random.Random(21)
+    words = ["".join(r.choice("abcdeé") for _ in range(r.randint(2, 8))) for _ in range(120)]
+    rows, marks = [], {}
+    for i in range(260):
+        toxic = int(i % 5 == 0)
+        t = [r.choice(words) for _ in range(r.randint(0, 25))] + [r.choice(["vilest", "vileness", "grim"]) for _ in range(r.randint(1, 3) * toxic)]
+        r.shuffle(t)
+        rows.append((i, " ".join(t).upper() if i % 11 == 0 else ", ".join(t)))
+        if i % 4:
+            marks[i] = toxic
+    want = brute.toxicity(rows, marks)
+    got = toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(marks.items()), "doc_id long, toxic int")).collect()
+    assert max(want.values()) > 0.8 and min(want.values()) < 0.2
+    assert {x.doc_id: x.score for x in got} == pytest.approx(want, abs=1e-5)
+
+
+def test_classifiers_take_one_text_of_a_labelled_id_that_is_hot(spark):
+    rows = [(7, f"text {i} of a hot id") for i in range(500)] + [(i, f"other {i}") for i in range(8, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(7, 20)], "doc_id long, label int")
+    got = common.labelled_texts(docs, marks).collect()
+    assert sorted(r.doc_id for r in got) == list(range(7, 20))
+    assert next(r.text for r in got if r.doc_id == 7) == min((t for i, t in rows if i == 7), key=brute.spark_hash)
+
+
 PATTERNS = (
     re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
@@ -460,6 +609,7 @@ def test_pii(docs, empty):
         text = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in b)
         want[(i, *(sum(k == x for _, k, _ in b) for x in range(4)), hashlib.sha256(text.encode()).hexdigest(), text)] += 1
     got = pii.find_pii(docs).collect()
+    assert all(r.has_any == bool(r.spans) and r.n_added == len(list(filter(None, r.spans.split(",")))) - r.n_email - r.n_ip - r.n_card - r.n_phone for r in got)
     assert Counter(tuple(r)[:6] for r in got) == Counter({k[:6]: 0 for k in want}) + Counter(k[:6] for k in want.elements())
     for r, (_, *_, text) in [(r, k) for r in got for k in want if k[:6] == tuple(r)[:6]]:
         assert set(filter(None, text.split(","))) <= set(r.spans.split(","))
@@ -467,15 +617,111 @@ def test_pii(docs, empty):
     assert pii.find_pii(empty).count() == 0
 
 
+def added(t):
+    return [(pii.ALL_KINDS[k], t[a:b]) for a, k, b in pii._added(t, pii.base_spans(t), pii.field_spans([t])[0])]
+
+
+# Lines that the field is not trained on, written before it was run on them; the address alone is marked where a port follows, as the base pattern has it.
+HELD = (
+    "please write [email tom_b@corp] before noon",
+    "admins: [email ops9@mailhost], [email dba@backup2]",
+    '{"mail": "[email w.k@lan]", "id": 44}',
+    "user=[email zoe@devbox];lang=en",
+    "<[email noreply@localhost]> said 3 things",
+    "forward it to [email hr@hq1] and wait",
+    "call us at [phone (303) 555-0177] today",
+    "phone [phone 646-555-0111] or come by",
+    "fax: [phone (0)30 555 01234]",
+    "mobile [phone 07911 123456]",
+    "ring [phone 212.555.0199] after 6",
+    "tel [phone 089 5550 777]",
+    '"tel":"[phone 702-555-0133]","zip":"89101"',
+    "dial [phone 3035550109] now",
+    "cell: [phone 917 555 0142]",
+    "server [ip 172.31.4.9]:22 refused",
+    "ping [ip 10.20.30.40]/16 lost",
+    "http://[ip 192.0.2.44]:8443/x?y=1",
+    "visa [card 4929.1234.5678.9012] declined",
+    "card [card 5105 1051 0510 5101] stolen",
+    "paid by card [card 6011-0009-9013-9425] twice",
+    "amex [card 3714 496353 98432] used",
+    "mastercard [card 5200828282828211] on file",
+    'token = "[secret 4f1c9d7ab2e08835cc10]" end',
+    "password=[secret Tr0ub4dor88]",
+    "api_key: [secret xoxb-2389471023-abcdef9081]",
+    "secret = '[secret e3b0c44298fc1c149afb]'",
+    "key [secret AIzaSyD4x7Qw2E9rT5yU8iO1pA3sD6fG] in code",
+    "export PASSWORD=[secret p4ssw0rd77]",
+    "in 2011 about 40 of 900 left",
+    "python 3.11.4 and java 17.0.2",
+    "section 2.3.1 and table 14",
+    "commit 1f3870be274f6c49b3e31a0c6728957f09d2a8b1 reverted",
+    "uuid 123e4567-e89b-12d3-a456-426614174000",
+    "order 7712093441 shipped in 3 boxes",
+    "invoice 2023-000481 over 1,299.90",
+    "item 4929123456789013 of stock",
+    "thanks @kim_88 and @lee",
+    "between 1990-1995 and 2001-2004",
+    "at 08:15:30 or 17:45",
+    "coordinates 52.5200 13.4050",
+    "scores 21 19 15 21 and 11 9",
+    "b12 c4 and 5g phones",
+    "page 3 of 10, key 5 of 8",
+)
+
+
+def test_field_recall_on_held_out_lines():
+    hit, every, wrong = Counter(), Counter(), 0
+    for line in HELD:
+        text, spans = pii.annotated(line)
+        base = pii.base_spans(text)
+        found = set(base) | set(pii._added(text, base, pii.field_spans([text])[0]))
+        every.update(pii.ALL_KINDS[k] for _, k, _ in spans)
+        hit.update(pii.ALL_KINDS[s[1]] for s in spans if s in found)
+        wrong += len(found - set(spans))
+    assert all(hit[k] >= 0.8 * n for k, n in every.items()), (hit, every)
+    assert wrong <= 1
+
+
+def test_viterbi_finds_the_best_path():
+    crf, r = pii.trained(), np.random.default_rng(3)
+    texts = [" ".join(r.choice(["415", "a1@b", "(212)", "10.0.0.1", "4111", "x9f3c77d", "555-0123"], n)) for n in (1, 2, 3, 3, 4, 4)]
+    runs = [o for t in texts for o in pii.observations(t)]
+    e, there = crf._batch(runs)
+    for run, tags, emissions, n in zip(runs, crf.decode(runs), e, there.sum(axis=1)):
+        score = sum(emissions[i, t] for i, t in enumerate(tags)) + sum(crf.t[a, b] for a, b in zip([len(pii.TAGS), *tags], tags))
+        assert n == len(run) and score == pytest.approx(brute.best_path(emissions[:n], crf.t)[0])
+
+
+def test_gradient_of_the_field():
+    """The likelihood's gradient against differences: a step of training along it must be what the likelihood says."""
+    crf = pii.Crf(pii.LABELLED[:12], steps=0)
+    runs = [(o, t) for text, spans in map(pii.annotated, pii.LABELLED[:12]) for o, t in zip(pii.observations(text), pii._tagged(text, spans))]
+    rng = np.random.default_rng(4)
+    crf.w, crf.t = rng.normal(0, 0.3, crf.w.shape), rng.normal(0, 0.3, crf.t.shape)
+    gw, gt = crf.gradient(runs)
+    for x, g in ((crf.w, gw), (crf.t, gt)):
+        at = [tuple(i) for i in np.argwhere(np.abs(g) > 1e-3)]
+        for i in [at[j] for j in rng.integers(0, len(at), 25)]:
+            x[i] += 1e-5
+            up = crf.likelihood(runs)
+            x[i] -= 2e-5
+            down = crf.likelihood(runs)
+            x[i] += 1e-5
+            assert (up - down) / 2e-5 == pytest.approx(g[i], rel=1e-4, abs=1e-6)
+
+
+def test_field_takes_long_tokens_whole():
+    for n in (60, 254, 304, 5000):
+        assert added(f"write to {'a' * n}@office soon") == [("email", "a" * n + "@office")]
+    assert added("x" * 300 + ',"phone":"(303) 555-0177","mail":"kim@office"') == [("phone", "(303) 555-0177"), ("email", "kim@office")]
+    pii.field_spans(["1a" * 300_000, "@" * 300_000, "1," * 300_000])  # linear time
+
+
 def test_field_learns_its_table_and_generalises():
     crf = pii.trained()
-    right = sum(
-        crf.decode([crf._observe(tokens, a, b)])[0] == tags[a:b]
-        for tokens, tags in map(pii._parse, pii.LABELLED)
-        for a, b in pii._runs([pii.features(t)[-1] == "plain" for t in tokens])
-    )
-    assert right >= 58
-    found = lambda t: [(pii.KINDS[k], t[a:b]) for a, k, b in pii._added(t, pii.base_spans(t), pii.field_spans([t])[0])]
-    assert found("ring (303) 555-0177 today") == [("phone", "(303) 555-0177")]
-    assert found("write to kim@office soon") == [("email", "kim@office")]
-    assert found("in 2019 and 2020 we had 15 or 16, version 3.1.4, hash 9f86d081884c7d65") == []
+    table = [(o, t) for text, spans in map(pii.annotated, pii.LABELLED) for o, t in zip(pii.observations(text), pii._tagged(text, spans))]
+    assert sum(crf.decode([o])[0] == t for o, t in table) >= len(table) - 2 > 100
+    assert added("ring (303) 555-0177 today") == [("phone", "(303) 555-0177")]
+    assert added("write to kim@office soon") == [("email", "kim@office")]
+    assert added("in 2019 and 2020 we had 15 or 16, version 3.1.4, hash 9f86d081884c7d65") == []

@@ -1,50 +1,97 @@
 """The pipeline on small and awkward corpora, stage by stage against brute force."""
 
-from collections import Counter, defaultdict
+import os
+import sys
+from collections import Counter
 
 import pytest
 
 pytest.importorskip("public_tokenizers")
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from test_llm import SCHEMA, awkward, shingle_set, union  # noqa: E402
+import brute  # noqa: E402
+from test_llm import PATH, SCHEMA, awkward, near_components  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
+
+MARKS = {i * 3: int(i % 4 != 1) for i in range(60)}
 
 
 @pytest.fixture()
 def corpus(spark, tmp_path):
     def make(rows):
         spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
-        marks = [(i * 3, 1, 0) for i in range(50)]
-        spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+        spark.createDataFrame([(i, q, 0) for i, q in MARKS.items()], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
         return str(tmp_path)
 
     return make
 
 
 def test_stages(spark, corpus, tmp_path):
+    """Each stage on what the one before it kept, row by row."""
     d = corpus(awkward())
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    kept = []
+    tok = Tokenizer.from_file(PATH)
+    tokens = lambda t: tok.encode(t, add_special_tokens=False).ids
+    rows = [(r[0], r[3], r[1] or "") for r in awkward()]
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, d)
         out.write.parquet(str(tmp_path / f"stage{k}"))
         before, docs = docs, spark.read.parquet(str(tmp_path / f"stage{k}"))
         if k < 4:
             assert docs.columns == before.columns
-            kept.append([(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()])
-    quality, exact, near, mixed = kept
-    assert len(quality) == len(awkward())  # no document is labelled bad
-    best = {}
-    for i, t in quality:
-        best[t] = max((x for x in (best.get(t), i) if x is not None), default=None)
-    assert Counter(exact) == Counter((i, t) for t, i in best.items())
-    sets = [(i, shingle_set(t)) for i, t in exact if i is not None]
-    find = union([(a, b) for a, p in sets for b, q in sets if a < b and p and q and len(p & q) >= 0.8 * len(p | q)])
-    assert Counter(near) == Counter((i, t) for i, t in exact if i is None or find(i) == i)
-    assert set(mixed) == set(near)
-    pieces = defaultdict(int)
+            got = Counter((r.doc_id, r.source, r.text or "") for r in docs.select("doc_id", "source", "text").collect())
+        if name == "quality":
+            kept = Counter((i, t) for i, t, *_, kept in brute.quality([(i, t) for i, _, t in rows], MARKS) if kept)
+            assert Counter((i, t) for i, _, t in got.elements()) == kept and len(rows) > kept.total() > 20
+        elif name == "exact_dedup":
+            best = {}
+            for i, _, t in rows:
+                best[t] = max((x for x in (best.get(t), i) if x is not None), default=None)
+            assert Counter((i, t) for i, _, t in got.elements()) == Counter((i, t) for t, i in best.items())
+        elif name == "near_dedup":
+            tied = near_components([(i, t) for i, _, t in rows])
+            assert got == Counter(r for r in rows if tied.get((r[0], r[2]), (0, True))[1]) and got.total() < len(rows)
+        elif name == "mixing":
+            from tidemark.llm import mixing
+
+            has = Counter()
+            for _, s, t in rows:
+                has[s or ""] += len(tokens(t))
+            a = mixing.exponent(spark.createDataFrame(list(has.items()), "source string, tokens long").where("tokens > 0"), None, 2.0)
+            plan = brute.schedule([(i, s or "", t, len(tokens(t))) for i, s, t in rows], a)
+            assert Counter((i, s or "", len(tokens(t))) for i, s, t in got.elements()) == Counter((i, s, n) for _, i, s, _, n in plan.elements())
+            assert {(i, t) for i, _, t in got} == {(i, t) for i, _, t in rows}
+        rows = list(got.elements())
+    pieces = Counter()
     for r in docs.collect():
         pieces[r.doc_id] += r.length
-    assert set(pieces) == {i for i, _ in near}
+    want = Counter()
+    for i, _, t in rows:
+        want[i] += len(tokens(t)) + 1
+    assert pieces == want
+
+
+def test_near_dedup_stage_keeps_another_text_of_an_id_that_goes(spark):
+    words = [f"w{k}" for k in range(100)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "x"])), (2, "something else that is like nothing at all"), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    assert Counter(map(tuple, corpus_pipeline.near_dedup_stage(spark, docs, "").collect())) == Counter([rows[0], *rows[2:]])
+
+
+def test_exact_dedup_stage_carries_clashing_names_and_settles_repeats(spark):
+    rows = [(1, "a", "x", 1), (1, "a", "y", 2), (2, "b", None, 3), (None, "a", "z", 4), (None, None, "n", 5), (None, "", "m", 6)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, __sha string, row int")
+    first = corpus_pipeline.exact_dedup_stage(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in first) == [(0, ""), (1, "a"), (2, "b")]
+    assert Counter(first) == Counter(corpus_pipeline.exact_dedup_stage(spark, docs.orderBy("row", ascending=False), "").collect())
+    assert first[0].asDict().keys() == {"doc_id", "text", "__sha", "row"}
+
+
+def test_run_leaves_only_what_its_result_reads(spark, corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidemark.plans.scratch.scratch_root", lambda spark: f"file://{tmp_path}/scratch")
+    assert corpus_pipeline.run(spark, corpus(awkward())).count() > 10
+    left = {p.name.rsplit("-", 1)[0] for p in (tmp_path / "scratch/tidemark").iterdir() if any(p.glob("*.parquet"))}
+    assert left == {"mixing", "pack"}
 
 
 def test_an_empty_corpus(spark, corpus):
