@@ -27,6 +27,14 @@ def change_text(c: Column, added: Column, cap: int) -> Column:
     return F.when(added & long, whole).when(added, fresh).when(long, counts).otherwise(moved)
 
 
+def titles(fields: Column, names) -> Column:
+    """(field, value) of those of up to three title fields that a record has, values cut at 200 characters."""
+    if not names:
+        return F.array().cast("array<struct<field:string,value:string>>")
+    pairs = F.transform(F.array(*map(F.lit, list(names)[:3])), lambda f: F.struct(f.alias("field"), F.substring(F.try_element_at(fields, f)["v"], 1, 200).alias("value")))
+    return F.filter(pairs, lambda p: F.array_contains(F.map_keys(fields), p["field"]))
+
+
 def label(key_label: Column, key: Column, cap: int) -> Column:
     return F.concat(F.when(F.coalesce(key_label, F.lit("")) != "", F.concat(key_label, F.lit(" "))).otherwise(F.lit("")), quoted(key, cap))
 

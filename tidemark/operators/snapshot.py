@@ -44,10 +44,17 @@ def check_keys(records: DataFrame, key: str = "key") -> None:
         raise CollectError(f"{r.repeated} keys occur more than once, {r['first']!r} {r.most} times")
 
 
-def check_names(names: Sequence[str]) -> None:
-    for n in names:
-        if not n or len(n) > 64 or not n.isprintable():
-            raise CollectError(f"field name {n!r} is not allowed")
+#: Characters that no field name may hold: all of the categories "other" and "separator" but the space.
+_UNPRINTABLE = r"(?! )[\p{C}\p{Z}]"
+
+
+def check_names(records: DataFrame, fields: str = "fields", most: int = 64) -> None:
+    """Raises on a field name that is empty, longer than ``most`` or not printable, in any record: one aggregate, one row to the driver."""
+    n = F.col("n")
+    bad = (n == "") | (F.length(n) > most) | n.rlike(_UNPRINTABLE)
+    first = records.select(F.explode(F.map_keys(fields)).alias("n")).where(bad).agg(F.min("n").alias("n")).first()
+    if first.n is not None:
+        raise CollectError(f"field name {first.n!r} is not allowed")
 
 
 def composite_key(*columns: Column) -> Column:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import copy
 from dataclasses import asdict, dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.lines import titles
 from tidemark.functions.udfs import text_change
 from tidemark.operators import log, outcomes, score, snapshot
 from tidemark.operators.snapshot import CollectError, LoginRequired
 from tidemark.plans import model
-from tidemark.plans.scratch import settled
+from tidemark.plans.scratch import scope, settled
 from tidemark.plans.store import Commit, Store, stamp, unstamp
 from tidemark.sources.base import Collected, Collector
 
@@ -30,14 +32,16 @@ class Result:
 
 def register(store: Store, configs: list[model.SourceConfig]) -> None:
     """Writes what the configuration says of each source; collected state stays, and sources that left are marked."""
-    commit = store.begin()
     known = {c.id for c in configs}
-    for c in configs:
-        row = commit.manifest.sources.setdefault(c.id, {})
-        row |= {"type": c.type, "priority": c.priority, "key_label": c.key_label, "schedule": c.schedule, "configured": True}
-    for name, row in commit.manifest.sources.items():
-        row["configured"] = name in known
-    commit.publish()
+
+    def change(commit: Commit) -> None:
+        for c in configs:
+            row = commit.manifest.sources.setdefault(c.id, {})
+            row |= {"type": c.type, "priority": c.priority, "key_label": c.key_label, "schedule": c.schedule, "configured": True}
+        for name, row in commit.manifest.sources.items():
+            row["configured"] = name in known
+
+    store.update(change)
 
 
 def _state(row: dict) -> outcomes.State:
@@ -58,42 +62,75 @@ def _save(row: dict, s: outcomes.State) -> None:
     row.update({k: stamp(v) if isinstance(v, datetime) else list(v) if isinstance(v, tuple) else v for k, v in asdict(s).items()})
 
 
+#: Attempts at a commit whose numbers another run took first.
+TRIES = 5
+
+
 def run(store: Store, config: model.SourceConfig, source: Collector, now: datetime) -> Result:
     """Collects and commits. A failure is an outcome, not an exception; the snapshot is untouched by it."""
-    spark = store.spark
-    try:
-        got = source.collect(spark, now)
-        records = settled(_hashed(got.records), "collected")
-        snapshot.check_keys(records)
-        names = [r.n for r in records.select(F.explode(F.map_keys("fields")).alias("n")).distinct().limit(1001).collect()]
-        snapshot.check_names(names)
-        broken = tuple(got.broken)
-        message = f"{len(broken)} selectors match nothing" if broken else None
-        outcome = outcomes.Outcome("broken" if broken else "ok", now, message, None, broken, got.fingerprint)
-    except LoginRequired as e:
-        got, outcome = None, outcomes.Outcome("login", now, _cut(str(e)), e.hint)
-    except CollectError as e:
-        got, outcome = None, outcomes.Outcome("fail", now, _cut(str(e)))
-    except Exception as e:  # a collector's own fault is a failed run as well
-        got, outcome = None, outcomes.Outcome("fail", now, _cut(f"{type(e).__name__}: {e}".splitlines()[0]))
-    commit = store.begin()
+    spark, records = store.spark, None
+    with scope(spark):
+        try:
+            got = source.collect(spark, now)
+            records = settled(_hashed(got.records), "collected")
+            _check(records, got)
+            broken = tuple(got.broken)
+            message = f"{len(broken)} selectors match nothing" if broken else None
+            outcome = outcomes.Outcome("broken" if broken else "ok", now, message, None, broken, got.fingerprint, 0 if broken else records.count())
+        except LoginRequired as e:
+            got, outcome = None, outcomes.Outcome("login", now, _cut(str(e)), e.hint)
+        except CollectError as e:
+            got, outcome = None, outcomes.Outcome("fail", now, _cut(str(e)))
+        except Exception as e:  # a collector's own fault is a failed run as well
+            got, outcome = None, outcomes.Outcome("fail", now, _cut(f"{type(e).__name__}: {e}".splitlines()[0]))
+        return store.update(lambda commit: _commit(commit, config, source, got, records, outcome), TRIES)
+
+
+def _commit(commit: Commit, config: model.SourceConfig, source: Collector, got: Collected | None, records: DataFrame | None, outcome: outcomes.Outcome) -> Result:
+    """A run's events, records and state on top of the newest manifest; all of it again if another run commits first."""
     row = commit.manifest.sources.setdefault(config.id, {"type": config.type, "priority": config.priority, "key_label": config.key_label, "schedule": config.schedule, "configured": True})
     before = _state(row)
-    if outcome.kind == "ok":
-        outcome = outcomes.Outcome("ok", now, fingerprint=outcome.fingerprint, record_count=records.count())
     after, told, counts = outcomes.step(before, outcome)
     if not counts:
+        commit.manifest.sources = copy.deepcopy(commit.base.sources)
         return Result(config.id, None, None, superseded=True)
-    first = commit.manifest.next_seq
+    first, now = commit.manifest.next_seq, outcome.at
     _announce(commit, config, told, now)
     if outcome.kind == "ok":
         row["record_count"] = _store(commit, config, source, got, records, before.baselined, now)
     _save(row, after)
-    last = commit.publish().max_seq
+    last = commit.manifest.max_seq
     failed = outcome.message if outcome.kind != "ok" else None
     return Result(config.id, first if last >= first else None, last if last >= first else None, failed)
 
 
+def _check(records: DataFrame, got: Collected) -> None:
+    """Raises unless keys are whole and unique, all field names allowed, and what could not be read is no record as well."""
+    snapshot.check_keys(records)
+    snapshot.check_names(records)
+    for what, value in (("broken", got.broken), ("unavailable", [] if isinstance(got.unavailable, DataFrame) else got.unavailable)):
+        if isinstance(value, str) or not all(isinstance(x, str) for x in value):
+            raise CollectError(f"{what} is not a list of texts")
+    if got.fingerprint is not None and not (isinstance(got.fingerprint, str) and got.fingerprint):
+        raise CollectError("the fingerprint is not a text")
+    w = got.window
+    if w is not None:
+        starts = [w.start, *w.starts.values()]
+        if not w.field or not all(isinstance(t, datetime) and t.tzinfo for t in starts) or w.starts and not w.scope_field:
+            raise CollectError("the window needs a field, times with a zone, and a scope field if it has starts of its own")
+    if not isinstance(got.unavailable, DataFrame) and not got.unavailable:
+        return
+    both = records.join(_lost(records.sparkSession, got), "key", "left_semi").select("key").first()
+    if both:
+        raise CollectError(f"key {both.key!r} is both a record and unavailable")
+
+
+def _lost(spark: SparkSession, got: Collected) -> DataFrame:
+    if isinstance(got.unavailable, DataFrame):
+        return got.unavailable.select("key")
+    return spark.createDataFrame([(k,) for k in got.unavailable], "key string")
+
+
 def _cut(message: str) -> str:
     return message if len(message) <= MOST_MESSAGE else message[: MOST_MESSAGE - 1] + "…"
 
@@ -112,7 +149,7 @@ def _announce(commit: Commit, config: model.SourceConfig, told: list[tuple[str,
         rows.append((commit.manifest.next_seq, config.id, kind, None, [], weight, tuple(d[f] for f in model.DETAIL.fieldNames()), now))
         commit.manifest.next_seq += 1
     if rows:
-        commit.append("events", commit.store.spark.createDataFrame(rows, model.EVENTS))
+        commit.append("events", commit.store.spark.createDataFrame(rows, model.EVENTS), config.id, (rows[0][0], rows[-1][0], len(rows)))
 
 
 def _store(commit: Commit, config: model.SourceConfig, source: Collector, got: Collected, new: DataFrame, baselined: bool, now: datetime) -> int:
@@ -121,15 +158,13 @@ def _store(commit: Commit, config: model.SourceConfig, source: Collector, got: C
     The three ways of being absent (unavailable, aged out, removed) are told apart from one join of flags.
     """
     spark = commit.store.spark
-    every = commit.store.read("records", commit.manifest)
-    mine, others = every.where(F.col("source_id") == config.id), every.where(F.col("source_id") != config.id)
+    mine = commit.store.read("records", commit.manifest, config.id).where(F.col("source_id") == config.id)
     old = mine.where("present").select("key", "fields", "content_hash")
-    lost = spark.createDataFrame([(k,) for k in got.unavailable], "key string")
+    lost = _lost(spark, got)
     kept = snapshot.carried(old, lost)
     if not baselined:
         rows = new.select(F.lit(config.id).alias("source_id"), "key", "fields", "content_hash", F.lit(True).alias("present"), F.lit(now).alias("updated_at"))
-        commit.replace("records", others.unionByName(rows))
-        return new.count()
+        return commit.replace("records", rows, config.id)
     shown = snapshot.visible(old, lost)
     aged = _aged(shown, new, got)
     shown = settled(shown.join(aged.select("key"), "key", "left_anti"), "shown")
@@ -137,11 +172,8 @@ def _store(commit: Commit, config: model.SourceConfig, source: Collector, got: C
     drafts = _drafts(shown, new, config, source, track)
     drafts = settled(drafts, "drafts")
     events = log.with_seq(drafts, ["key"], commit.manifest.next_seq - 1)
-    n = drafts.count()
-    if n:
-        title = config.title or source.default_title
-        commit.append("events", _events(events, config, title, now))
-        commit.manifest.next_seq += n
+    title = config.title or source.default_title
+    commit.manifest.next_seq += commit.append("events", _events(events, config, title, now), config.id)
     gone = drafts.where("kind = 'removed'").select("key")
     changed = snapshot.delta(old, new)
     fresh = changed.select(F.lit(config.id).alias("source_id"), "key", "fields", "content_hash", F.lit(True).alias("present"), F.lit(now).alias("updated_at"))
@@ -149,7 +181,7 @@ def _store(commit: Commit, config: model.SourceConfig, source: Collector, got: C
     rest = mine.join(fresh.select("key"), "key", "left_anti").join(aged.select("key"), "key", "left_anti")
     rest = rest.join(gone.select(F.col("key").alias("__gone")), F.col("key") == F.col("__gone"), "left")
     rest = rest.select("source_id", "key", "fields", "content_hash", F.when(was, F.lit(False)).otherwise(F.col("present")).alias("present"), F.when(was, F.lit(now)).otherwise(F.col("updated_at")).alias("updated_at"))
-    commit.replace("records", others.unionByName(rest).unionByName(fresh))
+    commit.replace("records", rest.unionByName(fresh), config.id)
     return new.count() + kept.join(new.select("key"), "key", "left_anti").count()
 
 
@@ -205,8 +237,7 @@ def _str(side: str):
 
 
 def _events(drafts: DataFrame, config: model.SourceConfig, title, now: datetime) -> DataFrame:
-    pairs = F.transform(F.array(*map(F.lit, list(title)[:3])) if title else F.array().cast("array<string>"), lambda f: F.struct(f.alias("field"), F.substring(F.try_element_at("fields", f)["v"], 1, 200).alias("value")))
-    pairs = F.filter(pairs, lambda p: F.array_contains(F.map_keys("fields"), p["field"]))
+    pairs = titles(F.col("fields"), title)
     blank = {f.name: F.lit(None).cast(f.dataType) for f in model.DETAIL.fields if f.name != "title"}
     detail = F.struct(*(blank[f].alias(f) if f in blank else pairs.alias(f) for f in model.DETAIL.fieldNames()))
     return drafts.select(
@@ -214,37 +245,69 @@ def _events(drafts: DataFrame, config: model.SourceConfig, title, now: datetime)
     )
 
 
-def prune(store: Store, cutoff: datetime) -> tuple[int, int]:
-    """Drops events and served texts older than the cutoff, then removed records nothing refers to. (events, records) dropped."""
-    commit = store.begin()
-    m = commit.manifest
-    events, records = store.read("events", m), store.read("records", m)
-    cut = F.lit(cutoff)
-    kept = log.prune(events, cut)
-    m.pruned_through = log.pruned_through(events, cut, F.lit(m.pruned_through).cast("long")).first()[0]
-    left = log.prune_records(records, kept)
-    gone = events.count() - kept.count(), records.count() - left.count()
-    commit.replace("events", kept)
-    commit.replace("records", left)
-    commit.replace("served", store.read("served", m).where(F.col("at") >= cut))
-    commit.publish()
-    return gone
-
-
-def tick(store: Store, sources: list[tuple[model.SourceConfig, Collector]], now: datetime, every: bool = False) -> list[Result]:
-    """Runs the sources that are due, soonest first; one that fails stops no other."""
-    m = store.manifest()
+def prune(store: Store, cutoff: datetime, now: datetime | None = None) -> tuple[int, int]:
+    """Drops events and served texts older than the cutoff, then removed records nothing refers to. (events, records) dropped.
+
+    Each source's generations are rewritten on their own, so this also makes one of many small ones.
+    """
+
+    def change(commit: Commit) -> tuple[int, int]:
+        m, cut = commit.manifest, F.lit(cutoff)
+        events, records = store.read("events", m), store.read("records", m)
+        kept = settled(log.prune(events, cut), "kept")
+        m.pruned_through = log.pruned_through(events, cut, F.lit(m.pruned_through).cast("long")).first()[0]
+        left = settled(log.prune_records(records, kept), "left")
+        before = sum(g["rows"] for name in ("events", "records") for g in commit.base.tables.get(name, []))
+        n_events = n_records = 0
+        for source in sorted({g["source"] for g in m.tables.get("events", [])} | {g["source"] for g in m.tables.get("records", [])}):
+            mine = F.col("source_id") == source
+            n_events += commit.replace("events", kept.where(mine), source)
+            n_records += commit.replace("records", left.where(mine), source)
+        commit.replace("served", store.read("served", m).where(F.col("at") >= cut))
+        if now is not None:
+            m.meta["last_pruned"] = stamp(now)
+        n = sum(g["rows"] for g in commit.base.tables.get("events", []))
+        return n - n_events, before - n - n_records
+
+    with scope(store.spark):
+        return store.update(change)
+
+
+def tick(store: Store, sources: list[tuple[model.SourceConfig, Collector]], now: datetime, every: bool = False, retry_at: dict[str, datetime] | None = None, clock=None, log=None) -> list[Result]:
+    """Runs the sources that are due, soonest first; one that fails stops no other.
+
+    A run that raises, as it could not commit, is due again after its schedule only (``retry_at``, the caller's). The heartbeat is
+    written before each run and at the end, at the time that ``clock`` shows then.
+    """
+    retry_at, say = {} if retry_at is None else retry_at, log or (lambda text: None)
+    time = lambda: max(now, clock()) if clock else now
     due = []
     for config, source in sources:
-        row = m.sources.get(config.id, {})
-        tried = [t for t in (unstamp(row.get("last_success_at")), unstamp(row.get("last_error_at"))) if t]
-        at = max(tried) + timedelta(seconds=config.schedule) if tried else None
-        if every or at is None or at <= now:
-            due.append((at or now, config.id, config, source))
+        at = due_at(store.manifest().sources.get(config.id, {}), config.schedule, now)
+        at = max(at, retry_at.get(config.id, at))
+        if every or at <= now:
+            due.append((at, config.id, config, source))
     out = []
     for _, _, config, source in sorted(due, key=lambda x: x[:2]):
-        out.append(run(store, config, source, now))
-        commit = store.begin()
-        commit.manifest.meta["heartbeat"] = stamp(now)
-        commit.publish()
+        try:
+            began = time()
+            beat(store, began)
+            out.append(run(store, config, source, began))
+            retry_at.pop(config.id, None)
+            if out[-1].failed:
+                say(f"{config.id}: collection failed: {out[-1].failed}")
+        except Exception as e:  # the store's, and so of no source
+            retry_at[config.id] = now + timedelta(seconds=config.schedule)
+            say(f"{config.id}: run failed: {type(e).__name__}: {e}")
+    beat(store, time())
     return out
+
+
+def due_at(row: dict, schedule: int, now: datetime) -> datetime:
+    """When a source is due: its last attempt and its schedule later, or now if it was never tried."""
+    tried = [t for t in (unstamp(row.get("last_success_at")), unstamp(row.get("last_error_at"))) if t]
+    return max(tried) + timedelta(seconds=schedule) if tried else now
+
+
+def beat(store: Store, now: datetime) -> None:
+    store.update(lambda commit: commit.manifest.meta.update(heartbeat=stamp(now)))
