@@ -43,7 +43,7 @@ def served_page(store: Store, before: int | None = None, size: int = PAGE) -> tu
 
 def stored(store: Store, seq: int) -> DataFrame:
     """An event's stored data as JSON texts."""
-    e = store.read("events").where(F.col("seq") == seq)
+    e = store.read("events", None, None, seq, seq).where(F.col("seq") == seq)
     return e.select("seq", "source_id", "kind", "record_key", "importance", iso(F.col("created_at")).alias("created_at"), F.to_json("field_changes").alias("changes"), F.to_json("detail").alias("detail"))
 
 

@@ -31,6 +31,9 @@ DEFAULT_BONUS = 10
 LONG_TEXT = 200
 REFINE_CHARS = 5000
 
+# Fixed value: what a source may be called.
+SOURCE_ID = r"[a-z0-9][a-z0-9_-]{0,63}"
+
 #: Scheme of handles and the name that opens texts.
 SCHEME = "tide"
 NAME = "tidemark"
@@ -80,27 +83,6 @@ RECORDS = T.StructType(
         T.StructField("updated_at", T.TimestampType()),
     ]
 )
-SOURCES = T.StructType(
-    [
-        T.StructField("source_id", T.StringType()),
-        T.StructField("type", T.StringType()),
-        T.StructField("priority", T.StringType()),
-        T.StructField("key_label", T.StringType()),
-        T.StructField("schedule", T.IntegerType()),
-        T.StructField("configured", T.BooleanType()),
-        T.StructField("baselined", T.BooleanType()),
-        T.StructField("in_error", T.BooleanType()),
-        T.StructField("error_from", T.TimestampType()),
-        T.StructField("announced", T.StringType()),
-        T.StructField("last_error", T.StringType()),
-        T.StructField("last_error_at", T.TimestampType()),
-        T.StructField("last_success_at", T.TimestampType()),
-        T.StructField("record_count", T.LongType()),
-        T.StructField("fingerprint", T.StringType()),
-        T.StructField("broken", T.ArrayType(T.StringType())),
-    ]
-)
-CURSORS = T.StructType([T.StructField("agent_id", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("updated_at", T.TimestampType())])
 SERVED = T.StructType(
     [
         T.StructField("id", T.LongType()),

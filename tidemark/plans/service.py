@@ -14,14 +14,44 @@ from pyspark.sql import functions as F
 from tidemark.functions import lines as L
 from tidemark.functions.text import minute, quoted
 from tidemark.operators import log, score
-from tidemark.plans.model import NAME, PRIORITY_WEIGHTS, SCHEME, SERVED
-from tidemark.plans.store import Store, stamp, unstamp
+from tidemark.plans.model import NAME, PRIORITY_WEIGHTS, SCHEME, SERVED, SOURCE_ID
+from tidemark.plans.scratch import scope, settled
+from tidemark.plans.store import Commit, Conflict, Store, stamp, unstamp
+
+# The sentences of the responses.
+SAYS = {
+    "note_foot": "after handling: ack(cursor={0})",
+    "filtered": "filtered view: take the digest without source before ack",
+    "nothing": "no new events after cursor {0}",
+    "stale": "warning: daemon heartbeat stale ({0} ago; shortest schedule {1}); data may be stale",
+    "expired": "warning: events {0}-{1} expired (retention) before this agent read them",
+    "no_source": "error: unknown source {0}",
+    "no_handle": "error: unknown handle {0}; expected {1}://evt/<seq>, {1}://rec/<source_id>/<key> or {1}://batch/<from>-<to>?source=<id>",
+    "no_event": "error: event {0} not found (expired or never existed)",
+    "no_record": "error: record not found",
+    "no_agent": "error: invalid agent_id {0}; use letters, digits, _ . -",
+    "behind": "error: cursor {0} is behind current cursor {1} for agent={2}",
+    "beyond": "error: cursor {0} is beyond the latest event {1}",
+    "moved": "ok: agent={0} cursor {1} -> {2}",
+    "recovered": "recovered; error from {0}: {1}",
+    "selectors": "selectors matching 0 elements:",
+    "truncated": "truncated: {0} more {1}",
+    "no_daemon": "daemon not running (no heartbeat)",
+    "daemon_stale": "daemon heartbeat stale ({0} ago; shortest schedule {1})",
+    "daemon": "daemon heartbeat {0} ago",
+    "in_error": "error from {0}; latest {1}: {2}",
+    "never_tried": "never collected",
+    "never_worked": "never succeeded",
+    "dropped": "not in config",
+}
 
 LEAST_BUDGET, DEFAULT_BUDGET = 200, 800
+#: Generations of the served log beyond which a response compacts them, where no daemon does.
+MOST_SERVED = 128
 #: Shortest event line with its line end: bounds how many lines a budget can hold.
 LEAST_LINE = 20
 _AGENT = re.compile(r"[A-Za-z0-9_.-]{1,64}")
-_SOURCE = r"[A-Za-z0-9][A-Za-z0-9_.-]{0,63}"
+_SOURCE = SOURCE_ID
 
 
 def estimate(text: str) -> int:
@@ -93,6 +123,7 @@ class Digest:
         met = events.join(dim, "source_id", "left")
         weight = F.when(F.col("priority").isNotNull(), score.priority_weight(F.coalesce("priority", F.lit("low"))))
         met = log.effective_importance(met, F.col("priority"), weight, score.kind_weight(F.col("kind")))
+        met = settled(met, "digest")
         cap = budget * 7 // 2 // LEAST_LINE + 1
         top = met.orderBy(F.desc("effective"), "seq").limit(cap)
         self.lines: list[Row] = top.select("seq", "source_id", "effective", L.line(F.coalesce("key_label", F.lit("")), F.col("resolved")).alias("line")).orderBy(F.desc("effective"), "seq").collect()
@@ -118,7 +149,7 @@ class Digest:
             out += [r.line for r in shown[s]]
         for s in sorted(worst, key=lambda s: (-worst[s], s)):
             out.append(f"omitted: {s} {self.totals[s].n - len(shown.get(s, []))} {Handle('batch', source=s, lo=self.first, hi=self.last)}")
-        out.append("filtered view: take the digest without source before ack" if source else f"after handling: ack(cursor={self.last})")
+        out.append(SAYS["filtered"] if source else SAYS["note_foot"].format(self.last))
         return "\n".join(out)
 
 
@@ -133,14 +164,15 @@ class Service:
     def _digest(self, agent: str, budget: int, source: str | None) -> str:
         m = self.store.manifest()
         if source is not None and source not in m.sources:
-            return f"error: unknown source {_q(source)}"
+            return SAYS["no_source"].format(_q(source))
         cursor = m.cursors.get(agent, {}).get("seq", 0)
         warnings = self._warnings(m, cursor)
-        d = Digest(log.after(self.store.read("events", m), cursor, source), m.sources, budget)
+        with scope(self.store.spark):
+            d = Digest(log.after(self.store.read("events", m, source, cursor + 1), cursor, source), m.sources, budget)
         if not d.count:
             floor = max(cursor, m.pruned_through)
-            head = f"{NAME} · agent={agent}" + (f" · source={source}" if source else "") + f" · no new events after cursor {cursor}"
-            foot = [f"after handling: ack(cursor={floor})"] if floor > cursor and not source else []
+            head = f"{NAME} · agent={agent}" + (f" · source={source}" if source else "") + " · " + SAYS["nothing"].format(cursor)
+            foot = [SAYS["note_foot"].format(floor)] if floor > cursor and not source else []
             return "\n".join([head + ("" if source else f" · next_cursor={floor}"), *warnings, *foot])
         text = lambda k: d.text(k, agent, source, warnings)
         return text(longest_fit(len(d.lines), text, budget))
@@ -148,9 +180,9 @@ class Service:
     def _warnings(self, m, cursor: int) -> list[str]:
         out, (beat, age, shortest) = [], self._heartbeat(m)
         if beat and shortest is not None and age > 2 * shortest:
-            out.append(f"warning: daemon heartbeat stale ({age_text(age)} ago; shortest schedule {age_text(shortest)}); data may be stale")
+            out.append(SAYS["stale"].format(age_text(age), age_text(shortest)))
         if cursor < m.pruned_through:
-            out.append(f"warning: events {cursor + 1}-{m.pruned_through} expired (retention) before this agent read them")
+            out.append(SAYS["expired"].format(cursor + 1, m.pruned_through))
         return out
 
     def _heartbeat(self, m) -> tuple[bool, float, int | None]:
@@ -164,12 +196,12 @@ class Service:
     def _get(self, text: str, budget: int) -> str:
         h = parse_handle(text)
         if h is None:
-            return f"error: unknown handle {_q(text)}; expected {SCHEME}://evt/<seq>, {SCHEME}://rec/<source_id>/<key> or {SCHEME}://batch/<from>-<to>?source=<id>"
+            return SAYS["no_handle"].format(_q(text), SCHEME)
         return {"evt": self._event, "rec": self._record, "batch": self._batch}[h.kind](h, budget)
 
     def _event(self, h: Handle, budget: int) -> str:
         m = self.store.manifest()
-        found = self.store.read("events", m).where(F.col("seq") == h.seq)
+        found = self.store.read("events", m, None, h.seq, h.seq).where(F.col("seq") == h.seq)
         added = F.col("kind") == "added"
         long = lambda c: c["added_chars"].isNotNull() | c["removed_chars"].isNotNull()
         each = lambda c: F.when(added & ~long(c), F.concat(c["field"], F.lit(": "), quoted(c["new"]["v"], L.VIEW_CAP))).otherwise(L.change_text(c, added, L.VIEW_CAP))
@@ -181,7 +213,7 @@ class Service:
             quoted(F.col("detail.hint"), L.VIEW_CAP).alias("hint"), minute(F.col("detail.error_from")).alias("began"), F.transform("detail.selectors", lambda s: quoted(s, L.VIEW_CAP)).alias("selectors"),
         ).limit(1).collect()
         if not cols:
-            return f"error: event {h.seq} not found (expired or never existed)"
+            return SAYS["no_event"].format(h.seq)
         r = cols[0]
         head = [f"{h} · {r.source_id} · {r.kind} · importance {r.importance} · {r['at'] or 'unknown'}", L.NOTE]
         if r.kind in ("added", "modified", "removed"):
@@ -195,25 +227,25 @@ class Service:
         elif r.kind == "source_error":
             body = [f"error: {r.error}" + (L.NEEDS_A_HUMAN + r.hint[1:-1] if r.detail.hint else "")]
         elif r.kind == "source_recovered":
-            body = [f"recovered; error from {r.began or 'unknown'}: {r.last_error}"]
+            body = [SAYS["recovered"].format(r.began or "unknown", r.last_error)]
         else:
-            body = ["selectors matching 0 elements:", *r.selectors] if r.selectors else [L.LAYOUT_CHANGED]
+            body = [SAYS["selectors"], *r.selectors] if r.selectors else [L.LAYOUT_CHANGED]
         return _prefix(head, body, budget, "change")
 
     def _record(self, h: Handle, budget: int) -> str:
         pairs = F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat(e["key"], F.lit(": "), quoted(e["value"]["v"], L.VIEW_CAP)))
-        rows = self.store.read("records").where((F.col("source_id") == h.source) & (F.col("key") == h.key)).select("present", minute(F.col("updated_at")).alias("at"), pairs.alias("body")).limit(1).collect()
+        rows = self.store.read("records", None, h.source, h.key, h.key).where((F.col("source_id") == h.source) & (F.col("key") == h.key)).select("present", minute(F.col("updated_at")).alias("at"), pairs.alias("body")).limit(1).collect()
         if not rows:
-            return "error: record not found"
+            return SAYS["no_record"]
         r = rows[0]
         return _prefix([f"{h} · {h.source} · {'present' if r.present else 'removed'} · updated {r['at'] or 'unknown'}", L.NOTE], r.body, budget, "field")
 
     def _batch(self, h: Handle, budget: int) -> str:
         m = self.store.manifest()
         if h.source is not None and h.source not in m.sources:
-            return f"error: unknown source {_q(h.source)}"
+            return SAYS["no_source"].format(_q(h.source))
         base = Handle("batch", source=h.source, lo=h.lo, hi=h.hi)
-        events = self.store.read("events", m)
+        events = self.store.read("events", m, h.source, h.lo, h.hi)
         total = log.in_range(events, h.lo, h.hi, h.source).count()
         if not total:
             return f"{base} · 0 events"
@@ -236,28 +268,30 @@ class Service:
     def ack(self, agent: str, cursor: int) -> str:
         """Moves the agent's cursor forward, to at most the highest number ever given."""
         if not _AGENT.fullmatch(agent):
-            return f"error: invalid agent_id {_q(agent)}; use letters, digits, _ . -"
-        commit = self.store.begin()
-        m = commit.manifest
-        current = m.cursors.get(agent, {}).get("seq", 0)
-        if cursor < current:
-            return f"error: cursor {cursor} is behind current cursor {current} for agent={agent}"
-        if cursor > m.max_seq:
-            return f"error: cursor {cursor} is beyond the latest event {m.max_seq}"
-        if cursor != current:
-            m.cursors[agent] = {"seq": cursor, "updated_at": stamp(self.now())}
-            commit.publish()
-        return f"ok: agent={agent} cursor {current} -> {cursor}"
+            return SAYS["no_agent"].format(_q(agent))
+
+        def change(commit: Commit) -> str:
+            m = commit.manifest
+            current = m.cursors.get(agent, {}).get("seq", 0)
+            if cursor < current:
+                return SAYS["behind"].format(cursor, current, agent)
+            if cursor > m.max_seq:
+                return SAYS["beyond"].format(cursor, m.max_seq)
+            if cursor != current:
+                m.cursors[agent] = {"seq": cursor, "updated_at": stamp(self.now())}
+            return SAYS["moved"].format(agent, current, cursor)
+
+        return self.store.update(change)
 
     def status(self) -> str:
         m = self.store.manifest()
         beat, age, shortest = self._heartbeat(m)
         if not beat:
-            daemon = "daemon not running (no heartbeat)"
+            daemon = SAYS["no_daemon"]
         elif shortest is not None and age > 2 * shortest:
-            daemon = f"daemon heartbeat stale ({age_text(age)} ago; shortest schedule {age_text(shortest)})"
+            daemon = SAYS["daemon_stale"].format(age_text(age), age_text(shortest))
         else:
-            daemon = f"daemon heartbeat {age_text(age)} ago"
+            daemon = SAYS["daemon"].format(age_text(age))
         order = list(PRIORITY_WEIGHTS)
         rows = sorted(m.sources.items(), key=lambda x: (order.index(x[1]["priority"]) if x[1]["priority"] in order else len(order), x[0]))
         return "\n".join([f"{NAME} status · {daemon}", L.NOTE, *(self._status_line(s, r) for s, r in rows)])
@@ -267,20 +301,28 @@ class Service:
         at = lambda k: unstamp(r[k]).strftime("%Y-%m-%dT%H:%MZ") if r.get(k) else "unknown"
         parts = [f"[{r['priority']}] {source} ({r['type']})"]
         if not r.get("last_success_at") and not r.get("last_error_at"):
-            parts.append("never collected")
+            parts.append(SAYS["never_tried"])
         else:
-            parts += [f"records {r.get('record_count', 0)}", f"last success {at('last_success_at')}" if r.get("last_success_at") else "never succeeded"]
-            parts.append(f"error from {at('error_from')}; latest {at('last_error_at')}: {_q(r.get('last_error'))}" if r.get("in_error") else "ok")
-        return " · ".join(parts if r.get("configured", True) else [*parts, "not in config"])
+            parts += [f"records {r.get('record_count', 0)}", f"last success {at('last_success_at')}" if r.get("last_success_at") else SAYS["never_worked"]]
+            parts.append(SAYS["in_error"].format(at("error_from"), at("last_error_at"), _q(r.get("last_error"))) if r.get("in_error") else "ok")
+        return " · ".join(parts if r.get("configured", True) else [*parts, SAYS["dropped"]])
 
     def _logged(self, agent: str, tool: str, args: dict, make: Callable[[], str]) -> str:
         """The exact text, appended to the served log with the arguments as requested."""
-        text = make() if _AGENT.fullmatch(agent) else f"error: invalid agent_id {_q(agent)}; use letters, digits, _ . -"
-        commit = self.store.begin()
-        row = (commit.manifest.next_served, agent, tool, {k: str(v) for k, v in args.items() if v is not None}, text, self.via, self.now())
-        commit.manifest.next_served += 1
-        commit.append("served", self.store.spark.createDataFrame([row], SERVED))
-        commit.publish()
+        text = make() if _AGENT.fullmatch(agent) else SAYS["no_agent"].format(_q(agent))
+
+        def change(commit: Commit) -> None:
+            n = commit.manifest.next_served
+            row = (n, agent, tool, {k: str(v) for k, v in args.items() if v is not None}, text, self.via, self.now())
+            commit.manifest.next_served += 1
+            commit.append("served", self.store.spark.createDataFrame([row], SERVED), known=(n, n, 1))
+
+        self.store.update(change)
+        if len(self.store.manifest().tables["served"]) > MOST_SERVED:
+            try:
+                self.store.compact()
+            except Conflict:  # someone else does
+                pass
         return text
 
     def consumers(self) -> DataFrame:
@@ -303,6 +345,6 @@ def _q(value: object, cap: int = L.LINE_CAP) -> str:
 def _prefix(head: list[str], body: list[str], budget: int, what: str) -> str:
     def text(k: int) -> str:
         rest = len(body) - k
-        return "\n".join([*head, *body[:k], *([f"truncated: {rest} more {what}{'' if rest == 1 else 's'}"] if rest else [])])
+        return "\n".join([*head, *body[:k], *([SAYS["truncated"].format(rest, what + "s" * (rest != 1))] if rest else [])])
 
     return text(longest_fit(len(body), text, budget))
