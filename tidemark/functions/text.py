@@ -27,7 +27,11 @@ def quoted(x: Column, cap: int) -> Column:
 
 
 def python_text(x: Column, dtype: str) -> Column:
-    """The text form rules compare: True/False for booleans, ISO text for dates and times, digits for numbers."""
+    """The text form rules compare: True/False for booleans, ISO text for dates and times, digits for numbers, 10000000.0 and nan for floats."""
+    if dtype in ("double", "float"):
+        from tidemark.functions.udfs import float_text  # the only form that needs Python
+
+        return float_text(x.cast("double"))
     if dtype == "boolean":
         return F.when(x, F.lit("True")).when(~x, F.lit("False"))
     if dtype.startswith("timestamp"):
@@ -37,6 +41,31 @@ def python_text(x: Column, dtype: str) -> Column:
     return x.cast("string")
 
 
+def visible(x: Column) -> Column:
+    """Characters that a page would not show (controls, formats, private ones, blanks but the space) as their numbers in hexadecimal, backslashes doubled."""
+    each = F.split(F.replace(x, F.lit("\\"), F.lit("\\\\")), "")
+    shown = lambda c: F.when(c.rlike(r"^(?! )[\p{C}\p{Z}]$"), F.concat(F.lit("\\u{"), F.lower(F.hex(F.encode(c, "UTF-32"))), F.lit("}"))).otherwise(c)
+    return F.array_join(F.transform(each, shown), "")
+
+
+def log_line(x: Column) -> Column:
+    """Control characters and line ends as single spaces."""
+    return F.trim(F.regexp_replace(x, "[\\x00-\\x1f\\x7f-\\x9f\\u2028\\u2029]+", " "))
+
+
+def percent(x: Column) -> Column:
+    """A share as whole percent, half up; a dash for null."""
+    return F.coalesce(F.concat(F.format_number(F.round(x * 100), 0), F.lit("%")), F.lit("-"))
+
+
+def thousands(x: Column) -> Column:
+    return F.coalesce(F.format_number(x, 0), F.lit("-"))
+
+
+def money(x: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("$"), F.format_number(x, 3)), F.lit("-"))
+
+
 def tokens(x: Column) -> Column:
     """ceil(length / 3.5) in whole numbers."""
     return F.floor((F.length(x) * F.lit(2) + F.lit(6)) / F.lit(7)).cast("long")

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import difflib
+import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, MapType, StringType, StructField, StructType
 
@@ -17,27 +21,66 @@ STATS = StructType([StructField("added", IntegerType()), StructField("removed",
 
 def change_stats(old: str | None, new: str | None) -> tuple[int, int]:
     """(added, removed) characters: whole lines, except that small replaced chunks are compared character by character."""
+    if old == new:
+        return 0, 0
     a = old.splitlines(keepends=True) if isinstance(old, str) else []
     b = new.splitlines(keepends=True) if isinstance(new, str) else []
     gained = lost = 0
-    todo = [("lines", a, b)]
-    while todo:
-        level, x, y = todo.pop()
-        for op, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-            was, now = (x[i:j], y[k:m]) if level == "chars" else ("".join(x[i:j]), "".join(y[k:m]))
-            if op == "replace" and level == "lines" and len(was) + len(now) <= REFINE_CHARS:
-                todo.append(("chars", was, now))
-            elif op != "equal":
-                gained, lost = gained + len(now), lost + len(was)
+    for op, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        if op == "equal":
+            continue
+        was, now = "".join(a[i:j]), "".join(b[k:m])
+        same = kept_characters(was, now) if op == "replace" and len(was) + len(now) <= REFINE_CHARS else 0
+        gained, lost = gained + len(now) - same, lost + len(was) - same
     return gained, lost
 
 
+#: Product of lengths below which the library's matcher is faster than rows of arrays.
+SMALL_CHUNK = 120_000
+
+
+def kept_characters(was: str, now: str) -> int:
+    """Characters in the matching blocks of two texts: the longest block, the first of equally long ones, then those on either side of it.
+
+    The same blocks as difflib's; in a large chunk the longest is found with one array operation for each character of ``was``.
+    """
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (was, now))
+    at = {c: (y == c).astype(np.int16) for c in np.unique(x).tolist()} if len(x) * len(y) > SMALL_CHUNK else {}
+    codes, total, todo = x.tolist(), 0, [(0, len(x), 0, len(y))]
+    while todo:
+        i0, i1, j0, j1 = todo.pop()
+        if (i1 - i0) * (j1 - j0) <= SMALL_CHUNK:
+            if i0 < i1 and j0 < j1:
+                blocks = difflib.SequenceMatcher(None, was[i0:i1], now[j0:j1], autojunk=False).get_matching_blocks()
+                total += sum(block.size for block in blocks)
+            continue
+        best, i, j = 0, 0, 0
+        above, row = np.zeros(j1 - j0 + 1, np.int16), np.zeros(j1 - j0 + 1, np.int16)
+        for k in range(i0, i1):  # row[m + 1]: the length of the common run that ends at was[k], now[j0 + m]
+            np.add(above[:-1], 1, out=row[1:])
+            np.multiply(row[1:], at[codes[k]][j0:j1], out=row[1:])
+            top = int(row.max())
+            if top > best:
+                best, i, j = top, k - top + 1, j0 + int(row.argmax()) - top
+            above, row = row, above
+        if best:
+            total += best
+            todo += [(i0, i, j0, j), (i + best, i1, j + best, j1)]
+    return total
+
+
 @F.pandas_udf(STATS)
 def text_change(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     """change_stats by batches; call it in a branch that only long, changed texts reach."""
     return pd.DataFrame([change_stats(a, b) for a, b in zip(old, new)], columns=["added", "removed"])
 
 
+@F.arrow_udf(StringType())
+def float_text(x: pa.Array) -> pa.Array:
+    """The shortest decimal text that reads back as the same double, in the usual notation between 1e-4 and 1e16: 10000000.0, 1e+16, nan, -inf."""
+    return pa.array([None if v is None else repr(v) for v in x.to_pylist()], pa.string())
+
+
 @F.pandas_udf(BooleanType())
 def folded_contains(text: pd.Series, part: pd.Series) -> pd.Series:
     """Substring under full Unicode case folding; null contains nothing."""
@@ -49,50 +92,74 @@ _SKIPPED = frozenset("script style noscript template".split())
 _HEAD = frozenset("head title meta link base".split())
 
 
+class Step(NamedTuple):
+    """A compound of a selector: tag (or *), classes, id, attributes with or without a value; ``child`` of the step before it, or anywhere below."""
+
+    tag: str
+    classes: frozenset
+    ident: str | None = None
+    attributes: tuple = ()
+    child: bool = False
+
+
+class Element(NamedTuple):
+    tag: str
+    classes: frozenset
+    shown: str
+    attributes: dict
+
+    def fits(self, want: Step) -> bool:
+        return (
+            want.tag in ("*", self.tag)
+            and want.classes <= self.classes
+            and (want.ident is None or self.attributes.get("id") == want.ident)
+            and all(k in self.attributes and (v is None or (self.attributes[k] or "") == v) for k, v in want.attributes)
+        )
+
+
 class _Walk(HTMLParser):
-    """Structural paths and (selector, row) extraction in one pass, for selectors of tags and classes only."""
+    """Structural paths and (selector, row) extraction in one pass, for selectors of tags, classes, ids, attributes and children."""
 
-    def __init__(self, depth: int = 6, row: list[tuple[str, frozenset]] | None = None, fields=(), below_body: bool = False):
+    def __init__(self, depth: int = 6, row: list[Step] | None = None, fields=(), below_body: bool = False):
         super().__init__(convert_charrefs=True)
         self.depth, self.row, self.fields, self.below_body = depth, row, fields, below_body
-        self.stack: list[tuple[str, frozenset, str]] = []
+        self.stack: list[Element] = []
         self.paths: set[str] = set()
         self.rows: list[dict[str, str | None]] = []
         self.open_rows: list[int] = []
         self.text: list[tuple[int, str]] = []
 
-    def _matches(self, selector: list[tuple[str, frozenset]]) -> bool:
-        chain = [(t, c) for t, c, _ in self.stack]
-        ok = lambda want, got: want[0] in ("*", got[0]) and want[1] <= got[1]
-        if not chain or not ok(selector[-1], chain[-1]):
+    def _matches(self, selector: list[Step]) -> bool:
+        """Whether the innermost open element is the selector's last step below elements that are the others."""
+        if not self.stack or not self.stack[-1].fits(selector[-1]):
             return False
-        at = len(chain) - 2
-        for want in reversed(selector[:-1]):
-            while at >= 0 and not ok(want, chain[at]):
-                at -= 1
-            if at < 0:
+        places = {len(self.stack) - 1}  # where the step after may stand
+        for n in range(len(selector) - 2, -1, -1):
+            near = {p - 1 for p in places} if selector[n + 1].child else set(range(max(places)))
+            places = {p for p in near if p >= 0 and self.stack[p].fits(selector[n])}
+            if not places:
                 return False
-            at -= 1
         return True
 
-    def _below_body(self) -> list[tuple[str, frozenset, str]]:
+    def _below_body(self) -> list[Element]:
         """The open elements below body; where no body tag is open, it is implied around all but html and what belongs in head."""
-        tags = [t for t, _, _ in self.stack]
+        tags = [e.tag for e in self.stack]
         if "body" in tags:
             return self.stack[tags.index("body") + 1 :]
         rest = self.stack[tags[0] == "html" :]
-        return [] if rest and rest[0][0] in _HEAD else rest
+        return [] if rest and rest[0].tag in _HEAD else rest
 
     def handle_starttag(self, tag, attrs):
         got = dict(attrs)
         classes = frozenset((got.get("class") or "").split())
         step = ".".join([tag, *sorted(classes)])
-        self.stack.append((tag, classes, step))
-        skipped = any(t in _SKIPPED for t, _, _ in self.stack)
+        self.stack.append(Element(tag, classes, step, got))
+        skipped = any(e.tag in _SKIPPED for e in self.stack)
         steps = self._below_body() if self.below_body else self.stack
-        if not skipped and not self.open_rows and 0 < len(steps) <= self.depth:
-            self.paths.add(">".join(s for _, _, s in steps))
-        if self.row and not skipped and not self.open_rows and self._matches(self.row):
+        is_row = bool(self.row) and not skipped and not self.open_rows and self._matches(self.row)
+        if not skipped and not self.open_rows and not is_row and 0 < len(steps) <= self.depth:
+            self.paths.add(">".join(e.shown for e in steps))
+        if is_row:
             self.open_rows.append(len(self.stack))
             self.rows.append({})
         if self.open_rows and not skipped:
@@ -105,8 +172,8 @@ class _Walk(HTMLParser):
             self._close()
 
     def handle_endtag(self, tag):
-        if any(t == tag for t, _, _ in self.stack):
-            while self.stack and self.stack[-1][0] != tag:
+        if any(e.tag == tag for e in self.stack):
+            while self.stack and self.stack[-1].tag != tag:
                 self._close()
             self._close()
 
@@ -122,18 +189,37 @@ class _Walk(HTMLParser):
             self.rows[-1][name] += data
 
 
-def parse_selector(text: str) -> tuple[list[tuple[str, frozenset]], str | None]:
-    """Descendant steps of tag and classes, and the attribute after @ if any."""
-    path, _, attribute = text.partition("@")
-    steps = []
-    for part in path.split():
-        tag, *classes = part.split(".")
-        if not all(x.replace("-", "").replace("_", "").isalnum() for x in [*classes, *([tag] if tag not in ("", "*") else [])]):
-            raise ValueError(f"unsupported selector {text!r}")
-        steps.append((tag or "*", frozenset(classes)))
-    if not steps:
+_NAME = r"[\w-]+"
+_COMPOUND = re.compile(rf"(\*|{_NAME})?((?:\.{_NAME}|\#{_NAME}|\[\s*{_NAME}\s*(?:=\s*(?:\"[^\"]*\"|'[^']*'|{_NAME})\s*)?\])*)")
+_PART = re.compile(rf"\.({_NAME})|\#({_NAME})|\[\s*({_NAME})\s*(?:=\s*(\"[^\"]*\"|'[^']*'|{_NAME})\s*)?\]")
+_COMBINED = re.compile(r"\s*(>)\s*|\s+")
+_ATTRIBUTE = re.compile(rf"(.*?)@({_NAME})\s*", re.S)
+
+
+def parse_selector(text: str) -> tuple[list[Step], str | None]:
+    """Steps of tag, .class, #id, [attribute] and [attribute=value], below one another or (>) children, and the attribute after @ if any."""
+    m = _ATTRIBUTE.fullmatch(text)
+    path, attribute = (m[1], m[2]) if m else (text, None)
+    path, steps, at, child = path.strip(), [], 0, False
+    if not path:
         raise ValueError(f"empty selector {text!r}")
-    return steps, attribute or None
+    while at < len(path):
+        m = _COMPOUND.match(path, at)
+        if m.end() == at:
+            raise ValueError(f"unsupported selector {text!r}")
+        parts = _PART.findall(m[2])
+        ids = [i for _, i, _, _ in parts if i]
+        if len(ids) > 1:
+            raise ValueError(f"unsupported selector {text!r}")
+        attributes = tuple((k.lower(), (v[1:-1] if v[0] in "\"'" else v) if v else None) for _, _, k, v in parts if k)
+        steps.append(Step((m[1] or "*").lower(), frozenset(c for c, _, _, _ in parts if c), ids[0] if ids else None, attributes, child))
+        at = m.end()
+        if at < len(path):
+            m = _COMBINED.match(path, at)
+            if not m or m.end() == len(path):
+                raise ValueError(f"unsupported selector {text!r}")
+            at, child = m.end(), bool(m[1])
+    return steps, attribute
 
 
 #: Levels below body that a page's fingerprint covers.
@@ -141,7 +227,7 @@ FINGERPRINT_DEPTH = 8
 
 
 def page_paths(depth: int = 6, row: str | None = None, below_body: bool = False):
-    """UDF html -> distinct structural paths down to ``depth``, row subtrees left out; ``below_body`` starts them below body."""
+    """UDF html -> distinct structural paths down to ``depth``, rows and what is in them left out; ``below_body`` starts them below body."""
     steps = parse_selector(row)[0] if row else None
 
     @F.pandas_udf(ArrayType(StringType()))
@@ -175,3 +261,21 @@ def page_rows(row: str, fields: dict[str, str]):
         return html.map(one)
 
     return rows
+
+
+def page_has(selector: str):
+    """UDF html -> whether an element matches ``selector``."""
+    steps = parse_selector(selector)[0]
+
+    @F.pandas_udf(BooleanType())
+    def has(html: pd.Series) -> pd.Series:
+        def one(h):
+            if h is None:
+                return False
+            w = _Walk(0, steps)
+            w.feed(h)
+            return bool(w.rows)
+
+        return html.map(one)
+
+    return has

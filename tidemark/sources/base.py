@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import os
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -10,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.udfs import float_text
 from tidemark.operators.snapshot import CollectError
 
 # Source types and where their collectors are.
@@ -37,7 +39,7 @@ class Collected:
     """records: key, fields (map of tagged scalars)."""
 
     records: DataFrame
-    unavailable: Sequence[str] = ()
+    unavailable: Sequence[str] | DataFrame = ()  # keys, or a table (key) of them where there may be many
     window: Window | None = None
     fingerprint: str | None = None
     broken: Sequence[str] = ()
@@ -51,6 +53,7 @@ class Collector:
     key_label = ""
     options: dict[str, type | tuple] = {}
     required: tuple[str, ...] = ()
+    ranges: dict[str, tuple[int, int]] = {}
 
     def __init__(self, **options):
         unknown = sorted(set(options) - set(self.options))
@@ -62,8 +65,20 @@ class Collector:
         for k, v in options.items():
             if not isinstance(v, self.options[k]) or isinstance(v, bool) and self.options[k] is int:
                 raise ValueError(f"option {k} has the wrong type")
+            lo, hi = self.ranges.get(k, (None, None))
+            if lo is not None and not lo <= v <= hi:
+                raise ValueError(f"option {k} must lie between {lo} and {hi}")
         self.given = options
 
+    def secret(self, name: str) -> str | None:
+        """The value of option ``name``, or of the environment variable that option ``name``_env names, read when it is needed and kept nowhere."""
+        if name in self.given:
+            return self.given[name]
+        variable = self.given.get(f"{name}_env")
+        if variable is not None and not os.environ.get(variable):
+            raise CollectError(f"environment variable {variable} is not set")
+        return os.environ[variable] if variable is not None else None
+
     def collect(self, spark: SparkSession, now: datetime) -> Collected:
         raise NotImplementedError
 
@@ -81,7 +96,7 @@ def tagged(x: Column, dtype: str) -> Column:
     if kind in ("tinyint", "smallint", "int", "bigint"):
         tag, text = "int", x.cast("string")
     elif kind in ("float", "double"):
-        tag, text = "float", F.when(F.isnan(x), F.lit("nan")).otherwise(x.cast("string"))
+        tag, text = "float", float_text(x.cast("double"))
     elif kind == "boolean":
         tag, text = "bool", F.when(x, F.lit("True")).otherwise(F.lit("False"))
     elif kind in ("timestamp", "timestamp_ntz"):

@@ -6,11 +6,13 @@ import re
 
 import yaml
 
-from tidemark.plans.model import DEFAULT_BONUS, Rule, SourceConfig
+from tidemark.plans.model import DEFAULT_BONUS, SOURCE_ID, Rule, SourceConfig
 from tidemark.sources.base import TYPES
 
 _COMMON = {"id", "type", "schedule", "priority", "key_label", "track", "title", "highlight"}
-_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.-]{0,63}")
+_ENV = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+# Options that would hold a secret itself.
+_SECRETS = frozenset({"password", "passwd", "token", "secret", "api_key"})
 _UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
 
 
@@ -25,9 +27,10 @@ def _rule(raw: dict) -> Rule:
     ops = [k for k in ("equals", "contains", "changed_to") if k in raw]
     if set(raw) - {"field", "bonus", *ops} or len(ops) != 1 or "field" not in raw:
         raise ValueError("a highlight has a field, one of equals, contains and changed_to, and perhaps a bonus")
-    if not isinstance(raw[ops[0]], str):
-        raise ValueError("a highlight's value must be text")
-    return Rule(raw["field"], ops[0], raw[ops[0]], int(raw.get("bonus", DEFAULT_BONUS)))
+    bonus = raw.get("bonus", DEFAULT_BONUS)
+    if not isinstance(raw[ops[0]], (str, int, float, bool)) or isinstance(bonus, bool) or not isinstance(bonus, int):
+        raise ValueError("a highlight's value must be a scalar and its bonus an integer")
+    return Rule(raw["field"], ops[0], str(raw[ops[0]]), bonus)
 
 
 def parse_config(text: str) -> list[SourceConfig]:
@@ -37,15 +40,18 @@ def parse_config(text: str) -> list[SourceConfig]:
     out, seen = [], set()
     for s in raw.get("sources") or []:
         name = s.get("id")
-        if not isinstance(name, str) or not _ID.fullmatch(name):
-            raise ValueError("a source id has letters, digits, _ . and - only")
+        if not isinstance(name, str) or not re.fullmatch(SOURCE_ID, name):
+            raise ValueError("a source id has lower-case letters, digits, _ and - only")
         if name in seen:
             raise ValueError(f"source {name} occurs twice")
         seen.add(name)
         if s.get("type") not in TYPES:
             raise ValueError(f"source {name}: unknown type")
-        if any(k in s for k in ("password", "token", "secret", "api_key")):
-            raise ValueError(f"source {name}: name secrets by an option that ends in _env")
+        for k, v in s.items():  # messages never show v
+            if not isinstance(k, str) or k.lower() in _SECRETS or (k == "url" and s["type"] == "sql"):
+                raise ValueError(f"source {name}: name secrets by an option that ends in _env")
+            if k.lower().endswith("_env") and not (isinstance(v, str) and _ENV.fullmatch(v)):
+                raise ValueError(f"source {name}: option {k} must be the name of an environment variable")
         out.append(
             SourceConfig(
                 name,

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import re
+import stat
 from datetime import datetime
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.snapshot import CollectError
+from tidemark.plans.scratch import settled
 from tidemark.sources.base import Collected, Collector, tagged
 
 MOST_TEXT = 65_536
@@ -46,22 +51,32 @@ def _glob_part(m: re.Match) -> str:
     return re.escape(part)
 
 
+def pruned(exclude: list[str]) -> list[str]:
+    """Regular expressions of the folders that a pattern ending in /** covers whole, so that they need not be listed."""
+    return [".*" if p == "**" else glob_regex(p[: -len("/**")]) for p in exclude if p == "**" or p.endswith("/**")]
+
+
+READ = "key string, size long, text string, sha256 string, unread boolean"
+
+
 class Directory(Collector):
-    """Files below ``path`` through the binaryFile reader: size, and text if short valid UTF-8 without NUL, else a hash.
+    """Files below ``path``: size, and text if short valid UTF-8 without NUL, else a hash.
 
-    That reader skips names that begin with a dot or an underscore; those are listed and read through the driver
-    (streamed when they are only hashed), unless ``hidden`` is false.
+    The driver lists folders (one that cannot be listed fails the run; one that ``exclude`` covers whole is never entered); executors read
+    the files. A file that is there and cannot be read is unavailable, one that has gone meanwhile is absent. On a disk that all executors mount
+    files are read in pieces, names that begin with a dot or an underscore included; elsewhere Spark's binaryFile reader
+    reads them, which passes such names over: they are unavailable there unless ``hidden`` is false, which leaves them out.
     """
 
     options = {"path": str, "include": list, "exclude": list, "max_text_bytes": int, "hidden": bool}
     required = ("path",)
+    ranges = {"max_text_bytes": (0, 1 << 31)}
 
     def __init__(self, **options):
         super().__init__(**options)
         self.include = [glob_regex(p) for p in options.get("include", ["**"])]
         self.exclude = [glob_regex(p) for p in options.get("exclude", [])]
-        if options.get("max_text_bytes", 1) < 0:
-            raise ValueError("max_text_bytes is negative")
+        self.prune = pruned(options.get("exclude", []))
 
     def collect(self, spark: SparkSession, now: datetime) -> Collected:
         root = self.given["path"].rstrip("/")
@@ -69,53 +84,87 @@ class Directory(Collector):
         fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(at) or not fs.getFileStatus(at).isDirectory():
             raise CollectError(f"{root} is not a directory")
-        base = fs.getFileStatus(at).getPath().toUri().getPath().rstrip("/")
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        path = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?(?=/)", ""), "^" + re.escape(base) + "/", "")
-        files = files.withColumn("key", F.try_url_decode(F.regexp_replace(path, r"\+", "%2B")))
-        keep = _any(self.include)
-        if self.exclude:
-            keep = keep & ~_any(self.exclude)
+        keys = list(self._listed(fs, fs.getFileStatus(at).getPath()))
+        listed = spark.createDataFrame(keys, "key string, path string")
         limit = self.given.get("max_text_bytes", MOST_TEXT)
+        if fs.getScheme() == "file":
+            read = listed.repartition(max(1, min(len(keys) // 64 + 1, 4096))).mapInArrow(lambda batches: _read_all(batches, limit), READ)
+        else:
+            read = _through_spark(spark, listed, fs, limit)
+        read = settled(read, "files")
+        size = F.create_map(F.lit("size"), tagged(F.col("size"), "bigint"))
+        body = F.when(F.col("text").isNotNull(), F.create_map(F.lit("text"), tagged(F.col("text"), "string"))).otherwise(F.create_map(F.lit("sha256"), tagged(F.col("sha256"), "string")))
+        return Collected(read.where("not unread").select("key", F.map_concat(size, body).alias("fields")), unavailable=read.where("unread").select("key"))
+
+    def _listed(self, fs, root):
+        """(key, path) of the files that are wanted."""
+        base = root.toUri().getPath().rstrip("/")
+        fits = lambda regexes, key: any(re.fullmatch(r, key, re.S) for r in regexes)
+        todo = [root]
+        while todo:
+            folder = todo.pop()
+            try:
+                found = sorted(fs.listStatus(folder), key=lambda s: s.getPath().getName())
+            except Exception as e:
+                raise CollectError(f"cannot list {folder.toUri().getPath()[len(base) + 1 :] or 'the directory'}: {type(e).__name__}") from None
+            for status in found:
+                path = status.getPath()
+                key = path.toUri().getPath()[len(base) + 1 :]
+                if status.isDirectory():
+                    if not fits(self.prune, key) and not status.isSymlink():
+                        todo.append(path)
+                elif fits(self.include, key) and not fits(self.exclude, key) and (self.given.get("hidden", True) or not _hidden(key)):
+                    yield key, path.toString()
+
+
+def _hidden(key: str) -> bool:
+    return any(part[:1] in "._" for part in key.split("/"))
+
+
+def _read_all(batches, limit: int):
+    for b in batches:
+        rows = [r for key, path in zip(*(c.to_pylist() for c in b.columns)) if (r := _read(key, re.sub(r"^file:(//)?", "", path), limit))]
+        key, size, text, sha, unread = zip(*rows) if rows else [()] * 5
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((key, size, text, sha, unread), kinds)], ["key", "size", "text", "sha256", "unread"])
+
+
+def _read(key: str, path: str, limit: int) -> tuple | None:
+    """A row of READ; None for a file that is not there, or is none. At most ``limit`` bytes and a piece are held."""
+    size, held, digest = 0, b"", hashlib.sha256()
+    try:
+        if not stat.S_ISREG(os.stat(path).st_mode):
+            return None
+        with open(path, "rb") as f:
+            while piece := f.read(1 << 20):
+                size += len(piece)
+                digest.update(piece)
+                held = held + piece if size <= limit else b""
+    except FileNotFoundError:
+        return None
+    except OSError:
+        return key, None, None, None, True
+    text = None
+    if size <= limit and b"\0" not in held:
+        try:
+            text = held.decode("utf-8")
+        except UnicodeDecodeError:
+            pass
+    return key, size, text, None if text is not None else digest.hexdigest(), False
+
+
+def _through_spark(spark: SparkSession, listed: DataFrame, fs, limit: int) -> DataFrame:
+    """Reads through binaryFile, which leaves out what it cannot read; that is unavailable if it is still there."""
+    there = lambda path: fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
+    paths = [r.path for r in listed.collect()]  # the driver has listed them
+    shown = [p for p in paths if not _hidden(p.rsplit("/", 1)[-1]) and there(p)]
+    rows = spark.createDataFrame([], READ)
+    if shown:
+        files = spark.read.format("binaryFile").options(ignoreCorruptFiles="true", ignoreMissingFiles="true", __globPaths__="false").load(shown)
         text = F.col("content").cast("string")
         plain = (F.col("length") <= limit) & F.is_valid_utf8(text) & (F.instr(text, "\0") == 0)
-        size = F.create_map(F.lit("size"), tagged(F.col("length"), "bigint"))
-        body = F.when(plain, F.create_map(F.lit("text"), tagged(text, "string"))).otherwise(F.create_map(F.lit("sha256"), tagged(F.sha2("content", 256), "string")))
-        records = files.where(keep).select("key", F.map_concat(size, body).alias("fields"))
-        if self.given.get("hidden", True):
-            rows = spark.createDataFrame(list(_hidden(spark, fs, at, base, limit)), "key string, fields map<string,struct<t:string,v:string>>")
-            records = records.unionByName(rows.where(keep))
-        return Collected(records)
-
-
-def _hidden(spark: SparkSession, fs, root, base: str, limit: int):
-    """(key, fields) of files with a hidden name or folder."""
-    jvm = spark.sparkContext._jvm
-    found = fs.listFiles(root, True)
-    while found.hasNext():
-        status = found.next()
-        key = status.getPath().toUri().getPath()[len(base) + 1 :]
-        if not any(part[:1] in "._" for part in key.split("/")):
-            continue
-        size, text = status.getLen(), None
-        stream = fs.open(status.getPath())
-        try:
-            if size <= limit:
-                try:
-                    text = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
-                except UnicodeDecodeError:
-                    pass
-                if text is None or "\0" in text:
-                    text = None
-                    stream.seek(0)
-            body = {"text": ("str", text)} if text is not None else {"sha256": ("str", jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream))}
-        finally:
-            stream.close()
-        yield key, {"size": ("int", str(size)), **body}
-
-
-def _any(regexes: list[str]):
-    out = F.lit(False)
-    for r in regexes:
-        out = out | F.col("key").rlike(f"(?s)^(?:{r})$")
-    return out
+        files = files.select(F.col("path").alias("its_path"), F.col("length").alias("size"), F.when(plain, text).alias("text"), F.when(~plain, F.sha2("content", 256)).alias("sha256"))
+        rows = listed.join(files, F.col("path") == F.col("its_path")).select("key", "size", "text", "sha256", F.lit(False).alias("unread"))
+    rows = settled(rows, "read")
+    lost = [(r.key, None, None, None, True) for r in listed.join(rows.select("key"), "key", "left_anti").toLocalIterator() if there(r.path)]
+    return rows.unionByName(spark.createDataFrame(lost, READ))

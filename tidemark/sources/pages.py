@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.udfs import FINGERPRINT_DEPTH, page_paths, page_rows, parse_selector
+from tidemark.functions.udfs import FINGERPRINT_DEPTH, page_has, page_paths, page_rows, parse_selector
 from tidemark.operators.snapshot import CollectError, LoginRequired
 from tidemark.sources.base import Collected, Collector, tagged
 
@@ -20,12 +20,13 @@ class Page(Collector):
     that is not ``optional`` matches in no row, or if no row has a key.
     """
 
-    options = {"view": str, "url": str, "rows": str, "fields": dict, "key": str, "optional": list, "depth": int, "login_url": str}
+    options = {"view": str, "url": str, "rows": str, "fields": dict, "key": str, "optional": list, "depth": int, "login_url": str, "login_selector": str}
+    ranges = {"depth": (0, 32)}
     required = ("view", "url", "rows", "fields", "key")
 
     def __init__(self, **options):
         super().__init__(**options)
-        for s in [options["rows"], *options["fields"].values()]:
+        for s in [options["rows"], *options["fields"].values(), *([options["login_selector"]] if "login_selector" in options else [])]:
             parse_selector(s)
         if options["key"] not in options["fields"]:
             raise ValueError("key is not among the fields")
@@ -33,10 +34,11 @@ class Page(Collector):
     def collect(self, spark: SparkSession, now: datetime) -> Collected:
         o = self.given
         page = spark.table(o["view"]).where(F.col("url") == o["url"])
-        got = page.select(page_paths(o.get("depth", FINGERPRINT_DEPTH), o["rows"], below_body=True)(F.col("html")).alias("paths"), page_rows(o["rows"], o["fields"])(F.col("html")).alias("rows"), *([F.col("final_url")] if "final_url" in page.columns else [])).limit(1).collect()
+        logged_out = page_has(o["login_selector"])(F.col("html")) if "login_selector" in o else F.lit(False)
+        got = page.select(page_paths(o.get("depth", FINGERPRINT_DEPTH), o["rows"], below_body=True)(F.col("html")).alias("paths"), page_rows(o["rows"], o["fields"])(F.col("html")).alias("rows"), logged_out.alias("logged_out"), *([F.col("final_url")] if "final_url" in page.columns else [])).limit(1).collect()
         if not got:
             raise CollectError("the page could not be read")
-        if "login_url" in o and "final_url" in got[0] and o["login_url"] in (got[0]["final_url"] or ""):
+        if got[0]["logged_out"] or "login_url" in o and "final_url" in got[0] and o["login_url"] in (got[0]["final_url"] or ""):
             raise LoginRequired("the page asks for a login", f"log in to {o['url']}")
         rows, fields = got[0]["rows"], o["fields"]
         broken = [] if rows else [o["rows"]]

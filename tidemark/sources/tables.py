@@ -21,17 +21,21 @@ def scrubbed(message: str, secrets: list[str]) -> str:
 
 
 class Query(Collector):
-    """``query`` over registered views, or over a JDBC ``url`` pushed down whole; ``key`` names one or more columns."""
+    """``query`` over registered views, or over a JDBC ``url`` pushed down whole; ``key`` names one or more columns.
 
-    options = {"query": str, "key": (str, list), "url": str, "user": str, "password": str}
+    ``url``, ``user`` and ``password`` may be named by environment variable (url_env and so on); a configuration names them no other way.
+    """
+
+    options = {"query": str, "key": (str, list), **{k + end: str for k in ("url", "user", "password") for end in ("", "_env")}}
     required = ("query", "key")
 
     def collect(self, spark: SparkSession, now: datetime) -> Collected:
         o = self.given
         keys = [o["key"]] if isinstance(o["key"], str) else o["key"]
+        login = {k: v for k in ("url", "user", "password") if (v := self.secret(k)) is not None}
         try:
-            if "url" in o:
-                rows = spark.read.format("jdbc").options(url=o["url"], query=o["query"], **{k: o[k] for k in ("user", "password") if k in o}).load()
+            if "url" in login:
+                rows = spark.read.format("jdbc").options(query=o["query"], **login).load()
             else:
                 if not re.match(r"\s*(select|with)\b", o["query"], re.I):
                     raise CollectError("only SELECT and WITH queries are run")
@@ -39,7 +43,7 @@ class Query(Collector):
         except CollectError:
             raise
         except Exception as e:
-            raise CollectError(scrubbed(str(e), [o.get("password", ""), o.get("url", "")])) from None
+            raise CollectError(scrubbed(str(e), [login.get("password", ""), login.get("url", "")])) from None
         names = [c.lower() for c in rows.columns]
         twice = sorted({c for c in names if names.count(c) > 1})
         if twice:

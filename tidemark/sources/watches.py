@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from tidemark.operators.snapshot import CollectError, LoginRequired
 from tidemark.sources.base import Collected, Collector, as_records
 
-MOST_TEXT = 1 << 20
+# Bytes of a listing beyond which it is an error, and characters at which a watch's text is cut; the service compared with has the same bounds.
+MOST_LISTING, MOST_TEXT = 32 << 20, 1 << 20
 
 
 class Watches(Collector):
     """Watches listed in the JSON files at ``listing`` (uuid, url, title, page_title, last_changed, last_error, tags), and their latest text.
 
-    A saved listing of the service's API; ``texts`` names a folder of JSON lines (uuid, text).
+    A saved listing of the service's API; ``texts`` names a folder of JSON lines (uuid, text). A text is cut at MOST_TEXT characters (changes beyond are not seen),
+    a listing over MOST_LISTING bytes is an error.
     """
 
     options = {"listing": str, "tag": str, "texts": str}
@@ -25,6 +27,10 @@ class Watches(Collector):
     SCHEMA = "uuid string, url string, title string, page_title string, last_changed bigint, last_error string, tags array<string>, status int"
 
     def collect(self, spark: SparkSession, now: datetime) -> Collected:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.given["listing"])
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(at) and fs.getContentSummary(at).getLength() > MOST_LISTING:
+            raise CollectError("the listing is too long")
         try:
             rows = spark.read.schema(self.SCHEMA).option("mode", "FAILFAST").json(self.given["listing"])
         except Exception as e:
