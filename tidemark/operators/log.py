@@ -18,10 +18,11 @@ ONE_TASK = 100_000
 def with_seq(drafts: DataFrame, order: Sequence, base: int = 0, name: str = "seq") -> DataFrame:
     """Consecutive numbers base + 1, ... in a total order, without a window over all rows.
 
-    Beyond ONE_TASK rows, a range sort deals the rows out and is settled as a table with each row's partition and place;
+    The rows are settled once. Beyond ONE_TASK of them, a range sort deals them out and is settled as a table with each row's partition and place;
     partition sizes, a row each, are summed up on the driver and added to the places.
     """
     first = F.lit(base).cast("long")
+    drafts = drafts if hasattr(drafts, "settled_at") else settled(drafts, "drafts")
     if drafts.count() <= ONE_TASK:
         return drafts.withColumn(name, first + F.row_number().over(W.orderBy(*order)))
     placed = drafts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
@@ -58,18 +59,68 @@ def newest(events: DataFrame, limit: int, before: int | None = None, source: str
 
 def effective_importance(events: DataFrame, priority: Column, weight: Column, kind_weight: Column) -> DataFrame:
     """Adds ``resolved`` and ``effective``: an error, or a schema change that lists selectors, with a later recovery of its source
-    among the rows weighs what the recovery does. One window per source, no self join."""
-    recovered = F.max(F.when(F.col("kind") == "source_recovered", F.col("seq"))).over(W.partitionBy("source_id"))
+    among the rows weighs what the recovery does. The last recovery of each source is settled and joined back, so AQE splits a hot source."""
+    last = settled(latest_recovery(events).select(F.col("source_id").alias("__source"), F.col("seq").alias("__recovered")), "recovered")
     mendable = (F.col("kind") == "source_error") | ((F.col("kind") == "schema_changed") & (F.size(F.coalesce(F.col("detail.selectors"), F.array())) > 0))
-    resolved = mendable & F.coalesce(recovered > F.col("seq"), F.lit(False))
+    resolved = mendable & F.coalesce(F.col("__recovered") > F.col("seq"), F.lit(False))
     lowered = F.coalesce(F.when(priority.isNotNull(), weight), F.floor(F.col("importance") / kind_weight).cast("int"))
-    return events.withColumn("resolved", resolved).withColumn("effective", F.when(F.col("resolved"), lowered).otherwise(F.col("importance")))
+    met = events.join(last, F.col("source_id") == F.col("__source"), "left").withColumn("resolved", resolved)
+    return met.withColumn("effective", F.when(F.col("resolved"), lowered).otherwise(F.col("importance"))).drop("__source", "__recovered")
+
+
+def latest_recovery(events: DataFrame) -> DataFrame:
+    """(source_id, seq) of the last recovery of each source that has one."""
+    return events.where("kind = 'source_recovered'").groupBy("source_id").agg(F.max("seq").alias("seq"))
 
 
 def rank(events: DataFrame, importance: str = "effective") -> DataFrame:
-    """Adds ``rank`` over all rows and ``ordinal`` within each source: importance descending, then seq."""
+    """Adds ``rank`` over all rows and ``ordinal`` within each source: importance descending, then seq.
+
+    Both are places in a total order of all rows; the ordinal is counted from its source's first, so no window holds a source.
+    """
     order = [F.desc(importance), F.asc("seq")]
-    return with_seq(events, order, name="rank").withColumn("ordinal", F.row_number().over(W.partitionBy("source_id").orderBy(*order)))
+    ranked = with_seq(events, order, name="rank")
+    placed = settled(with_seq(ranked, [F.asc("source_id"), *order], name="__place"), "places")
+    first = settled(placed.groupBy(F.col("source_id").alias("__source")).agg(F.min("__place").alias("__first")), "firsts")
+    met = placed.join(first, F.col("source_id").eqNullSafe(F.col("__source")))
+    return met.withColumn("ordinal", (F.col("__place") - F.col("__first") + 1).cast("int")).drop("__place", "__source", "__first")
+
+
+def following(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Each row with a struct ``next``, the row after it in ``order`` among those that agree in ``by``; without one for the last.
+
+    Rows are numbered over all groups and joined on the number, so a hot group is as good as any; give light rows, texts can be joined to them.
+    """
+    placed = settled(with_seq(rows, [*map(F.asc, by), *map(F.asc, order)], name="__place"), "placed")
+    after = placed.select((F.col("__place") - 1).alias("__place"), F.struct(*rows.columns).alias("next"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"next.{c}"))
+    return placed.join(after, "__place", "left").withColumn("next", F.when(same, F.col("next"))).drop("__place")
+
+
+def bounds(events: DataFrame) -> DataFrame:
+    """First and last number and count of a selection: one row."""
+    return events.agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count("*").alias("n"))
+
+
+def page(events: DataFrame, size: int) -> DataFrame:
+    """The first ``size`` rows by number, each with the ``total`` of the selection."""
+    return events.orderBy("seq").limit(size).withColumn("total", F.lit(events.count()).cast("long"))
+
+
+def offset_page(rows: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
+    return rows.orderBy(*order).offset(offset).limit(limit)
+
+
+def omitted(grouped: DataFrame) -> DataFrame:
+    """Sources of ``groups`` with omitted rows and their place: the greatest omitted importance first, then by name. A row for each source."""
+    return grouped.where("omitted > 0").withColumn("place", F.row_number().over(W.orderBy(F.desc("max_omitted"), "source_id")))
+
+
+def behind(cursors: DataFrame, last: int, pruned: int) -> DataFrame:
+    """How far each consumer (agent_id, seq) is behind the log's end, and whether it missed events that were pruned."""
+    return cursors.select("agent_id", (F.lit(last).cast("long") - F.col("seq")).alias("lag"), (F.col("seq") < pruned).alias("gap"))
 
 
 def running_size(lines: DataFrame, length: Column, order: Sequence[Column]) -> DataFrame:

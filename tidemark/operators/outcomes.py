@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.plans.model import PRIORITY_WEIGHTS
+
 
 @dataclass(frozen=True)
 class State:
@@ -88,6 +90,34 @@ def streaks(runs: DataFrame) -> DataFrame:
     return runs.withColumn("kinds", kinds).where(F.size("kinds") > 0).select("source_id", "run", F.posexplode("kinds").alias("step", "kind"))
 
 
+def error_streaks(runs: DataFrame) -> DataFrame:
+    """(source_id, first_run, last_run, failures) of each unbroken series of failures of (source_id, run, failed)."""
+    w = W.partitionBy("source_id").orderBy("run")
+    starts = F.col("failed") & ~F.coalesce(F.lag("failed").over(w), F.lit(False))
+    numbered = runs.withColumn("__starts", starts.cast("int")).withColumn("__streak", F.sum("__starts").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    found = numbered.where("failed").groupBy("source_id", "__streak").agg(F.min("run").alias("first_run"), F.max("run").alias("last_run"), F.count("*").alias("failures"))
+    return found.drop("__streak")
+
+
+def stale(last, now, schedule):
+    """Whether a heartbeat is older than twice the schedule, strictly, in whole seconds."""
+    return F.unix_timestamp(now) - F.unix_timestamp(last) > 2 * schedule
+
+
+def by_priority(sources: DataFrame) -> DataFrame:
+    """Sources (source_id, priority) with their place in a listing: by priority, unknown ones last, then by name. A row for each source."""
+    at = F.array_position(F.array(*map(F.lit, PRIORITY_WEIGHTS)), F.col("priority"))
+    return sources.withColumn("place", F.row_number().over(W.orderBy(F.when(at == 0, len(PRIORITY_WEIGHTS) + 1).otherwise(at), "source_id")))
+
+
+def soonest(sources: DataFrame, now, most: int = 5) -> DataFrame:
+    """Seconds to sleep until a source is due: 0 to ``most``, and ``most`` if there is none."""
+    last = F.greatest("last_success_at", "last_error_at")
+    at = F.coalesce(last + F.make_dt_interval(secs=F.col("schedule")), now)
+    left = F.unix_timestamp(F.min(at)) - F.unix_timestamp(now)
+    return sources.agg(F.coalesce(F.least(F.greatest(left, F.lit(0)), F.lit(most)), F.lit(most)).cast("long").alias("seconds"))
+
+
 def late(runs: DataFrame) -> DataFrame:
     """Runs dated before an attempt that arrived earlier (strictly, in whole seconds)."""
     w = W.partitionBy("source_id").orderBy("run").rowsBetween(W.unboundedPreceding, -1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -23,6 +24,52 @@ def state_as_of(initial: DataFrame, changes: DataFrame, at, keys: Sequence[str],
     return met.select(*keys, *(pick(f).alias(f) for f in fields))
 
 
+def flags_as_of(mail: DataFrame, flags: DataFrame, at, keys: Sequence[str], received: str) -> DataFrame:
+    """Mails received by ``at``, with ``flags`` (a sorted array): their own and those that (keys, t, add) events had added by then."""
+    added = flags.where(F.col("t") <= at).groupBy(*keys).agg(F.collect_set("add").alias("__added"))
+    met = mail.where(F.col(received) <= at).join(added, list(keys), "left")
+    return met.withColumn("flags", F.array_sort(F.array_union("flags", F.coalesce("__added", F.array().cast("array<string>"))))).drop("__added")
+
+
+def system_rule(states: DataFrame, last, now, first_layout: str) -> DataFrame:
+    """LAYOUT if the newest state (t, layout, login_expired) by ``now`` is not the first layout and that of ``last`` was, LOGIN likewise for an expired login."""
+    newest = lambda at, c: F.max_by(c, F.when(F.col("t") <= at, F.col("t")))
+    both = states.where((F.col("t") <= last) | (F.col("t") <= now)).agg(
+        newest(last, F.col("layout")).alias("l0"), newest(now, F.col("layout")).alias("l1"), newest(last, F.col("login_expired")).alias("e0"), newest(now, F.col("login_expired")).alias("e1")
+    )
+    layout = F.when((F.col("l1") != first_layout) & (F.col("l0") == first_layout), "LAYOUT")
+    login = F.when(F.col("e1") & ~F.col("e0"), "LOGIN")
+    return both.select(F.explode(F.array_compact(F.array(layout, login))).alias("ref"))
+
+
+def recalls(key: DataFrame, reported: DataFrame, on: Sequence[str], marks: Sequence[str]) -> DataFrame:
+    """recall over all items of ``key``, and recall_<mark> over those for which its boolean column ``mark`` holds; 1 over none."""
+    met = key.join(reported.select(*on).distinct().withColumn("__hit", F.lit(True)), list(on), "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
+    share = lambda of: F.coalesce(F.avg(F.when(of, F.col("__hit").cast("double"))), F.lit(1.0))
+    return met.agg(share(F.lit(True)).alias("recall"), *(share(F.col(m)).alias(f"recall_{m}") for m in marks))
+
+
+def tool_counts(calls: DataFrame, by: Sequence[str], tool: str) -> DataFrame:
+    """Calls of each run (by) and tool, and the run's total."""
+    each = calls.groupBy(*by, tool).agg(F.count("*").alias("calls"))
+    total = calls.groupBy(*by).agg(F.count("*").alias("total"))
+    return each.join(total, list(by))
+
+
+def misses(counts: DataFrame, name: str) -> DataFrame:
+    """(name, n) with their place: the most frequent first, then by name. A row for each kind of miss."""
+    return counts.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), name)))
+
+
+def answer_key(**rules: DataFrame) -> DataFrame:
+    """The rules' references (their first columns) under their names: kind, ref."""
+    parts = [df.select(F.lit(kind).alias("kind"), F.col(df.columns[0]).cast("string").alias("ref")) for kind, df in rules.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def slipped_or_cancelled(before: DataFrame, now: DataFrame, key: str, status: str, eta: str, cancelled: str, days: int = 3) -> DataFrame:
     """Rows of both states that became cancelled or whose date moved later by more than ``days``."""
     b, n = before.alias("b"), now.alias("n")
@@ -63,11 +110,18 @@ def grade(key: DataFrame, reported: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def observed(refs: DataFrame, texts: DataFrame) -> DataFrame:
-    """References that occur in a text as whole numbers. Numbers of the texts are exploded once, so this is an equi-join."""
-    numbers = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"\d+"), F.lit(0))).alias("ref")).distinct()
+    """References that occur in a text as whole numbers or as words joined by dashes. These are exploded once, so this is an equi-join."""
+    numbers = texts.select(F.explode(F.concat(F.regexp_extract_all("text", F.lit(r"\d+"), F.lit(0)), F.regexp_extract_all(F.upper("text"), F.lit(r"[A-Z]+(?:-[A-Z]+)*"), F.lit(0)))).alias("ref")).distinct()
     return refs.join(numbers, "ref", "left_semi")
 
 
+def observability(refs: DataFrame, texts: DataFrame) -> DataFrame:
+    """All references with ``seen`` and, where they are not, the ``reason``."""
+    seen = refs.join(observed(refs, texts).distinct().withColumn("__seen", F.lit(True)), "ref", "left")
+    reason = F.when(F.col("__seen").isNull(), F.when(F.col("ref").rlike(r"^\d+$"), "number in no text").otherwise("words in no text"))
+    return seen.select(*refs.columns, F.col("__seen").isNotNull().alias("seen"), reason.alias("reason"))
+
+
 def run_stats(runs: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Mean, exact median, minimum and maximum, nulls left out."""
     return runs.groupBy(*by).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"))

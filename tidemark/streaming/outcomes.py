@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.outcomes import Outcome, State, step
 
-RUNS = "source_id string, run long, kind string, at timestamp, message string"
+RUNS = "source_id string, run long, kind string, at timestamp, message string, hint string, selectors array<string>, fingerprint string, record_count long"
 ANNOUNCED = "source_id string, run long, step int, kind string, text string"
-_STATE = "baselined boolean, in_error boolean, error_from long, announced string, broken string, last_error string, last_error_at long, last_success_at long"
+_STATE = "baselined boolean, in_error boolean, error_from long, announced string, broken string, fingerprint string, last_error string, last_error_at long, last_success_at long"
 
 
 def _time(x: int | None) -> datetime | None:
@@ -25,24 +27,39 @@ def _number(t: datetime | None) -> int:
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Runs of one source in order of arrival; state is a row for each source."""
+    """Runs of one source in order of their number; state is a row for each source."""
     s = State()
     if state.exists:
-        b, e, began, told, broken, last, bad, good = state.get
-        s = State(b, e, _time(began), told or None, tuple(filter(None, broken.split("\n"))), None, last or None, _time(bad), _time(good))
-    rows = pd.concat(batches).sort_values("run") if batches else pd.DataFrame()
+        b, e, began, told, broken, layout, last, bad, good = state.get
+        s = State(b, e, _time(began), json.loads(told), tuple(json.loads(broken)), json.loads(layout), json.loads(last), _time(bad), _time(good))
+    rows = pd.concat(batches).sort_values("run", kind="stable")
+    text = lambda x: x if isinstance(x, str) else None
     out = []
     for r in rows.itertuples(index=False):
-        message = r.message if isinstance(r.message, str) else ""
-        names = tuple(message.split(",")) if r.kind == "broken" else ()
-        s, events, _ = step(s, Outcome(r.kind, r.at.to_pydatetime().replace(tzinfo=timezone.utc), message, selectors=names))
-        out += [(key[0], r.run, i, kind, str(detail.get("error") or detail.get("last_error") or "")) for i, (kind, detail) in enumerate(events)]
-    state.update((s.baselined, s.in_error, _number(s.error_from), s.announced or "", "\n".join(s.broken), s.last_error or "", _number(s.last_error_at), _number(s.last_success_at)))
+        names = tuple(x for x in r.selectors) if r.selectors is not None and not isinstance(r.selectors, float) else ()
+        count = 0 if pd.isna(r.record_count) else int(r.record_count)
+        run = Outcome(r.kind, r.at.to_pydatetime().replace(tzinfo=timezone.utc), text(r.message), text(r.hint), names, text(r.fingerprint), count)
+        s, events, _ = step(s, run)
+        out += [(key[0], r.run, i, kind, _told(kind, detail)) for i, (kind, detail) in enumerate(events)]
+    told, broken, layout, last = (json.dumps(x) for x in (s.announced, s.broken, s.fingerprint, s.last_error))  # null and '' stay apart
+    state.update((s.baselined, s.in_error, _number(s.error_from), told, broken, layout, last, _number(s.last_error_at), _number(s.last_success_at)))
     yield pd.DataFrame(out, columns=["source_id", "run", "step", "kind", "text"])
 
 
+def _told(kind: str, detail: dict) -> str:
+    """What an announcement says: an error and its hint, the error that is over, the selectors that match nothing, or the number of records."""
+    if kind == "baseline":
+        return str(detail["record_count"])
+    if kind == "schema_changed":
+        return ",".join(detail["selectors"])
+    return "; ".join(filter(None, (detail.get("error") or detail.get("last_error"), detail.get("hint"))))
+
+
 def announcements(runs: DataFrame) -> DataFrame:
-    """Events that a stream of runs (RUNS) announces; state is kept by source and survives restarts with the checkpoint."""
+    """Events that a stream of runs (RUNS: kind ok, fail, login or broken) announces; state is kept by source and survives restarts with the checkpoint.
+
+    A run that began before a later attempt of its source was stored is passed over, as in the batch machine.
+    """
     return runs.groupBy("source_id").applyInPandasWithState(_advance, ANNOUNCED, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -51,3 +68,8 @@ def replay(spark: SparkSession, folder: str, checkpoint: str, sink: str, files_p
     ticks = spark.readStream.schema(RUNS).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     query = announcements(ticks).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def acknowledged(events: DataFrame, last_look) -> int:
+    """The cursor of a consumer whose last look was at ``last_look``: the highest number of an event stored by then, 0 if there is none."""
+    return events.where(F.col("created_at") <= last_look).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
