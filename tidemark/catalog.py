@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions import lines as L
 from tidemark.functions import text as X
 from tidemark.functions.udfs import FINGERPRINT_DEPTH, page_paths, page_rows, text_change
 from tidemark.operators import log, outcomes, score, snapshot, worlds
-from tidemark.plans.model import PRIORITY_WEIGHTS, Rule
+from tidemark.plans.model import Rule
 from tidemark.plans.scratch import scratch_root
 from tidemark.sources.base import as_records
+from tidemark.sources.mail import days_of
 from tidemark.streaming.outcomes import replay
 
 QUERIES: dict = {}
@@ -129,11 +131,13 @@ def diff_aged_out_scoped(spark, d):
     return gone.select(F.col("k").alias("key"), F.col("eta").cast("string").alias("eta"))
 
 
-@query(_CTE + "SELECT key, s1 || ' (' || p1 || ')' AS title, 'status=' || s1 || ';eta=' || CAST(e1 AS VARCHAR) AS shown FROM diff WHERE kind = 'added'")
+@query(_CTE + """SELECT key, '"' || s1 || '" prio "' || p1 || '"' AS title, 'status=' || s1 || ';eta=' || CAST(e1 AS VARCHAR) AS shown FROM diff WHERE kind = 'added'""")
 def added_with_title(spark, d):
+    """The label of added records: their title fields as records hold them, in the words of a digest's line."""
     a = _diff(spark, d, decorate_added=True).where("kind = 'added'")
-    title = F.concat(F.substring("new.status", 1, 200), F.lit(" ("), F.substring("new.prio", 1, 200), F.lit(")"))
-    return a.select("key", title.alias("title"), F.array_join(F.transform("changes", lambda c: F.concat(c["field"], F.lit("="), c["new"])), ";").alias("shown"))
+    fields = as_records(a.select("key", "new.status", "new.prio", F.array_join(F.transform("changes", lambda c: F.concat(c["field"], F.lit("="), c["new"])), ";").alias("shown")), F.col("key"), ["status", "prio", "shown"])
+    e = fields.select("key", F.col("fields")["shown"]["v"].alias("shown"), F.col("key").alias("record_key"), F.struct(L.titles(F.col("fields"), ["status", "prio"]).alias("title")).alias("detail"))
+    return e.select(F.col("key").cast("long").alias("key"), L.record_label(F.lit(""), L.LINE_CAP, L.TITLE_CAP).alias("title"), "shown")
 
 
 _WEIGHT = "CASE kind WHEN 'added' THEN 3 ELSE 4 END"
@@ -267,8 +271,7 @@ def group_headers(spark, d):
   (SELECT source_id, count(*) AS omitted, max(effective) AS m FROM ranked WHERE rank > 500 GROUP BY source_id) x"""
 )
 def omitted_by_source(spark, d):
-    g = log.groups(log.rank(effective_log(spark, d)), 500).where("omitted > 0")
-    return g.select("source_id", "omitted", F.row_number().over(W.orderBy(F.desc("max_omitted"), "source_id")).alias("place"))
+    return log.omitted(log.groups(log.rank(effective_log(spark, d)), 500)).select("source_id", "omitted", "place")
 
 
 @query(_LOG + "SELECT seq, source_id FROM log WHERE seq > 700 AND source_id = 'u7'")
@@ -288,18 +291,22 @@ def page_newest(spark, d):
 
 @query(_LOG + "SELECT seq, kind, (SELECT count(*) FROM log WHERE seq BETWEEN 1 AND 900 AND source_id = 'u5') AS total FROM log WHERE seq BETWEEN 1 AND 900 AND source_id = 'u5' ORDER BY seq LIMIT 20")
 def batch_page(spark, d):
-    x = log.in_range(change_log(spark, d), 1, 900, "u5")
-    return x.select("seq", "kind").orderBy("seq").limit(20).withColumn("total", F.lit(x.count()).cast("long"))
+    return log.page(log.in_range(change_log(spark, d), 1, 900, "u5").select("seq", "kind"), 20)
 
 
 @query(_LOG + "SELECT min(seq) AS first, max(seq) AS last, count(*) AS n FROM log WHERE seq > 300")
 def selection_bounds(spark, d):
-    return log.after(change_log(spark, d), 300).agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count("*").alias("n"))
+    return log.bounds(log.after(change_log(spark, d), 300))
 
 
 @query(_LOG + "SELECT source_id, max(seq) AS seq FROM log WHERE kind = 'source_recovered' GROUP BY source_id")
 def latest_recovery(spark, d):
-    return change_log(spark, d).where("kind = 'source_recovered'").groupBy("source_id").agg(F.max("seq").alias("seq"))
+    return log.latest_recovery(change_log(spark, d))
+
+
+@query(_LOG + "SELECT seq, effective FROM effective ORDER BY effective DESC, seq LIMIT 25 OFFSET 50")
+def offset_page(spark, d):
+    return log.offset_page(effective_log(spark, d).select("seq", "effective"), [F.desc("effective"), F.asc("seq")], 50, 25)
 
 
 # --- keys -----------------------------------------------------------------------------------------------------
@@ -358,10 +365,7 @@ def baselines(spark, d):
 SELECT source_id, min(run) AS first_run, max(run) AS last_run, count(*) AS failures FROM s WHERE failed GROUP BY source_id, streak"""
 )
 def error_streaks(spark, d):
-    w = W.partitionBy("source_id").orderBy("run")
-    starts = F.col("failed") & ~F.coalesce(F.lag("failed").over(w), F.lit(False))
-    x = runs(spark, d).withColumn("starts", starts.cast("int")).withColumn("streak", F.sum("starts").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return x.where("failed").groupBy("source_id", "streak").agg(F.min("run").alias("first_run"), F.max("run").alias("last_run"), F.count("*").alias("failures")).drop("streak")
+    return outcomes.error_streaks(runs(spark, d))
 
 
 _AT = "CASE WHEN run % 10 = 0 THEN ts - INTERVAL 6 HOUR ELSE ts END"
@@ -384,10 +388,7 @@ cum AS (SELECT day, sum(n) OVER (ORDER BY day DESC ROWS BETWEEN UNBOUNDED PRECED
 SELECT CAST(min(day) AS VARCHAR) AS start, CAST(max(total) AS BIGINT) AS mails FROM cum WHERE total <= 500"""
 )
 def window_days_bisect(spark, d):
-    """The longest run of latest days with at most 500 mails: cumulative counts in one pass instead of a search per day count."""
-    days = t(spark, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n"))
-    cum = days.withColumn("total", F.sum("n").over(W.orderBy(F.desc("day")).rowsBetween(W.unboundedPreceding, 0)))  # a row per day
-    return cum.where("total <= 500").agg(F.min("day").cast("string").alias("start"), F.max("total").alias("mails"))
+    return days_of(t(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")), 500).select(F.col("start").cast("string").alias("start"), "mails")
 
 
 # --- retention and consumers -----------------------------------------------------------------------------------------
@@ -447,9 +448,8 @@ max(event_id) < 9000 AS gap FROM events WHERE event_type = 'signup' GROUP BY use
 def cursor_lag(spark, d):
     """How far each consumer is behind the log's end, and whether it missed events pruned through 9,000."""
     e = t(spark, d, "events")
-    end = F.lit(e.agg(F.max("event_id")).first()[0]).cast("long")
-    at = e.where("event_type = 'signup'").groupBy("user_id").agg(F.max("event_id").alias("seq"))
-    return at.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("agent_id"), (end - F.col("seq")).alias("lag"), (F.col("seq") < 9000).alias("gap"))
+    at = e.where("event_type = 'signup'").groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("agent_id")).agg(F.max("event_id").alias("seq"))
+    return log.behind(at, e.agg(F.max("event_id")).first()[0], 9000)
 
 
 _NOW = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -468,8 +468,18 @@ def due_sources(spark, d):
 @query(f"SELECT user_id, epoch(date_trunc('second', {_NOW})) - epoch(date_trunc('second', max(ts))) > 2 * (3600 + 3600 * (user_id % 4)) AS stale FROM events GROUP BY user_id")
 def heartbeat_stale(spark, d):
     """Staleness is strictly more than twice the schedule."""
-    age = F.unix_timestamp(F.to_timestamp(F.lit("2024-01-31 00:00:00"))) - F.unix_timestamp(F.max("ts").cast("timestamp"))
-    return t(spark, d, "events").groupBy("user_id").agg((age > 2 * (3600 + 3600 * (F.col("user_id") % 4))).alias("stale"))
+    last = t(spark, d, "events").groupBy("user_id").agg(F.max("ts").cast("timestamp").alias("last"))
+    return last.select("user_id", outcomes.stale(F.col("last"), F.to_timestamp(F.lit("2024-01-31 00:00:00")), 3600 + 3600 * (F.col("user_id") % 4)).alias("stale"))
+
+
+@query(
+    f"""WITH s AS (SELECT max(ts) AS last, 900 + 86400 * (user_id % 5) AS schedule FROM events WHERE user_id < 20 GROUP BY user_id)
+SELECT CAST(least(5, greatest(0, epoch(date_trunc('second', min(last + to_seconds(schedule)))) - epoch({_NOW}))) AS BIGINT) AS seconds FROM s"""
+)
+def soonest_due(spark, d):
+    s = t(spark, d, "events").where("user_id < 20").groupBy("user_id").agg(F.max("ts").cast("timestamp").alias("last_success_at"))
+    s = s.withColumn("last_error_at", F.lit(None).cast("timestamp")).withColumn("schedule", (F.lit(900) + F.lit(86400) * (F.col("user_id") % 5)).cast("int"))
+    return outcomes.soonest(s, F.to_timestamp(F.lit("2024-01-31 00:00:00")))
 
 
 @query(
@@ -486,14 +496,12 @@ def age_text(spark, d):
 (SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) AS source_id, CASE user_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'normal' ELSE 'low' END AS priority FROM events) x"""
 )
 def status_order(spark, d):
-    s = change_log(spark, d).select("source_id", "priority").distinct()
-    by = F.array_position(F.array(*map(F.lit, PRIORITY_WEIGHTS)), F.col("priority"))
-    return s.select("source_id", F.row_number().over(W.orderBy(by, "source_id")).alias("place"))
+    return outcomes.by_priority(change_log(spark, d).select("source_id", "priority").distinct()).select("source_id", "place")
 
 
 # --- scalar functions ---------------------------------------------------------------------------------------------------
 
-_FLAT = r"trim(regexp_replace(regexp_replace(substr(text, 1, 2000), '[\p{Cc}\p{Cf}\p{Zl}\p{Zp}\p{Co}]', ' ', 'g'), '[\s\p{Z}]+', ' ', 'g'))"
+_FLAT = r"trim(regexp_replace(regexp_replace(text, '[\p{Cc}\p{Cf}\p{Zl}\p{Zp}\p{Co}]', ' ', 'g'), '[\s\p{Z}]+', ' ', 'g'))"
 
 
 @query(rf"""SELECT doc_id, '"' || replace(replace(CASE WHEN length(f) > 120 THEN substr(f, 1, 119) || '…' ELSE f END, '\', '\\'), '"', '\"') || '"' AS quoted FROM (SELECT doc_id, {_FLAT} AS f FROM documents) x""")
@@ -587,7 +595,7 @@ def usage_totals(spark, d):
 @query("SELECT event_type, n, row_number() OVER (ORDER BY n DESC, event_type) AS place FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1) x")
 def common_misses(spark, d):
     x = t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return x.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "event_type")))
+    return worlds.misses(x, "event_type")
 
 
 @query(r"SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS ref FROM part WHERE CAST(p_partkey AS VARCHAR) IN (SELECT unnest(regexp_extract_all(props, '\d+')) FROM events)")
@@ -603,8 +611,74 @@ UNION ALL SELECT 'portal', CAST(key AS VARCHAR) FROM met WHERE in_old AND in_new
 UNION ALL SELECT 'mail', CAST(event_id AS VARCHAR) FROM events WHERE event_type IN ('purchase', 'signup') AND value > 20 AND ts > TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00'"""
 )
 def answer_key(spark, d):
-    part = lambda kind, df, c: df.select(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("ref"))
-    return part("po", po_rule(spark, d), "k").unionByName(part("portal", portal_rule(spark, d), "k")).unionByName(part("mail", mail_rule(spark, d), "event_id"))
+    return worlds.answer_key(po=po_rule(spark, d), portal=portal_rule(spark, d), mail=mail_rule(spark, d))
+
+
+_FLAGS = """WITH mails AS (SELECT event_id, user_id, ts AS received FROM events WHERE event_type = 'view'),
+flagged AS (SELECT user_id, ts AS t, event_type AS add_flag FROM events WHERE event_type IN ('click', 'purchase', 'signup'))
+"""
+
+
+@query(
+    _FLAGS
+    + """SELECT event_id, coalesce((SELECT string_agg(DISTINCT f.add_flag, ',' ORDER BY f.add_flag) FROM (SELECT user_id, t, add_flag FROM flagged UNION ALL SELECT m.user_id, m.received, 'seen') f
+  WHERE f.user_id = m.user_id AND f.t <= TIMESTAMP '2024-01-08 00:00:00'), '') AS flags FROM mails m WHERE received <= TIMESTAMP '2024-01-08 00:00:00'"""
+)
+def flags_as_of(spark, d):
+    e = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    mails = e.where("event_type = 'view'").select("event_id", "user_id", F.col("ts").alias("received"), F.array(F.lit("seen")).alias("flags"))
+    added = e.where("event_type in ('click', 'purchase', 'signup')").select("user_id", F.col("ts").alias("t"), F.col("event_type").alias("add"))
+    got = worlds.flags_as_of(mails, added, F.to_timestamp_ntz(F.lit("2024-01-08 00:00:00")), ["user_id"], "received")
+    return got.select("event_id", F.array_join("flags", ",").alias("flags"))
+
+
+@query(
+    """WITH s AS (SELECT ts AS t, CASE WHEN event_id < 300 THEN 'v1' ELSE 'v2' END AS layout, event_id >= 400 AS login_expired FROM events),
+a AS (SELECT arg_max(layout, t) FILTER (t <= (SELECT ts FROM events WHERE event_id = 100)) AS l0, arg_max(layout, t) FILTER (t <= (SELECT ts FROM events WHERE event_id = 500)) AS l1,
+  arg_max(login_expired, t) FILTER (t <= (SELECT ts FROM events WHERE event_id = 100)) AS e0, arg_max(login_expired, t) FILTER (t <= (SELECT ts FROM events WHERE event_id = 500)) AS e1 FROM s)
+SELECT 'LAYOUT' AS ref FROM a WHERE l1 <> 'v1' AND l0 = 'v1' UNION ALL SELECT 'LOGIN' FROM a WHERE e1 AND NOT e0"""
+)
+def system_rule(spark, d):
+    e = t(spark, d, "events")
+    looks = {r.event_id: r.ts for r in e.where("event_id in (100, 500)").select("event_id", "ts").collect()}
+    states = e.select(F.col("ts").alias("t"), F.when(F.col("event_id") < 300, "v1").otherwise("v2").alias("layout"), (F.col("event_id") >= 400).alias("login_expired"))
+    return worlds.system_rule(states, F.lit(looks[100]), F.lit(looks[500]), "v1")
+
+
+@query(
+    """WITH k AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY 1), r AS (SELECT DISTINCT doc_id FROM documents WHERE n_chars < 2000),
+m AS (SELECT k.*, r.doc_id IS NOT NULL AS hit FROM k LEFT JOIN r USING (doc_id))
+SELECT avg(CAST(hit AS INT)) AS recall, avg(CASE WHEN good THEN CAST(hit AS INT) END) AS recall_good, avg(CASE WHEN toxic THEN CAST(hit AS INT) END) AS recall_toxic FROM m"""
+)
+def recalls(spark, d):
+    key = t(spark, d, "labels").groupBy("doc_id").agg((F.max("quality") == 1).alias("good"), (F.max("toxic") == 1).alias("toxic"))
+    return worlds.recalls(key, t(spark, d, "documents").where("n_chars < 2000"), ["doc_id"], ["good", "toxic"])
+
+
+@query("SELECT user_id, event_type, count(*) AS calls, CAST(sum(count(*)) OVER (PARTITION BY user_id) AS BIGINT) AS total FROM events GROUP BY 1, 2")
+def tool_counts(spark, d):
+    return worlds.tool_counts(t(spark, d, "events"), ["user_id"], "event_type")
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '-' ELSE CAST(floor((event_id % 8) / 8.0 * 100 + 0.5) AS BIGINT) || '%' END AS share,
+format('{:,}', event_id * 1234) AS n, '$' || format('{:,.3f}', event_id / 8.0) AS cost FROM events"""
+)
+def report_formats(spark, d):
+    share = F.when(F.col("event_id") % 7 != 0, F.col("event_id") % 8 / 8.0)
+    return t(spark, d, "events").select("event_id", X.percent(share).alias("share"), X.thousands(F.col("event_id") * 1234).alias("n"), X.money(F.col("event_id") / 8.0).alias("cost"))
+
+
+@query("SELECT event_id, CAST(value * x AS VARCHAR) AS text FROM events, (SELECT unnest([1.0::DOUBLE, 1e6, 1e15, 1e-5, 1e-8]) AS x) s WHERE value IS NOT NULL")
+def float_texts(spark, d):
+    """Floats as rules compare them: shortest digits, 10000000.0 rather than 1.0E7."""
+    x = F.explode(F.array(*(F.lit(v) for v in (1.0, 1e6, 1e15, 1e-5, 1e-8)))).alias("x")
+    return t(spark, d, "events").where("value is not null").select("event_id", "value", x).select("event_id", X.python_text(F.col("value").cast("double") * F.col("x"), "double").alias("text"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(text, '[\x00-\x1f\x7f-\x9f\x{2028}\x{2029}]+', ' ', 'g'), ' ') AS line FROM documents")
+def log_lines(spark, d):
+    return t(spark, d, "documents").select("doc_id", X.log_line(F.col("text")).alias("line"))
 
 
 @query(
@@ -643,6 +717,7 @@ def stream_state_machine(spark, d):
     """The streamed machine over the runs as four tick files, one batch each; state is kept by source."""
     x = runs(spark, d)
     x = x.select("source_id", "run", F.when(F.col("failed"), "fail").otherwise("ok").alias("kind"), F.col("ts").cast("timestamp").alias("at"), F.lit("m").alias("message"))
+    x = x.withColumns({"hint": F.lit(None).cast("string"), "selectors": F.lit(None).cast("array<string>"), "fingerprint": F.lit(None).cast("string"), "record_count": F.lit(0).cast("long")})
     root = f"{scratch_root(spark)}/tidemark/ticks-{uuid.uuid4().hex}"
     last = x.agg(F.max("run")).first()[0] or 0
     for k in range(4):  # files are taken in order of their time; within a tick a source is in one file
@@ -652,16 +727,20 @@ def stream_state_machine(spark, d):
     return spark.read.parquet(f"{root}/out").select("source_id", "run", "kind")
 
 
-# --- beyond SQL: opcode diffs and HTML; held against brute force in tests ----------------------------------------------------------
+# --- beyond SQL: opcode diffs and HTML; tests compute each of these queries again with plain code ---------------------------------------
 
 
 @query()
 def text_change_stats(spark, d):
-    """Characters added and removed between each document and the next of its language and source."""
-    w = W.partitionBy("lang", "source").orderBy("doc_id")
-    x = t(spark, d, "documents").withColumn("next", F.lead("text").over(w)).where("next is not null")
-    n = text_change(F.col("text"), F.col("next"))
-    return x.select("doc_id", n.alias("n")).select("doc_id", "n.added", "n.removed")
+    """Characters added and removed between each document and the next of its language and source.
+
+    Neighbours are found among ids alone; texts are joined to them, so that a large language and source is dealt over all tasks.
+    """
+    docs, tasks = t(spark, d, "documents"), 4 * spark.sparkContext.defaultParallelism
+    pairs = log.following(docs.select("lang", "source", "doc_id"), ["lang", "source"], ["doc_id"]).where("next is not null").select("doc_id", F.col("next.doc_id").alias("next_id"))
+    later = pairs.join(docs.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next")), "next_id").where("next is not null")
+    x = docs.select("doc_id", "text").repartition(tasks, "doc_id").join(later.select("doc_id", "next").repartition(tasks, "doc_id"), "doc_id")
+    return x.select("doc_id", text_change(F.col("text"), F.col("next")).alias("n")).select("doc_id", "n.added", "n.removed")
 
 
 @query()
@@ -672,14 +751,14 @@ def page_fingerprint(spark, d):
 
 @query()
 def page_links(spark, d):
-    rows = page_rows("nav ul li", {"text": "a", "href": "a@href"})(F.col("html"))
+    rows = page_rows("nav ul > li", {"text": "a", "href": "a[href]@href"})(F.col("html"))
     return t(spark, d, "pages").select("page_id", F.posexplode(rows).alias("row", "fields")).select("page_id", "row", F.col("fields")["text"].alias("text"), F.col("fields")["href"].alias("href"))
 
 
 @query()
 def structure_changed(spark, d):
     """Pages whose structure differs from the page before them on the same host."""
-    w = W.partitionBy("host").orderBy("page_id")
-    x = t(spark, d, "pages").withColumn("host", F.parse_url("url", F.lit("HOST"))).withColumn("paths", page_paths(FINGERPRINT_DEPTH, "nav ul li", below_body=True)(F.col("html")))
-    x = x.withColumn("fingerprint", F.sha2(F.array_join("paths", "\n"), 256)).select("page_id", "host", "fingerprint")
-    return x.withColumn("before", F.lag("fingerprint").over(w)).where("before <> fingerprint").select("page_id", "host")
+    paths = page_paths(FINGERPRINT_DEPTH, "nav ul li", below_body=True)(F.col("html"))
+    x = t(spark, d, "pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.sha2(F.array_join(paths, "\n"), 256).alias("fingerprint"))
+    moved = log.following(x, ["host"], ["page_id"]).where(F.col("fingerprint") != F.col("next.fingerprint"))
+    return moved.select("next.page_id", "next.host")
