@@ -2,14 +2,18 @@
 
 import difflib
 import hashlib
+import os
 import random
 from datetime import datetime, timedelta, timezone
+from html.parser import HTMLParser
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import catalog
 from tidemark.functions import text as X
+from tidemark.functions import udfs
 from tidemark.functions.udfs import change_stats, page_paths, page_rows, parse_selector
 from tidemark.operators import log, outcomes, score, snapshot, worlds
 from tidemark.operators.outcomes import Outcome, State, step
@@ -88,9 +92,11 @@ def test_keys_are_checked(spark):
     with pytest.raises(snapshot.CollectError, match="'a' 2 times"):
         snapshot.check_keys(spark.createDataFrame([("a",), ("a",), ("b",)], "key string"))
     snapshot.check_keys(spark.createDataFrame([], "key string"))
-    for bad in ("", "x" * 65, "a\nb"):
+    names = lambda *ns: spark.createDataFrame([({n: 1},) for n in ns], "fields map<string,int>")
+    for bad in ("", "x" * 65, "a\nb", "a\u200bb", "\u00a0"):
         with pytest.raises(snapshot.CollectError):
-            snapshot.check_names([bad])
+            snapshot.check_names(names("fine", bad))
+    snapshot.check_names(names("fine", "x" * 64, "a b", "é台"))
 
 
 def test_scores(spark):
@@ -196,9 +202,9 @@ def test_pages(spark):
     rows = [r[0] for r in df.select(page_rows("nav.a li", {"t": "a", "h": "a@href"})(F.col("html"))).collect()]
     assert rows == [[{"t": "One two", "h": "/x"}, {}], []]
     paths = df.select(page_paths(9, "nav li")(F.col("html"))).first()[0]
-    assert paths == sorted(["html", "html>body", "html>body>nav.a.b", "html>body>nav.a.b>ul", "html>body>nav.a.b>ul>li", "html>body>p", "html>body>p>br"])
+    assert paths == sorted(["html", "html>body", "html>body>nav.a.b", "html>body>nav.a.b>ul", "html>body>p", "html>body>p>br"])
     with pytest.raises(ValueError):
-        parse_selector("a > b[x=1]")
+        parse_selector("a:hover")
 
 
 def test_fingerprints_reach_eight_levels_below_body(spark, tmp_path):
@@ -253,3 +259,181 @@ def test_answers_and_ticks(spark, tmp_path):
     assert [r[0] for r in refs.select(X.reference(F.col("k"), F.col("r"))).collect()] == ["45", "1 2", "LOGIN-EXPIRED"]
     worlds.notes_csv(spark.createDataFrame([(2, "b"), (1, "a")], "k int, v string"), str(tmp_path / "n"), ["k"])
     assert spark.read.option("header", "true").csv(str(tmp_path / "n")).count() == 2
+
+
+# --- pages, computed again from a tree -----------------------------------------------------------------------------------
+
+
+class Tree(HTMLParser):
+    """Nodes (tag, classes, attributes, children, texts in order), closed as the tags say."""
+
+    EMPTY = set("area base br col embed hr img input link meta source track wbr".split())
+
+    def __init__(self, html):
+        super().__init__()
+        self.root = ("", [], {}, [])
+        self.open = [self.root]
+        self.feed(html)
+
+    def handle_starttag(self, tag, attrs):
+        node = (tag, sorted((dict(attrs).get("class") or "").split()), dict(attrs), [])
+        self.open[-1][3].append(node)
+        if tag not in self.EMPTY:
+            self.open.append(node)
+
+    def handle_endtag(self, tag):
+        if tag in [n[0] for n in self.open]:
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        self.open[-1][3].append(data)
+
+
+def nodes(node, above=()):
+    """Every element with the elements above it, in the order of the page."""
+    for child in node[3]:
+        if not isinstance(child, str):
+            yield child, above
+            yield from nodes(child, (*above, child))
+
+
+def text_of(node):
+    return "".join(c if isinstance(c, str) else text_of(c) for c in node[3])
+
+
+def is_row(n, above):
+    tags = [a[0] for a in above]
+    return n[0] == "li" and "ul" in tags and "nav" in tags[: len(tags) - 1 - tags[::-1].index("ul")]
+
+
+def brute_paths(html):
+    skipped, out = {"script", "style", "noscript", "template"}, set()
+    for n, above in nodes(Tree(html).root):
+        chain = [*above, n]
+        tags = [c[0] for c in chain]
+        if skipped & set(tags) or any(is_row(c, chain[:i]) for i, c in enumerate(chain)):
+            continue
+        if "body" in tags:
+            chain = chain[tags.index("body") + 1 :]
+        else:
+            chain = chain[tags[0] == "html" :]
+            if chain and chain[0][0] in ("head", "title", "meta", "link", "base"):
+                continue
+        if 0 < len(chain) <= 8:
+            out.add(">".join(".".join([c[0], *c[1]]) for c in chain))
+    return sorted(out)
+
+
+PAGES = [
+    "<html><head><title>t</title><script>var a='<b>';</script></head><body><nav><ul><li><a href='/x'>One <b>two</b></a></li><li>none</li></ul></nav><p class='z a'>x<br>y</p></body></html>",
+    "<p>loose<nav><div><ul class=m><li><a>no href</a><a href=u> first  one </a><a href=v>second</a></li></ul></div></nav>",
+    "<body><ul><li><a href=q>not in nav</a></li></ul><nav><ul><ol><li><a href=w>not a child of ul</a></li></ol></ul></nav></body>",
+    "",
+    None,
+]
+
+
+def test_page_queries_by_brute_force(spark, tmp_path):
+    pages = PAGES + [p for p in pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist()[:60]] if os.path.exists("/root/testdata/sf0.001/pages.parquet") else PAGES
+    rows = [(i, f"http://h{i % 3}/p", h) for i, h in enumerate(pages)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    paths = {i: hashlib.sha256("\n".join(brute_paths(h) if h else []).encode()).hexdigest() for i, _, h in rows}
+    assert {r.page_id: r.fingerprint for r in catalog.page_fingerprint(spark, str(tmp_path)).collect()} == paths
+    moved = {(i, f"h{i % 3}") for i in paths if i >= 3 and paths[i] != paths[i - 3]}
+    assert {tuple(r) for r in catalog.structure_changed(spark, str(tmp_path)).collect()} == moved
+    links = set()
+    for i, _, h in rows:
+        row = -1
+        for n, above in nodes(Tree(h or "").root):
+            if is_row(n, above) and above[-1][0] == "ul" and not any(is_row(a, above[:k]) for k, a in enumerate(above)):
+                row += 1
+                inner = [m for m, _ in nodes(n)]
+                text = next((" ".join(text_of(m).split()) for m in inner if m[0] == "a"), None)
+                href = next((" ".join((m[2]["href"] or "").split()) for m in inner if m[0] == "a" and "href" in m[2]), None)
+                links.add((i, row, text, href))
+    got = {tuple(r) for r in catalog.page_links(spark, str(tmp_path)).collect()}
+    assert got == links and {x[:2] for x in links} >= {(0, 0), (0, 1), (1, 0)}
+
+
+@pytest.mark.parametrize("limit", [100_000, 7])
+def test_ranks_and_neighbours_agree_however_many_tasks_number(spark, monkeypatch, limit):
+    monkeypatch.setattr(log, "ONE_TASK", limit)
+    rows = [(i, None if i % 11 == 0 else f"s{i * i % 4}", (i * 7) % 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "seq long, source_id string, effective int")
+    order = sorted(rows, key=lambda r: (-r[2], r[0]))
+    want = {r[0]: (k + 1, 1 + sum(o[1] == r[1] for o in order[:k])) for k, r in enumerate(order)}
+    assert {r.seq: (r["rank"], r.ordinal) for r in log.rank(df).collect()} == want
+    after = {r.seq: r["next"] and r["next"].seq for r in log.following(df, ["source_id"], ["seq"]).collect()}
+    assert after == {s: next((o[0] for o in rows if o[1] == source and o[0] > s), None) for s, source, _ in rows}
+
+
+def test_an_error_weighs_less_after_a_recovery_of_its_source(spark):
+    rows = [(1, "a", "source_error", 15, None), (2, "a", "schema_changed", 15, []), (3, "a", "schema_changed", 15, ["x"]), (4, "a", "source_recovered", 3, None), (5, "a", "source_error", 15, None), (6, "b", "source_error", 10, None)]
+    df = spark.createDataFrame([(*r[:4], (r[4],)) for r in rows], "seq long, source_id string, kind string, importance int, detail struct<selectors:array<string>>").withColumn("priority", F.lit("high"))
+    got = log.effective_importance(df, F.col("priority"), score.priority_weight(F.col("priority")), score.kind_weight(F.col("kind"))).collect()
+    assert {r.seq: (r.resolved, r.effective) for r in got} == {1: (True, 3), 2: (False, 15), 3: (True, 3), 4: (False, 3), 5: (False, 15), 6: (False, 10)}
+
+
+def test_kept_characters_are_those_of_the_library(monkeypatch):
+    r = random.Random(3)
+    ref = lambda a, b: sum(x.size for x in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+    for small in (0, 40, 10**9):
+        monkeypatch.setattr(udfs, "SMALL_CHUNK", small)
+        for _ in range(300):
+            a, b = ("".join(r.choice("ab\ud800é😀") for _ in range(r.randint(0, 40))) for _ in range(2))
+            assert udfs.kept_characters(a, b) == ref(a, b)
+    monkeypatch.setattr(udfs, "SMALL_CHUNK", 1000)
+    text = " ".join(f"w{r.randrange(300)}" for _ in range(500))
+    other = " ".join(w if r.random() < 0.8 else "new" for w in text.split())
+    assert udfs.kept_characters(text, other) == ref(text, other)
+
+
+def test_benchmark_additions(spark):
+    refs = spark.createDataFrame([("12",), ("7",), ("LOGIN-PAGE",), ("DISK",)], "ref string")
+    texts = spark.createDataFrame([("order 12 and 77",), ("the login-page moved",)], "text string")
+    got = {r.ref: (r.seen, r.reason) for r in worlds.observability(refs, texts).collect()}
+    assert got == {"12": (True, None), "7": (False, "number in no text"), "LOGIN-PAGE": (True, None), "DISK": (False, "words in no text")}
+    empty = spark.createDataFrame([], "id int, a boolean")
+    assert worlds.recalls(empty, empty, ["id"], ["a"]).first() == (1.0, 1.0)
+    t = lambda d: datetime(2026, 1, d)
+    states = spark.createDataFrame([(t(1), "v1", False), (t(4), "v2", False), (t(6), "v2", True)], "t timestamp, layout string, login_expired boolean")
+    rule = lambda a, b: [r.ref for r in worlds.system_rule(states, F.lit(t(a)), F.lit(t(b)), "v1").collect()]
+    assert (rule(2, 5), rule(2, 9), rule(5, 9), rule(2, 3)) == (["LAYOUT"], ["LAYOUT", "LOGIN"], ["LOGIN"], [])
+
+
+def test_text_helpers(spark):
+    from tidemark.functions import text as X
+
+    df = spark.createDataFrame([("a\x00b\u202ec\\d é",), ("",), (None,)], "x string")
+    assert [r[0] for r in df.select(X.visible(F.col("x"))).collect()] == ["a\\u{00000000}b\\u{0000202e}c\\\\d é", "", None]
+    assert [r[0] for r in df.select(X.log_line(F.col("x"))).collect()] == ["a b\u202ec\\d é", "", None]
+
+
+def test_scratch_tables_need_a_shared_folder_on_a_cluster():
+    from tidemark.plans import scratch
+
+    class Fake:
+        class conf:
+            get = staticmethod(lambda k, d: None)
+
+        class sparkContext:
+            master = "local-cluster[3,2,1000]"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.scratch_root(Fake)
+
+
+def test_scratch_tables_go_with_their_scope(spark, tmp_path, monkeypatch):
+    from tidemark.plans import scratch
+
+    monkeypatch.setattr(scratch, "scratch_root", lambda spark: f"file://{tmp_path}")
+    here = lambda: sorted(p.name.rsplit("-", 1)[0] for p in (tmp_path / "tidemark").iterdir() if p.is_dir())
+    with pytest.raises(ZeroDivisionError), scratch.scope(spark):
+        scratch.settled(spark.range(3), "gone")
+        kept = scratch.outlasting(spark.range(3), "kept")
+        assert here() == ["gone", "kept"]
+        1 / 0
+    assert here() == ["kept"] and kept.count() == 3
+    scratch.drop(kept)
+    assert here() == []

@@ -11,7 +11,8 @@ from tidemark.sources.base import collector
 from tidemark.sources.config import parse_config, parse_schedule
 from tidemark.sources.directory import glob_regex
 from tidemark.sources.tables import scrubbed
-from tidemark.streaming.outcomes import replay
+from tidemark.sources.directory import pruned
+from tidemark.streaming.outcomes import RUNS, acknowledged, replay
 
 NOW = datetime(2026, 3, 10, 12, tzinfo=timezone.utc)
 
@@ -33,6 +34,49 @@ def test_directory(spark, tmp_path):
         collector("dir", path=str(tmp_path / "none")).collect(spark, NOW)
 
 
+def test_directory_prunes_and_tells_what_it_cannot_read(spark, tmp_path, monkeypatch):
+    (tmp_path / "skip/deep").mkdir(parents=True)
+    (tmp_path / "skip/deep/x").write_text("no")
+    (tmp_path / "keep").mkdir()
+    (tmp_path / "keep/.x").write_text("hid")
+    (tmp_path / "keep/y").write_text("yes")
+    (tmp_path / "stuck").symlink_to("/proc/self/mem")
+    (tmp_path / "gone").symlink_to(tmp_path / "nowhere")
+    c = collector("dir", path=str(tmp_path), exclude=["skip/**"])
+    entered = []
+    real = type(c)._listed
+
+    def listed(self, fs, root):
+        class Spy:
+            def listStatus(self, folder):
+                entered.append(folder.getName())
+                return fs.listStatus(folder)
+
+        return real(self, Spy(), root)
+
+    monkeypatch.setattr(type(c), "_listed", listed)
+    got = c.collect(spark, NOW)
+    assert set(fields(got)) == {"keep/.x", "keep/y"} and [r.key for r in got.unavailable.collect()] == ["stuck"]
+    assert "keep" in entered and "skip" not in entered
+    assert pruned(["**", "a/**", "b/*"]) == [".*", "a"]
+
+
+def test_directory_in_another_store(spark, tmp_path):
+    """The way of stores that only Spark reads, on local files: names that begin with a dot are unavailable there."""
+    from tidemark.sources import directory
+
+    (tmp_path / "b").write_bytes(b"x\0y")
+    (tmp_path / "c").write_text("z" * 30)
+    (tmp_path / ".h").write_text("h")
+    (tmp_path / "t é").write_text("té")
+    (tmp_path / "g[a]*").write_text("g")
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(tmp_path)).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = ["b", "c", ".h", "t é", "g[a]*", "was"]
+    listed = spark.createDataFrame([(n, f"file:{tmp_path}/{n}") for n in names], "key string, path string")
+    got = {r.key: (r["size"], r.text, bool(r.sha256), r.unread) for r in directory._through_spark(spark, listed, fs, 20).collect()}
+    assert got == {"b": (3, None, True, False), "c": (30, None, True, False), "t é": (3, "té", False, False), "g[a]*": (1, "g", False, False), ".h": (None, None, False, True)}
+
+
 @pytest.mark.parametrize(
     "pattern,path,want",
     [("**/*.md", "a/b/c.md", True), ("**/*.md", "c.md", True), ("*.md", "a/c.md", False), ("a/**", "a/b/c", True), ("[!a]x", "/x", False), ("[!a]x", "bx", True), ("a[", "a[", True), ("?", "/", False), ("*", ".x", True)],
@@ -55,6 +99,54 @@ def test_query(spark):
     assert scrubbed("bad db://me:pw@host\nmore", ["pw"]) == "bad db://***@host"
 
 
+def test_secrets_are_named_by_environment_variable(spark, monkeypatch):
+    options = dict(query="select 1 a", key="a", url_env="TEST_DB_URL", user_env="TEST_DB_USER", password_env="TEST_DB_PASSWORD")
+    c = parse_config("sources: [{id: db, type: sql, query: select 1 a, key: a, url_env: TEST_DB_URL, user_env: TEST_DB_USER, password_env: TEST_DB_PASSWORD}]")[0]
+    assert c.options == options
+    with pytest.raises(CollectError, match="TEST_DB_URL is not set"):
+        collector("sql", **c.options).collect(spark, NOW)
+    for k, v in (("URL", "jdbc:nothing://h/x?password=hunter2"), ("USER", "me"), ("PASSWORD", "hunter2")):
+        monkeypatch.setenv(f"TEST_DB_{k}", v)
+    with pytest.raises(CollectError) as e:
+        collector("sql", **c.options).collect(spark, NOW)
+    assert "hunter2" not in str(e.value)
+
+
+def test_float_texts(spark):
+    from tidemark.functions.text import python_text
+    from tidemark.operators.score import matches
+    from tidemark.plans.model import Rule
+
+    values = [1.0, 1e7, 1e15, 1e16, 1.5e-5, 0.1 + 0.2, -0.0, float("nan"), float("inf"), 2.0**-1074, None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r.t for r in df.select(python_text(F.col("x"), "double").alias("t")).collect()] == [None if v is None else str(v) for v in values]
+    assert df.where(matches(Rule("x", "equals", "10000000.0"), F.lit("added"), F.array(), F.col("x"), "double")).count() == 1
+    df.createOrReplaceTempView("floats")
+    got = collector("sql", query="select monotonically_increasing_id() k, x from floats", key="k").collect(spark, NOW)
+    assert sorted(r.fields["x"].v or "" for r in got.records.collect()) == sorted("" if v is None else str(v) for v in values)
+
+
+def test_mail_headers(spark):
+    from tidemark.sources.mail import clean_headers, folder_code, header_date
+
+    assert [folder_code(n) for n in ("INBOX", "A&B", "台北", "a é&")] == ["INBOX", "A&-B", "&U,BTFw-", "a &AOk-&-"]
+    assert header_date("Sun, 01 Mar 2026 10:00:00 +0200") == datetime(2026, 3, 1, 8, tzinfo=timezone.utc) == header_date("Sun, 01 Mar 2026 08:00:00 -0000")
+    assert header_date("Sun, 01 Mar 1901 10:00:00 +0000") is header_date("soon") is header_date(None) is header_date("") is None
+    rows = [("in", 1, " s ", "Sun, 01 Mar 2026 10:00:00 +0200", None), ("in", 2, None, "soon", datetime(2026, 3, 2)), ("in", 3, "x", None, None)]
+    df = spark.createDataFrame(rows, "folder string, uid long, subject string, date string, received timestamp")
+    got = [(r.uid, r.subject, r.date and r.date.isoformat(), r.received and r.received.isoformat()) for r in clean_headers(df).orderBy("uid").collect()]
+    one, two = "2026-03-01T08:00:00", "2026-03-02T00:00:00"
+    assert got == [(1, "s", one, one), (2, None, two, two), (3, "x", None, None)]
+
+
+def test_option_ranges():
+    for bad in (dict(view="v", folders=["in"], days=0), dict(view="v", folders=["in"], cap=5001), dict(view="v", folders=["in"], days=True)):
+        with pytest.raises(ValueError):
+            collector("imap", **bad)
+    with pytest.raises(ValueError, match="between 0 and 32"):
+        collector("web", view="v", url="u", rows="tr", fields={"k": "td"}, key="k", depth=33)
+
+
 def test_mailbox_shortens_a_full_folder(spark):
     rows = [("in", i, f"m{i % 28}", f"2026-03-{1 + i // 3:02d} 08:00:00", f"s{i}") for i in range(30)] + [("out", 1, None, "2026-03-09 01:00:00", "o"), ("out", 2, "m27", "2026-03-09 02:00:00", "again")]
     df = spark.createDataFrame(rows, "folder string, uid long, message_id string, received string, subject string").withColumn("received", F.to_timestamp("received"))
@@ -75,6 +167,27 @@ def test_page_and_broken_selectors(spark):
     assert collector("web", **o | {"rows": "table tr.q"}).collect(spark, NOW).broken == ["table tr.q"]
 
 
+def test_selectors(spark):
+    from tidemark.functions.udfs import _Walk, parse_selector
+
+    html = '<div id=top><p class="a b">1<span data-k="x y">2</span></p><ul><li><a href=u>3</a></li><li class=a><p>4</p></li></ul></div>'
+
+    def texts(selector):
+        w = _Walk(0, parse_selector(selector)[0], [("t", parse_selector(selector)[0], None)])
+        w.feed(html)
+        return [r["t"] for r in w.rows]
+
+    assert texts("#top > p") == ["12"] and texts("div#top span[data-k]") == ["2"] == texts('span[data-k="x y"]') == texts("p > span")
+    assert texts("div > span") == [] and texts("ul > li.a") == ["4"] and texts("ul li") == ["3", "4"] and texts("[href=u]") == ["3"] and texts("p.b.a") == ["12"]
+    assert texts("div > ul p") == ["4"] and texts("* > a") == ["3"]
+    for bad in ("", "a:hover", "> a", "a >", "a,b", "a[", "#a#b", "a > > b"):
+        with pytest.raises(ValueError):
+            parse_selector(bad)
+    spark.createDataFrame([("u", html)], "url string, html string").createOrReplaceTempView("logins")
+    with pytest.raises(LoginRequired):
+        collector("web", view="logins", url="u", rows="li", fields={"k": "a"}, key="k", login_selector="p > span[data-k]").collect(spark, NOW)
+
+
 def test_watches(spark, tmp_path):
     (tmp_path / "l.json").write_text('{"uuid":"a","url":"u","title":" ","page_title":"P","last_changed":0,"last_error":"false","tags":["t"]}\n{"uuid":"b","url":"v","last_changed":60,"last_error":"x","tags":[]}\n')
     got = fields(collector("changedetection", listing=str(tmp_path / "l.json")).collect(spark, NOW))
@@ -87,7 +200,7 @@ def test_watches(spark, tmp_path):
 def test_config():
     c = parse_config("sources:\n- {id: po, type: sql, schedule: every 2m, priority: high, query: select 1, key: a, track: [x, x, y], highlight: [{field: s, equals: 'X', bonus: -2}]}\n")[0]
     assert (c.schedule, c.track, c.rules[0].bonus, c.options) == (120, ("x", "y"), -2, {"query": "select 1", "key": "a"})
-    for bad in ("a: 1", "sources: [{id: '*', type: sql}]", "sources: [{id: a, type: no}]", "sources: [{id: a, type: sql, password: x}]", "sources: [{id: a, type: sql, highlight: [{field: s}]}]"):
+    for bad in ("a: 1", "sources: [{id: '*', type: sql}]", "sources: [{id: a, type: no}]", "sources: [{id: a, type: sql, password: x}]", "sources: [{id: a, type: sql, highlight: [{field: s}]}]", "sources: [{id: A, type: sql}]", "sources: [{id: a.b, type: sql}]", "sources: [{id: a, type: sql, url: jdbc}]", "sources: [{id: a, type: sql, password_env: 'p w'}]", "sources: [{id: a, type: sql, highlight: [{field: s, equals: 1, bonus: true}]}]"):
         with pytest.raises(ValueError):
             parse_config(bad)
     with pytest.raises(ValueError):
@@ -99,9 +212,37 @@ def test_config():
 def test_streamed_machine_agrees_with_batch(spark, tmp_path):
     rows = [(f"s{i % 3}", i, "fail" if (i * 7) % 5 < 2 else "ok", f"2026-01-01 00:{i % 60:02d}:00", "m") for i in range(60)]
     for k in range(4):
-        part = spark.createDataFrame(rows[k * 15 : k * 15 + 15], "source_id string, run long, kind string, at string, message string").withColumn("at", F.to_timestamp("at"))
+        part = spark.createDataFrame([(*r, None, None, None, 1) for r in rows[k * 15 : k * 15 + 15]], RUNS.replace("at timestamp", "at string")).withColumn("at", F.to_timestamp("at"))
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "ticks"))
     replay(spark, str(tmp_path / "ticks"), str(tmp_path / "ckpt"), str(tmp_path / "sink"))
     got = sorted((r.source_id, r.run, r.step, r.kind) for r in spark.read.parquet(str(tmp_path / "sink")).collect())
     batch = outcomes.streaks(spark.createDataFrame([(s, i, k == "fail") for s, i, k, _, _ in rows], "source_id string, run long, failed boolean"))
     assert got == sorted(map(tuple, batch.collect()))
+
+
+def test_streamed_states_of_every_kind(spark, tmp_path):
+    """Logins, broken selectors, layouts and late runs, against the same steps taken one by one."""
+    import random
+    from collections import defaultdict
+
+    r, rows, day = random.Random(5), [], datetime(2026, 1, 1, tzinfo=timezone.utc)
+    for i in range(120):
+        kind = r.choice(["ok", "ok", "fail", "login", "broken"])
+        when = day.replace(hour=i // 6, minute=(i * 7) % 60)
+        names = r.sample(["a.b", "td,x", "p"], 2) if kind == "broken" else None
+        rows.append((f"s{i % 4}", i, kind, when, r.choice(["m", "n", ""]), "log in" if kind == "login" else None, names, r.choice(["f", "g", None]) if kind == "ok" else None, i))
+    for k in range(4):
+        part = spark.createDataFrame([(*x[:3], x[3].replace(tzinfo=None), *x[4:]) for x in rows[k * 30 : k * 30 + 30]], RUNS)
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "ticks"))
+    replay(spark, str(tmp_path / "ticks"), str(tmp_path / "ckpt"), str(tmp_path / "sink"))
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "sink")).collect()))
+    states, want = defaultdict(outcomes.State), []
+    for s, i, kind, when, message, hint, names, layout, n in rows:
+        states[s], events, _ = outcomes.step(states[s], outcomes.Outcome(kind, when, message, hint, tuple(names or ()), layout, n))
+        for j, (k, d) in enumerate(events):
+            told = str(d["record_count"]) if k == "baseline" else ",".join(d["selectors"]) if k == "schema_changed" else "; ".join(filter(None, (d.get("error") or d.get("last_error"), d.get("hint"))))
+            want.append((s, i, j, k, told))
+    assert got == sorted(want) and {k for *_, k, _ in got} == {"baseline", "source_error", "source_recovered", "schema_changed"}
+    assert any(k == "schema_changed" and t == "" for *_, k, t in got)
+    events = spark.createDataFrame([(1, datetime(2026, 1, 1, 1)), (2, datetime(2026, 1, 1, 2)), (5, datetime(2026, 1, 1, 9))], "seq long, created_at timestamp")
+    assert acknowledged(events, F.to_timestamp(F.lit("2026-01-01 02:00:00"))) == 2 and acknowledged(events, F.to_timestamp(F.lit("2025-01-01 02:00:00"))) == 0

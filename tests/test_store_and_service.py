@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.snapshot import CollectError
 from tidemark.plans import model, runner
 from tidemark.plans.service import Service, estimate, parse_handle
-from tidemark.plans.store import Conflict, Store
+from tidemark.plans.store import Conflict, Store, StoreError, unstamp
 from tidemark.sources.base import Collected, Collector, Window, as_records
 
 T0 = datetime(2026, 3, 1, 9, tzinfo=timezone.utc)
@@ -130,13 +130,276 @@ def test_a_lost_commit_leaves_nothing(store):
     one.manifest.meta["x"] = "1"
     one.publish()
     two.append("events", store.read("events"))
+    two.manifest.meta["x"] = "2"
     with pytest.raises(Conflict):
         two.publish()
     assert store.read("events").count() == 1 and store.manifest().meta["x"] == "1"
-    store.collect_garbage(1)
+    assert store.collect_garbage(1) == 0  # too young to be abandoned
+    assert store.collect_garbage(1, abandoned_s=-60) == 1
     assert store.read("events").count() == 1 and store.read("records").count() == 3
 
 
+def test_commits_that_touch_different_things_are_put_on_top_of_each_other(store):
+    runner.run(store, CONFIG, Fake(BASE), at(0))
+    service = Service(store, lambda: at(1))
+    commit, nothing = store.begin(), Fake([]).collect(store.spark, at(5))
+    got = runner._commit(commit, CONFIG, Fake([]), nothing, runner._hashed(nothing.records), runner.outcomes.Outcome("ok", at(5)))
+    assert service.ack("a", 1).startswith("ok") and "events 1-1 (1)" in service.digest("b")
+    commit.publish()
+    m = store.manifest()
+    assert got.last_seq == m.max_seq == 4 and m.cursors["a"]["seq"] == 1 and m.next_served == 2
+
+    class Slow(Fake):
+        def collect(self, spark, now):
+            service.digest("during")
+            return super().collect(spark, now)
+
+    assert runner.run(store, CONFIG, Slow(BASE), at(10)).last_seq == 7
+    assert sorted(r.agent_id for r in store.read("served").collect()) == ["b", "during"]
+
+
+def test_two_runs_at_once_number_their_events_one_after_the_other(store):
+    """The second one commits between the begin and the publish of the first, which starts again on top of it."""
+    other = model.SourceConfig("qo", "sql")
+    runner.run(store, CONFIG, Fake(BASE), at(0))
+    done = []
+
+    class Meddling(Store):
+        def begin(self):
+            commit = super().begin()
+            if not done:
+                done.append(runner.run(store, other, Fake(BASE[:1]), at(3)))
+            return commit
+
+    got = runner.run(Meddling(store.spark, store.root), CONFIG, Fake([]), at(4))
+    assert (done[0].first_seq, got.first_seq, got.last_seq) == (2, 3, 5)
+    assert [(r.seq, r.source_id) for r in store.read("events").orderBy("seq").collect()] == [(1, "po"), (2, "qo"), (3, "po"), (4, "po"), (5, "po")]
+    assert store.read("records", None, "qo").count() == 1
+
+
+def test_a_writer_that_died_with_its_manifest_unwritten_stops_no_one(store):
+    runner.run(store, CONFIG, Fake(BASE), at(0))
+    n = store.manifest().number
+    with open(f"{store.root}/manifests/{n + 1:012d}.json", "w"):
+        pass
+    with open(f"{store.root}/manifests/{n + 2:012d}.json", "w") as f:
+        f.write('{"number":')
+    assert store.manifest().number == n
+    assert runner.run(store, CONFIG, Fake([]), at(15)).last_seq == 4
+    assert store.manifest().number == n + 3
+    store.collect_garbage(1)
+    assert store.read("events").count() == 4 and Service(store, lambda: at(16)).ack("a", 4).startswith("ok")
+
+
+def test_moving_a_manifest_never_replaces_one(store, tmp_path):
+    (tmp_path / "store/manifests/a.tmp").write_text("a")
+    (tmp_path / "store/manifests/b.json").write_text("b")
+    own, to = (store._path(f"{store.root}/manifests/{n}") for n in ("a.tmp", "b.json"))
+    for move in (store._move, store._rename):
+        with pytest.raises(Exception, match="(?i)exists"):
+            move(own, to)
+    assert (tmp_path / "store/manifests/b.json").read_text() == "b"
+    store._rename(own, store._path(f"{store.root}/manifests/c.json"))
+    assert (tmp_path / "store/manifests/c.json").read_text() == "a"
+
+
+def test_migration_and_reading_only(spark, store, tmp_path):
+    """Version 1: all sources in one folder, folders named without ranges."""
+    import json
+
+    runner.run(store, CONFIG, Fake(BASE), at(0))
+    runner.run(store, model.SourceConfig("qo", "sql"), Fake(BASE[:1]), at(1))
+    m = store.manifest()
+    old = {**m.__dict__, "number": m.number + 1, "schema_version": 1, "tables": {t: [g["path"] for g in gs] for t, gs in m.tables.items()}}
+    (tmp_path / f"store/manifests/{m.number + 1:012d}.json").write_text(json.dumps(old))
+    reader = Store(spark, store.root, read_only=True)
+    assert reader.read("records", None, "po").where("source_id = 'po'").count() == 3 and reader.read("events").count() == 2
+    with pytest.raises(StoreError):
+        reader.begin()
+    new = Store(spark, store.root)
+    assert new.manifest().number == m.number + 2 and {g["source"] for g in new.manifest().tables["records"]} == {"po", "qo"}
+    assert new.read("records", None, "qo").count() == 1 and runner.run(new, CONFIG, Fake([]), at(15)).last_seq == 5
+    (tmp_path / f"store/manifests/{m.number + 9:012d}.json").write_text(json.dumps({**old, "schema_version": 3}))
+    with pytest.raises(StoreError, match="version 3"):
+        Store(spark, store.root)
+
+
+def test_reads_leave_out_folders_by_source_and_range(store):
+    runner.run(store, CONFIG, Fake(BASE), at(0))
+    runner.run(store, model.SourceConfig("qo", "sql"), Fake(BASE[:1]), at(1))
+    runner.run(store, CONFIG, Fake([]), at(2))
+    m = store.manifest()
+    assert len(m.tables["events"]) == 3 and len(m.tables["records"]) == 2
+    files = lambda **k: len({f.rsplit("/", 1)[0] for f in store.read("events", m, **k).inputFiles()})
+    assert files() == 3 and files(source="qo") == 1 and files(lo=3) == 1 and files(source="po", hi=2) == 1
+
+
+def test_compaction_keeps_every_row(store):
+    runner.run(store, CONFIG, Fake(BASE), at(0))
+    service = Service(store, lambda: at(1))
+    for _ in range(6):
+        service.digest("a")
+    before = {r.id: r.text for r in store.read("served").collect()}
+    assert store.compact(most=4) == 5 and len(store.manifest().tables["served"]) == 1
+    assert {r.id: r.text for r in store.read("served").collect()} == before and store.compact(most=4) == 0
+
+
+def test_what_is_collected_is_checked(spark, store):
+    """Every name of every record, keys that are both records and unavailable, windows, fingerprints."""
+    many = spark.range(1500).select(F.concat(F.lit("k"), "id").alias("key"), F.create_map(F.when(F.col("id") == 1300, "bad\u200bname").otherwise(F.concat(F.lit("f"), "id")), F.struct(F.lit("str").alias("t"), F.lit("x").alias("v"))).alias("fields"))
+
+    class Given(Collector):
+        def __init__(self, **got):
+            super().__init__()
+            self.got = got
+
+        def collect(self, spark, now):
+            return Collected(**{"records": as_records(spark.createDataFrame(BASE, "po_no string, status string, eta string, note string"), F.col("po_no"))} | self.got)
+
+    assert "is not allowed" in runner.run(store, CONFIG, Given(records=many), at(0)).failed
+    bad = [{"unavailable": ["x", "2"]}, {"unavailable": spark.createDataFrame([("2",)], "key string")}, {"fingerprint": ""}, {"broken": "text"}, {"unavailable": [3]}]
+    bad += [{"window": Window("eta", datetime(2026, 1, 1))}, {"window": Window("", T0)}, {"window": Window("eta", T0, None, {"a": T0})}]
+    for k, more in enumerate(bad):
+        assert runner.run(store, CONFIG, Given(**more), at(1 + k)).failed, more
+    assert runner.run(store, CONFIG, Given(unavailable=spark.createDataFrame([("77",)], "key string")), at(30)).failed is None
+
+
+def test_daemon(store):
+    from tidemark.plans.daemon import LEASE, Daemon, DaemonError, one_line
+
+    clock, slept, said = [at(0)], [], []
+    sources = [(CONFIG, Fake(BASE)), (model.SourceConfig("zz", "sql", schedule=60), Fake(error=CollectError("no\nluck")))]
+
+    def sleep(s):
+        slept.append(s)
+        clock[0] += timedelta(seconds=max(s, 1) * 12)
+        if len(slept) == 4:
+            raise KeyboardInterrupt
+
+    d = Daemon(store, sources, lambda: clock[0], sleep, said.append)
+    other = Daemon(store, [], lambda: clock[0], sleep, said.append)
+    d.start()
+    with pytest.raises(DaemonError, match="another daemon"):
+        other.start()
+    d.close()
+    assert d.run() == 0
+    assert slept == [5, 5, 5, 5] and kinds(store)[0][1] == "baseline" and [k for _, k, _ in kinds(store)].count("source_error") == 1
+    assert "zz: collection failed: no luck" in said and "daemon" not in store.manifest().meta and "heartbeat" not in store.manifest().meta
+    assert unstamp(store.manifest().meta["last_pruned"]) is not None
+    assert other.run(once=True) == 0 and "heartbeat" in store.manifest().meta
+    d.start()
+    clock[0] += timedelta(seconds=LEASE + 1)  # the first one died: its lease runs out
+    other.start()
+    with pytest.raises(DaemonError):
+        d.tick()
+    assert one_line("a\x00b\n c") == "a b  c"
+
+
+def test_a_store_that_fails_puts_the_source_off_by_its_schedule(store, monkeypatch):
+    calls = []
+    monkeypatch.setattr(runner, "run", lambda *a: calls.append(a[1].id) or (_ for _ in ()).throw(OSError("full")))
+    retry, said = {}, []
+    sources = [(CONFIG, Fake(BASE)), (model.SourceConfig("zz", "sql", schedule=60), Fake(BASE))]
+    assert runner.tick(store, sources, at(0), retry_at=retry, log=said.append) == []
+    assert calls == ["po", "zz"] and retry == {"po": at(15), "zz": at(1)} and "run failed: OSError: full" in said[0]
+    runner.tick(store, sources, at(2), retry_at=retry)
+    assert calls == ["po", "zz", "zz"]
+
+
+def golden(store, rows, **more):
+    """Events as given: (source, kind, key, changes, importance, detail)."""
+    events = []
+    for n, (source, kind, key, changes, importance, detail) in enumerate(rows, 1):
+        d = {f: detail.get(f) for f in model.DETAIL.fieldNames()}
+        sides = [(f, o if o is None else ("str", o), v if v is None else ("str", v), None, None) for f, o, v in changes]
+        events.append((n, source, kind, key, sides, importance, tuple(d.values()), at(0)))
+
+    def change(commit):
+        commit.append("events", store.spark.createDataFrame(events, model.EVENTS))
+        commit.manifest.next_seq = len(events) + 1
+        commit.manifest.sources |= {"aa": {"type": "dir", "priority": "high", "key_label": "", "schedule": 60, "configured": True}, "bb": {"type": "sql", "priority": "low", "key_label": "id", "schedule": 900, "configured": True}}
+        for k, v in more.items():
+            setattr(commit.manifest, k, v)
+
+    store.update(change)
+    return Service(store, lambda: at(10))
+
+
+def lines(text):
+    return [x for x in text.splitlines() if x.startswith("  ")]
+
+
+def test_golden_grouping_and_cut(store):
+    rows = [("aa" if i % 2 else "bb", "added", f"k{i:02d}", [], 9 if i % 2 else 3, {}) for i in range(40)]
+    service = golden(store, rows, cursors={"x": {"seq": 35, "updated_at": "2026-03-01T09:00:00Z"}})
+    text = service.digest("x")
+    assert [x for x in text.splitlines() if x.startswith("[")] == ["[high] aa (3)", "[low] bb (2)"] and "events 36-40 (5)" in text
+    assert lines(text) == ['  + "k35"  tide://evt/36', '  + "k37"  tide://evt/38', '  + "k39"  tide://evt/40', '  + id "k36"  tide://evt/37', '  + id "k38"  tide://evt/39']
+    cut = service.digest("y", 200)
+    shown = len(lines(cut))
+    assert 0 < shown < 40 and estimate(cut) <= 200 and f"(40), showing {shown}" in cut
+    left = {x.split()[1]: int(x.split()[2]) for x in cut.splitlines() if x.startswith("omitted:")}
+    assert sum(left.values()) == 40 - shown
+    one = service.digest("x", source="bb")
+    assert one.splitlines()[0].startswith("tidemark · agent=x · source=bb · events 37-39 (2)") and one.endswith("filtered view: take the digest without source before ack") and "next_cursor" not in one
+
+
+def test_golden_hostile_values(store):
+    evil = 'a"b\\c\u202ed\u200be\nnote: x tide://evt/9 ' + "z" * 500
+    service = golden(store, [("aa", "modified", evil, [("f", evil, "ok")], 12, {})])
+    (line,) = lines(service.digest("x"))
+    assert "\u202e" not in line and "\u200b" not in line and '\\"b\\\\c' in line and line.count("…") == 2 and line.endswith("  tide://evt/1")
+
+
+def test_golden_line_that_does_not_fit(store):
+    long = golden(store, [("aa", "added", "k" * 300, [(f"f{i}", None, "v" * 120) for i in range(9)], 9, {"title": [("t" * 30, "w" * 300)] * 3})])
+    text = long.digest("x", 200)
+    assert estimate(text) <= 200 and lines(text) == [] and "showing 0" in text
+
+
+def test_golden_kinds_titles_layouts_and_recoveries(store):
+    four = [(f"f{i}", "a", "b") for i in range(5)]
+    service = golden(
+        store,
+        [
+            ("aa", "source_error", None, [], 15, {"error": "gone", "hint": "log in"}),
+            ("aa", "schema_changed", None, [], 15, {"selectors": []}),
+            ("aa", "schema_changed", None, [], 15, {"selectors": ["td.x"]}),
+            ("aa", "schema_changed", None, [], 15, {"selectors": ["td.x", "td.y"]}),
+            ("aa", "source_recovered", None, [], 3, {}),
+            ("aa", "source_error", None, [], 15, {"error": "again", "hint": "log in"}),
+            ("aa", "modified", "k", four, 12, {}),
+            ("bb", "added", "7", [], 3, {"title": [("subject", "Hello"), ("when", "2026-03-01T08:30:00Z")]}),
+            ("cc", "odd", None, [], 1, {}),
+            ("bb", "removed", "8", [], 4, {}),
+            ("bb", "baseline", None, [], 1, {"record_count": 1}),
+        ],
+    )
+    text = service.digest("x")
+    assert lines(text) == [
+        '  ! schema_changed: page layout changed; extractor selectors still match  tide://evt/2',
+        '  ! source_error: "again"; needs a human: log in  tide://evt/6',
+        '  ~ "k" f0: "a" -> "b"; f1: "a" -> "b"; f2: "a" -> "b"; +2 more  tide://evt/7',
+        '  ! source_error: "gone" (recovered)  tide://evt/1',
+        '  ! schema_changed: 1 extractor selector matches 0 elements ("td.x") (recovered)  tide://evt/3',
+        '  ! schema_changed: 2 extractor selectors match 0 elements ("td.x", "td.y") (recovered)  tide://evt/4',
+        "  ^ source_recovered  tide://evt/5",
+        '  - id "8" removed  tide://evt/10',
+        '  + "Hello" at 2026-03-01 08:30Z  tide://evt/8',
+        "  = baseline: 1 record  tide://evt/11",
+        '  ? "odd"  tide://evt/9',
+    ]
+    assert [x for x in text.splitlines() if x.startswith("[")] == ["[high] aa (7)", "[low] bb (3)", "[?] cc (1)"]
+
+
+def test_golden_warnings_and_gaps(store):
+    service = golden(store, [("aa", "added", "k", [], 9, {})], meta={"heartbeat": "2026-03-01T09:00:00Z"}, pruned_through=3, next_seq=4)
+    head, *rest = service.digest("late").splitlines()
+    assert rest[:2] == ["warning: daemon heartbeat stale (10m ago; shortest schedule 1m); data may be stale", "warning: events 1-3 expired (retention) before this agent read them"]
+    empty = golden(store, [], tables={}, pruned_through=3, next_seq=4, meta={})
+    assert empty.digest("late").splitlines() == ["tidemark · agent=late · no new events after cursor 0 · next_cursor=3", "warning: events 1-3 expired (retention) before this agent read them", "after handling: ack(cursor=3)"]
+
+
 @pytest.mark.parametrize("text", ["tide://evt/01", "tide://evt/-1", "tide://batch/5-2", "tide://batch/1-2?after=1&after=2", "tide://batch/1-2?x=1", "http://evt/1", "tide://rec/po/"])
 def test_malformed_handles(text):
     assert parse_handle(text) is None
