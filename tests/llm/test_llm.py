@@ -242,6 +242,42 @@ def test_licenses(docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_license_labels_and_scores_by_brute_force(spark):
+    """Every place of every notice, tried word by word against document frequencies counted in plain Python."""
+    r, notices = random.Random(14), licenses.NOTICES
+    filler = [f"w{k}" for k in range(50)] + "the of software license to is this".split()
+    rows = []
+    for i in range(150):
+        words = [r.choice(filler) for _ in range(r.randint(0, 30))]
+        for text, _ in r.sample(sorted(notices.values()), r.choice([0, 1, 1, 2])):
+            part = text.split()
+            if i % 3:
+                a, b = sorted(r.sample(range(len(part) + 1), 2))
+                part = part[a:b] if i % 3 == 1 else [w if r.random() > 0.1 else "x" for w in part]
+            words[len(words) // 2 : len(words) // 2] = part
+        rows.append((i, ". ".join(words).title()))
+    docs = [re.findall("[a-z0-9]+", t.lower()) for _, t in rows]
+    df = Counter(w for d in docs for w in set(d))
+    idf = {w: math.log((len(docs) + 1) / (df[w] + 1)) for t, _ in notices.values() for w in t.split()}
+    got = {x.doc_id: x for x in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    some = Counter()
+    for (i, _), d in zip(rows, docs):
+        found = {}
+        for label, (text, key) in notices.items():
+            t, key = text.split(), key.split()
+            rare = sorted(set(t), key=lambda w: (-idf[w], w))[:6]
+            at = next(k for k in range(len(t)) if t[k : k + len(key)] == key)
+            for start in range(-len(t), len(d)):
+                same = [k for k in range(len(t)) if 0 <= start + k < len(d) and d[start + k] == t[k]]
+                if sum(t[k] in rare for k in same) >= 2 and start + at >= 0 and d[start + at : start + at + len(key)] == key:
+                    found[label] = max(found.get(label, 0), len(same) / len(t))
+        some.update(found)
+        base = set(filter(None, got[i].base_labels.split(",")))
+        assert set(filter(None, got[i].labels.split(","))) == base | set(found)
+        assert got[i].score == pytest.approx(1.0 if base else max(found.values(), default=0.0))
+    assert len(some) > 10
+
+
 def union(links):
     parent = {}
 

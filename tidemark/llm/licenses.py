@@ -37,6 +37,16 @@ NOTICES = {
     "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
     "cc-by-sa": ("this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
+    "cc-by-nc": ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
+    "unlicense": ("this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", "free and unencumbered software released into the public domain"),
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+        "in no event will the authors be held liable for any damages arising from the use of this software",
+    ),
+    "epl-2.0": ("this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", "eclipse public license"),
+    "agpl": ("it under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
+    "bsl-1.0": ("distributed under the boost software license version 1 0 see accompanying file", "boost software license version 1 0"),
+    "ofl-1.1": ("this font software is licensed under the sil open font license version 1 1 this license is copied below", "sil open font license"),
     "cc0": ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
 }
 
