@@ -218,7 +218,8 @@ _PASSAGE = pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("sc
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Toxicity of every whole text, learned from labelled rows outside the held-out fold.
 
-    Words carry log-odds of toxic against clean rows under Dirichlet priors: a word's prior follows its 5-byte
+    It learns from at most ``sample`` labelled rows; words and prefixes that only one of them has are left out, and the model's tables hold the VOCABULARY
+    most frequent of each. Scoring reads all words of all texts. Words carry log-odds of toxic against clean rows under Dirichlet priors: a word's prior follows its 5-byte
     prefix, whose prior is the corpus rate. Maximal scoring segments are found in linear time; the law of the
     best segment of clean rows (extreme value) turns their scores into chances, those expected less than 0.05
     times are reported as passages, and a logistic fit maps their sum to a probability.
