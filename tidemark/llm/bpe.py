@@ -30,7 +30,7 @@ _FAST = re.compile(
 _ODD = re.compile(f"[^\t\n\r\x0b\x0c\x20-\x7e{_LATIN[6:]}]")
 
 #: Bytes of merged pre-tokens that a task remembers: rare ones are most of a text's kinds, and a merge costs more than the rest of the count.
-MERGED_BYTES = 64 << 20
+MERGED_BYTES = 96 << 20
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -75,6 +75,7 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in added}
         self.special_rx = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if added else None
         self.to_shown = byte_alphabet()
+        self.shown_table = str.maketrans({chr(b): c for b, c in self.to_shown.items()})
         self.whole = self._prove(model["vocab"])
 
     @functools.cached_property
@@ -108,8 +109,7 @@ class Bpe:
         return whole
 
     def _merge(self, piece: str) -> list[int]:
-        shown = self.to_shown
-        return [t.id for t in self.tok.model.tokenize("".join([shown[b] for b in piece.encode("utf-8")]))]
+        return [t.id for t in self.tok.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.shown_table))]
 
     def pieces(self, text: str) -> list[str]:
         if _ODD.search(text) is None:
