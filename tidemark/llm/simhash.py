@@ -111,7 +111,7 @@ def near_groups(
 #: Members of a bucket whose pairs are all candidates; fuller ones are settled by pivots first and by tiles then.
 ALL_PAIRS = 16
 #: Partners of a text that one task compares it with, as a mean.
-PARTNERS = 1024
+PARTNERS = 256
 #: Members and bytes of shingle sets of a tile, as a mean.
 TILE, TILE_BYTES = 256, 16 << 20
 #: Shingles whose columns are multiplied at once.
