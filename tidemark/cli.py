@@ -1,14 +1,16 @@
-"""python -m tidemark.cli --store DIR [--config FILE] collect [ID] | digest | get | ack | status | prune"""
+"""python -m tidemark.cli --store DIR [--config FILE] collect [ID] | daemon [--once] | digest | get | ack | status | prune"""
 
 from __future__ import annotations
 
 import argparse
 import sys
+import time
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import SparkSession
 
 from tidemark.plans import runner
+from tidemark.plans.daemon import Daemon, DaemonError
 from tidemark.plans.service import DEFAULT_BUDGET, Service
 from tidemark.plans.store import Store
 from tidemark.sources.base import collector
@@ -23,6 +25,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--budget", type=int, default=DEFAULT_BUDGET)
     sub = p.add_subparsers(dest="verb", required=True)
     sub.add_parser("collect").add_argument("source", nargs="?")
+    sub.add_parser("daemon").add_argument("--once", action="store_true")
     sub.add_parser("digest").add_argument("source", nargs="?")
     sub.add_parser("get").add_argument("handle")
     sub.add_parser("ack").add_argument("cursor", type=int)
@@ -33,12 +36,18 @@ def main(argv: list[str] | None = None) -> int:
     now = lambda: datetime.now(timezone.utc)
     store = Store(spark, a.store)
     service = Service(store, now, "cli")
-    if a.verb == "collect":
+    if a.verb in ("collect", "daemon"):
         if not a.config:
-            print("error: collect needs --config", file=sys.stderr)
+            print(f"error: {a.verb} needs --config", file=sys.stderr)
             return 2
         with open(a.config, encoding="utf-8") as f:
             configs = parse_config(f.read())
+        if a.verb == "daemon":
+            try:
+                return Daemon(store, [(c, collector(c.type, **c.options)) for c in configs], now, time.sleep).run(a.once)
+            except DaemonError as e:
+                print(f"error: {e}", file=sys.stderr)
+                return 1
         if a.source and a.source not in {c.id for c in configs}:
             print(f"error: unknown source {a.source}", file=sys.stderr)
             return 2
