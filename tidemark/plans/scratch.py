@@ -7,11 +7,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 _scopes: list[list[str]] = []
+#: Where each settled table lies: kept beside the frames, as an attribute of a frame is also any column of that name.
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -41,7 +44,7 @@ def outlasting(df: DataFrame, label: str) -> DataFrame:
     """settled, but the table outlives the scope that it is made in."""
     out = settled(df, label)
     for made in _scopes[-1:]:
-        made.remove(out.settled_at)
+        made.remove(_places[out])
     return out
 
 
@@ -53,10 +56,14 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     """Evaluates df once, as a table: later reads agree on it and a lost executor costs nothing upstream."""
     path = write_table(df, label)
     out = reread(df.sparkSession, path, df.schema)
-    out.settled_at = path
+    _places[out] = path
     return out
 
 
+def is_settled(df: DataFrame) -> bool:
+    return df in _places
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Deletes a table made by write_table, through Hadoop's file system so that any store works."""
     fs, at = _file(spark, path)
@@ -66,7 +73,7 @@ def drop_table(spark: SparkSession, path: str) -> None:
 def drop(*tables: DataFrame) -> None:
     """Deletes tables made by settled, once nothing that is still to run reads them."""
     for t in tables:
-        drop_table(t.sparkSession, t.settled_at)
+        drop_table(t.sparkSession, _places[t])
 
 
 @contextmanager
