@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, mixing, packing, pii, quality, simhash, sketches, token_counts, toxicity
+from . import exact_dedup, licenses, media, mixing, oracles, packing, pii, quality, resampling, simhash, sketches, token_counts, toxicity, vectors
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -51,6 +51,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample_to_target(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest_media(media.store_texts(table(spark, sf_dir, "documents")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -64,13 +76,15 @@ QUERIES = {
         op8_mixing,
         op9_toxicity,
         op10_pii,
+        op11_target_resampling,
+        op12_media_columns,
+        op13_vector_codes,
     )
 }
 
 ORACLE_SQL = {
-    "op2_exact_dedup": """
-        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-               row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
-               sha256(coalesce(text, '')) AS text_sha256
-        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op2_exact_dedup": oracles.EXACT_DEDUP,
+    "op11_target_resampling": oracles.TARGET_RESAMPLING,
+    "op12_media_columns": oracles.MEDIA_COLUMNS,
+    "op13_vector_codes": oracles.VECTOR_CODES,
 }
