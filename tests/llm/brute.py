@@ -198,3 +198,65 @@ def best_path(emissions, transitions):
         before = path[-1] if path else tags
         stack += [((*path, t), x + transitions[before, t] + emissions[len(path), t]) for t in range(tags)]
     return best
+
+
+# --- op11 -----------------------------------------------------------------------------------------------------------------
+
+
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+
+
+def run_buckets(text, n, buckets):
+    w = [x.encode() for x in words_of(text)]
+    return [zlib.crc32(b" ".join(w[i : i + k])) % buckets for k in range(1, n + 1) for i in range(len(w) - k + 1)]
+
+
+def resampled(rows, target, n=1, buckets=10_000, least_words=20, percent=10, seed=2024):
+    """[id, words, features, weight, score, rank] of (id, text) rows, in their order."""
+    import hashlib
+
+    found = [run_buckets(t, n, buckets) for _, t in rows]
+    raw, wanted = Counter(b for f in found for b in f), Counter(b for t in target for b in run_buckets(t, n, buckets))
+    s, t = raw.total(), wanted.total()
+    gain = {b: math.floor(1000 * math.log((wanted[b] + 1) * (s + buckets) / ((raw[b] + 1) * (t + buckets)))) for b in raw}
+    out = []
+    for (i, text), f in zip(rows, found):
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in f)
+        out.append([i, len(words_of(text)), len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None])
+    able = sorted((r for r in out if r[1] >= least_words), key=lambda r: (-r[4], r[0] is not None, r[0] or 0, -r[3], r[2]))
+    for k, r in enumerate(able[: percent * len(able) // 100], 1):
+        r[5] = k
+    return out
+
+
+# --- op13 -----------------------------------------------------------------------------------------------------------------
+
+
+def vector_codes(rows, parts=8, entries=16, rounds=6, scale=4096):
+    """({row index: (code, error)}, codebooks) of (id, vector, label) rows, in Python's integers."""
+    kept = [(i, r) for i, r in enumerate(rows) if r[1] is not None and all(c is not None and math.isfinite(c) for c in r[1])]
+    width = -(-max((len(r[1]) for _, r in kept), default=0) // parts) * parts
+    most = math.isqrt((2**63 - 1) // max(1, width)) // 2
+    ints = {i: [max(-most, min(most, math.floor(scale * c))) for c in r[1]] for i, r in kept}
+    order = sorted(kept, key=lambda x: (x[1][0] is None, x[1][0] or 0, [math.floor(scale * c) for c in x[1][1]]))
+    ints = {i: x + [0] * (width - len(x)) for i, x in ints.items()}
+    w = width // parts
+    books = [[ints[i][p * w : (p + 1) * w] for i, _ in order[:entries]] for p in range(parts)]
+
+    def nearest(book, x):
+        return min((sum((a - b) ** 2 for a, b in zip(x, e)), k) for k, e in enumerate(book))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            met = defaultdict(list)
+            for x in ints.values():
+                x = x[p * w : (p + 1) * w]
+                met[nearest(books[p], x)[1]].append(x)
+            books[p] = [[sum(c) // len(met[k]) for c in zip(*met[k])] if k in met else e for k, e in enumerate(books[p])]
+    out = {}
+    for i, x in ints.items():
+        found = [nearest(books[p], x[p * w : (p + 1) * w]) for p in range(parts)]
+        out[i] = "".join(f"{k:02x}" for _, k in found), sum(d for d, _ in found)
+    return out, books
