@@ -761,3 +761,12 @@ def test_field_learns_its_table_and_generalises():
     assert added("ring (303) 555-0177 today") == [("phone", "(303) 555-0177")]
     assert added("write to kim@office soon") == [("email", "kim@office")]
     assert added("in 2019 and 2020 we had 15 or 16, version 3.1.4, hash 9f86d081884c7d65") == []
+
+
+def test_mix_takes_other_names_and_carries_columns(spark):
+    rows = [(i, f"w{i} " * (1 + i % 4), f"s{i % 3}", i, None) for i in range(30)]
+    renamed = spark.createDataFrame(rows, "id int, body string, src string, plan_id int, source string")
+    same = spark.createDataFrame(rows, "doc_id int, text string, source string, plan_id int, other string")
+    got = mixing.mix(renamed, id_col="id", text_col="body", source_col="src").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in mixing.mix(same).collect()] and got[0].asDict().keys() == {"id", "body", "src", "plan_id", "source"}
+    assert Counter(r.id for r in got).keys() == set(range(30))

@@ -1,6 +1,7 @@
 """The pipeline on small and awkward corpora, stage by stage against brute force."""
 
 import os
+import random
 import sys
 from collections import Counter
 
@@ -96,3 +97,23 @@ def test_run_leaves_only_what_its_result_reads(spark, corpus, tmp_path, monkeypa
 
 def test_an_empty_corpus(spark, corpus):
     assert corpus_pipeline.run(spark, corpus([])).count() == 0
+
+
+def test_every_stage_carries_columns_of_any_name(spark, corpus):
+    """Columns named like those that the stages make themselves, of every kind of type that Parquet holds."""
+    from pyspark.sql import functions as F
+
+    d = corpus([])
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("abcdefghij") * 3 for _ in range(40)), None if i % 5 == 0 else "s") for i in range(40)] + [(50, None, "s"), (None, "x y", "s")]
+    names = "gone_id gone_sha id text_sha sha key row row_id row_sha plan_id plan_source plan_key text_key block place epoch tokens has budget at within source_id of keep_id kept rows".split()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = docs.select("*", *(F.coalesce("doc_id", F.lit(-1)).alias(n) for n in names), F.make_dt_interval(F.lit(1)).alias("count"), F.create_map(F.lit("k"), F.lit(1)).alias("label"))
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("int"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns and out.schema == docs.schema, name
+        got = out.collect()
+        assert {r.doc_id for r in got} <= {r[0] for r in rows} and all(r[n] == (-1 if r.doc_id is None else r.doc_id) for r in got for n in names), name
+        assert len(got) >= 10, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, d).count() > 0

@@ -134,17 +134,17 @@ def _running(sums: DataFrame, bits: int) -> DataFrame:
     return out.withColumn("group", group).join(above, ["source", "epoch", "group"]).select("source", "epoch", "range", (F.col("before") + F.col("more")).alias("before"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with all its columns, repeated and ordered as ``schedule`` says: blocks are ranges of the output's partitions.
 
     Rows repeating id, source and text are one (of rows that differ elsewhere the one whose JSON text hashes lowest); rows that share an id only
     are mixed each on its own. Nulls, empty texts and empty tables as in ``schedule``; extra columns, whatever their names, are carried along.
     """
     keys = ["id", "source", "text_key"]
-    plan = schedule(docs, **options).select(F.col("doc_id").alias("plan_id"), F.col("source").alias("plan_source"), F.col("text_key").alias("plan_key"), "block", "place")
-    held = docs.select(F.struct("*").alias("row"))
-    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
-    held = held.select(F.col("row.doc_id").cast("long").alias("id"), F.coalesce(F.col("row.source").cast("string"), F.lit("")).alias("source"), F.xxhash64(text).alias("text_key"), "row")
+    plan = schedule(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options).select(F.col("doc_id").alias("plan_id"), F.col("source").alias("plan_source"), F.col("text_key").alias("plan_key"), "block", "place")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
+    held = docs.select(F.col(id_col).cast("long").alias("id"), source.alias("source"), F.xxhash64(text).alias("text_key"), F.struct("*").alias("row"))
     held = one_of_each(held, keys)
     met = held.join(plan, held["id"].eqNullSafe(plan["plan_id"]) & (held["source"] == plan["plan_source"]) & (held["text_key"] == plan["plan_key"]))
     met = met.repartitionByRange("block", "place").sortWithinPartitions("block", "place")

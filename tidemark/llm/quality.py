@@ -171,11 +171,14 @@ def resample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int
 def filter_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 11, keep: int | None = None) -> DataFrame:
     """The rows of ``docs`` that ``resample`` keeps, with all their columns.
 
-    Texts are scored once. The threshold is known only after all have a key, so rows meet the ids and hashes of what goes afterwards.
+    Texts are scored once. The threshold is known only after all have a key, so rows meet the ids and hashes of what goes afterwards, their columns
+    carried in a struct, so that no name clashes.
     """
     rows = texts(docs)
     weights = fit(rows, labels, sample)
     scored = _scored(rows, weights, seed)
     least = threshold(scored, weights, keep)
-    gone = scored.where(F.col("key") < F.lit(least)).select(F.col("doc_id").alias("gone_id"), F.col("sha").alias("gone_sha"))
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (sha(docs["text"]) == F.col("gone_sha")), "left_anti")
+    gone = scored.where(F.col("key") < F.lit(least)).select("doc_id", "sha")
+    held = docs.select(F.col("doc_id").cast("long").alias("id"), sha(F.col("text")).alias("text_sha"), F.struct("*").alias("row"))
+    kept = held.join(gone, held["id"].eqNullSafe(gone["doc_id"]) & (held["text_sha"] == gone["sha"]), "left_anti")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
