@@ -9,9 +9,8 @@ from tidemark.operators import outcomes
 from tidemark.operators.snapshot import CollectError, LoginRequired
 from tidemark.sources.base import collector
 from tidemark.sources.config import parse_config, parse_schedule
-from tidemark.sources.directory import glob_regex
 from tidemark.sources.tables import scrubbed
-from tidemark.sources.directory import pruned
+from tidemark.sources.tree import glob_regex, pruned
 from tidemark.streaming.outcomes import RUNS, acknowledged, replay
 
 NOW = datetime(2026, 3, 10, 12, tzinfo=timezone.utc)
@@ -34,7 +33,7 @@ def test_directory(spark, tmp_path):
         collector("dir", path=str(tmp_path / "none")).collect(spark, NOW)
 
 
-def test_directory_prunes_and_tells_what_it_cannot_read(spark, tmp_path, monkeypatch):
+def test_directory_prunes_and_tells_what_it_cannot_read(spark, tmp_path):
     (tmp_path / "skip/deep").mkdir(parents=True)
     (tmp_path / "skip/deep/x").write_text("no")
     (tmp_path / "keep").mkdir()
@@ -42,39 +41,127 @@ def test_directory_prunes_and_tells_what_it_cannot_read(spark, tmp_path, monkeyp
     (tmp_path / "keep/y").write_text("yes")
     (tmp_path / "stuck").symlink_to("/proc/self/mem")
     (tmp_path / "gone").symlink_to(tmp_path / "nowhere")
-    c = collector("dir", path=str(tmp_path), exclude=["skip/**"])
-    entered = []
-    real = type(c)._listed
+    (tmp_path / "again").symlink_to(tmp_path / "keep")
+    got = collector("dir", path=str(tmp_path), exclude=["skip/**"]).collect(spark, NOW)
+    assert set(fields(got)) == {"keep/.x", "keep/y"} and [r.key for r in got.unavailable.collect()] == ["stuck"]
+    got = collector("dir", path=str(tmp_path), exclude=["skip/**"], hidden=False).collect(spark, NOW)
+    assert set(fields(got)) == {"keep/y"}
+    assert pruned(["**", "a/**", "b/*"]) == [".*", "a"]
 
-    def listed(self, fs, root):
-        class Spy:
-            def listStatus(self, folder):
-                entered.append(folder.getName())
-                return fs.listStatus(folder)
 
-        return real(self, Spy(), root)
+def grown(root, depth, width):
+    """A tree of folders, two files in each; returns its keys."""
+    keys = []
+    for n in range(2):
+        root.mkdir(exist_ok=True)
+        (root / f"f{n}.txt").write_text(f"{root.name}{n}")
+        keys.append(f"f{n}.txt")
+    for k in range(width if depth else 0):
+        keys += [f"d{k}/{x}" for x in grown(root / f"d{k}", depth - 1, width)]
+    return keys
 
-    monkeypatch.setattr(type(c), "_listed", listed)
-    got = c.collect(spark, NOW)
-    assert set(fields(got)) == {"keep/.x", "keep/y"} and [r.key for r in got.unavailable.collect()] == ["stuck"]
-    assert "keep" in entered and "skip" not in entered
-    assert pruned(["**", "a/**", "b/*"]) == [".*", "a"]
 
+@pytest.mark.parametrize("folders", [1, 2, 7, 1000])
+def test_tree_lists_every_file_once_however_it_is_dealt(spark, tmp_path, folders):
+    from tidemark.sources import tree
 
-def test_directory_in_another_store(spark, tmp_path):
-    """The way of stores that only Spark reads, on local files: names that begin with a dot are unavailable there."""
-    from tidemark.sources import directory
+    keys = grown(tmp_path / "t", 3, 3)
+    (tmp_path / "t/skip/deep").mkdir(parents=True)
+    (tmp_path / "t/skip/deep/z").write_text("no")
+    reader = tree.TreeReader({"path": str(tmp_path / "t"), "exclude": '["skip/**", "**/f1.txt"]', "folders": str(folders)})
+    shares = reader.partitions()
+    assert len(shares) <= 5 * folders and not any("skip" in f for s in shares for f in s.folders)
+    want = sorted(k for k in keys if not k.endswith("f1.txt"))
+    assert sorted(k for s in shares for b in reader.read(s) for k in b.column(0).to_pylist()) == want
+    listed = tree.registered(spark).read.format(tree.NAME).option("folders", folders).option("exclude", '["skip/**", "**/f1.txt"]').load(str(tmp_path / "t"))
+    rows = listed.collect()
+    assert sorted(r.key for r in rows) == want and all(open(r.path).read() and r.error is None for r in rows)
+    assert listed.rdd.getNumPartitions() == len(shares)
+
+
+def test_tree_deals_wide_levels_to_a_bounded_number_of_tasks(tmp_path):
+    from tidemark.sources import tree
+
+    for k in range(50):
+        (tmp_path / f"d{k}").mkdir()
+        (tmp_path / f"d{k}/x").write_text("")
+    reader = tree.TreeReader({"path": str(tmp_path), "folders": "3"})
+    shares = reader.partitions()
+    assert len(shares) == 13 and sorted(k for s in shares for b in reader.read(s) for k in b.column(0).to_pylist()) == sorted(f"d{k}/x" for k in range(50))
+
+
+def test_a_folder_that_cannot_be_listed_fails_the_run(spark, tmp_path, monkeypatch):
+    from tidemark.sources import tree
+
+    (tmp_path / "a/b").mkdir(parents=True)
+    real = tree.Disk.entries
+
+    def entries(self, folder):
+        if folder.rstrip("/").endswith("a/b"):
+            raise PermissionError(13, "no")
+        return real(self, folder)
+
+    monkeypatch.setattr(tree.Disk, "entries", entries)
+    reader = tree.TreeReader({"path": str(tmp_path)})
+    assert [r for s in reader.partitions() for b in reader.read(s) for r in b.to_pylist()] == [{"key": "a/b", "path": None, "error": "PermissionError"}]
+
+    class Stuck(tree.Tree):  # the planner is a process of its own
+        def reader(self, schema):
+            class Reader(tree.TreeReader):
+                def read(self, share):
+                    yield tree._batch([("z", "/z", None), ("a/b", None, "PermissionError")])
+
+            return Reader(self.options)
+
+    monkeypatch.setattr(tree, "registered", lambda spark: spark.dataSource.register(Stuck) or spark)
+    with pytest.raises(CollectError, match="cannot list a/b: PermissionError"):
+        collector("dir", path=str(tmp_path)).collect(spark, NOW)
+
+
+def test_tree_writes_files_that_it_reads_back(spark, tmp_path):
+    from tidemark.sources import tree
+
+    rows = [(f"h{i % 3}/p {i}.html", bytes([i]) * i) for i in range(40)] + [(".dot/x+y", b"z"), ("é", b"")]
+    out = str(tmp_path / "out")
+    tree.registered(spark).createDataFrame(rows, tree.FILES).repartition(4).write.format(tree.NAME).mode("append").save(out)
+    listed = {r.key: open(r.path, "rb").read() for r in spark.read.format(tree.NAME).load(out).collect()}
+    assert listed == dict(rows)
+    got = fields(collector("dir", path=out, max_text_bytes=10).collect(spark, NOW))
+    assert got.keys() == dict(rows).keys() and all(int(got[k]["size"]) == len(v) for k, v in rows)
+    for bad in ("../x", "/x", "a//b", "a/./b", ""):
+        with pytest.raises(Exception, match="no path below a folder"):
+            spark.createDataFrame([("fine", b"1"), (bad, b"2")], tree.FILES).write.format(tree.NAME).mode("append").save(str(tmp_path / "bad"))
+
+
+def test_tree_in_a_store_that_arrow_knows(tmp_path):
+    from pyarrow.fs import LocalFileSystem
+
+    from tidemark.sources import tree
 
+    store = tree.Remote(LocalFileSystem())
+    for key in ("a/b.txt", "c.txt"):
+        store.write(f"{tmp_path}/{key}", key.encode())
+    assert sorted(store.entries(str(tmp_path))) == [("a", True), ("c.txt", False)] and (tmp_path / "a/b.txt").read_bytes() == b"a/b.txt"
+    store.delete(f"{tmp_path}/c.txt")
+    assert list(store.entries(str(tmp_path))) == [("a", True)]
+    assert isinstance(tree.opened("file:///x/y/")[0], tree.Disk) and tree.opened("file:///x/y/")[1] == "/x/y" == tree.opened("/x/y")[1]
+
+
+def test_directory_in_another_store(spark, tmp_path):
+    """The way of stores that only Spark reads, on local files: names that begin with a dot are passed over there."""
     (tmp_path / "b").write_bytes(b"x\0y")
     (tmp_path / "c").write_text("z" * 30)
     (tmp_path / ".h").write_text("h")
-    (tmp_path / "t é").write_text("té")
-    (tmp_path / "g[a]*").write_text("g")
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(tmp_path)).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = ["b", "c", ".h", "t é", "g[a]*", "was"]
-    listed = spark.createDataFrame([(n, f"file:{tmp_path}/{n}") for n in names], "key string, path string")
-    got = {r.key: (r["size"], r.text, bool(r.sha256), r.unread) for r in directory._through_spark(spark, listed, fs, 20).collect()}
-    assert got == {"b": (3, None, True, False), "c": (30, None, True, False), "t é": (3, "té", False, False), "g[a]*": (1, "g", False, False), ".h": (None, None, False, True)}
+    (tmp_path / "d e").mkdir()
+    (tmp_path / "d e/t é").write_text("té")
+    (tmp_path / "d e/g[a]*").write_text("g")
+    (tmp_path / "no.log").write_text("g")
+    (tmp_path / "stuck").symlink_to("/proc/self/mem")
+    c = collector("dir", path=str(tmp_path), exclude=["*.log"])
+    got = {r.key: (r["size"], r.text, bool(r.sha256), r.unread) for r in c._through_spark(spark, f"file:{tmp_path}", 20).collect()}
+    stuck = got.pop("stuck", None)
+    assert stuck is None or stuck[3] or stuck[0] == 0
+    assert got == {"b": (3, None, True, False), "c": (30, None, True, False), "d e/t é": (3, "té", False, False), "d e/g[a]*": (1, "g", False, False)}
 
 
 @pytest.mark.parametrize(
@@ -99,6 +186,57 @@ def test_query(spark):
     assert scrubbed("bad db://me:pw@host\nmore", ["pw"]) == "bad db://***@host"
 
 
+def test_any_format_is_a_source(spark, tmp_path, monkeypatch):
+    from tidemark.sources import tree
+
+    spark.createDataFrame([(1, "x", 2.5), (2, None, 1.0)], "a int, `b c` string, d double").write.option("header", "true").csv(str(tmp_path / "csv"))
+    got = collector("format", format="csv", path=str(tmp_path / "csv"), schema="a int, `b c` string, d double", key=["a"], columns=["a", "b c"], **{"with": {"header": True}}).collect(spark, NOW)
+    assert fields(got) == {"1": {"a": "1", "b c": "x"}, "2": {"a": "2", "b c": None}}
+    (tmp_path / "t/u").mkdir(parents=True)
+    (tmp_path / "t/u/v").write_text("1")
+    tree.registered(spark)
+    got = collector("format", format=tree.NAME, path=str(tmp_path / "t"), key="key", columns=["key", "error"]).collect(spark, NOW)
+    assert fields(got) == {"u/v": {"key": "u/v", "error": None}}
+    monkeypatch.setenv("TEST_HEADER", "hunter2")
+    for bad in (dict(format="nope", key="a"), dict(format="csv", path=str(tmp_path / "csv"), key="z"), dict(format="csv", path=str(tmp_path), key="a", **{"with": {"multiLine_env": "TEST_NOT_SET"}})):
+        with pytest.raises(CollectError):
+            collector("format", **bad).collect(spark, NOW)
+    with pytest.raises(CollectError) as e:
+        collector("format", format="csv", path=str(tmp_path / "csv"), key="a", **{"with": {"header_env": "TEST_HEADER"}}).collect(spark, NOW)
+    assert "hunter2" not in str(e.value)
+
+
+def test_types_of_ones_own(spark):
+    from tidemark.sources import base
+
+    class Days(base.Collector):
+        options, required, default_title, default_track = {"n": int}, ("n",), ("key",), ("id",)
+
+        def collect(self, spark, now):
+            rows = spark.range(self.given["n"])
+            return base.Collected(base.as_records(rows, F.col("id")))
+
+    base.add_type("days", Days)
+    base.add_type("days", Days)
+    assert len(fields(base.collector("days", n=3).collect(spark, NOW))) == 3
+    assert parse_config("sources: [{id: d, type: days, n: 3}]")[0].options == {"n": 3}
+    for kind, made in (("dir", Days), ("days", base.Collector)):
+        with pytest.raises(ValueError):
+            base.add_type(kind, made)
+
+
+def test_retention_is_configured():
+    from tidemark.sources.config import parse_settings
+
+    assert parse_settings("") == ([], 30) and parse_settings("retention_days: 7").retention_days == 7
+    for bad in ("retention_days: 0", "retention_days: true", "retention_days: 1.5", "retention_days: x", "days: 3"):
+        with pytest.raises(ValueError):
+            parse_settings(bad)
+    for bad in ("{id: a, type: format, format: csv, key: a, with: {password: x}}", "{id: a, type: format, format: csv, key: a, with: {x_env: 'a b'}}"):
+        with pytest.raises(ValueError):
+            parse_config(f"sources: [{bad}]")
+
+
 def test_secrets_are_named_by_environment_variable(spark, monkeypatch):
     options = dict(query="select 1 a", key="a", url_env="TEST_DB_URL", user_env="TEST_DB_USER", password_env="TEST_DB_PASSWORD")
     c = parse_config("sources: [{id: db, type: sql, query: select 1 a, key: a, url_env: TEST_DB_URL, user_env: TEST_DB_USER, password_env: TEST_DB_PASSWORD}]")[0]

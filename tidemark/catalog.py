@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +13,9 @@ from tidemark.functions import text as X
 from tidemark.functions.udfs import FINGERPRINT_DEPTH, page_paths, page_rows, text_change
 from tidemark.operators import log, outcomes, score, snapshot, worlds
 from tidemark.plans.model import Rule
-from tidemark.plans.scratch import scratch_root
-from tidemark.sources.base import as_records
+from tidemark.plans.scratch import folder
+from tidemark.sources import tree
+from tidemark.sources.base import as_records, collector
 from tidemark.sources.mail import days_of
 from tidemark.streaming.outcomes import replay
 
@@ -473,11 +473,11 @@ def heartbeat_stale(spark, d):
 
 
 @query(
-    f"""WITH s AS (SELECT max(ts) AS last, 900 + 86400 * (user_id % 5) AS schedule FROM events WHERE user_id < 20 GROUP BY user_id)
+    f"""WITH s AS (SELECT max(ts) AS last, 900 + 86400 * (user_id % 5) AS schedule FROM events GROUP BY user_id)
 SELECT CAST(least(5, greatest(0, epoch(date_trunc('second', min(last + to_seconds(schedule)))) - epoch({_NOW}))) AS BIGINT) AS seconds FROM s"""
 )
 def soonest_due(spark, d):
-    s = t(spark, d, "events").where("user_id < 20").groupBy("user_id").agg(F.max("ts").cast("timestamp").alias("last_success_at"))
+    s = t(spark, d, "events").groupBy("user_id").agg(F.max("ts").cast("timestamp").alias("last_success_at"))
     s = s.withColumn("last_error_at", F.lit(None).cast("timestamp")).withColumn("schedule", (F.lit(900) + F.lit(86400) * (F.col("user_id") % 5)).cast("int"))
     return outcomes.soonest(s, F.to_timestamp(F.lit("2024-01-31 00:00:00")))
 
@@ -541,6 +541,21 @@ def contains_folded(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", "role", hit.alias("hit"))
 
 
+@query(
+    """SELECT CAST(page_id % 16 AS VARCHAR) || '/' || CAST(page_id AS VARCHAR) || '.html' AS key, CAST(strlen(html) AS BIGINT) AS size, CASE WHEN strlen(html) <= 65536 THEN sha256(html) END AS text_hash,
+CASE WHEN strlen(html) > 65536 THEN sha256(html) END AS hash FROM pages"""
+)
+def tree_files(spark, d):
+    """Pages written as a tree of files, one a row, and collected from it: listed by tasks, read by tasks."""
+    root = folder(spark, "tree")
+    files = t(spark, d, "pages").select(F.concat((F.col("page_id") % 16).cast("string"), F.lit("/"), F.col("page_id").cast("string"), F.lit(".html")).alias("key"), F.col("html").cast("binary").alias("content"))
+    tree.registered(spark)
+    files.write.format(tree.NAME).mode("append").save(root)
+    got = collector("dir", path=root).collect(spark, datetime(2024, 2, 1)).records
+    value = lambda k: F.try_element_at("fields", F.lit(k))["v"]
+    return got.select("key", value("size").cast("long").alias("size"), F.sha2(value("text"), 256).alias("text_hash"), value("sha256").alias("hash"))
+
+
 # --- benchmark analytics ----------------------------------------------------------------------------------------------------
 
 
@@ -718,7 +733,7 @@ def stream_state_machine(spark, d):
     x = runs(spark, d)
     x = x.select("source_id", "run", F.when(F.col("failed"), "fail").otherwise("ok").alias("kind"), F.col("ts").cast("timestamp").alias("at"), F.lit("m").alias("message"))
     x = x.withColumns({"hint": F.lit(None).cast("string"), "selectors": F.lit(None).cast("array<string>"), "fingerprint": F.lit(None).cast("string"), "record_count": F.lit(0).cast("long")})
-    root = f"{scratch_root(spark)}/tidemark/ticks-{uuid.uuid4().hex}"
+    root = folder(spark, "ticks")
     last = x.agg(F.max("run")).first()[0] or 0
     for k in range(4):  # files are taken in order of their time; within a tick a source is in one file
         tick = x.where(F.floor(F.col("run") * 4 / F.lit(last + 1)) == k)

@@ -14,7 +14,7 @@ from tidemark.plans.daemon import Daemon, DaemonError
 from tidemark.plans.service import DEFAULT_BUDGET, Service
 from tidemark.plans.store import Store
 from tidemark.sources.base import collector
-from tidemark.sources.config import parse_config
+from tidemark.sources.config import parse_settings
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -41,10 +41,10 @@ def main(argv: list[str] | None = None) -> int:
             print(f"error: {a.verb} needs --config", file=sys.stderr)
             return 2
         with open(a.config, encoding="utf-8") as f:
-            configs = parse_config(f.read())
+            configs, retention_days = parse_settings(f.read())
         if a.verb == "daemon":
             try:
-                return Daemon(store, [(c, collector(c.type, **c.options)) for c in configs], now, time.sleep).run(a.once)
+                return Daemon(store, [(c, collector(c.type, **c.options)) for c in configs], now, time.sleep, retention_days=retention_days).run(a.once)
             except DaemonError as e:
                 print(f"error: {e}", file=sys.stderr)
                 return 1

@@ -29,13 +29,19 @@ def scratch_root(spark: SparkSession) -> str:
     return _own[0]
 
 
-def write_table(df: DataFrame, label: str) -> str:
-    """Writes df as Parquet and returns where. The folder goes when its scope ends, when it is dropped, or when the driver's JVM ends."""
-    path = f"{scratch_root(df.sparkSession)}/tidemark/{label}-{uuid.uuid4().hex}"
-    fs, at = _file(df.sparkSession, path)
+def folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder. What is written there goes when its scope ends, when it is dropped, or when the driver's JVM ends."""
+    path = f"{scratch_root(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+    fs, at = _file(spark, path)
     fs.deleteOnExit(at)
     for made in _scopes[-1:]:
         made.append(path)
+    return path
+
+
+def write_table(df: DataFrame, label: str) -> str:
+    """Writes df as Parquet to a new folder and returns where."""
+    path = folder(df.sparkSession, label)
     df.write.parquet(path)
     return path
 

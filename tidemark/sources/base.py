@@ -21,6 +21,7 @@ TYPES = {
     "imap": "tidemark.sources.mail:Mailbox",
     "web": "tidemark.sources.pages:Page",
     "changedetection": "tidemark.sources.watches:Watches",
+    "format": "tidemark.sources.tables:Format",
 }
 
 
@@ -83,11 +84,31 @@ class Collector:
         raise NotImplementedError
 
 
-def collector(kind: str, **options) -> Collector:
+_added: dict[str, type[Collector]] = {}
+
+
+def add_type(kind: str, made: type[Collector]) -> None:
+    """Makes a source type of one's own known, to configurations as well; the known ones cannot be replaced."""
+    if kind in TYPES or _added.get(kind, made) is not made:
+        raise ValueError(f"source type {kind!r} is taken")
+    _added[kind] = made
+
+
+def known_types() -> list[str]:
+    return [*TYPES, *_added]
+
+
+def collector_type(kind: str) -> type[Collector]:
+    if kind in _added:
+        return _added[kind]
     if kind not in TYPES:
         raise ValueError(f"unknown source type {kind!r}")
     module, _, name = TYPES[kind].partition(":")
-    return getattr(importlib.import_module(module), name)(**options)
+    return getattr(importlib.import_module(module), name)
+
+
+def collector(kind: str, **options) -> Collector:
+    return collector_type(kind)(**options)
 
 
 def tagged(x: Column, dtype: str) -> Column:

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import yaml
 
 from tidemark.plans.model import DEFAULT_BONUS, SOURCE_ID, Rule, SourceConfig
-from tidemark.sources.base import TYPES
+from tidemark.sources.base import known_types
 
 _COMMON = {"id", "type", "schedule", "priority", "key_label", "track", "title", "highlight"}
 _ENV = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 # Options that would hold a secret itself.
 _SECRETS = frozenset({"password", "passwd", "token", "secret", "api_key"})
+#: Days that events are kept unless the configuration says otherwise.
+RETENTION_DAYS = 30
 _UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
 
 
@@ -33,10 +36,32 @@ def _rule(raw: dict) -> Rule:
     return Rule(raw["field"], ops[0], str(raw[ops[0]]), bonus)
 
 
+class Settings(NamedTuple):
+    sources: list[SourceConfig]
+    retention_days: int = RETENTION_DAYS
+
+
+def _names_secrets(options: dict, where: str, sql: bool = False) -> None:
+    for k, v in options.items():  # messages never show v
+        if not isinstance(k, str) or k.lower() in _SECRETS or (k == "url" and sql):
+            raise ValueError(f"{where}: name secrets by an option that ends in _env")
+        if k.lower().endswith("_env") and not (isinstance(v, str) and _ENV.fullmatch(v)):
+            raise ValueError(f"{where}: option {k} must be the name of an environment variable")
+        if isinstance(v, dict):
+            _names_secrets(v, where)
+
+
 def parse_config(text: str) -> list[SourceConfig]:
+    return parse_settings(text).sources
+
+
+def parse_settings(text: str) -> Settings:
     raw = yaml.safe_load(text) or {}
-    if not isinstance(raw, dict) or set(raw) - {"sources"}:
-        raise ValueError("the only key at the top is sources")
+    if not isinstance(raw, dict) or set(raw) - {"sources", "retention_days"}:
+        raise ValueError("the keys at the top are sources and retention_days")
+    days = raw.get("retention_days", RETENTION_DAYS)
+    if isinstance(days, bool) or not isinstance(days, int) or days < 1:
+        raise ValueError("retention_days must be a whole number of days, at least 1")
     out, seen = [], set()
     for s in raw.get("sources") or []:
         name = s.get("id")
@@ -45,13 +70,9 @@ def parse_config(text: str) -> list[SourceConfig]:
         if name in seen:
             raise ValueError(f"source {name} occurs twice")
         seen.add(name)
-        if s.get("type") not in TYPES:
+        if s.get("type") not in known_types():
             raise ValueError(f"source {name}: unknown type")
-        for k, v in s.items():  # messages never show v
-            if not isinstance(k, str) or k.lower() in _SECRETS or (k == "url" and s["type"] == "sql"):
-                raise ValueError(f"source {name}: name secrets by an option that ends in _env")
-            if k.lower().endswith("_env") and not (isinstance(v, str) and _ENV.fullmatch(v)):
-                raise ValueError(f"source {name}: option {k} must be the name of an environment variable")
+        _names_secrets({k: v for k, v in s.items() if k != "fields"}, f"source {name}", s["type"] == "sql")
         out.append(
             SourceConfig(
                 name,
@@ -65,4 +86,4 @@ def parse_config(text: str) -> list[SourceConfig]:
                 {k: v for k, v in s.items() if k not in _COMMON},
             )
         )
-    return out
+    return Settings(out, days)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import stat
@@ -14,58 +15,19 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.snapshot import CollectError
 from tidemark.plans.scratch import settled
+from tidemark.sources import tree
 from tidemark.sources.base import Collected, Collector, tagged
 
 MOST_TEXT = 65_536
-
-
-def glob_regex(pattern: str) -> str:
-    """A pattern as a regular expression for a whole relative path: ``**`` alone in a segment spans directories, ``*`` and ``?`` stay
-    within one and match leading dots, ``[!x]`` never matches a slash."""
-    out = []
-    segments = pattern.split("/")
-    for n, segment in enumerate(segments):
-        last = n + 1 == len(segments)
-        if segment == "**":
-            out.append(".*" if last else "(?:[^/]+/)*")
-        else:
-            out.append(re.sub(r"\*+|\?|\[!?\]?[^\]]*\]|.", _glob_part, segment, flags=re.S) + ("" if last else "/"))
-    regex = "".join(out)
-    try:
-        re.compile(regex)
-    except re.error as e:
-        raise ValueError(f"invalid pattern {pattern!r}: {e}") from None
-    return regex
-
-
-def _glob_part(m: re.Match) -> str:
-    part = m.group()
-    if part[0] == "*":
-        return "[^/]*"
-    if part == "?":
-        return "[^/]"
-    if part[0] == "[" and len(part) > 2:
-        inner = part[1:-1]
-        negated, inner = inner[0] == "!", inner.removeprefix("!")
-        return "[" + ("^/" if negated else "") + re.sub(r"[^\w-]", lambda c: "\\" + c.group(), inner) + "]"
-    return re.escape(part)
-
-
-def pruned(exclude: list[str]) -> list[str]:
-    """Regular expressions of the folders that a pattern ending in /** covers whole, so that they need not be listed."""
-    return [".*" if p == "**" else glob_regex(p[: -len("/**")]) for p in exclude if p == "**" or p.endswith("/**")]
-
-
 READ = "key string, size long, text string, sha256 string, unread boolean"
 
 
 class Directory(Collector):
     """Files below ``path``: size, and text if short valid UTF-8 without NUL, else a hash.
 
-    The driver lists folders (one that cannot be listed fails the run; one that ``exclude`` covers whole is never entered); executors read
-    the files. A file that is there and cannot be read is unavailable, one that has gone meanwhile is absent. On a disk that all executors mount
-    files are read in pieces, names that begin with a dot or an underscore included; elsewhere Spark's binaryFile reader
-    reads them, which passes such names over: they are unavailable there unless ``hidden`` is false, which leaves them out.
+    Tasks list the folders (see tree.py) and read the files, dealt out anew by path; a folder that cannot be listed fails the run, one that ``exclude`` covers whole is never
+    entered. A file that is there and cannot be read is unavailable, one that has gone meanwhile is absent. On a disk that all executors mount files are read in
+    pieces, names that begin with a dot or an underscore included unless ``hidden`` is false; in any other store Spark's binaryFile reader lists and reads, which passes such names over.
     """
 
     options = {"path": str, "include": list, "exclude": list, "max_text_bytes": int, "hidden": bool}
@@ -74,56 +36,62 @@ class Directory(Collector):
 
     def __init__(self, **options):
         super().__init__(**options)
-        self.include = [glob_regex(p) for p in options.get("include", ["**"])]
-        self.exclude = [glob_regex(p) for p in options.get("exclude", [])]
-        self.prune = pruned(options.get("exclude", []))
+        self.include = [tree.glob_regex(p) for p in options.get("include", ["**"])]
+        self.exclude = [tree.glob_regex(p) for p in options.get("exclude", [])]
 
     def collect(self, spark: SparkSession, now: datetime) -> Collected:
-        root = self.given["path"].rstrip("/")
+        root = self.given["path"].rstrip("/") or "/"
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
         fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(at) or not fs.getFileStatus(at).isDirectory():
             raise CollectError(f"{root} is not a directory")
-        keys = list(self._listed(fs, fs.getFileStatus(at).getPath()))
-        listed = spark.createDataFrame(keys, "key string, path string")
         limit = self.given.get("max_text_bytes", MOST_TEXT)
-        if fs.getScheme() == "file":
-            read = listed.repartition(max(1, min(len(keys) // 64 + 1, 4096))).mapInArrow(lambda batches: _read_all(batches, limit), READ)
-        else:
-            read = _through_spark(spark, listed, fs, limit)
-        read = settled(read, "files")
+        base = fs.getFileStatus(at).getPath()
+        read = self._from_disk(spark, base.toUri().getPath(), limit) if fs.getScheme() == "file" else self._through_spark(spark, base.toString().rstrip("/"), limit)
         size = F.create_map(F.lit("size"), tagged(F.col("size"), "bigint"))
         body = F.when(F.col("text").isNotNull(), F.create_map(F.lit("text"), tagged(F.col("text"), "string"))).otherwise(F.create_map(F.lit("sha256"), tagged(F.col("sha256"), "string")))
         return Collected(read.where("not unread").select("key", F.map_concat(size, body).alias("fields")), unavailable=read.where("unread").select("key"))
 
-    def _listed(self, fs, root):
-        """(key, path) of the files that are wanted."""
-        base = root.toUri().getPath().rstrip("/")
-        fits = lambda regexes, key: any(re.fullmatch(r, key, re.S) for r in regexes)
-        todo = [root]
-        while todo:
-            folder = todo.pop()
-            try:
-                found = sorted(fs.listStatus(folder), key=lambda s: s.getPath().getName())
-            except Exception as e:
-                raise CollectError(f"cannot list {folder.toUri().getPath()[len(base) + 1 :] or 'the directory'}: {type(e).__name__}") from None
-            for status in found:
-                path = status.getPath()
-                key = path.toUri().getPath()[len(base) + 1 :]
-                if status.isDirectory():
-                    if not fits(self.prune, key) and not status.isSymlink():
-                        todo.append(path)
-                elif fits(self.include, key) and not fits(self.exclude, key) and (self.given.get("hidden", True) or not _hidden(key)):
-                    yield key, path.toString()
-
-
-def _hidden(key: str) -> bool:
-    return any(part[:1] in "._" for part in key.split("/"))
+    def _from_disk(self, spark: SparkSession, root: str, limit: int) -> DataFrame:
+        o = self.given
+        listing = tree.registered(spark).read.format(tree.NAME).option("include", json.dumps(o.get("include", ["**"]))).option("exclude", json.dumps(o.get("exclude", [])))
+        listed = settled(listing.option("hidden", str(o.get("hidden", True)).lower()).load(root), "listed")
+        lost = listed.where("error is not null").orderBy("key").first()
+        if lost:
+            raise CollectError(f"cannot list {lost.key or 'the directory'}: {lost.error}")
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number that is not coalesced: paths are small and files are not
+        paths = listed.select("key", "path").repartition(tasks, F.xxhash64("path"))
+        return settled(paths.mapInArrow(lambda batches: _read_all(batches, limit), READ), "files")
+
+    def _through_spark(self, spark: SparkSession, root: str, limit: int) -> DataFrame:
+        """Lists and reads with binaryFile, which leaves out what it cannot read; that is unavailable if a second listing still finds it."""
+
+        def found() -> DataFrame:
+            files = spark.read.format("binaryFile").options(recursiveFileLookup="true", ignoreCorruptFiles="true", ignoreMissingFiles="true").load(root)
+            files = files.withColumn("key", F.substring("path", len(root) + 2, 1 << 30))
+            wanted = F.lit(False)
+            for r in self.include:
+                wanted = wanted | F.col("key").rlike(f"(?s)\\A(?:{r})\\z")
+            for r in self.exclude:
+                wanted = wanted & ~F.col("key").rlike(f"(?s)\\A(?:{r})\\z")
+            hidden = F.col("key").rlike(r"(?:\A|/)[._]") if self.given.get("hidden", True) is False else F.lit(False)
+            return files.where(wanted & ~hidden)
+
+        listed = settled(found().select("key"), "listed")
+        text = F.col("content").cast("string")
+        plain = (F.col("length") <= limit) & F.is_valid_utf8(text) & (F.instr(text, "\0") == 0)
+        rows = found().select("key", F.col("length").alias("size"), F.when(plain, text).alias("text"), F.when(~plain, F.sha2("content", 256)).alias("sha256"), F.lit(False).alias("unread"))
+        rows = settled(rows, "read")
+        missed = settled(listed.join(rows, "key", "left_anti"), "missed")
+        if missed.isEmpty():
+            return rows
+        lost = missed.join(found().select("key"), "key", "left_semi")
+        return rows.unionByName(lost.withColumn("unread", F.lit(True)), allowMissingColumns=True)
 
 
 def _read_all(batches, limit: int):
     for b in batches:
-        rows = [r for key, path in zip(*(c.to_pylist() for c in b.columns)) if (r := _read(key, re.sub(r"^file:(//)?", "", path), limit))]
+        rows = [r for key, path in zip(*(c.to_pylist() for c in b.columns)) if (r := _read(key, path, limit))]
         key, size, text, sha, unread = zip(*rows) if rows else [()] * 5
         kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((key, size, text, sha, unread), kinds)], ["key", "size", "text", "sha256", "unread"])
@@ -132,6 +100,7 @@ def _read_all(batches, limit: int):
 def _read(key: str, path: str, limit: int) -> tuple | None:
     """A row of READ; None for a file that is not there, or is none. At most ``limit`` bytes and a piece are held."""
     size, held, digest = 0, b"", hashlib.sha256()
+    path = re.sub(r"^file:(//)?", "", path)
     try:
         if not stat.S_ISREG(os.stat(path).st_mode):
             return None
@@ -151,20 +120,3 @@ def _read(key: str, path: str, limit: int) -> tuple | None:
         except UnicodeDecodeError:
             pass
     return key, size, text, None if text is not None else digest.hexdigest(), False
-
-
-def _through_spark(spark: SparkSession, listed: DataFrame, fs, limit: int) -> DataFrame:
-    """Reads through binaryFile, which leaves out what it cannot read; that is unavailable if it is still there."""
-    there = lambda path: fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
-    paths = [r.path for r in listed.collect()]  # the driver has listed them
-    shown = [p for p in paths if not _hidden(p.rsplit("/", 1)[-1]) and there(p)]
-    rows = spark.createDataFrame([], READ)
-    if shown:
-        files = spark.read.format("binaryFile").options(ignoreCorruptFiles="true", ignoreMissingFiles="true", __globPaths__="false").load(shown)
-        text = F.col("content").cast("string")
-        plain = (F.col("length") <= limit) & F.is_valid_utf8(text) & (F.instr(text, "\0") == 0)
-        files = files.select(F.col("path").alias("its_path"), F.col("length").alias("size"), F.when(plain, text).alias("text"), F.when(~plain, F.sha2("content", 256)).alias("sha256"))
-        rows = listed.join(files, F.col("path") == F.col("its_path")).select("key", "size", "text", "sha256", F.lit(False).alias("unread"))
-    rows = settled(rows, "read")
-    lost = [(r.key, None, None, None, True) for r in listed.join(rows.select("key"), "key", "left_anti").toLocalIterator() if there(r.path)]
-    return rows.unionByName(spark.createDataFrame(lost, READ))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 from datetime import datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.snapshot import CollectError, composite_key
@@ -44,14 +45,50 @@ class Query(Collector):
             raise
         except Exception as e:
             raise CollectError(scrubbed(str(e), [login.get("password", ""), login.get("url", "")])) from None
-        names = [c.lower() for c in rows.columns]
-        twice = sorted({c for c in names if names.count(c) > 1})
-        if twice:
-            raise CollectError(f"column {twice[0]} occurs more than once")
-        missing = [k for k in keys if k.lower() not in names]
-        if missing:
-            raise CollectError(f"key column {missing[0]} is not in the result")
-        return Collected(as_records(rows, composite_key(*(F.col(k) for k in keys))))
+        return Collected(keyed(rows, keys))
+
+
+def keyed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows as records by their key columns; CollectError if a name occurs twice or a key column is missing."""
+    names = [c.lower() for c in rows.columns]
+    twice = sorted({c for c in names if names.count(c) > 1})
+    if twice:
+        raise CollectError(f"column {twice[0]} occurs more than once")
+    missing = [k for k in keys if k.lower() not in names]
+    if missing:
+        raise CollectError(f"key column {missing[0]} is not in the result")
+    return as_records(rows, composite_key(*(F.col(f"`{k}`") for k in keys)))
+
+
+class Format(Collector):
+    """What a Spark data source gives, of Spark's own formats or one that was registered in Python: ``format``, its ``with`` options, ``path``, ``schema``.
+
+    ``columns`` names those to keep, which the source then need not read; ``key`` names one or more of them. An option ``x_env`` in ``with`` names the environment variable that holds ``x``.
+    """
+
+    options = {"format": str, "with": dict, "path": str, "schema": str, "columns": list, "key": (str, list)}
+    required = ("format", "key")
+
+    def collect(self, spark: SparkSession, now: datetime) -> Collected:
+        o = self.given
+        keys = [o["key"]] if isinstance(o["key"], str) else o["key"]
+        given, secrets = dict(o.get("with", {})), []
+        for k in [k for k in given if k.endswith("_env")]:
+            variable = given.pop(k)
+            if not os.environ.get(variable):
+                raise CollectError(f"environment variable {variable} is not set")
+            given[k.removesuffix("_env")] = os.environ[variable]
+            secrets.append(os.environ[variable])
+        reader = spark.read.format(o["format"]).options(**{k: str(v) for k, v in given.items()})
+        if "schema" in o:
+            reader = reader.schema(o["schema"])
+        try:
+            rows = reader.load(o["path"]) if "path" in o else reader.load()
+            if "columns" in o:
+                rows = rows.select(*(f"`{c}`" for c in o["columns"]))
+        except Exception as e:
+            raise CollectError(scrubbed(str(e), secrets)) from None
+        return Collected(keyed(rows, keys))
 
 
 def read_only(spark: SparkSession, sql: str, limit: int = 500):
