@@ -429,3 +429,67 @@ def test_audit_pages(spark, store):
     raw = audit.stored(store, 2).unionByName(audit.stored(store, 1).withColumn("detail", F.lit("{broken")))
     got = {r.seq: r for r in audit.decoded(raw).collect()}
     assert got[2].readable and not got[1].readable and got[1].detail == "{broken"
+
+
+# --- the log as a stream ---
+
+
+def streamed(spark, store, tmp_path, name, **options):
+    """Reads the log as a stream into a folder, from its checkpoint if there is one; the numbers in the folder."""
+    from tidemark.streaming import log as logs
+
+    rows = logs.registered(spark).readStream.format(logs.NAME).options(**options).load(store.root)
+    rows.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
+    return sorted(r.seq for r in spark.read.schema(model.EVENTS).parquet(str(tmp_path / name)).collect())
+
+
+def test_the_log_streams_past_a_cursor_over_restarts_and_compaction(spark, store, tmp_path):
+    from tidemark.streaming import log as logs
+
+    runner.run(store, CONFIG, Fake(BASE), at(0))
+    assert streamed(spark, store, tmp_path, "all") == [1] and streamed(spark, store, tmp_path, "past", after=1) == []
+    for k in range(1, 5):
+        runner.run(store, CONFIG, Fake([(str(i), f"S{k}", None, None) for i in range(3)]), at(15 * k))
+        if k == 2:
+            assert store.compact(most=1) == 2  # three generations, which the stream has read, are one
+        last = store.manifest().max_seq
+        assert streamed(spark, store, tmp_path, "all") == list(range(1, last + 1))
+    assert streamed(spark, store, tmp_path, "past", after=1) == list(range(2, last + 1))
+    assert streamed(spark, store, tmp_path, "none", source="other") == []
+    batch = spark.read.format(logs.NAME).option("after", 2).load(store.root)
+    assert sorted(batch.collect()) == sorted(store.read("events").where("seq > 2").collect())
+    empty = Store(spark, str(tmp_path / "empty"))
+    assert spark.read.format(logs.NAME).load(empty.root).count() == 0 and streamed(spark, empty, tmp_path, "nothing") == []
+
+
+def test_events_that_retention_dropped_are_a_gap(spark, store, tmp_path):
+    runner.run(store, CONFIG, Fake(BASE), at(0))
+    runner.run(store, CONFIG, Fake(BASE[:2]), at(600))
+    runner.prune(store, at(300))
+    assert streamed(spark, store, tmp_path, "left") == [2] and streamed(spark, store, tmp_path, "strict", after=1, on_gap="fail") == [2]
+    with pytest.raises(Exception, match="events through 1 are gone"):
+        streamed(spark, store, tmp_path, "gap", on_gap="fail")
+
+
+def test_delivery_is_at_least_once_until_acknowledged(spark, store):
+    from tidemark.streaming.log import deliver
+
+    service = Service(store, lambda: at(700))
+    runner.run(store, CONFIG, Fake(BASE), at(0))
+    runner.run(store, CONFIG, Fake(BASE[:2]), at(15))
+    got = []
+
+    def failing(batch):
+        got.append(sorted(r.seq for r in batch.collect()))
+        raise RuntimeError("consumer broke")
+
+    with pytest.raises(Exception, match="consumer broke"):
+        deliver(service, "bot", failing)
+    assert store.manifest().cursors == {} and got == [[1, 2]]
+    take = lambda batch: got.append(sorted(r.seq for r in batch.collect()))
+    assert deliver(service, "bot", take) == 2 and deliver(service, "bot", take) == 2 and got == [[1, 2], [1, 2]]
+    runner.run(store, CONFIG, Fake(BASE), at(30))
+    assert deliver(service, "bot", take, source="po") == 2 and deliver(service, "bot", take) == 3 and got[2:] == [[3], [3]]
+    assert deliver(service, "other", take) == 3 and got[-1] == [1, 2, 3]
+    with pytest.raises(Exception, match="invalid agent_id"):
+        deliver(service, "no good", take)

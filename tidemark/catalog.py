@@ -12,11 +12,13 @@ from tidemark.functions import lines as L
 from tidemark.functions import text as X
 from tidemark.functions.udfs import FINGERPRINT_DEPTH, page_paths, page_rows, text_change
 from tidemark.operators import log, outcomes, score, snapshot, worlds
-from tidemark.plans.model import Rule
+from tidemark.plans.model import EVENTS, Rule
 from tidemark.plans.scratch import folder
+from tidemark.plans.store import Store
 from tidemark.sources import tree
 from tidemark.sources.base import as_records, collector
 from tidemark.sources.mail import days_of
+from tidemark.streaming import log as logs
 from tidemark.streaming.outcomes import replay
 
 QUERIES: dict = {}
@@ -279,6 +281,25 @@ def events_after(spark, d):
     return log.after(change_log(spark, d), 700, "u7").select("seq", "source_id")
 
 
+@query(_LOG + "SELECT seq, source_id, kind FROM log WHERE seq > 700")
+def events_streamed(spark, d):
+    """The log as a stream past a cursor, read in three goes while it grows, each a restart from the checkpoint."""
+    store, out = Store(spark, folder(spark, "log")), folder(spark, "streamed")
+    x = change_log(spark, d).withColumnRenamed("ts", "created_at")
+    drafts = x.select(*(F.col(f.name) if f.name in x.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in EVENTS.fields))
+    end, total = 0, x.agg(F.max("seq")).first()[0] or 0
+    stream = logs.registered(spark).readStream.format(logs.NAME).option("after", 700).load(store.root)
+    for part in (1, 2, 3):
+        begin, end = end, total * part // 3
+        commit = store.begin()
+        commit.append("events", log.in_range(drafts, begin + 1, end))
+        commit.manifest.next_seq = end + 1
+        commit.publish()
+        go = stream.select("seq", "source_id", "kind").writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state")
+        go.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("seq long, source_id string, kind string").parquet(out)
+
+
 @query(_LOG + "SELECT seq, kind FROM log WHERE seq BETWEEN 100 AND 900 AND seq > 250")
 def events_range(spark, d):
     return log.in_range(change_log(spark, d), 100, 900, past=250).select("seq", "kind")

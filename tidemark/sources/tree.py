@@ -76,6 +76,15 @@ class Disk:
                 elif not e.is_symlink() or not e.is_dir():
                     yield e.name, False
 
+    def read(self, path: str) -> bytes:
+        with open(path, "rb") as f:
+            return f.read()
+
+    def arrow(self):
+        from pyarrow.fs import LocalFileSystem
+
+        return LocalFileSystem()
+
     def write(self, path: str, content: bytes) -> None:
         os.makedirs(os.path.dirname(path), exist_ok=True)
         own = f"{path}.{uuid.uuid4().hex}.tmp"
@@ -100,6 +109,13 @@ class Remote:
             if info.type != FileType.NotFound:
                 yield info.base_name, info.type == FileType.Directory
 
+    def read(self, path: str) -> bytes:
+        with self.fs.open_input_stream(path) as f:
+            return f.read()
+
+    def arrow(self):
+        return self.fs
+
     def write(self, path: str, content: bytes) -> None:
         own = f"{path}.{uuid.uuid4().hex}.tmp"
         self.fs.create_dir(path.rpartition("/")[0], recursive=True)
