@@ -350,7 +350,7 @@ def test_config():
 def test_streamed_machine_agrees_with_batch(spark, tmp_path):
     rows = [(f"s{i % 3}", i, "fail" if (i * 7) % 5 < 2 else "ok", f"2026-01-01 00:{i % 60:02d}:00", "m") for i in range(60)]
     for k in range(4):
-        part = spark.createDataFrame([(*r, None, None, None, 1) for r in rows[k * 15 : k * 15 + 15]], RUNS.replace("at timestamp", "at string")).withColumn("at", F.to_timestamp("at"))
+        part = spark.createDataFrame([(*r, None, None, None, 1, None) for r in rows[k * 15 : k * 15 + 15]], RUNS.replace("at timestamp", "at string")).withColumn("at", F.to_timestamp("at"))
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "ticks"))
     replay(spark, str(tmp_path / "ticks"), str(tmp_path / "ckpt"), str(tmp_path / "sink"))
     got = sorted((r.source_id, r.run, r.step, r.kind) for r in spark.read.parquet(str(tmp_path / "sink")).collect())
@@ -358,6 +358,27 @@ def test_streamed_machine_agrees_with_batch(spark, tmp_path):
     assert got == sorted(map(tuple, batch.collect()))
 
 
+def test_due_sources_are_told_once_over_a_restart(spark, tmp_path):
+    """By the timer or by the run that comes first, however runs are cut into batches; a run of no schedule is never due."""
+    day = datetime(2026, 1, 1)
+    minutes = {"quick": [0, 10, 30, 31, 59, 130], "slow": [0, 100, 220], "once": [5], "free": [0, 200]}
+    schedule = {"quick": 1200, "slow": 6000, "once": 3600, "free": None}
+    runs = sorted((m, s) for s, ms in minutes.items() for m in ms)
+    rows = [(s, i, "ok", day.replace(hour=m // 60, minute=m % 60), None, None, None, None, 1, schedule[s]) for i, (m, s) in enumerate(runs)]
+    for k, part in enumerate((rows[:4], rows[4:9], rows[9:])):
+        spark.createDataFrame(part, RUNS).coalesce(1).write.mode("append").parquet(str(tmp_path / "ticks"))
+        if k != 1:  # the second go reads two ticks, from the state of the first
+            replay(spark, str(tmp_path / "ticks"), str(tmp_path / "ckpt"), str(tmp_path / "sink"))
+    got = sorted((r.source_id, r.run, r.text) for r in spark.read.parquet(str(tmp_path / "sink")).where("kind = 'due'").collect())
+    want, watermark = [], 220 - 60
+    for s, ms in minutes.items():
+        for m, after in zip(ms, [*ms[1:], None]):
+            due = m + (schedule[s] or 10**9) / 60
+            if due <= (after if after is not None else watermark):
+                want.append((s, next(i for i, x in enumerate(runs) if x == (m, s)), f"2026-01-01T{int(due) // 60:02d}:{int(due) % 60:02d}:00Z"))
+    assert got == sorted(want) and len(want) == 7
+
+
 def test_streamed_states_of_every_kind(spark, tmp_path):
     """Logins, broken selectors, layouts and late runs, against the same steps taken one by one."""
     import random
@@ -370,7 +391,7 @@ def test_streamed_states_of_every_kind(spark, tmp_path):
         names = r.sample(["a.b", "td,x", "p"], 2) if kind == "broken" else None
         rows.append((f"s{i % 4}", i, kind, when, r.choice(["m", "n", ""]), "log in" if kind == "login" else None, names, r.choice(["f", "g", None]) if kind == "ok" else None, i))
     for k in range(4):
-        part = spark.createDataFrame([(*x[:3], x[3].replace(tzinfo=None), *x[4:]) for x in rows[k * 30 : k * 30 + 30]], RUNS)
+        part = spark.createDataFrame([(*x[:3], x[3].replace(tzinfo=None), *x[4:], None) for x in rows[k * 30 : k * 30 + 30]], RUNS)
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "ticks"))
     replay(spark, str(tmp_path / "ticks"), str(tmp_path / "ckpt"), str(tmp_path / "sink"))
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "sink")).collect()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -19,7 +19,7 @@ from tidemark.sources import tree
 from tidemark.sources.base import as_records, collector
 from tidemark.sources.mail import days_of
 from tidemark.streaming import log as logs
-from tidemark.streaming.outcomes import replay
+from tidemark.streaming.outcomes import ANNOUNCED, LATENESS, replay
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -750,17 +750,76 @@ def diff_kinds_maps(spark, d):
 UNION ALL SELECT source_id, min(run), 'baseline' FROM runs WHERE NOT failed GROUP BY source_id"""
 )
 def stream_state_machine(spark, d):
-    """The streamed machine over the runs as four tick files, one batch each; state is kept by source."""
+    """The streamed machine over plain runs in four ticks."""
     x = runs(spark, d)
     x = x.select("source_id", "run", F.when(F.col("failed"), "fail").otherwise("ok").alias("kind"), F.col("ts").cast("timestamp").alias("at"), F.lit("m").alias("message"))
-    x = x.withColumns({"hint": F.lit(None).cast("string"), "selectors": F.lit(None).cast("array<string>"), "fingerprint": F.lit(None).cast("string"), "record_count": F.lit(0).cast("long")})
+    x = x.withColumns({"hint": F.lit(None).cast("string"), "selectors": F.lit(None).cast("array<string>"), "fingerprint": F.lit(None).cast("string"), "record_count": F.lit(0).cast("long"), "schedule": F.lit(None).cast("long")})
+    return in_ticks(spark, x).select("source_id", "run", "kind")
+
+
+def in_ticks(spark, runs: DataFrame, ticks: int = 4, lateness: timedelta = LATENESS) -> DataFrame:
+    """What the streamed machine announces about runs that come in tick files, one batch a tick."""
     root = folder(spark, "ticks")
-    last = x.agg(F.max("run")).first()[0] or 0
-    for k in range(4):  # files are taken in order of their time; within a tick a source is in one file
-        tick = x.where(F.floor(F.col("run") * 4 / F.lit(last + 1)) == k)
+    last = runs.agg(F.max("run")).first()[0] or 0
+    for k in range(ticks):  # files are taken in order of their time; within a tick a source is in one file
+        tick = runs.where(F.floor(F.col("run") * ticks / F.lit(last + 1)) == k)
         tick.repartition(2, "source_id").write.mode("append").parquet(f"{root}/ticks")
-    replay(spark, f"{root}/ticks", f"{root}/state", f"{root}/out")
-    return spark.read.parquet(f"{root}/out").select("source_id", "run", "kind")
+    replay(spark, f"{root}/ticks", f"{root}/state", f"{root}/out", 2, lateness)
+    return spark.read.schema(ANNOUNCED).parquet(f"{root}/out")
+
+
+_MACHINE = """WITH RECURSIVE runs AS (
+  SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY run) AS n FROM (
+    SELECT 'u' || CAST(user_id AS VARCHAR) AS source_id, event_id AS run, date_trunc('second', CASE WHEN event_id % 10 = 0 THEN ts - INTERVAL 6 HOUR ELSE ts END) AS tried_at,
+      CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'login' WHEN event_type = 'error' THEN 'fail' WHEN event_type = 'signup' THEN 'broken' ELSE 'ok' END AS kind,
+      CASE event_type WHEN 'error' THEN 'm' || CAST(event_id % 3 AS VARCHAR) WHEN 'signup' THEN 'b' || CAST(event_id % 2 AS VARCHAR) END AS message,
+      CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'sign in' END AS hint,
+      CASE WHEN event_type = 'signup' THEN CASE event_id % 3 WHEN 2 THEN 'c' ELSE 'a,b' END END AS selectors,
+      CASE WHEN event_type IN ('click', 'purchase') THEN 'f' || CAST(event_id // 2000 AS VARCHAR) END AS layout, CAST(21600 + 3600 * (user_id % 5) AS BIGINT) AS schedule FROM events)),
+walk AS (
+  SELECT source_id, CAST(0 AS BIGINT) AS n, false AS counted, false AS baselined, false AS in_error, CAST(NULL AS VARCHAR) AS announced, '' AS broken, CAST(NULL AS VARCHAR) AS layout,
+    CAST(NULL AS VARCHAR) AS error, CAST(NULL AS TIMESTAMP) AS tried_at, CAST(NULL AS BIGINT) AS run, CAST(NULL AS BIGINT) AS schedule, CAST([] AS STRUCT(kind VARCHAR, text VARCHAR)[]) AS told FROM (SELECT DISTINCT source_id FROM runs)
+  UNION ALL
+  SELECT source_id, n, counted, counted AND ok OR baselined, CASE WHEN counted THEN NOT ok ELSE in_error END,
+    CASE WHEN NOT counted THEN announced WHEN ok THEN NULL WHEN tells THEN message ELSE announced END,
+    CASE WHEN NOT counted THEN broken WHEN ok THEN '' WHEN tells AND kind = 'broken' AND baselined THEN selectors ELSE broken END,
+    CASE WHEN counted AND ok THEN coalesce(new_layout, layout) ELSE layout END, CASE WHEN counted AND NOT ok THEN message ELSE error END,
+    CASE WHEN counted THEN new_tried ELSE tried_at END, CASE WHEN counted THEN new_run ELSE run END, CASE WHEN counted THEN new_schedule ELSE schedule END,
+    CASE WHEN NOT counted THEN []
+      WHEN ok THEN list_concat(CASE WHEN in_error THEN [{'kind': 'source_recovered', 'text': coalesce(error, '')}] ELSE [] END,
+        CASE WHEN NOT baselined THEN [{'kind': 'baseline', 'text': CAST(new_run AS VARCHAR)}] WHEN new_layout <> layout THEN [{'kind': 'schema_changed', 'text': ''}] ELSE [] END)
+      WHEN NOT tells THEN [] WHEN kind = 'broken' AND baselined THEN [{'kind': 'schema_changed', 'text': selectors}] ELSE [{'kind': 'source_error', 'text': message || coalesce('; ' || hint, '')}] END
+  FROM (SELECT w.source_id, r.n, w.tried_at IS NULL OR r.tried_at >= w.tried_at AS counted, r.kind = 'ok' AS ok, w.baselined, w.in_error, w.announced, w.broken, w.layout, w.error, w.tried_at, w.run, w.schedule,
+      r.kind, r.message, r.hint, r.selectors, r.layout AS new_layout, r.tried_at AS new_tried, r.run AS new_run, r.schedule AS new_schedule,
+      CASE WHEN r.kind = 'broken' AND w.baselined THEN NOT (r.selectors = w.broken AND r.message IS NOT DISTINCT FROM w.announced)
+        ELSE NOT w.in_error OR r.kind = 'login' AND r.message IS DISTINCT FROM w.announced END AS tells
+    FROM walk w JOIN runs r ON r.source_id = w.source_id AND r.n = w.n + 1) x),
+steps AS (SELECT source_id, run, unnest(told) AS told, generate_subscripts(told, 1) - 1 AS step FROM walk WHERE counted),
+tried AS (SELECT source_id, run, tried_at + to_seconds(schedule) AS due, lead(tried_at) OVER (PARTITION BY source_id ORDER BY n) AS later FROM walk WHERE counted)
+SELECT source_id, run, CAST(step AS INT) AS step, told.kind AS kind, told.text AS text FROM steps
+UNION ALL SELECT source_id, run, -1, 'due', strftime(due, '%Y-%m-%dT%H:%M:%SZ') FROM tried
+WHERE coalesce(later >= due, due <= (SELECT max(CASE WHEN event_id % 10 = 0 THEN ts - INTERVAL 6 HOUR ELSE ts END) FROM events) - INTERVAL 1 DAY)"""
+
+
+@query(_MACHINE)
+def stream_outcomes(spark, d):
+    """Logins, failures, broken selectors, changed layouts, late runs and due sources, of runs that come in four ticks."""
+    e, kind, run = t(spark, d, "events"), F.col("event_type"), F.col("event_id")
+    failed, broke = kind == "error", kind == "signup"
+    text = lambda prefix, n: F.concat(F.lit(prefix), n.cast("string"))
+    x = e.select(
+        text("u", F.col("user_id")).alias("source_id"),
+        run.alias("run"),
+        F.when(failed & (run % 2 == 0), "login").when(failed, "fail").when(broke, "broken").otherwise("ok").alias("kind"),
+        F.when(run % 10 == 0, F.col("ts") - F.expr("INTERVAL 6 HOUR")).otherwise(F.col("ts")).cast("timestamp").alias("at"),
+        F.when(failed, text("m", run % 3)).when(broke, text("b", run % 2)).alias("message"),
+        F.when(failed & (run % 2 == 0), "sign in").alias("hint"),
+        F.when(broke, F.when(run % 3 == 0, F.array(F.lit("a"), F.lit("b"))).when(run % 3 == 1, F.array(F.lit("b"), F.lit("a"), F.lit("a"))).otherwise(F.array(F.lit("c")))).alias("selectors"),
+        F.when(kind.isin("click", "purchase"), text("f", F.floor(run / 2000))).alias("fingerprint"),
+        run.cast("long").alias("record_count"),
+        (21600 + 3600 * (F.col("user_id") % 5)).cast("long").alias("schedule"),
+    )
+    return in_ticks(spark, x, lateness=timedelta(days=1))
 
 
 # --- beyond SQL: opcode diffs and HTML; tests compute each of these queries again with plain code ---------------------------------------
