@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +13,14 @@ from tidemark.functions import lines as L
 from tidemark.functions import text as X
 from tidemark.functions.udfs import FINGERPRINT_DEPTH, page_paths, page_rows, text_change
 from tidemark.operators import log, outcomes, score, snapshot, worlds
-from tidemark.plans.model import EVENTS, Rule
+from tidemark.plans.model import EVENTS, Rule, SourceConfig
 from tidemark.plans.scratch import folder
 from tidemark.plans.store import Store
 from tidemark.sources import tree
 from tidemark.sources.base import as_records, collector
 from tidemark.sources.mail import days_of
 from tidemark.streaming import log as logs
+from tidemark.streaming.replay import TICKS, Replay
 from tidemark.streaming.outcomes import ANNOUNCED, LATENESS, replay
 
 QUERIES: dict = {}
@@ -822,6 +824,48 @@ def stream_outcomes(spark, d):
     return in_ticks(spark, x, lateness=timedelta(days=1))
 
 
+_TICKS = ["1994-01-01", "1995-07-01", "1996-02-01", "1997-01-01"]
+_REPLAY = f"""WITH base AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS source_id, o_orderkey AS k, CAST(o_orderdate AS DATE) AS made, o_orderstatus AS status, o_totalprice AS price FROM orders),
+versions AS (SELECT source_id, k, status, made AS since, CASE WHEN k % 3 = 0 THEN made + 300 WHEN k % 5 = 0 THEN made + 400 END AS until FROM base
+  UNION ALL SELECT source_id, k, 'X', made + 300, CASE WHEN k % 5 = 0 THEN made + 700 END FROM base WHERE k % 3 = 0),
+ticks AS (SELECT unnest([{", ".join(f"DATE '{x}'" for x in _TICKS)}]) AS tick, unnest(range({len(_TICKS)})) AS i),
+seen AS (SELECT i, tick, source_id, CAST(k AS VARCHAR) AS key, status FROM ticks, versions WHERE since <= tick AND (until IS NULL OR until > tick)),
+sources AS (SELECT DISTINCT source_id FROM base),
+events AS (
+  SELECT i, tick, source_id, 'baseline' AS kind, NULL AS key FROM ticks, sources WHERE i = 0
+  UNION ALL SELECT t.i, t.tick, coalesce(n.source_id, o.source_id), CASE WHEN o.key IS NULL THEN 'added' WHEN n.key IS NULL THEN 'removed' ELSE 'modified' END, coalesce(n.key, o.key)
+  FROM (SELECT * FROM seen WHERE i > 0) n FULL JOIN (SELECT * REPLACE (i + 1 AS i) FROM seen WHERE i < {len(_TICKS) - 1}) o ON n.i = o.i AND n.key = o.key JOIN ticks t ON t.i = coalesce(n.i, o.i)
+  WHERE o.key IS NULL OR n.key IS NULL OR n.status <> o.status),
+log AS (SELECT row_number() OVER (ORDER BY i, source_id, key NULLS FIRST) AS seq, * FROM events)
+SELECT seq, source_id, kind, key, strftime(tick, '%Y-%m-%dT00:00:00Z') AS at, seq <= (SELECT max(seq) FROM log WHERE i <= 2) AS acknowledged FROM log"""
+
+
+@query(_REPLAY)
+def replayed_collections(spark, d):
+    """Orders as dated versions, collected from two sources over four ticks that come as a stream in two goes; a consumer's last look is the third tick."""
+    o, name = t(spark, d, "orders"), f"versions_{uuid.uuid4().hex}"
+    day = lambda c, n=0: F.date_add(F.col(c).cast("date"), n).cast("timestamp")
+    k, first = F.col("o_orderkey"), day("o_orderdate")
+    third, fifth = k % 3 == 0, k % 5 == 0
+    base = o.select(k.alias("k"), F.col("o_orderstatus").alias("status"), first.alias("since"), F.when(third, day("o_orderdate", 300)).when(fifth, day("o_orderdate", 400)).alias("until"))
+    later = o.where(third).select(k.alias("k"), F.lit("X").alias("status"), day("o_orderdate", 300).alias("since"), F.when(fifth, day("o_orderdate", 700)).alias("until"))
+    sources = []
+    for n, part in enumerate(("even", "odd")):
+        base.unionByName(later).where(F.col("k") % 2 == n).createOrReplaceTempView(f"{name}_{part}")
+        config = SourceConfig(part, "versions")
+        sources.append((config, collector("versions", view=f"{name}_{part}", key="k", since="since", until="until")))
+    root, store = folder(spark, "ticks"), Store(spark, folder(spark, "replayed"))
+    replay_of = Replay(store, sources, "bench")
+    for go in (_TICKS[:2], _TICKS[2:]):
+        rows = [(datetime.fromisoformat(x), x == _TICKS[2]) for x in go]
+        spark.createDataFrame(rows, TICKS).coalesce(1).write.mode("append").parquet(f"{root}/ticks")
+        replay_of.start(spark.readStream.schema(TICKS).parquet(f"{root}/ticks"), f"{root}/state").awaitTermination()
+    for part in ("even", "odd"):
+        spark.catalog.dropTempView(f"{name}_{part}")
+    cursor = store.manifest().cursors["bench"]["seq"]
+    return store.read("events").select("seq", "source_id", "kind", F.col("record_key").alias("key"), X.iso(F.col("created_at")).alias("at"), (F.col("seq") <= cursor).alias("acknowledged"))
+
+
 # --- beyond SQL: opcode diffs and HTML; tests compute each of these queries again with plain code ---------------------------------------
 
 

@@ -66,8 +66,8 @@ def _save(row: dict, s: outcomes.State) -> None:
 TRIES = 5
 
 
-def run(store: Store, config: model.SourceConfig, source: Collector, now: datetime) -> Result:
-    """Collects and commits. A failure is an outcome, not an exception; the snapshot is untouched by it."""
+def run(store: Store, config: model.SourceConfig, source: Collector, now: datetime, notes: dict[str, str] | None = None) -> Result:
+    """Collects and commits, with ``notes`` on the manifest. A failure is an outcome, not an exception; the snapshot is untouched by it."""
     spark, records = store.spark, None
     with scope(spark):
         try:
@@ -83,7 +83,13 @@ def run(store: Store, config: model.SourceConfig, source: Collector, now: dateti
             got, outcome = None, outcomes.Outcome("fail", now, _cut(str(e)))
         except Exception as e:  # a collector's own fault is a failed run as well
             got, outcome = None, outcomes.Outcome("fail", now, _cut(f"{type(e).__name__}: {e}".splitlines()[0]))
-        return store.update(lambda commit: _commit(commit, config, source, got, records, outcome), TRIES)
+
+        def change(commit: Commit) -> Result:
+            out = _commit(commit, config, source, got, records, outcome)
+            commit.manifest.meta.update(notes or {})
+            return out
+
+        return store.update(change, TRIES)
 
 
 def _commit(commit: Commit, config: model.SourceConfig, source: Collector, got: Collected | None, records: DataFrame | None, outcome: outcomes.Outcome) -> Result:

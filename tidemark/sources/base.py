@@ -22,6 +22,7 @@ TYPES = {
     "web": "tidemark.sources.pages:Page",
     "changedetection": "tidemark.sources.watches:Watches",
     "format": "tidemark.sources.tables:Format",
+    "versions": "tidemark.sources.tables:Versions",
 }
 
 

@@ -91,6 +91,23 @@ class Format(Collector):
         return Collected(keyed(rows, keys))
 
 
+class Versions(Collector):
+    """The rows of ``view`` that hold at the time of the collection: from column ``since`` on, and before column ``until`` where that is not null."""
+
+    options = {"view": str, "key": (str, list), "since": str, "until": str}
+    required = ("view", "key", "since", "until")
+
+    def collect(self, spark: SparkSession, now: datetime) -> Collected:
+        o, at = self.given, F.lit(now)
+        keys = [o["key"]] if isinstance(o["key"], str) else o["key"]
+        try:
+            rows = spark.table(o["view"])
+            rows = rows.where((F.col(o["since"]) <= at) & (F.col(o["until"]).isNull() | (F.col(o["until"]) > at))).drop(o["since"], o["until"])
+        except Exception as e:
+            raise CollectError(scrubbed(str(e), [])) from None
+        return Collected(keyed(rows, keys))
+
+
 def read_only(spark: SparkSession, sql: str, limit: int = 500):
     """Rows of a SELECT or WITH statement, and whether there are more than ``limit``."""
     if not re.match(r"\s*(select|with)\b", sql, re.I):
