@@ -143,7 +143,7 @@ def test_commits_that_touch_different_things_are_put_on_top_of_each_other(store)
     runner.run(store, CONFIG, Fake(BASE), at(0))
     service = Service(store, lambda: at(1))
     commit, nothing = store.begin(), Fake([]).collect(store.spark, at(5))
-    got = runner._commit(commit, CONFIG, Fake([]), nothing, runner._hashed(nothing.records), runner.outcomes.Outcome("ok", at(5)))
+    got = runner._commit(commit, CONFIG, Fake([]), nothing, runner._collected(store, CONFIG, nothing), runner.outcomes.Outcome("ok", at(5)))
     assert service.ack("a", 1).startswith("ok") and "events 1-1 (1)" in service.digest("b")
     commit.publish()
     m = store.manifest()
@@ -431,6 +431,172 @@ def test_audit_pages(spark, store):
     assert got[2].readable and not got[1].readable and got[1].detail == "{broken"
 
 
+# --- buckets, notes and retention by time ---
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_records_in_buckets_meet_without_a_shuffle(spark, tmp_path):
+    from tidemark.operators import snapshot
+    from tidemark.plans import buckets
+
+    stored = [("po", f"k{i}", {"a": (("int"), str(i))}, f"h{i}", i % 5 > 0, T0.replace(tzinfo=None)) for i in range(200)]
+    new = [(f"k{i}", {"a": ("int", str(i))}, f"h{i if i % 3 else -i}") for i in range(100, 300)]
+    parts = [spark.createDataFrame(stored, model.RECORDS), spark.createDataFrame(new, runner.HASHED)]
+    want = snapshot.meet(*parts)
+    with buckets.tables(spark):
+        read = []
+        for k, df in enumerate(parts):
+            buckets.write(df.repartition(4, "key"), str(tmp_path / f"o'{k}"), "key", 4)
+            read.append(buckets.read(spark, str(tmp_path / f"o'{k}"), df.schema, "key", 4))
+        got = snapshot.meet(*read)
+        assert (exchanges(got), exchanges(snapshot.meet(read[0], parts[1])), exchanges(want)) == (0, 1, 2)
+        assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 300
+        named = [t.name for t in spark.catalog.listTables() if t.name.startswith("tidemark_")]
+    assert len(named) == 2 and not [t.name for t in spark.catalog.listTables() if t.name.startswith("tidemark_")]
+    assert spark.read.parquet(str(tmp_path / "o'0")).count() == 200
+    assert [buckets.count_for(n, 100) for n in (0, 100, 101, 200, 1000)] == [1, 1, 2, 2, 16]
+
+
+def test_a_large_source_keeps_its_buckets(store, monkeypatch):
+    from tidemark.plans import buckets
+
+    real = buckets.count_for
+    monkeypatch.setattr(buckets, "count_for", lambda rows: real(rows, 10))
+    rows = [(f"k{i}", "Open", None, None) for i in range(70)]
+    runner.run(store, CONFIG, Fake(rows), at(0))
+    held = store.manifest().tables["records"]
+    assert [(g["buckets"], g["rows"], g["gone"]) for g in held] == [(8, 70, 0)]
+    assert runner.run(store, CONFIG, Fake(rows), at(15)).first_seq is None and store.manifest().tables["records"] == held  # nothing moved, nothing written
+    assert runner.run(store, CONFIG, Fake(rows[3:] + [("new", "Open", None, None)]), at(30)).last_seq == 5
+    assert [(g["buckets"], g["rows"], g["gone"], g["gone_begin"]) for g in store.manifest().tables["records"]] == [(8, 71, 3, round(at(30).timestamp() * 1e6))]
+    assert store.manifest().sources["po"]["record_count"] == 68
+    runner.run(store, CONFIG, Fake([(k, s, e, "untracked?") for k, s, e, _ in rows[3:]] + [(f"m{i}", "Open", None, None) for i in range(30)]), at(45))
+    assert [(g["buckets"], g["rows"], g["gone"]) for g in store.manifest().tables["records"]] == [(8, 101, 4)] or store.manifest().tables["records"][0]["rows"] == 101
+    state = {r.key: r.present for r in store.read("records").collect()}
+    assert len(state) == 101 and sum(not v for v in state.values()) == 4
+
+
+def test_untracked_changes_are_stored_without_events(store):
+    config = model.SourceConfig("po", "sql", track=("status",))
+    runner.run(store, config, Fake(BASE), at(0))
+    assert runner.run(store, config, Fake([("1", "Open", "2027-01-01", "z"), *BASE[1:]]), at(15)).first_seq is None
+    r = {x.key: x for x in store.read("records").collect()}
+    assert r["1"].fields["eta"].v == "2027-01-01" and r["1"].updated_at != r["2"].updated_at
+
+
+def test_retention_leaves_generations_alone_that_it_need_not_read(store, monkeypatch):
+    other = model.SourceConfig("other", "sql")
+    for k in range(4):
+        runner.run(store, CONFIG, Fake([(str(i), f"S{k}", None, None) for i in range(3 - (k == 2))]), at(60 * k))
+    runner.run(store, other, Fake(BASE), at(200))
+    before = store.manifest().tables
+    assert [(g["lo"], g["hi"]) for g in before["events"]] == [(1, 1), (2, 4), (5, 7), (8, 10), (11, 11)]
+    assert [(g["begin"], g["end"]) for g in before["events"]][1] == (round(at(60).timestamp() * 1e6),) * 2
+    reads = []
+    real = type(store.spark.read).parquet
+    monkeypatch.setattr("pyspark.sql.readwriter.DataFrameReader.parquet", lambda self, *paths, **k: reads.extend(paths) or real(self, *paths, **k))
+    assert runner.prune(store, at(60)) == (1, 0) and not reads  # whole generations went, nothing was gone before
+    assert store.manifest().pruned_through == 1
+    assert runner.prune(store, at(90)) == (3, 0) and not reads
+    after = store.manifest().tables
+    assert after["events"] == before["events"][2:] and after["records"] == before["records"]
+    assert runner.prune(store, at(150)) == (3, 0)
+    assert runner.prune(store, at(150)) == (0, 0) and store.manifest().pruned_through == 7
+
+
+def test_retention_cuts_a_generation_of_several_times(store):
+    for k in range(5):
+        runner.run(store, CONFIG, Fake([(str(i), f"S{k}", None, None) for i in range(2)]), at(30 * k))
+    assert store.compact(most=2) == 4 and len(store.manifest().tables["events"]) == 1
+    assert runner.prune(store, at(60)) == (3, 0)
+    assert [r.seq for r in store.read("events").orderBy("seq").collect()] == [4, 5, 6, 7, 8, 9] and store.manifest().pruned_through == 3
+    runner.run(store, CONFIG, Fake([("0", "S4", None, None)]), at(24 * 60 + 30))
+    runner.run(store, CONFIG, Fake([("0", "S5", None, None)]), at(24 * 60 + 60))
+    assert store.compact(most=1) == 1 and [(g["lo"], g["hi"]) for g in store.manifest().tables["events"]] in ([(10, 11), (4, 9)], [(4, 9), (10, 11)])  # days stay apart
+    assert runner.prune(store, at(24 * 60 + 10)) == (6, 0)  # the record that is gone is of a kept event still
+    assert runner.prune(store, at(24 * 60 + 45)) == (1, 1) and store.read("records").count() == 1
+    assert runner.prune(store, at(48 * 60)) == (1, 0) and store.manifest().pruned_through == 11
+
+
+def test_notes_tell_what_a_separate_check_would(spark):
+    from tidemark.operators import snapshot
+    from tidemark.plans.scratch import noted, settled
+
+    for rows, message in (
+        ([("a", {"x": 1}), ("b", {"y": 2})], None),
+        ([], None),
+        ([("a", {"x": 1}), ("", {"x": 1}), (None, {"x": 1})], "2 records have an empty key"),
+        ([("a", {"x": 1}), ("b", {}), ("b", {}), ("c", {}), ("c", {}), ("c", {})], "2 keys occur more than once, 'c' 3 times"),
+        ([("a", {"x\ty": 1}), ("b", {"": 2})], "field name '' is not allowed"),
+        ([("a", {"n" * 65: 1})], "is not allowed"),
+    ):
+        df = spark.createDataFrame(rows, "key string, fields map<string,int>")
+        watched, seen = noted(*snapshot.marked(df.repartition(2, "key")))
+        settled(watched, "noted")
+        if message is None:
+            assert snapshot.checked(seen()) == len(rows)
+            snapshot.check_keys(df)
+            snapshot.check_names(df)
+            continue
+        with pytest.raises(CollectError, match=message):
+            snapshot.checked(seen())
+        with pytest.raises(CollectError, match=message):
+            snapshot.check_keys(df)
+            snapshot.check_names(df)
+
+
+def test_replay_cut_off_in_the_middle_gives_the_same_log(spark, tmp_path, monkeypatch):
+    from tidemark.streaming.replay import TICKS, Replay
+
+    class Portal(Collector):
+        """Fails and changes its layout at times of its own."""
+
+        def collect(self, spark, now):
+            k = int((now - T0).total_seconds() // 7200)
+            if k == 2:
+                raise CollectError("refused")
+            rows = [(str(i), f"S{k // 2}", None, None) for i in range(2 + k % 2)]
+            df = spark.createDataFrame(rows, "po_no string, status string, eta string, note string")
+            return Collected(as_records(df, F.col("po_no")), fingerprint="a" if k < 3 else "b")
+
+    real, cuts = runner.run, []
+
+    def cut(store, config, source, now, notes=None):
+        if cuts and config.id == "b" and now == at(120 * cuts[0]):
+            cuts.pop(0)
+            raise RuntimeError("the process ends here")
+        return real(store, config, source, now, notes)
+
+    monkeypatch.setattr(runner, "run", cut)
+
+    def replayed(name, *at_ticks):
+        store, failed = Store(spark, str(tmp_path / name)), 0
+        replay_of = Replay(store, [(model.SourceConfig(n, "web"), Portal()) for n in ("a", "b")], "bench")
+        cuts.extend(at_ticks)
+        for go in range(2):
+            rows = [(at(120 * k).replace(tzinfo=None), k == 2) for k in range(go * 2, go * 2 + 2)]
+            spark.createDataFrame(rows, TICKS).coalesce(1).write.mode("append").parquet(str(tmp_path / name / "ticks"))
+            for _ in range(2):
+                ticks = spark.readStream.schema(TICKS).parquet(str(tmp_path / name / "ticks"))
+                try:
+                    replay_of.start(ticks, str(tmp_path / name / "state")).awaitTermination()
+                    break
+                except Exception as e:
+                    assert "the process ends here" in str(e)
+                    failed += 1
+        assert failed == len(at_ticks)
+        log = [(r.seq, r.source_id, r.kind, r.record_key, r.created_at) for r in store.read("events").orderBy("seq").collect()]
+        return log, store.manifest().cursors["bench"]
+
+    whole, broken = replayed("whole"), replayed("cut", 1, 3)
+    assert whole == broken and {k for _, _, k, _, _ in whole[0]} >= {"baseline", "source_error", "source_recovered", "schema_changed", "modified", "added"}
+    looked = [s for s, _, _, _, t in whole[0] if t <= at(240).replace(tzinfo=None)]
+    assert whole[1]["seq"] == max(looked) < len(whole[0])
+
+
 # --- the log as a stream ---
 
 

@@ -13,8 +13,10 @@ from tidemark.functions import lines as L
 from tidemark.functions import text as X
 from tidemark.functions.udfs import FINGERPRINT_DEPTH, page_paths, page_rows, text_change
 from tidemark.operators import log, outcomes, score, snapshot, worlds
-from tidemark.plans.model import EVENTS, Rule, SourceConfig
-from tidemark.plans.scratch import folder
+from tidemark.plans import buckets
+from tidemark.plans.model import EVENTS, RECORDS, Rule, SourceConfig
+from tidemark.plans.runner import HASHED
+from tidemark.plans.scratch import folder, settled
 from tidemark.plans.store import Store
 from tidemark.sources import tree
 from tidemark.sources.base import as_records, collector
@@ -738,11 +740,34 @@ def schedule_seconds(spark, d):
     return t(spark, d, "events").select("event_id", X.schedule_seconds(text).alias("seconds"))
 
 
-@query(_CTE + "SELECT CAST(key AS VARCHAR) AS key, kind, CAST(CASE WHEN kind = 'modified' THEN CASE WHEN s0 <> s1 THEN 1 ELSE 0 END + CASE WHEN e0 <> e1 THEN 1 ELSE 0 END END AS BIGINT) AS changes FROM diff")
+_MAPS = _CTE + "SELECT CAST(key AS VARCHAR) AS key, kind, CAST(CASE WHEN kind = 'modified' THEN CASE WHEN s0 <> s1 THEN 1 ELSE 0 END + CASE WHEN e0 <> e1 THEN 1 ELSE 0 END END AS BIGINT) AS changes FROM diff"
+
+
+def hashed_snapshots(spark, d) -> list[DataFrame]:
+    return [as_records(x, F.col("k"), [c for c in x.columns if c != "k"]).withColumn("content_hash", F.sha2(F.to_json("fields"), 256)) for x in snapshots(spark, d)]
+
+
+@query(_MAPS)
+def diff_bucketed(spark, d):
+    """The diff of stored records and a collection that lie in buckets by key, so that neither is shuffled to meet the other."""
+    n, parts = int(spark.conf.get("spark.sql.shuffle.partitions")), []
+    with buckets.tables(spark):
+        for x, shape in zip(hashed_snapshots(spark, d), (RECORDS, HASHED)):
+            x = x.withColumns({"source_id": F.lit("orders"), "present": F.lit(True), "updated_at": F.lit(datetime(2024, 1, 1))}).select(*shape.fieldNames())
+            path = folder(spark, "buckets")
+            buckets.write(x.to(shape).repartition(n, "key"), path, "key", n)
+            parts.append(buckets.read(spark, path, shape, "key", n))
+        met = snapshot.meet(*parts)
+        both = F.col("old").isNotNull() & F.col("new").isNotNull()
+        met = met.withColumn("changes", F.when(both, snapshot.changes_of(F.col("old"), F.col("new.fields"), ["status", "eta"])))
+        out = met.select("key", snapshot.kind_of(F.col("old"), F.col("new"), F.col("changes")).alias("kind"), F.when(both, F.size("changes").cast("long")).alias("changes"))
+        return settled(out.where("kind is not null"), "met")
+
+
+@query(_MAPS)
 def diff_kinds_maps(spark, d):
     """The dynamic path: fields as maps of tagged scalars, equal hashes skipped."""
-    old, new = (as_records(x, F.col("k"), [c for c in x.columns if c != "k"]).withColumn("content_hash", F.sha2(F.to_json("fields"), 256)) for x in snapshots(spark, d))
-    x = snapshot.diff_maps(old, new, ["status", "eta"])
+    x = snapshot.diff_maps(*hashed_snapshots(spark, d), ["status", "eta"])
     return x.select("key", "kind", F.when(F.col("kind") == "modified", F.size("changes").cast("long")).alias("changes"))
 
 

@@ -15,15 +15,17 @@ from tidemark.plans.scratch import is_settled, settled
 ONE_TASK = 100_000
 
 
-def with_seq(drafts: DataFrame, order: Sequence, base: int = 0, name: str = "seq", one_task: int | None = None) -> DataFrame:
+def with_seq(drafts: DataFrame, order: Sequence, base: int = 0, name: str = "seq", one_task: int | None = None, rows: int | None = None) -> DataFrame:
     """Consecutive numbers base + 1, ... in a total order, without a window over all rows.
 
-    The rows are settled once. Beyond ``one_task`` of them (ONE_TASK by default), a range sort deals them out and is settled as a table with each row's partition and place;
+    The rows are settled once, and counted unless ``rows`` says how many there are. Beyond ``one_task`` of them (ONE_TASK by default), a range sort deals them out and is settled as a table with each row's partition and place;
     partition sizes, a row each, are summed up on the driver and added to the places.
     """
     first = F.lit(base).cast("long")
-    drafts = drafts if is_settled(drafts) else settled(drafts, "drafts")
-    if drafts.count() <= (ONE_TASK if one_task is None else one_task):
+    most = ONE_TASK if one_task is None else one_task
+    if rows is None or rows > most:
+        drafts = drafts if is_settled(drafts) else settled(drafts, "drafts")
+    if (drafts.count() if rows is None else rows) <= most:
         return drafts.withColumn(name, first + F.row_number().over(W.orderBy(*order)))
     placed = drafts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
     placed = settled(placed, "seq")

@@ -2,7 +2,7 @@
 
 A snapshot is a DataFrame with one row per key. On the wide path each field is a typed column, so a
 null-safe comparison is type-aware by construction; on the dynamic path ``fields`` is a map of tagged
-scalars. Nothing here runs an action except ``check_keys``.
+scalars. Nothing here runs an action except ``check_keys`` and ``check_names``.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import python_text
@@ -29,6 +30,41 @@ class LoginRequired(CollectError):
         self.hint = hint
 
 
+#: Columns of what ``marked`` notes about records while they are written (see ``checked``).
+NOTES = ("rows", "blank", "repeated", "first", "most", "unnamed")
+
+
+def marked(records: DataFrame, key: str = "key", fields: str | None = "fields") -> tuple[DataFrame, dict[str, Column]]:
+    """``records`` with each one's place among those of its key, and the aggregates that tell whether all keys are whole and unique and all names allowed.
+
+    They are meant for an Observation on the write of the records, so nothing is read twice; places come from the partitioning by key that the write needs
+    anyway. Records that are told apart by nothing but an equal key are an error, so one key is one task here.
+    """
+    k = F.col(key)
+    placed = records.withColumn("__place", F.row_number().over(W.partitionBy(key).orderBy(key)))
+    blank = k.isNull() | (k.cast("string") == "")
+    again = ~blank & (F.col("__place") > 1)
+    return placed, {
+        "rows": F.count("*"),
+        "blank": F.count(F.when(blank, 1)),
+        "repeated": F.count(F.when(again & (F.col("__place") == 2), 1)),
+        "first": F.min_by(F.when(again, k.cast("string")), F.when(again, F.struct(-F.col("__place"), k))),
+        "most": F.max(F.when(again, F.col("__place"))),
+        "unnamed": F.min(_unnamed(fields)) if fields else F.lit(None).cast("string"),
+    }
+
+
+def checked(notes: dict) -> int:
+    """The number of records that the notes of ``marked`` are about; CollectError if they are no snapshot."""
+    if notes.get("blank"):
+        raise CollectError(f"{notes['blank']} records have an empty key")
+    if notes.get("repeated"):
+        raise CollectError(f"{notes['repeated']} keys occur more than once, {notes['first']!r} {notes['most']} times")
+    if notes.get("unnamed") is not None:
+        raise CollectError(f"field name {notes['unnamed']!r} is not allowed")
+    return notes.get("rows") or 0
+
+
 def check_keys(records: DataFrame, key: str = "key") -> None:
     """Raises on null, empty or repeated keys: one aggregate, one row to the driver."""
     per_key = records.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
@@ -38,23 +74,21 @@ def check_keys(records: DataFrame, key: str = "key") -> None:
         F.min_by("k", F.struct(-F.col("n"), F.col("k"))).alias("first"),
         F.max("n").alias("most"),
     ).first()
-    if r.blank:
-        raise CollectError(f"{r.blank} records have an empty key")
-    if r.repeated:
-        raise CollectError(f"{r.repeated} keys occur more than once, {r['first']!r} {r.most} times")
+    checked(r.asDict())
 
 
 #: Characters that no field name may hold: all of the categories "other" and "separator" but the space.
 _UNPRINTABLE = r"(?! )[\p{C}\p{Z}]"
 
 
-def check_names(records: DataFrame, fields: str = "fields", most: int = 64) -> None:
-    """Raises on a field name that is empty, longer than ``most`` or not printable, in any record: one aggregate, one row to the driver."""
-    n = F.col("n")
-    bad = (n == "") | (F.length(n) > most) | n.rlike(_UNPRINTABLE)
-    first = records.select(F.explode(F.map_keys(fields)).alias("n")).where(bad).agg(F.min("n").alias("n")).first()
-    if first.n is not None:
-        raise CollectError(f"field name {first.n!r} is not allowed")
+def _unnamed(fields: str = "fields", most: int = 64) -> Column:
+    """The first field name of a record that is empty, longer than ``most`` or not printable, if any."""
+    return F.array_min(F.filter(F.map_keys(fields), lambda n: (n == "") | (F.length(n) > most) | n.rlike(_UNPRINTABLE)))
+
+
+def check_names(records: DataFrame, fields: str = "fields") -> None:
+    """Raises on a field name that is not allowed, in any record: one aggregate, one row to the driver."""
+    checked(records.agg(F.min(_unnamed(fields)).alias("unnamed")).first().asDict())
 
 
 def composite_key(*columns: Column) -> Column:
@@ -135,19 +169,55 @@ def diff(
     return out.where("kind is not null").select("key", "kind", F.when(shown, F.col("changes")).otherwise(F.slice("changes", 1, 0)).alias("changes"), "old", "new")
 
 
+def changes_of(old: Column, new: Column, track: Sequence[str] | None = None) -> Column:
+    """What differs between two maps of tagged scalars: (field, old, new), a field that one of them lacks counting as null."""
+    names = F.array(*map(F.lit, track)) if track is not None else F.array_sort(F.array_union(F.map_keys(old), F.map_keys(new)))
+    each = F.transform(names, lambda f: F.struct(f.alias("field"), F.try_element_at(old, f).alias("old"), F.try_element_at(new, f).alias("new")))
+    blank = lambda x: F.coalesce(x["t"], F.lit("null"))
+    return F.filter(each, lambda c: ~(blank(c["old"]).eqNullSafe(blank(c["new"])) & c["old"]["v"].eqNullSafe(c["new"]["v"])))
+
+
+def kind_of(old: Column, new: Column, changes: Column) -> Column:
+    return F.when(old.isNull() & new.isNotNull(), "added").when(old.isNotNull() & new.isNull(), "removed").when(F.size(changes) > 0, "modified")
+
+
 def diff_maps(old: DataFrame, new: DataFrame, track: Sequence[str] | None = None) -> DataFrame:
     """diff for (key, fields, content_hash) with fields a map of tagged scalars: equal hashes are skipped before any field is looked at."""
     o = old.select("key", F.col("fields").alias("old"), F.col("content_hash").alias("old_hash"))
     n = new.select("key", F.col("fields").alias("new"), F.col("content_hash").alias("new_hash"))
     met = o.join(n, "key", "full_outer").where("old_hash is distinct from new_hash")
-    names = F.array(*map(F.lit, track)) if track is not None else F.array_sort(F.array_union(F.map_keys("old"), F.map_keys("new")))
-    each = F.transform(names, lambda f: F.struct(f.alias("field"), F.try_element_at("old", f).alias("old"), F.try_element_at("new", f).alias("new")))
-    blank = lambda x: F.coalesce(x["t"], F.lit("null"))
-    changed = F.filter(each, lambda c: ~(blank(c["old"]).eqNullSafe(blank(c["new"])) & c["old"]["v"].eqNullSafe(c["new"]["v"])))
     both = F.col("old").isNotNull() & F.col("new").isNotNull()
-    out = met.withColumn("changes", F.when(both, changed))
-    kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.size("changes") > 0, "modified")
-    return out.withColumn("kind", kind).where("kind is not null").select("key", "kind", "changes", "old", "new")
+    out = met.withColumn("changes", F.when(both, changes_of(F.col("old"), F.col("new"), track)))
+    return out.withColumn("kind", kind_of(F.col("old"), F.col("new"), F.col("changes"))).where("kind is not null").select("key", "kind", "changes", "old", "new")
+
+
+def meet(stored: DataFrame, new: DataFrame, lost: DataFrame | None = None) -> DataFrame:
+    """One row for each key of the stored records (key, fields, content_hash, present, updated_at), gone ones included, and of a collection (key, fields, content_hash).
+
+    ``stored`` and ``new`` are structs, null on the side that lacks the key; ``old`` are the fields of a record that is present and not among the ``lost``,
+    the keys that could not be read. One full outer join on the key, which bucketed sides need no shuffle for.
+    """
+    s = stored.select("key", F.struct("fields", "content_hash", "present", "updated_at").alias("stored"))
+    met = s.join(new.select("key", F.struct("fields", "content_hash").alias("new")), "key", "full_outer")
+    seen = F.col("stored.present")
+    if lost is not None:
+        met = met.join(lost.select(F.col("key").alias("__lost")).distinct(), F.col("key") == F.col("__lost"), "left")
+        seen = seen & F.col("__lost").isNull()
+    return met.withColumn("old", F.when(seen, F.col("stored.fields"))).select("key", "stored", "new", "old")
+
+
+def next_records(met: DataFrame, aged: Column, now) -> DataFrame:
+    """The records to store after a run, from ``meet``: (key, fields, content_hash, present, updated_at).
+
+    A record that is new, back or of another hash is stored as of ``now``, untracked changes included; one that left is kept as gone; one that ``aged`` out is not kept;
+    one that could not be read stays as it is.
+    """
+    same = F.col("stored.present") & (F.col("stored.content_hash") == F.col("new.content_hash"))
+    fresh = F.struct(F.col("new.fields").alias("fields"), F.col("new.content_hash").alias("content_hash"), F.lit(True).alias("present"), F.lit(now).alias("updated_at"))
+    gone = F.struct(F.col("stored.fields").alias("fields"), F.col("stored.content_hash").alias("content_hash"), F.lit(False).alias("present"), F.lit(now).alias("updated_at"))
+    left = F.col("old").isNotNull() & F.col("new").isNull()
+    kept = F.when(F.col("new").isNotNull() & ~F.coalesce(same, F.lit(False)), fresh).when(left & ~aged, gone).when(~left, F.col("stored"))
+    return met.select("key", kept.alias("r")).where("r is not null").select("key", "r.*")
 
 
 def delta(old: DataFrame, new: DataFrame, key: str = "key", hash_col: str = "content_hash") -> DataFrame:

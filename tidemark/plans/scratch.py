@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _own: list[str] = []
 _scopes: list[list[str]] = []
@@ -66,6 +66,12 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def noted(df: DataFrame, notes: dict[str, Column]) -> tuple[DataFrame, Callable[[], dict]]:
+    """df, and what the aggregates ``notes`` come to in the first action on it, once that is over: no job of their own."""
+    seen = Observation()
+    return df.observe(seen, *(c.alias(name) for name, c in notes.items())), lambda: seen.get
+
+
 def is_settled(df: DataFrame) -> bool:
     return df in _places
 

@@ -315,7 +315,7 @@ class Service:
             n = commit.manifest.next_served
             row = (n, agent, tool, {k: str(v) for k, v in args.items() if v is not None}, text, self.via, self.now())
             commit.manifest.next_served += 1
-            commit.append("served", self.store.spark.createDataFrame([row], SERVED), known=(n, n, 1))
+            commit.append("served", self.store.spark.createDataFrame([row], SERVED), known=(n, n, 1, self.now()))
 
         self.store.update(change)
         if len(self.store.manifest().tables["served"]) > MOST_SERVED:
