@@ -274,7 +274,7 @@ def test_daemon(store):
         slept.append(s)
         clock[0] += timedelta(seconds=max(s, 1) * 12)
         if len(slept) == 4:
-            raise KeyboardInterrupt
+            d.ended.set()  # as a signal does
 
     d = Daemon(store, sources, lambda: clock[0], sleep, said.append)
     other = Daemon(store, [], lambda: clock[0], sleep, said.append)
@@ -295,14 +295,48 @@ def test_daemon(store):
     assert one_line("a\x00b\n c") == "a b  c"
 
 
+def test_a_long_tick_keeps_its_lease_and_errors_end_no_loop(store, monkeypatch):
+    from tidemark.plans.daemon import LEASE, UPKEEP_EVERY, Daemon, DaemonError
+
+    clock, said = [at(0)], []
+
+    class Slow(Fake):
+        def collect(self, spark, now):
+            clock[0] += timedelta(seconds=LEASE - 100)
+            with pytest.raises(DaemonError):
+                Daemon(store, [], lambda: clock[0], None, said.append).start()
+            return super().collect(spark, now)
+
+    sources = [(model.SourceConfig(n, "sql"), Slow(BASE)) for n in ("a", "b", "c")]
+    d = Daemon(store, sources, lambda: clock[0], None, said.append)
+    d.start()
+    assert [r.source_id for r in d.tick()] == ["a", "b", "c"] and clock[0] > at(0) + timedelta(seconds=2 * LEASE)
+    for _ in range(5):
+        d.tick()
+    assert len(store._numbers()) > 5
+    clock[0] += timedelta(seconds=UPKEEP_EVERY)
+    d.put_off = {n: at(10_000) for n in "abc"}
+    d.tick()
+    assert len(store._numbers()) <= 3  # the upkeep cleared the older manifests away
+    monkeypatch.setattr(store, "update", lambda *a, **k: (_ for _ in ()).throw(OSError("disk is full")))
+    assert d.tick() == [] and said[-1] == "tick put off: OSError: disk is full"
+    monkeypatch.undo()
+    d.ended.set()
+    d.put_off = {}
+    clock[0] = at(100_000)
+    Daemon(store, [], lambda: clock[0], None, said.append).start()  # the lease has run out by now
+    with pytest.raises(DaemonError):
+        d.tick()
+
+
 def test_a_store_that_fails_puts_the_source_off_by_its_schedule(store, monkeypatch):
     calls = []
     monkeypatch.setattr(runner, "run", lambda *a: calls.append(a[1].id) or (_ for _ in ()).throw(OSError("full")))
     retry, said = {}, []
     sources = [(CONFIG, Fake(BASE)), (model.SourceConfig("zz", "sql", schedule=60), Fake(BASE))]
-    assert runner.tick(store, sources, at(0), retry_at=retry, log=said.append) == []
+    assert runner.tick(store, sources, at(0), put_off=retry, log=said.append) == []
     assert calls == ["po", "zz"] and retry == {"po": at(15), "zz": at(1)} and "run failed: OSError: full" in said[0]
-    runner.tick(store, sources, at(2), retry_at=retry)
+    runner.tick(store, sources, at(2), put_off=retry)
     assert calls == ["po", "zz", "zz"]
 
 

@@ -322,33 +322,36 @@ def _cut_off(commit: Commit, name: str, before: int, cutoff: datetime) -> list[i
     return went
 
 
-def tick(store: Store, sources: list[tuple[model.SourceConfig, Collector]], now: datetime, every: bool = False, retry_at: dict[str, datetime] | None = None, clock=None, log=None) -> list[Result]:
+def tick(store: Store, sources: list[tuple[model.SourceConfig, Collector]], now: datetime, every: bool = False, put_off: dict[str, datetime] | None = None, clock=None, log=None, alive=None, ended=None) -> list[Result]:
     """Runs the sources that are due, soonest first; one that fails stops no other.
 
-    A run that raises, as it could not commit, is due again after its schedule only (``retry_at``, the caller's). The heartbeat is
-    written before each run and at the end, at the time that ``clock`` shows then.
+    A run that raises could not commit: its source is due again after its schedule only, as ``put_off``, the caller's, says. ``alive`` is told the time before each
+    run and at the end (by default it writes the heartbeat); once ``ended`` holds, what is left is left.
     """
-    retry_at, say = {} if retry_at is None else retry_at, log or (lambda text: None)
-    time = lambda: max(now, clock()) if clock else now
-    due = []
+    put_off, alive = {} if put_off is None else put_off, alive or (lambda at: beat(store, at))
+    known, waiting = store.manifest().sources, []
     for config, source in sources:
-        at = due_at(store.manifest().sources.get(config.id, {}), config.schedule, now)
-        at = max(at, retry_at.get(config.id, at))
+        at = due_at(known.get(config.id, {}), config.schedule, now)
+        at = max(at, put_off.get(config.id, at))
         if every or at <= now:
-            due.append((at, config.id, config, source))
+            waiting.append((at, config.id, config, source))
     out = []
-    for _, _, config, source in sorted(due, key=lambda x: x[:2]):
+    for _, name, config, source in sorted(waiting, key=lambda x: x[:2]):
+        if ended and ended():
+            break
+        began = max(now, clock()) if clock else now
+        alive(began)
+        told = None
         try:
-            began = time()
-            beat(store, began)
             out.append(run(store, config, source, began))
-            retry_at.pop(config.id, None)
-            if out[-1].failed:
-                say(f"{config.id}: collection failed: {out[-1].failed}")
+            put_off.pop(name, None)
+            told = out[-1].failed and f"{name}: collection failed: {out[-1].failed}"
         except Exception as e:  # the store's, and so of no source
-            retry_at[config.id] = now + timedelta(seconds=config.schedule)
-            say(f"{config.id}: run failed: {type(e).__name__}: {e}")
-    beat(store, time())
+            put_off[name] = now + timedelta(seconds=config.schedule)
+            told = f"{name}: run failed: {type(e).__name__}: {e}"
+        if told and log:
+            log(told)
+    alive(max(now, clock()) if clock else now)
     return out
 
 
