@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tidemark import catalog
 from tidemark.functions import text as X
 from tidemark.functions import udfs
-from tidemark.functions.udfs import change_stats, page_paths, page_rows, parse_selector
+from tidemark.functions import html
+from tidemark.functions.udfs import change_stats
 from tidemark.operators import log, outcomes, score, snapshot, worlds
 from tidemark.operators.outcomes import Outcome, State, step
 from tidemark.plans.model import Rule
@@ -198,20 +199,41 @@ HTML = "<html><body><nav class='b a'><ul><li><a href=' /x '>One <b>two</b></a></
 
 
 def test_pages(spark):
-    df = spark.createDataFrame([(HTML,), (None,)], "html string")
-    rows = [r[0] for r in df.select(page_rows("nav.a li", {"t": "a", "h": "a@href"})(F.col("html"))).collect()]
-    assert rows == [[{"t": "One two", "h": "/x"}, {}], []]
-    paths = df.select(page_paths(9, "nav li")(F.col("html"))).first()[0]
-    assert paths == sorted(["html", "html>body", "html>body>nav.a.b", "html>body>nav.a.b>ul", "html>body>p", "html>body>p>br"])
+    df = spark.createDataFrame([(1, HTML), (2, None)], "id int, html string")
+    rows = {(r.id, r.row): r.fields for r in html.rows_of(df, ["id"], "nav.a li", {"t": "a", "h": "a@href"}).collect()}
+    assert list(rows.values()) == [{"t": "One two", "h": "/x"}, {"t": None, "h": None}] and {i for i, _ in rows} == {1}
+    every = html.elements(df, None).where("depth > 0").select("shown").collect()
+    assert sorted(r.shown for r in every) == ["nav.a.b", "nav.a.b>ul", "nav.a.b>ul>li", "nav.a.b>ul>li>a", "nav.a.b>ul>li>a>b", "p", "p>br"]
+    got = {r.id: r.fingerprint for r in html.fingerprints(df, ["id"], "nav li", 9).collect()}
+    assert got == {1: hashlib.sha256("nav.a.b\nnav.a.b>ul\np\np>br".encode()).hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
     with pytest.raises(ValueError):
-        parse_selector("a:hover")
+        html.parse_selector("a:hover")
+
+
+def test_rows_within_rows_scripts_and_odd_facts(spark):
+    page = "<div class=r id='a.b'><i>1</i><div class=r><i x='p\x02q'>2</i><script>no</script></div></div><i class='r'><b>3</b></i><div class=rr><i>4</i></div><div class='r'>" + "</div>"
+    df = spark.createDataFrame([("é", page)], "k string, html string")
+    rows = [(r.row, r.fields["i"], r.fields["x"]) for r in html.rows_of(df, ["k"], ".r", {"i": "i", "x": "i[x]@x"}).orderBy("row").collect()]
+    assert rows == [(0, "1", "p\x02q"), (2, "2", "p\x02q"), (4, None, None), (8, None, None)]
+    only = lambda s: [r.n for r in html.elements(df, [s]).where(html.matches(F.col("path"), s)).orderBy("n").collect()]
+    assert only("div.r > i") == [1, 3] and only("div div i") == [3] and only("*.r b") == [5] and only("i[x='p q']") == [3]
+
+
+def test_match_flags_of_many_pages(spark):
+    page = lambda *rows: "<nav>" + "".join(f"<li>{r}</li>" for r in rows) + "</nav>"
+    pages = [page("<a>1</a><b>x</b>", "<a></a>"), page("<b>x</b>"), page("<a> </a><b>x</b>"), page(), "<p>", None, page("<a>1</a>") + "<u></u>"]
+    df = spark.createDataFrame(list(enumerate(pages)), "id int, html string")
+    flags = lambda **o: {r.id: (r.n_rows, r.broken) for r in html.match_flags(df, ["id"], "nav li", {"k": "a", "v": "b", "w": "a"}, "k", **o).collect()}
+    assert flags() == {0: (2, []), 1: (1, ["a"]), 2: (1, ["a"]), 3: (0, ["nav li"]), 4: (0, ["nav li"]), 5: (0, ["nav li"]), 6: (1, ["b"])}
+    assert flags(optional=["v"], container="u") == {0: (2, ["u"]), 1: (1, ["u", "a"]), 2: (1, ["u", "a"]), 3: (0, ["u"]), 4: (0, ["u"]), 5: (0, ["u"]), 6: (1, [])}
 
 
 def test_fingerprints_reach_eight_levels_below_body(spark, tmp_path):
     page = lambda n, extra="": "<html><head><title>t</title></head><body>" + "".join(f"<div class='l{k}'>" for k in range(1, n + 1)) + extra + "</div>" * n + "</body></html>"
-    paths = spark.createDataFrame([(page(10),), ("<title>t</title><p><b>x</b></p>",)], "html string").select(page_paths(8, None, below_body=True)(F.col("html")))
-    deep, bare = (r[0] for r in paths.collect())
-    assert deep == [">".join(f"div.l{k}" for k in range(1, n + 1)) for n in range(1, 9)] and bare == ["p", "p>b"]
+    df = spark.createDataFrame([(0, page(10)), (1, "<title>t</title><p><b>x</b></p>")], "id int, html string")
+    got = {r.id: r.fingerprint for r in html.fingerprints(df, ["id"]).collect()}
+    deep = [">".join(f"div.l{k}" for k in range(1, n + 1)) for n in range(1, 9)]
+    assert got == {i: hashlib.sha256("\n".join(x).encode()).hexdigest() for i, x in ((0, deep), (1, ["p", "p>b"]))}
     pages = [page(7), page(7, "<i></i>"), page(8), page(8, "<i></i>")]
     spark.createDataFrame([(i, "http://h/x", h) for i, h in enumerate(pages)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert {r.page_id for r in catalog.structure_changed(spark, str(tmp_path)).collect()} == {1, 2}
@@ -346,12 +368,23 @@ def test_page_queries_by_brute_force(spark, tmp_path):
     for i, _, h in rows:
         row = -1
         for n, above in nodes(Tree(h or "").root):
-            if is_row(n, above) and above[-1][0] == "ul" and not any(is_row(a, above[:k]) for k, a in enumerate(above)):
+            if is_row(n, above) and above[-1][0] == "ul":
                 row += 1
                 inner = [m for m, _ in nodes(n)]
                 text = next((" ".join(text_of(m).split()) for m in inner if m[0] == "a"), None)
                 href = next((" ".join((m[2]["href"] or "").split()) for m in inner if m[0] == "a" and "href" in m[2]), None)
                 links.add((i, row, text, href))
+    broken = {}
+    for i, _, h in rows:
+        every = list(nodes(Tree(h or "").root))
+        inner = [[m for m, _ in nodes(n)] for n, above in every if is_row(n, above) and above[-1][0] == "ul"]
+        tags = {m[0] for row in inner for m in row}
+        said = [] if any(n[0] == "nav" for n, _ in every) else ["nav"]
+        if inner:
+            first = [next((" ".join(text_of(m).split()) for m in row if m[0] == "a"), "") for row in inner]
+            said += ["a"] * (not any(first)) + ["a[href]@href"] * (not any(m[0] == "a" and "href" in m[2] for row in inner for m in row)) + ["strong"] * ("strong" not in tags)
+        broken[i] = (len(inner), ", ".join(said))
+    assert {r.page_id: (r.n_rows, r.broken) for r in catalog.broken_selectors(spark, str(tmp_path)).collect()} == broken and len(set(broken.values())) > 2
     got = {tuple(r) for r in catalog.page_links(spark, str(tmp_path)).collect()}
     assert got == links and {x[:2] for x in links} >= {(0, 0), (0, 1), (1, 0)}
 

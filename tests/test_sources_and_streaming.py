@@ -303,17 +303,20 @@ def test_page_and_broken_selectors(spark):
     assert fields(got) == {"1": {"id": "1", "status": "Open"}} and got.broken == [] and len(got.fingerprint) == 64
     assert collector("web", **o | {"fields": {"id": "td.k", "status": "td.z"}}).collect(spark, NOW).broken == ["td.z"]
     assert collector("web", **o | {"rows": "table tr.q"}).collect(spark, NOW).broken == ["table tr.q"]
+    assert collector("web", **o, container="table.x").collect(spark, NOW).broken == ["table.x"] and collector("web", **o, depth=0).collect(spark, NOW).fingerprint is None
+    assert fields(collector("web", **o | {"fields": {"id": "td.k", "status": "td.z"}}, optional=["status"]).collect(spark, NOW)) == {"1": {"id": "1", "status": ""}}
+    with pytest.raises(CollectError, match="invalid selector in the configuration: 'td:hover'"):
+        collector("web", **o | {"fields": {"id": "td:hover"}}).collect(spark, NOW)
 
 
 def test_selectors(spark):
-    from tidemark.functions.udfs import _Walk, parse_selector
+    from tidemark.functions.html import elements, matches, parse_selector
 
     html = '<div id=top><p class="a b">1<span data-k="x y">2</span></p><ul><li><a href=u>3</a></li><li class=a><p>4</p></li></ul></div>'
+    page = spark.createDataFrame([(html,)], "html string")
 
     def texts(selector):
-        w = _Walk(0, parse_selector(selector)[0], [("t", parse_selector(selector)[0], None)])
-        w.feed(html)
-        return [r["t"] for r in w.rows]
+        return [r.text for r in elements(page, [selector]).where(matches(F.col("path"), selector)).orderBy("n").collect()]
 
     assert texts("#top > p") == ["12"] and texts("div#top span[data-k]") == ["2"] == texts('span[data-k="x y"]') == texts("p > span")
     assert texts("div > span") == [] and texts("ul > li.a") == ["4"] and texts("ul li") == ["3", "4"] and texts("[href=u]") == ["3"] and texts("p.b.a") == ["12"]

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions import html
 from tidemark.functions import lines as L
 from tidemark.functions import text as X
-from tidemark.functions.udfs import FINGERPRINT_DEPTH, page_paths, page_rows, text_change
+from tidemark.functions.udfs import text_change
 from tidemark.operators import log, outcomes, score, snapshot, worlds
 from tidemark.plans import buckets
 from tidemark.plans.model import EVENTS, RECORDS, Rule, SourceConfig
@@ -909,20 +910,26 @@ def text_change_stats(spark, d):
 
 @query()
 def page_fingerprint(spark, d):
-    paths = page_paths(FINGERPRINT_DEPTH, "nav ul li", below_body=True)(F.col("html"))
-    return t(spark, d, "pages").select("page_id", F.sha2(F.array_join(F.array_sort(paths), "\n"), 256).alias("fingerprint"))
+    return html.fingerprints(t(spark, d, "pages"), ["page_id"], "nav ul li")
 
 
 @query()
 def page_links(spark, d):
-    rows = page_rows("nav ul > li", {"text": "a", "href": "a[href]@href"})(F.col("html"))
-    return t(spark, d, "pages").select("page_id", F.posexplode(rows).alias("row", "fields")).select("page_id", "row", F.col("fields")["text"].alias("text"), F.col("fields")["href"].alias("href"))
+    found = html.rows_of(t(spark, d, "pages"), ["page_id"], "nav ul > li", {"text": "a", "href": "a[href]@href"})
+    rows = found.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("row", F.col("fields")["text"].alias("text"), F.col("fields")["href"].alias("href")))).alias("rows"))  # of one page
+    return rows.select("page_id", F.posexplode("rows").alias("row", "r")).select("page_id", "row", "r.text", "r.href")
+
+
+@query()
+def broken_selectors(spark, d):
+    """What matches nothing in each page, of selectors that most pages satisfy."""
+    fields = {"text": "a", "href": "a[href]@href", "strong": "strong"}
+    return html.match_flags(t(spark, d, "pages"), ["page_id"], "nav ul > li", fields, "text", container="nav").select("page_id", "n_rows", F.array_join("broken", ", ").alias("broken"))
 
 
 @query()
 def structure_changed(spark, d):
     """Pages whose structure differs from the page before them on the same host."""
-    paths = page_paths(FINGERPRINT_DEPTH, "nav ul li", below_body=True)(F.col("html"))
-    x = t(spark, d, "pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.sha2(F.array_join(paths, "\n"), 256).alias("fingerprint"))
-    moved = log.following(x, ["host"], ["page_id"]).where(F.col("fingerprint") != F.col("next.fingerprint"))
+    x = t(spark, d, "pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), "html")
+    moved = log.following(html.fingerprints(x, ["page_id", "host"], "nav ul li"), ["host"], ["page_id"]).where(F.col("fingerprint") != F.col("next.fingerprint"))
     return moved.select("next.page_id", "next.host")

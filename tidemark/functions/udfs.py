@@ -1,17 +1,14 @@
-"""The few functions that built-in expressions cannot give: opcode text diffs, full case folding, HTML walks."""
+"""The few functions that built-in expressions cannot give: opcode text diffs, full case folding, the shortest text of a double."""
 
 from __future__ import annotations
 
 import difflib
-import re
-from html.parser import HTMLParser
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from tidemark.plans.model import REFINE_CHARS
 
@@ -85,197 +82,3 @@ def float_text(x: pa.Array) -> pa.Array:
 def folded_contains(text: pd.Series, part: pd.Series) -> pd.Series:
     """Substring under full Unicode case folding; null contains nothing."""
     return pd.Series([isinstance(t, str) and p.casefold() in t.casefold() for t, p in zip(text, part)])
-
-
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_SKIPPED = frozenset("script style noscript template".split())
-_HEAD = frozenset("head title meta link base".split())
-
-
-class Step(NamedTuple):
-    """A compound of a selector: tag (or *), classes, id, attributes with or without a value; ``child`` of the step before it, or anywhere below."""
-
-    tag: str
-    classes: frozenset
-    ident: str | None = None
-    attributes: tuple = ()
-    child: bool = False
-
-
-class Element(NamedTuple):
-    tag: str
-    classes: frozenset
-    shown: str
-    attributes: dict
-
-    def fits(self, want: Step) -> bool:
-        return (
-            want.tag in ("*", self.tag)
-            and want.classes <= self.classes
-            and (want.ident is None or self.attributes.get("id") == want.ident)
-            and all(k in self.attributes and (v is None or (self.attributes[k] or "") == v) for k, v in want.attributes)
-        )
-
-
-class _Walk(HTMLParser):
-    """Structural paths and (selector, row) extraction in one pass, for selectors of tags, classes, ids, attributes and children."""
-
-    def __init__(self, depth: int = 6, row: list[Step] | None = None, fields=(), below_body: bool = False):
-        super().__init__(convert_charrefs=True)
-        self.depth, self.row, self.fields, self.below_body = depth, row, fields, below_body
-        self.stack: list[Element] = []
-        self.paths: set[str] = set()
-        self.rows: list[dict[str, str | None]] = []
-        self.open_rows: list[int] = []
-        self.text: list[tuple[int, str]] = []
-
-    def _matches(self, selector: list[Step]) -> bool:
-        """Whether the innermost open element is the selector's last step below elements that are the others."""
-        if not self.stack or not self.stack[-1].fits(selector[-1]):
-            return False
-        places = {len(self.stack) - 1}  # where the step after may stand
-        for n in range(len(selector) - 2, -1, -1):
-            near = {p - 1 for p in places} if selector[n + 1].child else set(range(max(places)))
-            places = {p for p in near if p >= 0 and self.stack[p].fits(selector[n])}
-            if not places:
-                return False
-        return True
-
-    def _below_body(self) -> list[Element]:
-        """The open elements below body; where no body tag is open, it is implied around all but html and what belongs in head."""
-        tags = [e.tag for e in self.stack]
-        if "body" in tags:
-            return self.stack[tags.index("body") + 1 :]
-        rest = self.stack[tags[0] == "html" :]
-        return [] if rest and rest[0].tag in _HEAD else rest
-
-    def handle_starttag(self, tag, attrs):
-        got = dict(attrs)
-        classes = frozenset((got.get("class") or "").split())
-        step = ".".join([tag, *sorted(classes)])
-        self.stack.append(Element(tag, classes, step, got))
-        skipped = any(e.tag in _SKIPPED for e in self.stack)
-        steps = self._below_body() if self.below_body else self.stack
-        is_row = bool(self.row) and not skipped and not self.open_rows and self._matches(self.row)
-        if not skipped and not self.open_rows and not is_row and 0 < len(steps) <= self.depth:
-            self.paths.add(">".join(e.shown for e in steps))
-        if is_row:
-            self.open_rows.append(len(self.stack))
-            self.rows.append({})
-        if self.open_rows and not skipped:
-            for name, selector, attribute in self.fields:
-                if name not in self.rows[-1] and self._matches(selector):
-                    self.rows[-1][name] = " ".join((got.get(attribute) or "").split()) if attribute else ""
-                    if not attribute:
-                        self.text.append((len(self.stack), name))
-        if tag in _VOID:
-            self._close()
-
-    def handle_endtag(self, tag):
-        if any(e.tag == tag for e in self.stack):
-            while self.stack and self.stack[-1].tag != tag:
-                self._close()
-            self._close()
-
-    def _close(self):
-        level = len(self.stack)
-        self.text = [x for x in self.text if x[0] < level]
-        if self.open_rows and self.open_rows[-1] == level:
-            self.open_rows.pop()
-        self.stack.pop()
-
-    def handle_data(self, data):
-        for _, name in self.text:
-            self.rows[-1][name] += data
-
-
-_NAME = r"[\w-]+"
-_COMPOUND = re.compile(rf"(\*|{_NAME})?((?:\.{_NAME}|\#{_NAME}|\[\s*{_NAME}\s*(?:=\s*(?:\"[^\"]*\"|'[^']*'|{_NAME})\s*)?\])*)")
-_PART = re.compile(rf"\.({_NAME})|\#({_NAME})|\[\s*({_NAME})\s*(?:=\s*(\"[^\"]*\"|'[^']*'|{_NAME})\s*)?\]")
-_COMBINED = re.compile(r"\s*(>)\s*|\s+")
-_ATTRIBUTE = re.compile(rf"(.*?)@({_NAME})\s*", re.S)
-
-
-def parse_selector(text: str) -> tuple[list[Step], str | None]:
-    """Steps of tag, .class, #id, [attribute] and [attribute=value], below one another or (>) children, and the attribute after @ if any."""
-    m = _ATTRIBUTE.fullmatch(text)
-    path, attribute = (m[1], m[2]) if m else (text, None)
-    path, steps, at, child = path.strip(), [], 0, False
-    if not path:
-        raise ValueError(f"empty selector {text!r}")
-    while at < len(path):
-        m = _COMPOUND.match(path, at)
-        if m.end() == at:
-            raise ValueError(f"unsupported selector {text!r}")
-        parts = _PART.findall(m[2])
-        ids = [i for _, i, _, _ in parts if i]
-        if len(ids) > 1:
-            raise ValueError(f"unsupported selector {text!r}")
-        attributes = tuple((k.lower(), (v[1:-1] if v[0] in "\"'" else v) if v else None) for _, _, k, v in parts if k)
-        steps.append(Step((m[1] or "*").lower(), frozenset(c for c, _, _, _ in parts if c), ids[0] if ids else None, attributes, child))
-        at = m.end()
-        if at < len(path):
-            m = _COMBINED.match(path, at)
-            if not m or m.end() == len(path):
-                raise ValueError(f"unsupported selector {text!r}")
-            at, child = m.end(), bool(m[1])
-    return steps, attribute
-
-
-#: Levels below body that a page's fingerprint covers.
-FINGERPRINT_DEPTH = 8
-
-
-def page_paths(depth: int = 6, row: str | None = None, below_body: bool = False):
-    """UDF html -> distinct structural paths down to ``depth``, rows and what is in them left out; ``below_body`` starts them below body."""
-    steps = parse_selector(row)[0] if row else None
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def paths(html: pd.Series) -> pd.Series:
-        def one(h):
-            if h is None:
-                return []
-            w = _Walk(depth, steps, below_body=below_body)
-            w.feed(h)
-            return sorted(w.paths)
-
-        return html.map(one)
-
-    return paths
-
-
-def page_rows(row: str, fields: dict[str, str]):
-    """UDF html -> array of maps: a map of the matched fields for each element matching ``row``."""
-    steps = parse_selector(row)[0]
-    wanted = [(name, *parse_selector(sel)) for name, sel in fields.items()]
-
-    @F.pandas_udf(ArrayType(MapType(StringType(), StringType())))
-    def rows(html: pd.Series) -> pd.Series:
-        def one(h):
-            if h is None:
-                return []
-            w = _Walk(0, steps, wanted)
-            w.feed(h)
-            return [{k: " ".join(v.split()) for k, v in r.items()} for r in w.rows]
-
-        return html.map(one)
-
-    return rows
-
-
-def page_has(selector: str):
-    """UDF html -> whether an element matches ``selector``."""
-    steps = parse_selector(selector)[0]
-
-    @F.pandas_udf(BooleanType())
-    def has(html: pd.Series) -> pd.Series:
-        def one(h):
-            if h is None:
-                return False
-            w = _Walk(0, steps)
-            w.feed(h)
-            return bool(w.rows)
-
-        return html.map(one)
-
-    return has
