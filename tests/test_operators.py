@@ -16,7 +16,7 @@ from tidemark.functions import text as X
 from tidemark.functions import udfs
 from tidemark.functions import html
 from tidemark.functions.udfs import change_stats
-from tidemark.operators import log, outcomes, score, snapshot, worlds
+from tidemark.operators import log, outcomes, score, snapshot, transcripts, worlds
 from tidemark.operators.outcomes import Outcome, State, step
 from tidemark.plans.model import Rule
 
@@ -270,9 +270,54 @@ def test_quoted_text_scrubs_the_whole_text(spark, tmp_path):
     assert got == {0: '"a b"', 1: '"end"', 2: '"' + ("x " * 60)[:119] + '…"', 3: "null"}
 
 
+def test_answers_are_read_as_they_stand(spark):
+    """Fences, prose, keys in any order, braces in texts, entries that cannot be read, and what is no answer."""
+    block = lambda body, tag="json": f"```{tag}\n{body}\n```"
+    one = '{"items": [{"kind": "po", "ref": "4500108"}]}'
+    found = [("po", "4500108")]
+    cases = [
+        (block(one), found),
+        ("text {\"items\": 1} " + block('{"items": [{"kind": "x", "ref": "1"}]}') + " more " + block(one) + " bye {}", found),
+        (block(one, "JSON"), found), (block(one, ""), found), (f"```json {one}```", found), (block(one).replace("\n", "\r\n"), found), (block("plain", "") + one, found),
+        (block("x = {}", "python") + " " + one, found),
+        (f"Done. {one} Thanks.", found),
+        ('so {"note": "a \\"}{\\" b", "items": [{"kind": "PO", "ref": 4500108, "more": {"a": [{}]}}]} {"other": 1} {', found),
+        ('{"items": [{"kind": "po", "ref": "1"}]} then {"n": {"items": []}, "items": [{"ref": "4500108", "kind": "po"}]}', []),  # the object that begins last, though it lies in another
+        (block('[{"kind": "po", "ref": "4500108"}]'), found),
+        (block('{"items": []}'), []),
+        (block('{"items": [{"kind": "po", "ref": 4500108}, "4500111", {"kind": "po"}, {"kind": "po", "ref": null}, {"kind": "po", "ref": true}, {"kind": 3, "ref": "a"}, {"kind": "po", "ref": 1.5}]}'),
+         [("po", "4500108"), ("?", '"4500111"'), ("?", '{"kind":"po"}'), ("?", '{"kind":"po","ref":null}'), ("?", '{"kind":"po","ref":true}'), ("?", '{"kind":3,"ref":"a"}'), ("?", '{"kind":"po","ref":1.5}')]),
+        *((x, None) for x in (block('{"items": [{"kind": "po", "ref": "1"},]}'), block('{"items": '), block('{"things": []}'), block('{"items": "none"}'), "nothing to report", "", None, block(one) + block("{oops"), '{"items": [', "{" * 50)),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {r.id: None if r.malformed else [tuple(x) for x in r["items"]] for r in transcripts.read_answers(df, "i", "t").collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+    assert transcripts.answers(df, "i", "t").where("kind = '?'").count() == 6
+
+
+def test_transcripts_of_any_shape(spark):
+    import json
+
+    def call(n, mid, tokens, model="m", **block):
+        return json.dumps({"type": "assistant", "message": {"id": mid, "model": model, "usage": {"input_tokens": tokens, "output_tokens": 1, "cache_read_input_tokens": None}, "content": [block] if block else "text"}})
+
+    tool = lambda i, name="get": {"type": "tool_use", "id": i, "name": name}
+    full = ['{"type": "system", "subtype": "init"}', "", "  ", call(1, "a", 5, **tool("t1")), call(2, "a", 9, **tool("t1")), call(3, "b", 4, **tool("t2", "ack")), call(4, "c", 99, "<synthetic>"), "not json", "[1]",
+            json.dumps({"type": "user", "message": {"content": [{"type": "tool_result", "is_error": True}, {"type": "tool_result"}]}}),
+            json.dumps({"type": "result", "subtype": "success", "is_error": False, "total_cost_usd": 0.5, "usage": {"input_tokens": 70, "output_tokens": 7}})]
+    cut = [call(1, "a", 5), call(2, "b", 6, **tool("t1"))]
+    bad = [json.dumps({"type": "result", "subtype": "error_max_turns", "is_error": True}), call(1, "a", 2)]
+    df = spark.createDataFrame([(r, x) for r, xs in (("full", full), ("cut", cut), ("bad", bad)) for x in xs], "run string, line string")
+    got = {r.run: r for r in transcripts.metrics(df, ["run"]).collect()}
+    shown = lambda r: (r.status, r.usage_source, r.input_tokens, r.output_tokens, r.api_calls, r.tool_calls, r.tool_errors, r.tool_calls_by_name, r.cost_usd, r.bad_lines)
+    assert shown(got["full"]) == ("ok", "result", 70, 7, 2, 2, 1, {"ack": 1, "get": 1}, 0.5, 2)
+    assert shown(got["cut"]) == ("no_result", "assistant", 11, 2, 2, 1, 0, {"get": 1}, None, 0)
+    assert shown(got["bad"]) == ("error_max_turns", "assistant", 2, 1, 1, 0, 0, None, None, 0)
+
+
 def test_answers_and_ticks(spark, tmp_path):
     texts = [("a", 'x ```json\n{"items": [{"kind": "PO", "ref": "1"}]}\n``` y ```\n{"items": [{"kind": "Mail", "ref": "2"}]}\n```'), ("b", 'so {"items": [{"kind": "po", "ref": "3"}, {"kind": "system", "ref": "x"}]}'), ("c", "none"), ("d", None)]
-    got = worlds.answers(spark.createDataFrame(texts, "id string, t string"), "id", "t").collect()
+    got = transcripts.answers(spark.createDataFrame(texts, "id string, t string"), "id", "t").collect()
     assert sorted(map(tuple, got)) == [("a", "mail", "2"), ("b", "po", "3"), ("b", "system", "x")]
     start = datetime(2026, 1, 1)
     got = [r.t for r in worlds.ticks(spark, start, start + timedelta(hours=5), 2, [start + timedelta(hours=3), start]).collect()]
@@ -396,7 +441,7 @@ def test_ranks_and_neighbours_agree_however_many_tasks_number(spark, monkeypatch
     df = spark.createDataFrame(rows, "seq long, source_id string, effective int")
     order = sorted(rows, key=lambda r: (-r[2], r[0]))
     want = {r[0]: (k + 1, 1 + sum(o[1] == r[1] for o in order[:k])) for k, r in enumerate(order)}
-    assert {r.seq: (r["rank"], r.ordinal) for r in log.rank(df).collect()} == want
+    assert {r.seq: (r["rank"], r.ordinal) for r in log.rank(df, ordinal=True).collect()} == want
     after = {r.seq: r["next"] and r["next"].seq for r in log.following(df, ["source_id"], ["seq"]).collect()}
     assert after == {s: next((o[0] for o in rows if o[1] == source and o[0] > s), None) for s, source, _ in rows}
 

@@ -13,7 +13,7 @@ from tidemark.functions import html
 from tidemark.functions import lines as L
 from tidemark.functions import text as X
 from tidemark.functions.udfs import text_change
-from tidemark.operators import log, outcomes, score, snapshot, worlds
+from tidemark.operators import log, outcomes, score, snapshot, transcripts, worlds
 from tidemark.plans import buckets
 from tidemark.plans.model import EVENTS, RECORDS, Rule, SourceConfig
 from tidemark.plans.runner import HASHED
@@ -235,12 +235,12 @@ def effective_importance(spark, d):
 
 @query(_LOG + "SELECT seq, rank FROM ranked")
 def rank_global(spark, d):
-    return log.rank(effective_log(spark, d)).select("seq", "rank")
+    return log.rank(effective_log(spark, d).select("seq", "effective")).select("seq", "rank")
 
 
 @query(_LOG + "SELECT source_id, seq, ordinal FROM ranked")
 def rank_in_source(spark, d):
-    return log.rank(effective_log(spark, d)).select("source_id", "seq", "ordinal")
+    return log.rank(effective_log(spark, d).select("seq", "source_id", "effective"), ordinal=True).select("source_id", "seq", "ordinal")
 
 
 @query(_LOG + "SELECT seq, effective FROM effective ORDER BY effective DESC, seq LIMIT 100")
@@ -269,7 +269,7 @@ def budget_prefix(spark, d):
   max(effective) FILTER (rank <= 500) AS max_shown, max(effective) FILTER (rank > 500) AS max_omitted FROM ranked GROUP BY source_id"""
 )
 def group_headers(spark, d):
-    return log.groups(log.rank(effective_log(spark, d)), 500)
+    return log.groups(log.rank(effective_log(spark, d).select("seq", "source_id", "effective")), 500)
 
 
 @query(
@@ -278,7 +278,7 @@ def group_headers(spark, d):
   (SELECT source_id, count(*) AS omitted, max(effective) AS m FROM ranked WHERE rank > 500 GROUP BY source_id) x"""
 )
 def omitted_by_source(spark, d):
-    return log.omitted(log.groups(log.rank(effective_log(spark, d)), 500)).select("source_id", "omitted", "place")
+    return log.omitted(log.groups(log.rank(effective_log(spark, d).select("seq", "source_id", "effective")), 500)).select("source_id", "omitted", "place")
 
 
 @query(_LOG + "SELECT seq, source_id FROM log WHERE seq > 700 AND source_id = 'u7'")
@@ -892,6 +892,41 @@ def replayed_collections(spark, d):
     return store.read("events").select("seq", "source_id", "kind", F.col("record_key").alias("key"), X.iso(F.col("created_at")).alias("at"), (F.col("seq") <= cursor).alias("acknowledged"))
 
 
+@query(
+    """SELECT conv_id, turn, CASE conv_id % 5 WHEN 3 THEN '?' ELSE lower(role) END AS kind, CASE conv_id % 5 WHEN 3 THEN '{"kind":7}' ELSE CAST(conv_id AS VARCHAR) END AS ref FROM conversations WHERE conv_id % 5 < 4"""
+)
+def answers_read(spark, d):
+    """Items of answers that are made of turns: fenced, bare with the turn's whole text before and within, unreadable, and cut off."""
+    body = F.to_json(F.struct(F.col("text").alias("note"), F.array(F.struct(F.upper("role").alias("kind"), F.col("conv_id").cast("string").alias("ref"))).alias("items")))
+    way = F.col("conv_id") % 5
+    said = F.when(way == 0, F.concat(F.lit("Found:\n```json\n"), F.to_json(F.struct(F.array(F.struct(F.upper("role").alias("kind"), F.col("conv_id").alias("ref"))).alias("items"))), F.lit("\n```")))
+    said = said.when(way == 1, F.concat(F.lit("So {this} is it: "), body, F.lit(" {}"))).when(way == 2, F.concat(F.lit('{"items": []} and '), body))
+    said = said.when(way == 3, F.lit('```\n[{"kind": 7}]\n```')).otherwise(F.substring(body, 1, 20))
+    texts = t(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), said.alias("said"))
+    return transcripts.answers(texts, "id", "said").select("id.conv_id", "id.turn", "kind", "ref")
+
+
+@query(
+    """WITH m AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations),
+u AS (SELECT conv_id, sum(n) AS output_tokens, sum(turn + 1) AS input_tokens, count(*) AS api_calls FROM m WHERE role = 'assistant' GROUP BY 1)
+SELECT c.conv_id, CASE conv_id % 4 WHEN 0 THEN 'no_result' WHEN 1 THEN 'error_max_turns' ELSE 'ok' END AS status, CAST(CASE WHEN conv_id % 4 = 2 THEN 1000 ELSE coalesce(u.input_tokens, 0) END AS BIGINT) AS input_tokens,
+CAST(CASE WHEN conv_id % 4 = 2 THEN 10 ELSE coalesce(u.output_tokens, 0) END AS BIGINT) AS output_tokens, coalesce(u.api_calls, 0) AS api_calls, coalesce(u.api_calls, 0) AS tool_calls, c.bad_lines
+FROM (SELECT conv_id, count(*) FILTER (role NOT IN ('assistant', 'user')) AS bad_lines FROM m GROUP BY 1) c LEFT JOIN u USING (conv_id)"""
+)
+def transcript_metrics(spark, d):
+    """Metrics of transcripts that are made of conversations: each assistant's turn is two events of one message, some runs end with a result."""
+    c = t(spark, d, "conversations")
+    usage = lambda n: F.struct((F.col("turn") + 1).alias("input_tokens"), n.alias("output_tokens"))
+    tool = F.array(F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("id"), F.lit("get").alias("name")))
+    event = lambda n, content: F.to_json(F.struct(F.lit("assistant").alias("type"), F.struct(F.concat(F.lit("m"), F.col("turn").cast("string")).alias("id"), usage(n).alias("usage"), content.alias("content")).alias("message")))
+    lines = F.when(F.col("role") == "assistant", F.array(event(F.length("text"), tool), event(F.lit(0), F.col("text")))).when(F.col("role") == "user", F.array(F.to_json(F.struct(F.lit("user").alias("type"), F.struct(F.col("text").alias("content")).alias("message")))))
+    lines = c.select("conv_id", F.explode(F.coalesce(lines, F.array(F.lit("no event")))).alias("line"))
+    way = F.col("conv_id") % 4
+    ends = F.when(way == 1, '{"type":"result","subtype":"error_max_turns","is_error":true}').when(way == 2, '{"type":"result","usage":{"input_tokens":1000,"output_tokens":10}}').when(way == 3, '{"type":"result","subtype":"success"}')
+    ends = c.select("conv_id").distinct().select("conv_id", ends.alias("line")).where("line is not null")
+    return transcripts.metrics(lines.unionByName(ends), ["conv_id"]).select("conv_id", "status", "input_tokens", "output_tokens", "api_calls", "tool_calls", "bad_lines")
+
+
 # --- beyond SQL: opcode diffs and HTML; tests compute each of these queries again with plain code ---------------------------------------
 
 

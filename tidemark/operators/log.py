@@ -75,15 +75,17 @@ def latest_recovery(events: DataFrame) -> DataFrame:
     return events.where("kind = 'source_recovered'").groupBy("source_id").agg(F.max("seq").alias("seq"))
 
 
-def rank(events: DataFrame, importance: str = "effective") -> DataFrame:
-    """Adds ``rank`` over all rows and ``ordinal`` within each source: importance descending, then seq.
+def rank(events: DataFrame, importance: str = "effective", ordinal: bool = False) -> DataFrame:
+    """Adds ``rank`` over all rows and, if asked for, ``ordinal`` within each source: importance descending, then seq.
 
     Both are places in a total order of all rows; the ordinal is counted from its source's first, so no window holds a source.
     """
     order = [F.desc(importance), F.asc("seq")]
     ranked = with_seq(events, order, name="rank")
+    if not ordinal:
+        return ranked
     placed = settled(with_seq(ranked, [F.asc("source_id"), *order], name="__place"), "places")
-    first = settled(placed.groupBy(F.col("source_id").alias("__source")).agg(F.min("__place").alias("__first")), "firsts")
+    first = placed.groupBy(F.col("source_id").alias("__source")).agg(F.min("__place").alias("__first"))
     met = placed.join(first, F.col("source_id").eqNullSafe(F.col("__source")))
     return met.withColumn("ordinal", (F.col("__place") - F.col("__first") + 1).cast("int")).drop("__place", "__source", "__first")
 

@@ -132,15 +132,6 @@ def max_then_sum(usage: DataFrame, message: str, by: Sequence[str], value: str)
     return usage.groupBy(*by, message).agg(F.max(value).alias("m")).groupBy(*by).agg(F.sum("m").alias(value))
 
 
-def answers(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Items (id, kind, ref) of answers: the last fenced block, else the last {...} that has "items"; unreadable answers have none."""
-    fenced = F.regexp_extract_all(text_col, F.lit(r"(?s)```(?:json)?\s*(\{.*?\})\s*```"), F.lit(1))
-    bare = F.regexp_extract(text_col, r'(?s).*(\{\s*"items".*\})', 1)
-    body = F.when(F.size(fenced) > 0, F.element_at(fenced, -1)).otherwise(bare)
-    items = F.from_json(body, "items array<struct<kind:string,ref:string>>")["items"]
-    return texts.select(F.col(id_col).alias("id"), F.explode(items).alias("i")).select("id", F.lower("i.kind").alias("kind"), F.col("i.ref").alias("ref"))
-
-
 def notes_csv(state: DataFrame, path: str, order: Sequence[str]) -> None:
     """A state as CSV with a header, in order."""
     state.orderBy(*order).write.mode("overwrite").option("header", "true").csv(path)
