@@ -468,10 +468,16 @@ def test_kept_characters_are_those_of_the_library(monkeypatch):
 
 
 def test_benchmark_additions(spark):
-    refs = spark.createDataFrame([("12",), ("7",), ("LOGIN-PAGE",), ("DISK",)], "ref string")
+    day = lambda n: datetime(2026, 2, n)
+    items = [("po", "12", day(1)), ("po", "7", day(9)), ("portal", "7", day(1)), ("portal", "8", day(5)), ("portal", "9", day(7)), ("portal", "77", day(9)), ("portal", "10", None), ("email", "DISK", day(1))]
+    items += [("system", "portal-layout", None), ("system", "portal-login", day(8))]
+    items = spark.createDataFrame(items, "kind string, ref string, at timestamp")
     texts = spark.createDataFrame([("order 12 and 77",), ("the login-page moved",)], "text string")
-    got = {r.ref: (r.seen, r.reason) for r in worlds.observability(refs, texts).collect()}
-    assert got == {"12": (True, None), "7": (False, "number in no text"), "LOGIN-PAGE": (True, None), "DISK": (False, "words in no text")}
+    texts = texts.unionByName(spark.createDataFrame([("! schema_changed: #77",), (None,)], "text string"))
+    got = [(r.ref, r.observed, r.reason) for r in worlds.observability(items, texts, day(5), day(7)).orderBy("kind", "ref").collect()]
+    lost, moved, other = "after login expiry", "after layout change", "other"
+    assert got == [("DISK", False, other), ("12", True, ""), ("7", False, other), ("10", False, other), ("7", False, other), ("77", True, ""), ("8", False, moved), ("9", False, lost), ("portal-layout", True, ""), ("portal-login", False, other)]
+    assert worlds.observability(items, texts.limit(0)).where("observed").count() == 0
     empty = spark.createDataFrame([], "id int, a boolean")
     assert worlds.recalls(empty, empty, ["id"], ["a"]).first() == (1.0, 1.0)
     t = lambda d: datetime(2026, 1, d)

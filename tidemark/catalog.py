@@ -645,14 +645,30 @@ def observability(spark, d):
     return worlds.observed(refs, t(spark, d, "events").select(F.col("props").alias("text")))
 
 
+@query(
+    r"""WITH said AS (SELECT DISTINCT unnest(regexp_extract_all(props, '\d+')) AS ref FROM events),
+items AS (SELECT CASE event_id % 3 WHEN 0 THEN 'portal' WHEN 1 THEN 'po' ELSE 'email' END AS kind, CAST(event_id AS VARCHAR) AS ref, event_id FROM events UNION ALL SELECT 'system', unnest(['portal-layout', 'portal-login']), NULL)
+SELECT kind, ref, seen AS observed, CASE WHEN seen THEN '' WHEN kind = 'portal' AND event_id >= 200 THEN 'after login expiry' WHEN kind = 'portal' AND event_id >= 50 THEN 'after layout change' ELSE 'other' END AS reason
+FROM (SELECT *, CASE kind WHEN 'system' THEN ref = 'portal-layout' ELSE ref IN (SELECT ref FROM said) END AS seen FROM items) x"""
+)
+def observability_reasons(spark, d):
+    """Which items the texts show, and why not the others; a layout changed at event 50 and a login ran out at event 200."""
+    e = t(spark, d, "events")
+    kind = F.when(F.col("event_id") % 3 == 0, "portal").when(F.col("event_id") % 3 == 1, "po").otherwise("email")
+    items = e.select(kind.alias("kind"), F.col("event_id").cast("string").alias("ref"), F.col("event_id").alias("at"))
+    system = e.select(F.explode(F.array(F.lit("portal-layout"), F.lit("portal-login"))).alias("ref")).distinct().select(F.lit("system").alias("kind"), "ref", F.lit(None).cast("long").alias("at"))
+    return worlds.observability(items.unionByName(system), e.select(F.concat("event_type", F.lit(" "), "props").alias("text")), 50, 200, {"portal-layout": "signup {", "portal-login": "no such sign"})
+
+
 @query(
     _CTE
     + """SELECT 'po' AS kind, CAST(key AS VARCHAR) AS ref FROM met WHERE in_old AND in_new AND ((s1 = 'X' AND s0 <> 'X') OR e1 - e0 > 3)
 UNION ALL SELECT 'portal', CAST(key AS VARCHAR) FROM met WHERE in_old AND in_new AND s1 IN ('X', 'P') AND s1 <> s0
-UNION ALL SELECT 'mail', CAST(event_id AS VARCHAR) FROM events WHERE event_type IN ('purchase', 'signup') AND value > 20 AND ts > TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00'"""
+UNION ALL SELECT 'mail', CAST(event_id AS VARCHAR) FROM events WHERE event_type IN ('purchase', 'signup') AND value > 20 AND ts > TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00'
+UNION ALL SELECT 'system', unnest(['LAYOUT', 'LOGIN']) FROM (SELECT count(*) AS n FROM events) x WHERE n > 500"""
 )
 def answer_key(spark, d):
-    return worlds.answer_key(po=po_rule(spark, d), portal=portal_rule(spark, d), mail=mail_rule(spark, d))
+    return worlds.answer_key(po=po_rule(spark, d), portal=portal_rule(spark, d), mail=mail_rule(spark, d), system=system_rule(spark, d))
 
 
 _FLAGS = """WITH mails AS (SELECT event_id, user_id, ts AS received FROM events WHERE event_type = 'view'),

@@ -115,11 +115,28 @@ def observed(refs: DataFrame, texts: DataFrame) -> DataFrame:
     return refs.join(numbers, "ref", "left_semi")
 
 
-def observability(refs: DataFrame, texts: DataFrame) -> DataFrame:
-    """All references with ``seen`` and, where they are not, the ``reason``."""
-    seen = refs.join(observed(refs, texts).distinct().withColumn("__seen", F.lit(True)), "ref", "left")
-    reason = F.when(F.col("__seen").isNull(), F.when(F.col("ref").rlike(r"^\d+$"), "number in no text").otherwise("words in no text"))
-    return seen.select(*refs.columns, F.col("__seen").isNotNull().alias("seen"), reason.alias("reason"))
+# References of the system's own items with the text that shows each, and why an item cannot be seen.
+SYSTEM_SIGNS = {"portal-layout": "schema_changed", "portal-login": "login expired"}
+REASONS = {"login": "after login expiry", "layout": "after layout change", "other": "other"}
+
+
+def observability(items: DataFrame, texts: DataFrame, layout_at=None, login_at=None, signs: dict[str, str] = SYSTEM_SIGNS) -> DataFrame:
+    """(kind, ref, observed, reason) of items (kind, ref, at): whether a text shows each, and why not where none does.
+
+    A system item is shown by its sign in any text, others by their reference as a whole number or word. A portal's change at or after the login ran out, or else after
+    the layout changed, could not be read; all else that is missed has another reason.
+    """
+    system = F.col("kind") == "system"
+    shown = items.where(~system).select("ref").distinct()
+    shown = observed(shown, texts).withColumn("__seen", F.lit(True))
+    seen = texts.agg(*(F.max(F.contains("text", F.lit(sign))) for sign in signs.values())).first()  # a value for each sign
+    signed = F.col("ref").isin([ref for ref, found in zip(signs, seen) if found])
+    met = items.join(shown, "ref", "left")
+    found = F.when(system, signed).otherwise(F.coalesce("__seen", F.lit(False)))
+    after = lambda at: F.lit(False) if at is None else F.coalesce(F.col("at") >= at, F.lit(False))
+    portal = F.col("kind") == "portal"
+    reason = F.when(found, "").when(portal & after(login_at), REASONS["login"]).when(portal & after(layout_at), REASONS["layout"]).otherwise(REASONS["other"])
+    return met.select("kind", "ref", found.alias("observed"), reason.alias("reason"))
 
 
 def run_stats(runs: DataFrame, by: Sequence[str], value: str) -> DataFrame:
