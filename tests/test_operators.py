@@ -467,6 +467,25 @@ def test_kept_characters_are_those_of_the_library(monkeypatch):
     assert udfs.kept_characters(text, other) == ref(text, other)
 
 
+def test_chunks_of_many_pairs_are_compared_together(monkeypatch):
+    """The same counts as the library's, whatever is compared at once; ordinary texts are not gone through row by row."""
+    words = random.Random(8)
+    prose = lambda n: " ".join(words.choice(["the", "of", "and", "thon", "erst", "ining", "ré", "𝄞"]) for _ in range(n))
+    texts = [prose(n) for n in (300, 320, 1, 280, 0, 310)] + [None, prose(3) + "\n" + prose(300), "x", "ab" * 20, "ba" * 9 + "\n"]
+    pairs = [*zip(texts, texts[1:]), (texts[0], texts[0][700:] + texts[0][:700])]
+    want = [brute_stats(a or "", b or "") for a, b in pairs]
+    with monkeypatch.context() as m:
+        m.setattr(udfs, "kept_characters", None)
+        assert [udfs.change_stats(a, b) for a, b in pairs] == udfs.change_stats_of(pairs) == want
+    ref = lambda a, b: sum(x.size for x in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+    for most, characters in ((1 << 20, 1 << 17), (200, 1 << 17), (20, 300)):
+        monkeypatch.setattr(udfs, "MOST_MATCHES", most)
+        monkeypatch.setattr(udfs, "CHARACTERS", characters)
+        chunks = [("".join(words.choices(a, k=words.choice([0, 1, 3, 40, 120]))), "".join(words.choices(a, k=words.choice([1, 2, 50, 100])))) for a in ["a", "ab", "abcd", "é𝄞\ud800z"] * 20]
+        assert udfs.kept_of_chunks(chunks) == [ref(a, b) for a, b in chunks]
+    assert udfs.kept_of_chunks([]) == [] == udfs.change_stats_of([])
+
+
 def test_benchmark_additions(spark):
     day = lambda n: datetime(2026, 2, n)
     items = [("po", "12", day(1)), ("po", "7", day(9)), ("portal", "7", day(1)), ("portal", "8", day(5)), ("portal", "9", day(7)), ("portal", "77", day(9)), ("portal", "10", None), ("email", "DISK", day(1))]
