@@ -8,6 +8,7 @@ import re
 import sys
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -84,6 +85,36 @@ def test_tokens_equal_the_library():
         assert np.frombuffer(own.encode(t), "<u2").tolist() == want and own.count(t) == len(want), t
 
 
+def test_merged_pretokens_serve_the_next_task():
+    own, merged = bpe.Bpe(PATH), []
+    merge = own.tok.model.tokenize
+    own.tok = SimpleNamespace(model=SimpleNamespace(tokenize=lambda x: merged.append(x) or merge(x)))
+    first = own.encode("zqxv wzzkqj zqxv wzzkqj")
+    own.forget()
+    assert own.encode("zqxv wzzkqj zqxv wzzkqj") == first and len(merged) == len(set(merged)) == 3
+
+
+def test_many_texts_are_encoded_at_once(monkeypatch):
+    tok, own = Tokenizer.from_file(PATH), bpe.Bpe(PATH)
+    monkeypatch.setattr(bpe, "KIND_BYTES", own.proven.held + 5000)
+    random.seed(3)
+    plain = ["a", "S", " ", "  ", "\n", "\n\n", "\t", "'", "''", " '", "'s", "'re", "'ve", "'ll", "'l", "t", "r", "e", "v", "é", "Ā", "ɏ", "12", "!", "_"]
+    odd = ["×", "٣", "\x1c", "\x85", "\xa0", "日", "😀", "x́", "<|endoftext|>"]
+    held = set()
+    for r in range(60):
+        texts = ["".join(random.choice(plain + odd * (r % 2)) for _ in range(random.randint(0, 30))) for _ in range(100)]
+        texts += ["", "<|endoftext|>", " " * r + "'", "'t", "'l", *(["x" * 300_000] if r == 30 else [])]
+        ids, ends = own.encode_all(texts)
+        assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(ids) == ends[-1]
+        own.forget()
+        held.add(own.kinds is None)
+    assert held == {True, False}
+    for texts in ([], [""], ["", ""]):
+        ids, ends = own.encode_all(texts)
+        assert not len(ids) and ends.tolist() == [0] * len(texts)
+
+
 def test_whole_tokens_are_proven():
     tok, own = Tokenizer.from_file(PATH), bpe.load(PATH)
     sample = random.Random(2).sample(sorted(own.whole), 2000)

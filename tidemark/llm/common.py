@@ -62,13 +62,13 @@ def forgetting(run: Callable[..., Iterator], *memos: Callable[[], Memo]) -> Call
     return task
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches: at most SLICE_ROWS rows, and unless one text alone is longer at most SLICE_BYTES in column ``text``."""
+def slices(batches: Iterator[pa.RecordBatch], text: int = 1, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches: at most ``rows`` rows, and unless one text alone is longer at most ``size`` bytes in column ``text``."""
     for b in batches:
         ends = pc.cumulative_sum(pc.fill_null(pc.cast(pc.binary_length(b.column(text)), pa.int64()), 0)).to_numpy(zero_copy_only=False)
         at, done = 0, 0
         while at < b.num_rows:
-            end = max(at + 1, min(at + SLICE_ROWS, int(ends.searchsorted(done + SLICE_BYTES, "right"))))
+            end = max(at + 1, min(at + rows, int(ends.searchsorted(done + size, "right"))))
             yield b.slice(at, end - at)
             at, done = end, int(ends[end - 1])
 

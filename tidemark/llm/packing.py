@@ -16,8 +16,8 @@ from .common import forgetting, reread, slices, texts, write_table
 TOKENS = "part int, first long, doc_id long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, boundary boolean"
 
-#: Tokens of one output batch of the first pass: bounds a worker's memory.
-BATCH_BYTES = 32 << 20
+#: Rows and bytes of text that the first pass encodes together.
+ENCODED_ROWS, ENCODED_BYTES = 8192, 8 << 20
 
 
 def pack(
@@ -51,31 +51,22 @@ def bpe_width(vocabulary: str) -> int:
 
 def _tokenize(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     def run(batches):
-        tok = bpe.load(vocabulary)
-        end, width, part, first = end_id.to_bytes(tok.width, "little"), tok.width, TaskContext.get().partitionId(), 0
-        for b in slices(batches):
-            doc_id, held, rows = b.column(0), 0, []
-            for k, t in enumerate(b.column(1).to_pylist()):
-                x = tok.encode(t) + end
-                rows.append((first, k, len(x) // width, x))
-                first, held = first + len(x) // width, held + len(x)
-                if held > BATCH_BYTES:
-                    yield _rows(rows, part, doc_id)
-                    held, rows = 0, []
-            if rows:
-                yield _rows(rows, part, doc_id)
+        tok, part, first = bpe.load(vocabulary), TaskContext.get().partitionId(), 0
+        for b in slices(batches, rows=ENCODED_ROWS, size=ENCODED_BYTES):
+            ids, ends = tok.encode_all(b.column(1).to_pylist())
+            ids = np.insert(ids, ends, end_id)
+            upto = ends + np.arange(1, len(ends) + 1)
+            n = np.diff(upto, prepend=0)
+            offsets = pa.array(np.append(0, upto) * tok.width).cast(pa.int32())  # raises beyond 2 GB
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(n), part, np.int32)), pa.array(first + upto - n), b.column(0), pa.array(n), pa.Array.from_buffers(pa.binary(), len(n), [None, offsets.buffers()[1], pa.py_buffer(ids)])],
+                ["part", "first", "doc_id", "n", "ids"],
+            )
+            first += len(ids)
 
     return docs.mapInArrow(forgetting(run, lambda: bpe.load(vocabulary)), TOKENS)
 
 
-def _rows(rows, part, doc_id) -> pa.RecordBatch:
-    first, k, n, x = zip(*rows)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([part] * len(rows), pa.int32()), pa.array(first, pa.int64()), doc_id.take(pa.array(k, pa.int64())), pa.array(n, pa.int64()), pa.array(x, pa.binary())],
-        ["part", "first", "doc_id", "n", "ids"],
-    )
-
-
 def _cut(batches, begins: dict[int, int], width: int, size: int):
     for b in slices(batches, 4):
         col = [b.column(i).to_pylist() for i in range(4)]
